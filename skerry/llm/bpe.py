@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 BAND = 6  # bits
-BLOCK_CHARS = 6_000_000
-MEMO_WORDS = 600_000
+BLOCK_CHARS = 2_000_000
+MEMO_WORDS = 250_000
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 DECODED = "doc_id long, n_tokens long, ids array<int>, decoded binary"
 
@@ -158,16 +159,16 @@ class MergeReplay:
         return [b"".join(map(self.memo.__getitem__, words)) for words in cut]
 
 
-def blocks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit characters; a longer text is a block of its own."""
+def blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes come to about limit; a larger row is a block of its own."""
     start = total = 0
-    for i, t in enumerate(texts):
-        if i > start and total + len(t) > limit:
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
             yield start, i
             start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -180,9 +181,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = MergeReplay.of(vocabulary, pattern)
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts, block_chars):
-                packed = coder.encode(texts[a:b])
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in blocks(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), block_chars):
+                packed = coder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 sizes = np.fromiter((len(p) // 4 for p in packed), dtype=np.int64, count=len(packed))
                 values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(packed))])
                 offsets = pa.array(np.append(0, np.cumsum(sizes)), type=pa.int32())
@@ -191,7 +192,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, ENCODED)
 
 
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: str, block_ids: int = BLOCK_CHARS) -> DataFrame:
     """Adds the bytes that the ids stand for, as the column decoded; null or no ids give no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +202,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         size = np.fromiter(map(len, token), dtype=np.int64, count=len(token))
         start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(token), dtype=np.uint8)
         for batch in batches:
-            texts = []
-            for ids in batch.column(2):
-                ids = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid and len(ids) else np.empty(0, dtype=np.int32)
-                long = size[ids]
-                texts.append(flat[np.arange(long.sum()) + np.repeat(start[ids] - (np.cumsum(long) - long), long)].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for a, b in blocks(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_pylist(), block_ids):
+                part, texts = batch.slice(a, b - a), []
+                for ids in part.column(2):
+                    ids = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid and len(ids) else np.empty(0, dtype=np.int32)
+                    long = size[ids]
+                    texts.append(flat[np.arange(long.sum()) + np.repeat(start[ids] - (np.cumsum(long) - long), long)].tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, DECODED)
