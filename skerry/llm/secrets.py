@@ -13,8 +13,10 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 BASE = KINDS[:3]
@@ -173,3 +175,13 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join(out) + text[at:]
+
+
+def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with secrets replaced by the mark in text_col; nulls stay null."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redact(t, mark), na_action="ignore")
+
+    return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
