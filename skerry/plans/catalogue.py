@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from skerry.plans import search_queries, stream_queries, telemetry_queries
+from skerry.plans.register import Query
 
-from pyspark.sql import DataFrame, SparkSession
+PARTS = (search_queries.query, telemetry_queries.query, stream_queries.query)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for part in PARTS for name, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.sql.items()}
