@@ -32,41 +32,49 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.btrim(line, F.lit(SPACE))))
 
 
-def repeat_words(rows: DataFrame) -> DataFrame:
-    """rows with n_repeat_words for _h, which goes: words in windows whose hash is there twice or more. _h: a hash of the window from each word on.
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once for each row, wherever the optimiser moves the expression to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Each step is a column of its own, so that no array is computed anew for each element of another.
-    """
-    repeated = F.size(F.array_distinct("_h")) < F.size("_h")
-    placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("_p", F.when(repeated, placed)).drop("_h")
-    same = lambda x, k: (x.h == F.get("_p", k - 1).h) | (x.h == F.get("_p", k + 1).h)
-    rows = rows.withColumn("_t", F.array_sort(F.transform(F.filter("_p", same), lambda x: x.i))).drop("_p")
-    spans = F.transform("_t", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_t", k + 1) - i, F.lit(WINDOW))))
-    total = F.aggregate(spans, F.lit(0).cast("long"), lambda total, n: total + n)
-    return rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("_t")
+
+def window_hashes(words: Column) -> Column:
+    """Hash of the window of WINDOW words from each word on."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - (WINDOW - 1)))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get(words, i + k) for k in range(1, WINDOW))))
+
+
+def repeat_words(hashes: Column) -> Column:
+    """Words in windows whose hash is there twice or more. hashes: as window_hashes() gives them."""
+
+    def twice(placed: Column) -> Column:
+        again = F.filter(placed, lambda x, k: (x.h == F.get(placed, k - 1).h) | (x.h == F.get(placed, k + 1).h))
+        return F.array_sort(F.transform(again, lambda x: x.i))
+
+    def covered(at: Column) -> Column:
+        spans = F.transform(at, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - i, F.lit(WINDOW))))
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda total, n: total + n)
+
+    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    return F.when(repeated, let(let(placed, twice), covered)).otherwise(F.lit(0).cast("long"))
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. A null text has none of anything."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = docs.columns
-    first = docs.withColumn("_w", words_of(text)).withColumn("_l", lines_of(text))
-    w = F.col("_w")
-    windows = F.when(
-        F.size(w) >= WINDOW,
-        F.transform(F.slice(w, F.lit(1), F.size(w) - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, WINDOW)))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    second = first.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+    by_word = lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        let(window_hashes(w), repeat_words).alias("n_repeat_words"),
+    )
+    measured = docs.select(
+        *docs.columns,
+        let(words_of(text), by_word).alias("__m"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        windows.alias("_h"),
+        let(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    third = repeat_words(second)
-    return third.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    measured = measured.select(*docs.columns, "__m.n_words", "__m.word_chars", "n_symbols", "n_dup_lines", "__m.n_repeat_words")
+    return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -113,7 +121,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs; lines above the limits are gone from text, and n_chars follows."""
-    kept = judge(docs, **options).filter("kept").dropDuplicates(["doc_id", "host", "text_hash"])
+    kept = materialise(judge(docs, **options), "quality").filter("kept").dropDuplicates(["doc_id", "host", "text_hash"])
     kept = kept.selectExpr("doc_id __id", "host __host", "text_hash __hash", "bad __bad")
     host, digest = F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (host == F.col("__host")) & (digest == F.col("__hash")))
