@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _folding() -> tuple[str, str]:
@@ -28,7 +29,7 @@ def norm(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_any(texts: pd.Series) -> pd.Series:
     """Lower case, NFKD, without combining marks."""
     return texts.map(lambda t: t.lower() if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)), na_action="ignore")

@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skerry.functions.text import ext_of, index_tokens, padded, tokens
@@ -212,7 +213,7 @@ def did_you_mean(index: DataFrame, visible: DataFrame, words: list[str]) -> Data
     return three.groupBy("word").agg(F.max_by("token", F.struct("df", "r", "token")).alias("suggestion"))
 
 
-@F.udf("array<struct<text:string,hit:boolean>>", useArrow=True)
+@F.udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("hit", T.BooleanType())])), useArrow=True)
 def highlight(text: str, words: list[str]) -> list[dict]:
     """The text in stretches, those that match a word marked. Words of three letters or more mark the whole word they start."""
     import re
