@@ -1,0 +1,58 @@
+"""Stages of the pipeline on a small corpus, each against what it should do."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+
+
+def corpus():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(80), "en", f"s{i % 3}") for i in range(20)]
+    near = rows[0][1].split()
+    rows += [(30, rows[1][1], "en", "s0"), (31, " ".join([*near[:-1], "changed"]), "en", "s0"), (32, "too short", "en", "s1"), (33, None, "en", None)]
+    rows.append((34, text(60) + ' token = "abcdefghijkl" ' + text(3000), "en", "s2"))
+    rows.append((20, text(50), "en", "s2"))
+    rows.append((20, rows[-1][1], "en", "s2"))
+    return [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows]
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long")
+    out = {"documents": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = out[name] = corpus_pipeline.materialise(stage(spark, docs, ""), name)
+    return out
+
+
+def ids(frame):
+    return sorted(r.doc_id for r in frame.select("doc_id").collect())
+
+
+def test_stages_in_order(stages):
+    assert list(stages)[1:] == ["quality_rules", "exact_dedup", "ngram_jaccard", "secret_scans", "best_fit_packing"]
+    for name in list(stages)[1:-1]:
+        assert stages[name].columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_decisions_take_effect(stages):
+    all_ids = ids(stages["documents"])
+    assert ids(stages["quality_rules"]) == [i for i in all_ids if i not in (32, 33)]
+    assert ids(stages["exact_dedup"]) == sorted((set(all_ids) - {1, 32, 33}))
+    assert ids(stages["ngram_jaccard"]) == sorted(set(all_ids) - {1, 31, 32, 33})
+    assert ids(stages["secret_scans"]) == ids(stages["ngram_jaccard"])
+    texts = {r.doc_id: r for r in stages["secret_scans"].collect()}
+    assert "abcdefghijkl" not in texts[34].text and "[SECRET]" in texts[34].text and texts[34].n_chars == len(texts[34].text)
+    packed = stages["best_fit_packing"].collect()
+    words = {i: len(r.text.split()) for i, r in texts.items()}
+    assert {i: sum(r.n_units for r in packed if r.doc_id == i) for i in words} == words
+
+
+def test_registered(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
