@@ -12,6 +12,7 @@ Block: magic, then little-endian u32 documents, ids, vocabulary, lanes, bytes of
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,20 +31,24 @@ from skerry.llm.common import materialise
 MAGIC = b"SKT1"
 BLOCK_IDS = 1_000_000
 LANES, LEAST_STEPS = 2048, 256
-MEMO_WORDS = 250_000
-WORD, MASK, LOW_BITS = np.uint64(31), np.uint64(2**31 - 1), np.uint64(2**31)
-SOURCE_BITS, ZERO_BITS, HASH_BITS = 12, 20, 18
+MEMO_WORDS = 300_000
+WORD, LOW_BITS = 31, 1 << 31
+MASK = LOW_BITS - 1
+SOURCE_BITS, ZERO_BITS, HASH_BITS = 10, 19, 18
+ALL_BITS = SOURCE_BITS + ZERO_BITS
 FILE = "part int, block int, first_doc long, n_docs int, n_ids long, ids_before long, data binary"
 READ = "part int, doc_id long, start_in_part long, n_tokens long, packed binary"
 
 
 class Model:
-    """Predictions shared by the lanes of a block. Coder and decoder drive it alike."""
+    """Predictions shared by the lanes of a block. Coder and decoder drive it alike.
+
+    A table entry is an id and, in its two low bits, how sure it is.
+    """
 
     def __init__(self, vocabulary: int):
         self.n = vocabulary
-        self.next1, self.sure1 = np.zeros(vocabulary, dtype=np.int32), np.zeros(vocabulary, dtype=np.int8)
-        self.next2, self.sure2 = np.zeros(1 << HASH_BITS, dtype=np.int32), np.zeros(1 << HASH_BITS, dtype=np.int8)
+        self.table1, self.table2 = np.zeros(vocabulary, dtype=np.int64), np.zeros(1 << HASH_BITS, dtype=np.int64)
         self.mix = np.tile(np.array([2, 1, 2]), (16, 1))
         self.count, self.fresh, self.step = np.ones(vocabulary, dtype=np.int64), [], 0
         self.rebuild()
@@ -54,31 +59,43 @@ class Model:
             self.count += 32 * np.bincount(np.concatenate(self.fresh), minlength=self.n)
             self.fresh = []
         spare = (1 << ZERO_BITS) - self.n
-        freq = 1 + self.count * spare // self.count.sum()
-        freq[np.argmax(freq)] += (1 << ZERO_BITS) - freq.sum()
-        self.freq0, self.start0 = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+        self.freq0 = 1 + self.count * spare // self.count.sum()
+        self.freq0[np.argmax(self.freq0)] += (1 << ZERO_BITS) - self.freq0.sum()
+        self.start0, self.slots = np.cumsum(self.freq0) - self.freq0, None
+
+    def id_at(self, slot: np.ndarray) -> np.ndarray:
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(self.n), self.freq0)
+        return self.slots[slot]
 
     def predict(self, a: np.ndarray, b: np.ndarray) -> None:
         """Contexts, predictions and source frequencies for the lanes whose last two ids are a and b."""
         self.at1, self.at2 = b, ((a * 49_999 + b) * 40_503 >> 7) & ((1 << HASH_BITS) - 1)
-        self.guess2, self.guess1 = self.next2[self.at2], self.next1[b]
-        self.state = self.sure2[self.at2] * 4 + self.sure1[b]
-        most = (1 << SOURCE_BITS) - 3
-        freq = 1 + self.mix * most // self.mix.sum(axis=1, keepdims=True)
+        self.entry2, self.entry1 = self.table2[self.at2], self.table1[b]
+        self.guess2, self.guess1 = self.entry2 >> 2, self.entry1 >> 2
+        self.state = (self.entry2 & 3) << 2 | self.entry1 & 3
+        freq = 1 + self.mix * ((1 << SOURCE_BITS) - 3) // self.mix.sum(axis=1, keepdims=True)
         freq[:, 2] += (1 << SOURCE_BITS) - freq.sum(axis=1)
-        self.freq = freq.astype(np.uint64)
-        self.start = np.cumsum(self.freq, axis=1) - self.freq
+        self.freq, self.start = freq, np.cumsum(freq, axis=1) - freq
+
+    def interval(self, source: np.ndarray, miss: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of what was chosen, of 2^ALL_BITS. miss: the lanes that order 0 codes, with their ids."""
+        at = self.state * 3 + source
+        start, freq = self.start.ravel()[at] << ZERO_BITS, self.freq.ravel()[at]
+        part = freq[miss]
+        start[miss] += self.start0[ids] * part
+        freq = freq << ZERO_BITS
+        freq[miss] = self.freq0[ids] * part
+        return start, freq
 
     def update(self, ids: np.ndarray, source: np.ndarray) -> None:
         self.mix += np.bincount(self.state * 3 + source, minlength=48).reshape(16, 3) * 4
         if self.step % 16 == 0:
-            self.mix = self.mix + 1 >> 1
-            self.mix += 1
-        for at, guess, following, sure in ((self.at2, self.guess2, self.next2, self.sure2), (self.at1, self.guess1, self.next1, self.sure1)):
-            was = sure[at]
-            hit = guess == ids
-            following[at] = np.where(hit | (was > 0), guess, ids)
-            sure[at] = np.where(hit, np.minimum(was + 1, 3), np.maximum(was - 1, 0))
+            self.mix = (self.mix + 1 >> 1) + 1
+        fresh = ids << 2
+        for table, at, entry, guess in ((self.table2, self.at2, self.entry2, self.guess2), (self.table1, self.at1, self.entry1, self.guess1)):
+            sure = entry & 3
+            table[at] = np.where(guess == ids, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
         self.fresh.append(ids)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 32 == 0:
@@ -93,31 +110,28 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.nd
     grid = np.zeros(lanes * steps, dtype=np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**62, dtype=np.uint64)
-    out, at = np.zeros((lanes, 2 * steps + 2), dtype=np.uint64), np.zeros(lanes, dtype=np.int64)
-    every, model = np.arange(lanes), Model(vocabulary)
-
-    def put(lane: np.ndarray, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = span[lane] >> np.uint64(bits)
-        low[lane] += r * start
-        span[lane] = r * freq
-        full = lane[span[lane] < LOW_BITS]
-        out[full, at[full]] = low[full] >> WORD
-        at[full] += 1
-        low[full] = (low[full] & MASK) << WORD
-        span[full] <<= WORD
-
-    zero = np.zeros(lanes, dtype=np.int64)
-    a = b = zero
+    low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << 61, dtype=np.int64)
+    out, at = np.zeros((lanes, steps + 2), dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    model = Model(vocabulary)
+    a = b = np.zeros(lanes, dtype=np.int64)
     for t in range(steps):
         s = grid[t]
         model.predict(a, b)
         source = np.where(model.guess2 == s, 0, np.where(model.guess1 == s, 1, 2))
-        put(every, model.start[model.state, source], model.freq[model.state, source], SOURCE_BITS)
         miss = np.flatnonzero(source == 2)
-        put(miss, model.start0[s[miss]], model.freq0[s[miss]], ZERO_BITS)
+        start, freq = model.interval(source, miss, s[miss])
+        r = span >> ALL_BITS
+        low += r * start
+        span = r * freq
+        full = np.flatnonzero(span < LOW_BITS)
+        part = low[full]
+        out[full, at[full]] = part >> WORD  # with a carry in bit 31, for now
+        at[full] += 1
+        low[full] = (part & MASK) << WORD
+        span[full] <<= WORD
         model.update(s, source)
         a, b = b, s
+    every = np.arange(lanes)
     out[every, at] = low >> WORD
     out[every, at + 1] = low & MASK
     at += 2
@@ -130,36 +144,31 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.nd
 
 def decode_ids(n: int, vocabulary: int, lanes: int, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     steps = -(-n // lanes)
-    words = np.append(words.astype(np.uint64), np.uint64(0))
+    words = np.append(words.astype(np.int64), 0)
     at = np.cumsum(counts.astype(np.int64)) - counts
     value = words[at] << WORD | words[at + 1]
     at = at + 2
-    span, every, model = np.full(lanes, 2**62, dtype=np.uint64), np.arange(lanes), Model(vocabulary)
-    last = len(words) - 1
-
-    def take(lane: np.ndarray, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        value[lane] -= r * start
-        span[lane] = r * freq
-        full = lane[span[lane] < LOW_BITS]
-        value[full] = value[full] << WORD | words[np.minimum(at[full], last)]
-        at[full] += 1
-        span[full] <<= WORD
-
+    span, model, last = np.full(lanes, 1 << 61, dtype=np.int64), Model(vocabulary), len(words) - 1
     grid = np.empty((steps, lanes), dtype=np.int64)
     a = b = np.zeros(lanes, dtype=np.int64)
     for t in range(steps):
         model.predict(a, b)
-        r = span >> np.uint64(SOURCE_BITS)
-        v = np.minimum(value // r, np.uint64((1 << SOURCE_BITS) - 1))
-        start, freq = model.start[model.state], model.freq[model.state]
-        source = (v >= start[:, 1]).astype(np.int64) + (v >= start[:, 2])
-        take(every, r, start[every, source], freq[every, source])
-        s = np.where(source == 0, model.guess2, model.guess1).astype(np.int64)
+        r = span >> ALL_BITS
+        v = np.minimum(value // r, (1 << ALL_BITS) - 1)
+        top = v >> ZERO_BITS
+        one, two = model.start[:, 1][model.state], model.start[:, 2][model.state]
+        source = (top >= one).astype(np.int64) + (top >= two)
+        s = np.where(source == 0, model.guess2, model.guess1)
         miss = np.flatnonzero(source == 2)
-        r = span[miss] >> np.uint64(ZERO_BITS)
-        v = np.minimum(value[miss] // r, np.uint64((1 << ZERO_BITS) - 1))
-        s[miss] = np.searchsorted(model.start0, v, side="right") - 1
-        take(miss, r, model.start0[s[miss]], model.freq0[s[miss]])
+        part = model.freq[:, 2][model.state[miss]]
+        s[miss] = model.id_at((v[miss] - (two[miss] << ZERO_BITS)) // part)
+        start, freq = model.interval(source, miss, s[miss])
+        value -= r * start
+        span = r * freq
+        full = np.flatnonzero(span < LOW_BITS)
+        value[full] = value[full] << WORD | words[np.minimum(at[full], last)]
+        at[full] += 1
+        span[full] <<= WORD
         model.update(s, source)
         grid[t] = s
         a, b = b, s
@@ -187,16 +196,23 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Ids of words between ASCII white space, by the tokenizers library, with a bounded memo. White space never joins words there."""
+    """Ids of words between ASCII white space, by the parts of the tokenizers library, with bounded memos of two generations.
+
+    White space never joins words there, so words are encoded once each: the library normalises and splits a word
+    and encodes its pieces. For words in ASCII, normalising is lower case and the split is a pattern.
+    """
 
     loaded: dict[str, "Words"] = {}
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.coder, self.memo = Tokenizer.from_file(path), {}
-        (self.mark,) = self.coder.encode("\x01", add_special_tokens=False).ids
+        self.coder = Tokenizer.from_file(path)
+        self.memo, self.older, self.pieces, self.older_pieces = {}, {}, {}, {}
+        self.model, self.normal, self.split = self.coder.model, self.coder.normalizer, self.coder.pre_tokenizer
+        self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.vocabulary = 1 + max(self.coder.get_vocab(with_added_tokens=True).values())
 
     @classmethod
@@ -205,16 +221,29 @@ class Words:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None and (found := self.older_pieces.get(piece)) is not None:
+            self.pieces[piece] = found
+        if found is None:
+            found = self.pieces[piece] = struct.pack(f"<{len(x)}i", *x) if (x := [t.id for t in self.model.tokenize(piece)]) else b""
+        return found
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if "<|" in text and any(t in text for t in self.special):
+            return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        if text.isascii() and text.isprintable():
+            return b"".join(map(self.piece, self.ASCII.findall(text.lower())))
+        return b"".join(self.piece(p) for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text)))
+
     def learn(self, words: set[bytes]) -> None:
-        """One call for all words, with a mark of a single id between them; words with the mark's character go alone."""
-        plain = [w for w in words if b"\x01" not in w]
-        ids = np.array(self.coder.encode(" \x01 ".join(w.decode("utf-8", "replace") for w in plain), add_special_tokens=False).ids, dtype="<i4")
-        packed, start = ids.tobytes(), 0
-        for w, end in zip(plain, np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()):
-            self.memo[w] = packed[4 * start : 4 * end]
-            start = end + 1
-        for w in words.difference(plain):
-            self.memo[w] = np.array(self.coder.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<i4").tobytes()
+        """Words of the older memo move on to the new one; others are encoded."""
+        if len(self.pieces) > MEMO_WORDS:
+            self.older_pieces, self.pieces = self.pieces, {}
+        for w in words:
+            found = self.older.get(w)
+            self.memo[w] = self.word(w) if found is None else found
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Packed little-endian int32 ids of each text, with the end id."""
@@ -222,10 +251,9 @@ class Words:
         fresh: set[bytes] = set()
         for words in cut:
             fresh.update(words)
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {}
         unknown = fresh.difference(self.memo)
-        if len(self.memo) + len(unknown) > MEMO_WORDS:
-            self.memo.clear()
-            unknown = fresh
         if unknown:
             self.learn(unknown)
         tail = struct.pack("<i", end)
