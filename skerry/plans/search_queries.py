@@ -190,7 +190,7 @@ def index_term_dictionary(spark, sf_dir):
     return index.filter((F.col("token") >= "ea") & (F.col("token") < "eb")).select("token").distinct().orderBy("token").limit(100)
 
 
-@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')) SELECT CAST(doc_id // 100 AS BIGINT) AS batch, count(*) AS added FROM k WHERE doc_id > 99 GROUP BY batch")
+@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]') UNION SELECT doc_id, unnest(regexp_extract_all(token, '[0-9]{{3,}}')) FROM p WHERE regexp_matches(token, '[a-z]')) SELECT CAST(doc_id // 100 AS BIGINT) AS batch, count(*) AS added FROM k WHERE doc_id > 99 GROUP BY batch")
 def index_catch_up(spark, sf_dir):
     """Documents beyond the watermark are indexed in batches."""
     fresh = docs(spark, sf_dir).filter("doc_id > 99")
