@@ -32,16 +32,20 @@ WITH RECURSIVE words AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 2, 2))) AS r(i) WHERE len(w) > 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS (
-  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) = sa.n AND sa.n = sb.n AS same FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
   JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
   WHERE 100 * sa.n >= 85 * sb.n AND 100 * sb.n >= 85 * sa.n
   GROUP BY a.doc_id, b.doc_id, sa.n, sb.n HAVING 100 * count(*) >= 85 * (sa.n + sb.n - count(*))
+), sets AS (
+  SELECT doc_id, least(doc_id, coalesce(min(y) FILTER (same), doc_id)) AS set_id FROM documents LEFT JOIN links ON x = doc_id GROUP BY doc_id
+), degrees AS (
+  SELECT x, count(DISTINCT set_id) AS n_links FROM links JOIN sets ON sets.doc_id = y WHERE NOT same GROUP BY x
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents
   UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
 )
-SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.y) AS component_id
-FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.y) AS component_id, coalesce(any_value(n_links), 0) AS n_links
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN degrees ON degrees.x = d.doc_id JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id
 """
 
 QUALITY = r"""
