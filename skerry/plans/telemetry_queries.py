@@ -367,10 +367,11 @@ def number_functions(spark, sf_dir):
     return d.select("doc_id", N.score(-1.0 - F.col("doc_id") % 3, F.lit(-2.0), F.lit(-0.5)).alias("score"), N.pieces(F.col("size"), F.col("file_count")).alias("pieces"), N.clamp(F.col("size"), 100, 5000).alias("clamped"))
 
 
-@query("WITH v(text, size_value, age_value) AS (VALUES ('1gb', 1073741824, NULL), ('1,5 kb', 1536, NULL), ('24h', NULL, 86400), ('7d', NULL, 604800), ('12', 12, 12), ('x', NULL, NULL)) SELECT text, CAST(size_value AS BIGINT) AS size_value, CAST(age_value AS BIGINT) AS age_value FROM v")
+@query("WITH v(text, size_value, age_value) AS (VALUES ('1gb', 1073741824, NULL), ('1,5 kb', 1536, NULL), ('24h', NULL, 86400), ('7d', NULL, 604800), ('12', 12, 12), ('x', NULL, NULL)) SELECT text, CAST(coalesce(size_value, -1) AS BIGINT) AS size_value, CAST(coalesce(age_value, -1) AS BIGINT) AS age_value FROM v")
 def unit_literals(spark, sf_dir):
     rows = spark.createDataFrame([(x,) for x in ("1gb", "1,5 kb", "24h", "7d", "12", "x")], "text string")
-    return rows.select("text", N.literal(F.col("text"), N.SIZE_UNITS, "b").alias("size_value"), N.literal(F.col("text"), N.AGE_UNITS, "s").alias("age_value"))
+    value = lambda units, default: F.coalesce(N.literal(F.col("text"), units, default), F.lit(-1))
+    return rows.select("text", value(N.SIZE_UNITS, "b").alias("size_value"), value(N.AGE_UNITS, "s").alias("age_value"))
 
 
 @query(f"WITH {OBSERVATIONS} SELECT DISTINCT ip, (ip // 16777216) || '.' || (ip // 65536 % 256) || '.' || (ip // 256 % 256) || '.' || (ip % 256) AS address, false AS is_global FROM obs")
