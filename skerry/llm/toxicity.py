@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bound of the training sample, in documents.
 SAMPLE_ROWS = 8_000
 BITS = 18
-EPOCHS = 120
+EPOCHS = 240
 SENTENCE = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n+")
 DROP = bytes(b for b in range(128) if not chr(b).isalnum())
 SCORED = "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>"
