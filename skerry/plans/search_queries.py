@@ -92,9 +92,6 @@ def key_lookup(spark, sf_dir):
     return docs(spark, sf_dir).filter(F.col("ih") == "356a192b7913b04c54574d18c28d46e6395428ab").select("doc_id", "ih", "name")
 
 
-RELEVANCE = """3.0"""
-
-
 @query(
     f"""WITH {DOCS}, n AS (SELECT count(*) AS n FROM live), p AS (SELECT DISTINCT doc_id, 'n' AS field, unnest(nt) AS token FROM toks UNION ALL SELECT DISTINCT doc_id, 'f', unnest(ft) FROM toks),
 df AS (SELECT token, max(c) AS df FROM (SELECT field, token, count(*) AS c FROM p WHERE token IN ('and', 'with') GROUP BY field, token) GROUP BY token),
@@ -172,10 +169,10 @@ def index_document_frequency(spark, sf_dir):
     return S.frequencies(S.postings(docs(spark, sf_dir)))
 
 
-@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(ft) AS token FROM toks WHERE NOT hidden) SELECT token, count(*) AS df FROM p WHERE starts_with(token, 'ent') GROUP BY token")
+@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks WHERE NOT hidden) SELECT token, count(*) AS df FROM (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]') UNION SELECT doc_id, unnest(regexp_extract_all(token, '[0-9]{{3,}}')) FROM p WHERE regexp_matches(token, '[a-z]')) GROUP BY token")
 def index_visible_frequency(spark, sf_dir):
     d = docs(spark, sf_dir)
-    index = S.postings(d).filter("field = 'f'").filter(F.col("token").startswith("ent"))
+    index = S.postings(d).filter("field = 'n'")
     return index.join(d.filter("not hidden").select("doc_id"), "doc_id", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
 
 
@@ -197,12 +194,12 @@ def index_catch_up(spark, sf_dir):
     return S.postings(fresh).filter("field = 'n'").groupBy(F.floor(F.col("doc_id") / 100).alias("batch")).agg(F.count("*").alias("added"))
 
 
-@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')) SELECT token, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM k WHERE starts_with(token, 'ed') GROUP BY token")
+@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')) SELECT token, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM (SELECT doc_id, token FROM k UNION SELECT doc_id, unnest(regexp_extract_all(token, '[0-9]{{3,}}')) FROM p WHERE regexp_matches(token, '[a-z]')) GROUP BY token")
 def index_merge_segments(spark, sf_dir):
     """Two segments of sorted postings become one."""
     d = docs(spark, sf_dir)
     part = [S.postings(d.filter(c)).filter("field = 'n'").groupBy("token").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")) for c in ("doc_id % 2 = 0", "doc_id % 2 = 1")]
-    both = part[0].unionByName(part[1]).filter(F.col("token").startswith("ed"))
+    both = part[0].unionByName(part[1])
     return both.groupBy("token").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("ids"))).cast("array<string>"), ",").alias("ids"))
 
 
@@ -272,9 +269,9 @@ def rule_matches(spark, sf_dir):
     return two.select("doc_id", F.left("rule_id", F.lit(2)).alias("rule_id")).distinct()
 
 
-@query(f"WITH {DOCS} SELECT doc_id FROM docs WHERE NOT regexp_matches(concat_ws(chr(10), name, substr(body, 1, 200)), '(?i)(trash|id[i1]ot)')")
+@query(f"WITH {DOCS} SELECT doc_id FROM docs WHERE NOT regexp_matches(concat_ws(chr(10), name, body), '(?i)(trash|id[i1]ot)')")
 def block_list(spark, sf_dir):
-    return docs(spark, sf_dir).filter(~F.concat_ws("\n", "name", F.substring("body", 1, 200)).rlike("(?i)(trash|id[i1]ot)")).select("doc_id")
+    return docs(spark, sf_dir).filter(~F.concat_ws("\n", "name", "body").rlike("(?i)(trash|id[i1]ot)")).select("doc_id")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_sort(list_distinct(nt)), ' ') AS words, len(nt) AS n FROM toks")

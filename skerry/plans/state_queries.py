@@ -37,9 +37,9 @@ def best_of_sources(spark, sf_dir):
     return best.select("ih", "day", "seeders", "peers", F.greatest("seeders", "peers").alias("most"), "sources")
 
 
-@query(f"WITH {FILES} SELECT doc_id, ext, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM named WHERE doc_id % 10 = 1 GROUP BY doc_id, ext")
+@query(f"WITH {FILES} SELECT doc_id, ext, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM named GROUP BY doc_id, ext")
 def composition_by_extension(spark, sf_dir):
-    f = items(spark, sf_dir).filter("doc_id % 10 = 1").select("doc_id", F.explode("files").alias("f"))
+    f = items(spark, sf_dir).select("doc_id", F.explode("files").alias("f"))
     return f.groupBy("doc_id", ext_of(F.col("f.path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("f.size").alias("bytes"))
 
 

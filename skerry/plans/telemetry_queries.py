@@ -227,9 +227,9 @@ def peers_last_endpoints(spark, sf_dir):
     return O.last_endpoints(observations(spark, sf_dir)).select("ih", "ip", "port", F.col("rn").cast("long").alias("rn"))
 
 
-@query(MERGED + "SELECT o_orderkey AS ih, count(merged.ih) AS n FROM orders LEFT JOIN merged ON merged.ih = o_orderkey WHERE o_orderkey % 7 = 0 GROUP BY o_orderkey, o_custkey")
-def peers_per_hidden(spark, sf_dir):
-    keys = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("ih"))
+@query(MERGED + "SELECT o_orderkey AS ih, count(merged.ih) AS n FROM orders LEFT JOIN merged ON merged.ih = o_orderkey GROUP BY o_orderkey")
+def peers_per_key(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ih"))
     counts = merged(spark, sf_dir).groupBy("ih").agg(F.count("*").alias("n"))
     return keys.join(counts, "ih", "left").select("ih", F.coalesce("n", F.lit(0)).alias("n"))
 
