@@ -59,10 +59,9 @@ def monotonic(points: DataFrame, by: str = "event_type") -> DataFrame:
 
 
 def stitch(coarse: DataFrame, fine: DataFrame, coarse_step: int) -> DataFrame:
-    """Coarse points, and fine ones after the last of them. The bound is one row, joined by broadcast."""
-    last = coarse.agg(F.coalesce(F.max("t"), F.lit(-(2**40))).alias("last"))
-    later = fine.join(F.broadcast(last), F.col("t") > F.col("last") + coarse_step // 2).select(*fine.columns)
-    return coarse.unionByName(later)
+    """Coarse points, and fine ones after the last of them. That time is one number, read first, so that the fine scan is pruned by it."""
+    last = coarse.agg(F.max("t")).first()[0]
+    return coarse.unionByName(fine if last is None else fine.filter(F.col("t") > last + coarse_step // 2))
 
 
 def retained(points: DataFrame, tier: str, now: int) -> DataFrame:

@@ -276,8 +276,9 @@ def moderation_hidden_union(spark, sf_dir):
 def rule_preview(spark, sf_dir):
     d = docs(spark, sf_dir)
     hit = M.rule_hits(d, [("r", "with", "name", "word")]).join(d.select("doc_id", "seeders", "hidden"), "doc_id")
-    total = hit.agg(F.count("*").alias("total"), F.count_if("hidden").alias("already"))
-    return hit.orderBy(F.col("seeders").desc(), "doc_id").limit(20).select("doc_id", "seeders").crossJoin(F.broadcast(total))  # one row
+    total = hit.agg(F.count("*").alias("total"), F.count_if("hidden").alias("already")).first()
+    page = hit.orderBy(F.col("seeders").desc(), "doc_id").limit(20).select("doc_id", "seeders")
+    return page.withColumns({"total": F.lit(total.total).cast("long"), "already": F.lit(total.already).cast("long")})
 
 
 @query(f"WITH {DOCS} SELECT 'the' AS rule_id, count(*) AS n FROM toks WHERE contains(' ' || array_to_string(nt, ' ') || ' ', ' the ') UNION ALL SELECT 'und', count(*) FROM toks WHERE contains(' ' || array_to_string(ft, ' ') || ' ', ' und ')")
