@@ -15,6 +15,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from skerry.llm.common import materialise
 
 MAGIC = b"SKT1"
 BLOCK_IDS = 1_000_000
-LANES, LEAST_STEPS = 2048, 256
-MEMO_WORDS = 300_000
+LANES, LEAST_STEPS = 4096, 128
+MEMO_WORDS = 400_000
 WORD, LOW_BITS = 31, 1 << 31
 MASK = LOW_BITS - 1
 SOURCE_BITS, ZERO_BITS, HASH_BITS = 10, 19, 18
@@ -226,10 +227,12 @@ class Words:
         if found is None and (found := self.older_pieces.get(piece)) is not None:
             self.pieces[piece] = found
         if found is None:
-            found = self.pieces[piece] = struct.pack(f"<{len(x)}i", *x) if (x := [t.id for t in self.model.tokenize(piece)]) else b""
+            found = self.pieces[piece] = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
         return found
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters only
+            return self.piece(word.lower().decode())
         text = word.decode("utf-8", "replace")
         if "<|" in text and any(t in text for t in self.special):
             return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
