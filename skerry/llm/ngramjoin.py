@@ -34,6 +34,7 @@ from skerry.llm.components import components
 BLOCK_CHARS = 4_000_000
 MEMO_WORDS = 300_000
 TILE, TILE_FRAGMENTS, HOT_RUN = 512, 4, 32
+PREFIX_FRAGMENTS, FRAGMENT_KEYS = 16, 4_000_000  # least number, and keys in each, of the second stage
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 _memo: dict[bytes, int] = {}
@@ -76,6 +77,7 @@ def names(schema: str) -> list[str]:
 
 
 SPREAD = "fragment int, keys binary, owners binary, sets binary, ids binary, sizes binary, digests binary"
+FRAGMENT_BYTES = 25_000_000  # of text, that a fragment of the first stage stands for
 COUNTED = "doc_id long, n long, digest binary, set_id long, shared long"
 
 
@@ -104,9 +106,12 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: int)
                     keys, owners = keys[order], owners[order]
                     top = (keys >> np.uint64(32)).astype(np.int64) * fragments >> 32
                     cuts = np.searchsorted(top, np.arange(fragments + 1))
-                    small, own = keys.astype(np.uint32), owners.astype(np.uint16) if len(firsts) < 65_536 else owners
-                    table, size = sets[firsts].tobytes(), sizes[firsts].tobytes()
-                    rows += [(f, small[x:y].tobytes(), own[x:y].tobytes(), table, b"", size, b"") for f, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                    small = keys.astype(np.uint32)
+                    for f, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                        if y > x:
+                            there, at = np.unique(owners[x:y], return_inverse=True)
+                            at = at.astype(np.uint16 if len(there) < 65_536 else np.uint32)
+                            rows.append((f, small[x:y].tobytes(), at.tobytes(), sets[firsts[there]].tobytes(), b"", b"", b""))
                 block += 1
                 types = (pa.int32(), *[pa.binary()] * 6)
                 for c in range(0, len(rows), 64):
@@ -116,17 +121,16 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: int)
 
 
 def count_shared(blocks_: DataFrame) -> DataFrame:
-    """Documents (doc_id, n, digest, set_id), and partial counts (set_id, n, shared) of each fragment."""
+    """Documents (doc_id, n, digest, set_id), and partial counts (set_id, shared) of each fragment."""
 
     def fragment(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, sets, sizes, start = [], [], [], 0
-        for _, k, o, s, _, z, _ in rows:
+        keys, sets, start = [], [], 0
+        for _, k, o, s, _, _, _ in rows:
             own = np.frombuffer(o, dtype=np.uint16 if len(o) * 2 == len(k) else np.uint32)
             keys.append(np.frombuffer(k, dtype=np.uint32).astype(np.uint64) << np.uint64(32) | (own.astype(np.uint64) + np.uint64(start)))
             sets.append(np.frombuffer(s, dtype=np.int64))
-            sizes.append(np.frombuffer(z, dtype=np.int64))
             start += len(sets[-1])
-        keys, sets, sizes = np.sort(np.concatenate(keys)), np.concatenate(sets), np.concatenate(sizes)
+        keys, sets = np.sort(np.concatenate(keys)), np.concatenate(sets)
         top, own = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         same = top[1:] == top[:-1]
         often = np.append(same, False) | np.append(False, same)
@@ -139,10 +143,8 @@ def count_shared(blocks_: DataFrame) -> DataFrame:
         own = own[np.append(same, False) | np.append(False, same)] if len(top) else own
         found, shared = np.unique(own, return_counts=True)
         if len(found):
-            ids, at = np.unique(sets, return_index=True)
-            n = sizes[at[np.searchsorted(ids, found)]]
             none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(n), pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(shared.astype(np.int64))], names=names(COUNTED))
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(shared.astype(np.int64))], names=names(COUNTED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -397,8 +399,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     parts = n_parts(spark)
-    fragments = 4 * parts
-    dealt = spread(docs, id_col, text_col, n, fragments).repartition(parts, "fragment")
+    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    fragments = max(parts, -(-total // FRAGMENT_BYTES))
+    dealt = spread(docs, id_col, text_col, n, fragments).repartitionById(parts, F.pmod("fragment", F.lit(parts)))
     counted = materialise(count_shared(dealt), "ngram-counts")
     rows = counted.filter("digest is not null").select("doc_id", "n", "digest", "set_id")
     classes = materialise(rows.groupBy("digest", "set_id", "n").agg(F.min("doc_id").alias("rep")), "ngram-classes")
@@ -407,7 +410,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     left = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(may.withColumnRenamed("rep", id_col), id_col, "left_semi")
     sets = sets_of(left, id_col, text_col, n).join(classes.select("rep", F.col("n").alias("n_class")), "rep")
     sets = materialise(sets.filter("n = n_class").select("rep", "n", "shingles").dropDuplicates(["rep"]), "ngram-sets")
-    groups = materialise(candidate_groups(prefixes(sets, percent, fragments), percent), "ngram-groups")
+    keys = sets.agg(F.sum("n")).first()[0] or 0
+    groups = materialise(candidate_groups(prefixes(sets, percent, max(PREFIX_FRAGMENTS, -(-keys // FRAGMENT_KEYS))), percent), "ngram-groups")
     links = materialise(links_of(partial_counts(tiles_of(sets, groups, percent)), percent), "ngram-links")
     linked = materialise(components(links.select("a", "b")), "ngram-components")
     degrees = links.groupBy("a").agg(F.sum("degree").alias("n_links"))
