@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Seconds.
-KEEP_S, HISTORY, DEAD_RUN, DEAD_SPAN_S = 14 * 86_400, 40, 3, 12 * 3600
+KEEP_S, HISTORY, DEAD_RUN, DEAD_SPAN_S, DEAD_TRACKERS = 14 * 86_400, 40, 3, 12 * 3600, 2
 INTERVAL_S = {"alive": 6 * 3600, "weak": 12 * 3600, "quiet": 6 * 3600, "dead": 3 * 86_400}
 BACKOFF_S, BACKOFF_MAX_S = 1800, 259_200
 
@@ -40,9 +40,14 @@ def history(measured: DataFrame, most: int = HISTORY) -> DataFrame:
     return one.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("k")
 
 
-def dead_keys(recent: DataFrame) -> DataFrame:
-    """(ih, run, span, dead) of the newest unbroken run of confirmed zeros. recent: as history() gives it."""
-    zero = (F.col("src") == "swarm") & (F.col("seeders") == 0) & (F.col("peers") <= 5)
+def confirmed_zero() -> Column:
+    """A scrape that found nobody, answered by enough trackers; without nrep by one."""
+    return (F.col("src") == "scrape") & (F.col("seeders") == 0) & (F.col("peers") == 0) & (F.coalesce("nrep", F.lit(1)) >= DEAD_TRACKERS)
+
+
+def dead_keys(recent: DataFrame, zero: Column | None = None) -> DataFrame:
+    """(ih, run, span, dead) of the newest unbroken run of zeros. recent: as history() gives it; zero: confirmed_zero(), if not given."""
+    zero = confirmed_zero() if zero is None else zero
     order = Window.partitionBy("ih").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     run = recent.withColumn("broken", F.max(F.when(zero, 0).otherwise(1)).over(order)).filter("broken = 0")
     found = run.groupBy("ih").agg(F.count("*").alias("run"), (F.max("mt") - F.min("mt")).alias("span"))

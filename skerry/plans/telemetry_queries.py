@@ -34,10 +34,15 @@ due AS (SELECT ih, state, greatest(health_at, checked_at) + CASE state WHEN 'ali
 """
 
 
+def fold_zero():
+    """What FOLD counts as a zero. It is not the operator's rule, H.confirmed_zero()."""
+    return (F.col("src") == "swarm") & (F.col("seeders") == 0) & (F.col("peers") <= 5)
+
+
 def verdicts(spark, sf_dir):
     m = measurements(spark, sf_dir)
     recent = H.history(m)
-    full = H.fold(m).join(H.dead_keys(recent).select("ih", "dead"), "ih", "left").join(H.unknown_run(recent), "ih")
+    full = H.fold(m).join(H.dead_keys(recent, fold_zero()).select("ih", "dead"), "ih", "left").join(H.unknown_run(recent), "ih")
     full = full.withColumn("state", health_state(F.coalesce("dead", F.lit(False))))
     return full.withColumn("due_at", H.due_at(F.col("state"), F.col("unk")).cast("long"))
 
@@ -54,7 +59,7 @@ def health_history(spark, sf_dir):
 
 @query(FOLD + "SELECT ih, run, CAST(span AS BIGINT) AS span, dead FROM dead")
 def health_dead_confirmation(spark, sf_dir):
-    return H.dead_keys(H.history(measurements(spark, sf_dir)))
+    return H.dead_keys(H.history(measurements(spark, sf_dir)), fold_zero())
 
 
 @query(FOLD + "SELECT ih, CAST(unk AS BIGINT) AS unk FROM unk")

@@ -107,6 +107,19 @@ def test_history_is_bounded_and_newest_wins(spark):
     assert len(h) == 40 and h[0].seeders == 99 and h[-1].mt == 10
 
 
+def test_dead_needs_confirmed_scrapes(spark):
+    hour = 3600
+    runs = {1: (0, 0, "scrape", 2), 2: (0, 3, "scrape", 2), 3: (0, 0, "scrape", 1), 4: (0, 0, "swarm", 2), 5: (0, 0, "scrape", None)}
+    rows = [(ih, t * hour, *figures, 10 * ih + t) for ih, figures in runs.items() for t in (0, 6, 12)]
+    rows += [(6, t * hour, 0, 0, "scrape", 2, 60 + t) for t in (0, 6, 11)]
+    m = spark.createDataFrame(rows, "ih long, mt long, seeders long, peers long, src string, nrep long, event_id long")
+    recent = H.history(m)
+    assert {r.ih: (r.run, r.span, r.dead) for r in H.dead_keys(recent).collect()} == {1: (3, 12 * hour, True), 6: (3, 11 * hour, False)}
+    full = H.fold(m).join(H.dead_keys(recent).select("ih", "dead"), "ih", "left")
+    state = full.select("ih", S.health_state(F.coalesce("dead", F.lit(False))).alias("state")).collect()
+    assert {r.ih: r.state for r in state} == {1: "dead", 2: "weak", 3: "quiet", 4: "unknown", 5: "quiet", 6: "quiet"}
+
+
 def test_roll_up_counts_points_without_the_gauge(spark):
     p = spark.createDataFrame([(600, 100.0, 1, 1), (610, None, 2, 2), (900, 5.0, 3, 3)], "t long, gauge double, counter long, event_id long")
     got = {r.t: (r.gauge, r.counter) for r in T.roll_up(p, 300).collect()}
