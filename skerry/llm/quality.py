@@ -1,7 +1,7 @@
 """Quality rules, with DataFrame functions only.
 
 Rules on a text's own words and lines come first. Then lines are compared across documents: normalised lines
-are hashed, the distinct texts that hold a line are counted for each host, and lines above the limits are
+are hashed, the distinct texts that hold a line are counted for each host, and lines above the limit are
 removed from all documents but the first that holds them. A document that keeps too few words is depleted
 and rejected.
 """
@@ -16,8 +16,8 @@ from skerry.llm.common import SPACE, materialise, words_of
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: A line is above the limits in a host from so many distinct texts, and so many percent of the host's texts, on.
-LINE_DOCS, LINE_PERCENT = 50, 1
+#: A line is above the limit in a host from so many distinct texts on, however many texts the host has.
+LINE_DOCS = 50
 #: A document is depleted if less than this percentage of its words is left.
 LEFT_PERCENT = 30
 
@@ -83,15 +83,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: float = LINE_PERCENT) -> DataFrame:
-    """(host, line, first): lines above the limits and the smallest doc_id that holds them. docs as keyed() has them.
+def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """(host, line, first): lines above the limit and the smallest doc_id that holds them. docs as keyed() has them.
 
     Exact copies of a text count once. Counts are of all documents; partial counts are summed before rows travel.
     """
     lines = docs.select("doc_id", "host", "text_hash", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= line_docs)
-    hosts = docs.groupBy("host").agg(F.count_distinct("text_hash").alias("host_texts"))
-    return counts.join(hosts, "host").filter(100 * F.col("n") >= line_percent * F.col("host_texts")).select("host", "line", "first")
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n"), F.min("doc_id").alias("first"))
+    return counts.filter(F.col("n") >= line_docs).select("host", "line", "first")
 
 
 def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -103,14 +102,14 @@ def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "host", "text_hash").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("bad"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_percent: float = LINE_PERCENT, left_percent: float = LEFT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, left_percent: float = LEFT_PERCENT) -> DataFrame:
     """Every row of docs as (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept, bad, host, text_hash).
 
     Null and empty texts have no words and fail the base rules. Rows that repeat id, host and text get the same verdict.
     A null id is never the first holder of a line. Other columns are not read; an empty table gives an empty one.
     """
     rows = keyed(docs, id_col, text_col, host_col)
-    frequent = materialise(frequent_lines(rows, line_docs, line_percent), "frequent-lines")
+    frequent = materialise(frequent_lines(rows, line_docs), "frequent-lines")
     removed = removed_lines(rows, frequent)
     base = measures(rows).drop("text")
     same = (base.doc_id.eqNullSafe(removed.doc_id)) & (base.host == removed.host) & (base.text_hash == removed.text_hash)
@@ -120,7 +119,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs; lines above the limits are gone from text, and n_chars follows."""
+    """The rows of docs that are kept, with the columns of docs; lines above the limit are gone from text, and n_chars follows."""
     kept = materialise(judge(docs, **options), "quality").filter("kept").dropDuplicates(["doc_id", "host", "text_hash"])
     kept = kept.selectExpr("doc_id __id", "host __host", "text_hash __hash", "bad __bad")
     host, digest = F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.xxhash64(F.coalesce("text", F.lit("")))

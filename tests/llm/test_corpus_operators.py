@@ -179,6 +179,14 @@ def test_frequent_lines_are_removed(spark):
     assert quality.clean(docs.limit(0)).count() == 0
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    lines = [(i, "the line", host) for host, at in (("small", 0), ("hot", 10_000)) for i in range(at, at + 50)] + [(i, "a rarer line", "hot") for i in range(20_000, 20_049)]
+    rows = spark.createDataFrame([(i, f"{line}\nown {i}", host) for i, line, host in lines], "doc_id long, text string, source string")
+    others = spark.range(30_000, 36_000).selectExpr("id doc_id", "concat('other ', id) text", "'hot' source")
+    got = quality.frequent_lines(quality.keyed(rows.unionByName(others), "doc_id", "text", "source")).collect()
+    assert sorted((r.host, r.first) for r in got) == [("hot", 10_000), ("small", 0)]
+
+
 def test_quality_on_odd_rows(odd):
     assert quality.judge(odd).count() == len(ROWS)
     assert quality.clean(odd).columns == odd.columns
