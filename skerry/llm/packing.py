@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm import ngramjoin
 from skerry.llm.common import words_of
 
 CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 8, 20_000
@@ -136,3 +137,12 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_units, the words of the whole text, and cluster, a hash of the text without case and spacing."""
     words = words_of(F.lower(F.col(text_col)))
     return docs.withColumn("n_units", F.size(words).cast("long")).withColumn("cluster", F.when(F.size(words) > 0, F.xxhash64(F.array_join(words, " "))))
+
+
+def clustered(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, source, n_units, cluster) of docs; cluster is that of all near copies, by n-grams. Rows without an id have that of exact copies."""
+    groups = ngramjoin.join(docs.select("doc_id", "text"), n=n, percent=percent)
+    groups = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("near"))
+    rows = measured(docs).select("doc_id", "source", "n_units", F.col("cluster").alias("exact"))
+    joined = rows.join(groups, F.col("doc_id") == F.col("__id"), "left")
+    return joined.select("doc_id", "source", "n_units", F.when(F.col("exact").isNotNull(), F.coalesce("near", "exact")).alias("cluster"))

@@ -73,7 +73,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return packing.pack(packing.clustered(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,6 +248,14 @@ def test_packing_respects_conflicts(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, "a", " ".join(words)), (2, "b", " ".join([*words[:50], "other", *words[51:]])), (3, "c", " ".join(f"x{k}" for k in range(100))), (4, "d", None), (None, "e", "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    bins = {r.doc_id: r.bin_id for r in packing.pack(packing.clustered(docs)).collect()}
+    assert len(bins) == 5 and bins[1] != bins[2] and bins[3] in (bins[1], bins[2])
+
+
 def der(tag, body):
     size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
     return bytes([tag]) + size + body
