@@ -16,20 +16,18 @@ def fold(measured: DataFrame) -> DataFrame:
     """Current state of each key after its measurements in the order of (mt, event_id).
 
     A measurement by another way than a scrape that finds fewer seeders than a scrape of the last 14 days
-    only counts as a check. The fold is an aggregate over the sorted array of a key's measurements.
+    only counts as a check. After a scrape, the first other measurement that isn't skipped ends its hold, and
+    all up to the next scrape are kept: so the fold is two running windows and an aggregate, without arrays.
     """
-    step = F.array_sort(F.collect_list(F.struct("mt", "event_id", "seeders", "peers", "src")))
-    start = F.struct(F.lit(0).cast("long").alias("seeders"), F.lit(0).cast("long").alias("peers"), F.lit("none").alias("src"), F.lit(0).cast("long").alias("health_at"), F.lit(0).cast("long").alias("checked_at"), F.lit(0).cast("long").alias("n_kept"))
-
-    def apply(s: Column, x: Column) -> Column:
-        skip = (x.src != "scrape") & (s.src == "scrape") & (x.mt - s.health_at < KEEP_S) & (x.seeders < s.seeders)
-        pick = lambda old, new: F.when(skip, old).otherwise(new)
-        return F.struct(
-            pick(s.seeders, x.seeders).alias("seeders"), pick(s.peers, x.peers).alias("peers"), pick(s.src, x.src).alias("src"), pick(s.health_at, x.mt).alias("health_at"), x.mt.alias("checked_at"), pick(s.n_kept, s.n_kept + 1).alias("n_kept")
-        )
-
-    folded = measured.groupBy("ih").agg(step.alias("m")).select("ih", F.aggregate("m", start, apply).alias("s"))
-    return folded.select("ih", "s.*")
+    by = ["mt", "event_id", "seeders", "peers", "src"]
+    running = lambda *keys: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    m = measured.select("ih", *by).withColumn("scrape", F.col("src").eqNullSafe("scrape"))
+    m = m.withColumns({"seg": F.count_if("scrape").over(running("ih")), "held": F.last(F.when(F.col("scrape"), F.struct("seeders", "mt")), ignorenulls=True).over(running("ih"))})
+    skip = (F.col("src") != "scrape") & (F.col("mt") - F.col("held.mt") < KEEP_S) & (F.col("seeders") < F.col("held.seeders"))
+    m = m.withColumn("ends", ~F.col("scrape") & ~F.coalesce(skip, F.lit(False)))
+    m = m.withColumn("kept", F.col("scrape") | F.bool_or("ends").over(running("ih", "seg")))
+    last = F.max_by(F.struct("seeders", "peers", "src", F.col("mt").alias("health_at")), F.when(F.col("kept"), F.struct(*by)))
+    return m.groupBy("ih").agg(last.alias("s"), F.max("mt").alias("checked_at"), F.count_if("kept").alias("n_kept")).select("ih", "s.*", "checked_at", "n_kept")
 
 
 def history(measured: DataFrame, most: int = HISTORY) -> DataFrame:

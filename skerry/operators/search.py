@@ -50,6 +50,14 @@ def postings(docs: DataFrame, name: str = "name", files: str = "body") -> DataFr
     return docs.select("doc_id", F.explode(both).alias("x")).select("x.field", F.explode("x.t").alias("token"), "doc_id")
 
 
+def merged_postings(*segments: DataFrame) -> DataFrame:
+    """Segments of postings as one, each posting once and a row of its own."""
+    every = segments[0]
+    for segment in segments[1:]:
+        every = every.unionByName(segment)
+    return every.distinct()
+
+
 def file_postings(items: DataFrame) -> DataFrame:
     """Postings of nested files: words of the paths as `f`, and extensions as `e`."""
     words = index_tokens(F.array_join(F.transform("files", lambda f: f.path), " "))

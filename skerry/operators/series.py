@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 from pyspark.sql.window import Window
 
 #: Retention of each tier in seconds, and its step.
@@ -37,15 +43,14 @@ def down_sample(points: DataFrame, most: int, step: int, by: str = "event_type")
     return grouped.groupBy(by, "seg", "grp").agg(F.max("t").alias("t"), F.avg("gauge").alias("gauge"), F.max_by("counter", F.struct("t", "event_id")).alias("counter")).drop("grp")
 
 
-def upper_median(values: Column) -> Column:
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def rates(points: DataFrame, window: int, by: str = "event_type") -> DataFrame:
     """Growth of the counter per second over a sliding window, not across gaps, not below zero; null where the window is too short."""
     order = Window.partitionBy(by).orderBy("t", "event_id")
     steps = points.withColumn("dt", F.col("t") - F.lag("t").over(order))
-    typical = steps.filter("dt is not null").groupBy(by).agg(upper_median(F.collect_list("dt")).alias("med"))
+    counts = steps.filter("dt is not null").groupBy(by, "dt").agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(Window.partitionBy(by).orderBy("dt")), F.sum("n").over(Window.partitionBy(by))
+    # the upper median
+    typical = counts.select(by, "dt", upto.alias("upto"), total.alias("total")).filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(by).agg(F.min("dt").alias("med"))
     cut = steps.join(typical, by).withColumn("broken", F.when(F.col("dt") > F.greatest(F.lit(60), 4 * F.col("med")), 1).otherwise(0))
     cut = cut.withColumn("seg", F.sum("broken").over(order))
     back = Window.partitionBy(by, "seg").orderBy("t").rangeBetween(-window, 0)
@@ -53,6 +58,34 @@ def rates(points: DataFrame, window: int, by: str = "event_type") -> DataFrame:
     return cut.withColumn("t0", F.min("t").over(back)).withColumn("c0", F.min("counter").over(back)).select(by, "t", "event_id", F.when(span >= 0.8 * window, F.greatest(F.lit(0.0), (F.col("counter") - F.col("c0")) / span)).alias("rate"))
 
 
+def moving_average(points: DataFrame, by: str, order: list[str], value: str, gain: float = 0.05) -> DataFrame:
+    """(by, average): exponential average of each series' values from 0 on; null with a null value.
+
+    Ranges of the sorted points are streamed, each run of a series into one sum; a run weighs less by
+    1 - gain for each point after it. No task holds a series.
+    """
+    names = [by, *order]
+    keys = [F.asc_nulls_last(c) for c in names]
+    spread = points.select(*names, F.col(value).cast("double").alias("__v")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    schema = Y.StructType([*spread.select(*names).schema.fields, *Y.StructType.fromDDL("__n long, __s double, __null boolean").fields])
+    keep = 1 - gain
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for end in pc.run_end_encode(batch.column(0)).run_ends.to_pylist() if batch.num_rows else ():
+                v = batch.column(len(names)).slice(start, end - start)
+                total = gain * float(np.dot(v.fill_null(0.0).to_numpy(zero_copy_only=False), keep ** np.arange(len(v) - 1, -1, -1.0)))
+                head = [batch.column(k).slice(start, 1) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([len(v)]), pa.array([total]), pa.array([v.null_count > 0])], names=schema.names)
+                start = end
+
+    later = Window.partitionBy(by).orderBy(*(F.desc_nulls_first(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    runs = spread.mapInArrow(run, schema).withColumn("__after", F.coalesce(F.sum("__n").over(later), F.lit(0)))
+    total = F.sum(F.col("__s") * F.pow(F.lit(keep), F.col("__after")))
+    return runs.groupBy(by).agg(F.when(~F.bool_or("__null"), total).alias("average"))
+
+
 def monotonic(points: DataFrame, by: str = "event_type") -> DataFrame:
     """t never goes back in the order of arrival."""
     return points.withColumn("t", F.max("t").over(Window.partitionBy(by).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)))

@@ -198,9 +198,10 @@ def index_catch_up(spark, sf_dir):
 def index_merge_segments(spark, sf_dir):
     """Two segments of sorted postings become one."""
     d = docs(spark, sf_dir)
-    part = [S.postings(d.filter(c)).filter("field = 'n'").groupBy("token").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")) for c in ("doc_id % 2 = 0", "doc_id % 2 = 1")]
-    both = part[0].unionByName(part[1])
-    return both.groupBy("token").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("ids"))).cast("array<string>"), ",").alias("ids"))
+    part = [S.postings(d.filter(c)).filter("field = 'n'") for c in ("doc_id % 2 = 0", "doc_id % 2 = 1")]
+    both = S.merged_postings(*part)
+    # a row for each token, with all its ids, is what the SQL asks for
+    return both.groupBy("token").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
 
 
 @query(f"WITH {FILES} SELECT DISTINCT doc_id FROM named WHERE ext IN ('eco', 'economy') OR starts_with(ext, 'prom')")

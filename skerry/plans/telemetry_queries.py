@@ -160,8 +160,8 @@ def distinct_sketch(spark, sf_dir):
 
 @query("SELECT event_type, round(list_reduce(list_prepend(0.0, list(value ORDER BY ts, event_id)), lambda a, x: 0.95 * a + 0.05 * x), 6) AS average FROM events GROUP BY event_type")
 def moving_average(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return e.select("event_type", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: 0.95 * a + 0.05 * x.value), 6).alias("average"))
+    average = T.moving_average(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value")
+    return average.select("event_type", F.round("average", 6).alias("average"))
 
 
 @query("WITH l AS (SELECT CASE WHEN value < 10 THEN '<10' WHEN value < 20 THEN '<20' WHEN value < 30 THEN '<30' WHEN value < 45 THEN '<45' WHEN value < 60 THEN '<60' WHEN value < 90 THEN '<90' ELSE '>=90' END AS label FROM events) SELECT label, count(*) AS n FROM l GROUP BY label")

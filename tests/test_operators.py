@@ -1,6 +1,7 @@
 """Operators on small literal tables, with the edge cases that the stored tables don't have."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -120,6 +121,49 @@ def test_dead_needs_confirmed_scrapes(spark):
     assert {r.ih: r.state for r in state} == {1: "dead", 2: "weak", 3: "quiet", 4: "unknown", 5: "quiet", 6: "quiet"}
 
 
+def plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fold_is_the_plain_fold_without_arrays(spark):
+    day, rng = 86_400, random.Random(4)
+    rows = [(ih, rng.randrange(60) * day, rng.randrange(6), rng.randrange(3), rng.choice(["scrape", "swarm", "swarm", "swarm"]), n) for n, ih in enumerate([1] * 150 + [2] * 40 + [3])]
+    m = spark.createDataFrame(rows, "ih long, mt long, seeders long, peers long, src string, event_id long")
+    want = {}
+    for ih, t, seeders, peers, src, _ in sorted(rows, key=lambda r: (r[0], r[1], r[5])):
+        s, p, how, at, _, n = want.get(ih, (0, 0, "none", 0, 0, 0))
+        skip = src != "scrape" and how == "scrape" and t - at < 14 * day and seeders < s
+        want[ih] = (s, p, how, at, t, n) if skip else (seeders, peers, src, t, t, n + 1)
+    got = H.fold(m)
+    assert {r[0]: tuple(r)[1:] for r in got.select("ih", "seeders", "peers", "src", "health_at", "checked_at", "n_kept").collect()} == want
+    assert "collect_list" not in plan(got)
+
+
+def test_moving_average_across_ranges_without_arrays(spark):
+    rng = random.Random(5)
+    rows = [("a", n // 2, n, rng.random()) for n in range(500)] + [("b", 1, 1, 3.0), ("c", 1, 1, None), ("c", 2, 2, 1.0)]
+    got = T.moving_average(spark.createDataFrame(rows, "k string, t long, i long, v double").repartition(3), "k", ["t", "i"], "v")
+    want = 0.0
+    for r in rows[:500]:
+        want = 0.95 * want + 0.05 * r[3]
+    found = {r.k: r.average for r in got.collect()}
+    assert math.isclose(found["a"], want) and math.isclose(found["b"], 0.15) and found["c"] is None
+    assert "collect_list" not in plan(got)
+
+
+def test_rates_break_at_the_upper_median(spark):
+    p = spark.createDataFrame([(t, t, t, "a") for t in (0, 20, 40, 120, 200, 450)], "t long, counter long, event_id long, event_type string")
+    got = T.rates(p, 200)  # steps of 20, 20, 80, 80 and 250: their median is 80, so none is a gap
+    assert {r.t: r.rate for r in got.collect()} == {0: None, 20: None, 40: None, 120: None, 200: 1.0, 450: None}
+    assert "collect_list" not in plan(got)
+
+
+def test_merged_postings_are_rows(spark):
+    one = spark.createDataFrame([("n", "x", 2), ("n", "y", 2)], "field string, token string, doc_id long")
+    two = spark.createDataFrame([("n", "x", 1), ("n", "x", 2)], one.schema)
+    assert sorted(tuple(r) for r in S.merged_postings(one, two).collect()) == [("n", "x", 1), ("n", "x", 2), ("n", "y", 2)]
+
+
 def test_roll_up_counts_points_without_the_gauge(spark):
     p = spark.createDataFrame([(600, 100.0, 1, 1), (610, None, 2, 2), (900, 5.0, 3, 3)], "t long, gauge double, counter long, event_id long")
     got = {r.t: (r.gauge, r.counter) for r in T.roll_up(p, 300).collect()}
