@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skerry.operators.series import to_tenths
 
-#: Fixed values of the discovery state machine.
-RETRY_LIMIT, PRIORITY_HITS = 3, 2
-STATE = "first_seen long, last_seen long, hits long, attempts long, status string"
+#: Fixed values of the discovery state machine, times in seconds. A failed key that a peer announces waits a sixth of REVIVE_S.
+RETRY_LIMIT, PRIORITY_HITS, RETRY_DELAY_S, REVIVE_S = 3, 2, 300, 6 * 3600
+STATE = "first_seen long, last_seen long, hits long, attempts long, status string, failed_at long, retry_at long, announced boolean, priority boolean"
 OUT = f"ih long, {STATE}"
 
 
@@ -25,29 +25,51 @@ def roll_up(points: DataFrame, width: str = "5 minutes", late: str = "1 hour") -
     return windows.agg(mean.alias("gauge"), F.max("counter").alias("counter"), F.count("*").alias("n")).select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "gauge", "counter", "n")
 
 
-def step(state: dict | None, kind: str, ts: int) -> dict:
-    """One event of a key: seen, probe, fail or ok."""
-    s = dict(state) if state else {"first_seen": ts, "last_seen": ts, "hits": 0, "attempts": 0, "status": "pending"}
+def step(state: dict | None, kind: str, ts: int, revive_after: int = 0) -> dict:
+    """One event of a key: seen, announce (by somebody who has it), peer (with an address), probe, fail or ok.
+
+    Waits go by the events' own times. A retry whose time has come is pending from the key's next event on.
+    """
+    new = {"first_seen": ts, "last_seen": ts, "hits": 0, "attempts": 0, "status": "pending", "failed_at": 0, "retry_at": 0, "announced": False, "priority": False}
+    s = dict(state) if state else new
     s["last_seen"] = max(s["last_seen"], ts)
-    if kind == "seen":
+    if s["status"] == "indexed":
+        return s
+    if s["status"] == "retry" and ts >= s["retry_at"]:
+        s["status"], s["priority"] = "pending", True
+    was, waited = s["status"], ts - s["failed_at"]
+    if kind in ("seen", "announce", "peer"):
         s["hits"] += 1
-        if s["status"] in ("retry", "failed"):
-            s["status"] = "pending"
+        s["announced"] |= kind != "seen"
+        if kind == "peer" and (was in ("pending", "retry") or (was == "failed" and waited > revive_after / 6)):
+            if was != "pending":
+                s["attempts"] = min(s["attempts"], RETRY_LIMIT - 1)
+            s["status"], s["priority"] = "pending", True
+        elif was == "failed" and waited > revive_after:
+            s["status"], s["attempts"], s["priority"] = "pending", 0, True
+        elif was == "retry":
+            s["status"], s["priority"] = "pending", True
+        elif was == "pending" and (kind == "announce" or s["hits"] >= PRIORITY_HITS):
+            s["priority"] = True
     elif kind == "probe":
-        s["status"] = "probing"
-        s["attempts"] += 1
+        s["status"], s["priority"] = "probing", False
     elif kind == "ok":
-        s["status"] = "indexed"
-    elif s["status"] != "indexed":
-        s["status"] = "failed" if s["attempts"] >= RETRY_LIMIT else "retry"
+        s["status"], s["priority"] = "indexed", False
+    else:
+        s["attempts"] += 1
+        s["priority"] = False
+        if s["attempts"] >= (RETRY_LIMIT if s["hits"] > 1 or s["announced"] else 1):
+            s["status"], s["failed_at"] = "failed", ts
+        else:
+            s["status"], s["retry_at"] = "retry", ts + RETRY_DELAY_S
     return s
 
 
 def discover(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = dict(zip(("first_seen", "last_seen", "hits", "attempts", "status"), state.get)) if state.exists else None
+    now = dict(zip((c.split()[0] for c in STATE.split(", ")), state.get)) if state.exists else None
     events = pd.concat(list(frames)).sort_values(["ts", "seq"])
     for kind, ts in zip(events["kind"], events["ts"]):
-        now = step(now, kind, int(ts))
+        now = step(now, kind, int(ts), REVIVE_S)
     state.update(tuple(now.values()))
     yield pd.DataFrame([{"ih": key[0], **now}])
 

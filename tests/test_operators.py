@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from skerry.functions import numbers as N
@@ -199,3 +200,33 @@ def test_discovery_steps():
         s = rollup.step(s, kind, 1)
     assert s["status"] == "failed" and s["attempts"] == 3
     assert rollup.step(s, "seen", 2)["status"] == "pending"
+
+
+class Held:
+    """Stands in for the state of a group."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_discovery_waits_and_promotes():
+    hour = 3600
+    cases = {
+        (("seen", 0), ("fail", 1)): ("failed", 1, False),
+        (("seen", 0), ("fail", 0), ("seen", 6 * hour)): ("failed", 1, False),
+        (("seen", 0), ("fail", 0), ("seen", 6 * hour + 1)): ("pending", 0, True),
+        (("seen", 0), ("fail", 0), ("peer", hour)): ("failed", 1, False),
+        (("seen", 0), ("fail", 0), ("peer", hour + 1)): ("pending", 1, True),
+        (("seen", 0), ("seen", 1)): ("pending", 0, True),
+        (("announce", 0), ("probe", 1), ("fail", 2)): ("retry", 1, False),
+        (("announce", 0), ("fail", 2), ("seen", 3)): ("pending", 1, True),
+        (("announce", 0), ("fail", 1), ("fail", 2), ("fail", 3), ("seen", 7 * hour), ("fail", 7 * hour + 1)): ("retry", 1, False),
+        (("seen", 0), ("ok", 1), ("probe", 2), ("fail", 3)): ("indexed", 0, False),
+    }
+    for events, want in cases.items():
+        held = Held()
+        for n, (kind, ts) in enumerate(events):  # a micro-batch for each event
+            out = list(rollup.discover((7,), iter([pd.DataFrame([{"kind": kind, "ts": ts, "seq": n}])]), held))[0].iloc[0]
+        assert (out.status, out.attempts, out.priority) == want, events
