@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Caps of the reference: merged rows of a key, nodes of the registry, nodes that are kept.
+KEY_ROWS, REGISTRY_NODES, KEPT_NODES = 300, 50_000, 100_000
 SRC_BIT = {"c": 1, "d": 2, "a": 4}
 
 
@@ -21,7 +23,7 @@ def merge(obs: DataFrame) -> DataFrame:
     )
 
 
-def cap(merged: DataFrame, most: int, by: str = "ih") -> DataFrame:
+def cap(merged: DataFrame, most: int = KEY_ROWS, by: str = "ih") -> DataFrame:
     """The latest `most` rows of each group."""
     order = Window.partitionBy(by).orderBy(F.col("last").desc(), "ip")
     return merged.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("rn")
@@ -48,3 +50,13 @@ def last_endpoints(obs: DataFrame, most: int = 4) -> DataFrame:
     seen = obs.groupBy("ih", "ip", "port").agg(F.max("ts").alias("last"))
     order = Window.partitionBy("ih").orderBy(F.col("last").desc(), "ip", "port")
     return seen.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
+
+
+def registry(obs: DataFrame, own: int, most: int = REGISTRY_NODES) -> DataFrame:
+    """The first distinct endpoints with a port, without one's own address."""
+    return obs.filter(F.col("port").between(1, 65_535) & (F.col("ip") != own)).select("ip", "port").distinct().orderBy("ip", "port").limit(most)
+
+
+def node_union(here: DataFrame, there: DataFrame, most: int = KEPT_NODES) -> DataFrame:
+    """The ids of both, each once, the first `most`."""
+    return here.union(there).distinct().orderBy(*here.columns).limit(most)

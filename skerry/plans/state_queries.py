@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from skerry.functions.text import ext_of, label_of, padded, tokens
 from skerry.operators import health as H
 from skerry.operators import moderation as M
+from skerry.operators import observations as O
 from skerry.plans.register import Register
 from skerry.plans.views import DOCS, FILES, MEASUREMENTS, METRICS, NOW, OBSERVATIONS, docs, items, measurements, metrics, observations, table
 
@@ -101,7 +102,8 @@ def peers_over_global_cap(spark, sf_dir):
 
 @query(f"WITH {OBSERVATIONS} SELECT DISTINCT ip, port FROM obs WHERE port BETWEEN 1 AND 65535 AND ip <> 3323068417 ORDER BY ip, port LIMIT 500")
 def node_registry(spark, sf_dir):
-    return observations(spark, sf_dir).filter(F.col("port").between(1, 65_535) & (F.col("ip") != 3_323_068_417)).select("ip", "port").distinct().orderBy("ip", "port").limit(500)
+    """Capped as in the SQL."""
+    return O.registry(observations(spark, sf_dir), 3_323_068_417, 500)
 
 
 @query("WITH f AS (SELECT user_id AS ih, max(CAST(floor(epoch(ts)) AS BIGINT)) AS failed_at FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT ih, failed_at FROM f WHERE failed_at >= 1706659000 - 3 * 86400 ORDER BY failed_at DESC, ih LIMIT 50000")

@@ -355,7 +355,8 @@ def import_undo(spark, sf_dir):
 
 @query("WITH u AS (SELECT c_custkey AS id FROM customer UNION SELECT s_suppkey FROM supplier) SELECT id FROM u ORDER BY id LIMIT 1000")
 def import_node_union(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).union(table(spark, sf_dir, "supplier").select("s_suppkey")).distinct().orderBy("id").limit(1000)
+    """Capped as in the SQL."""
+    return O.node_union(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "supplier").select("s_suppkey"), 1000)
 
 
 @query("WITH q AS (SELECT event_type AS queue, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) SELECT queue, event_id FROM q WHERE rn <= 50")

@@ -183,6 +183,18 @@ def test_merge_of_observations(spark):
     assert (r.role, r.port, r.client, r.src, r.first, r.last) == (1, 2000, "y", 7, 5, 7)
 
 
+def test_caps_are_the_references(spark):
+    merged = spark.range(310).selectExpr("1L ih", "id ip", "id last")
+    assert sorted(r.ip for r in O.cap(merged).collect()) == list(range(10, 310))
+    assert sorted(r.ip for r in O.cap(merged, 2).collect()) == [308, 309]
+    obs = spark.range(600).selectExpr("id ip", "cast(id % 599 as int) port")
+    assert O.registry(obs, 7).count() == 597
+    assert [tuple(r) for r in O.registry(obs, 1, 2).collect()] == [(2, 2), (3, 3)]
+    nodes = O.node_union(spark.range(1500), spark.range(1400, 1600))
+    assert nodes.count() == 1600 and [r.id for r in O.node_union(spark.range(3), spark.range(5), 4).collect()] == [0, 1, 2, 3]
+    assert (O.KEY_ROWS, O.REGISTRY_NODES, O.KEPT_NODES) == (300, 50_000, 100_000)
+
+
 def test_rules():
     assert M.check_rule("", "all", "word") and M.check_rule("(", "all", "regex") and M.check_rule(".*", "all", "regex")
     assert M.check_rule("a b", "name", "word") is None
