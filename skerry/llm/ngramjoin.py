@@ -3,11 +3,13 @@
 The global order of n-grams is cut into fragments, and overlaps are counted in each fragment by itself and
 summed. This happens twice:
 
-1. Over all documents. A fragment counts, for each set, how many of its n-grams some other set has too; the
-   sums over fragments leave only sets that could reach the threshold with any partner at all.
+1. Over all documents, but only over the first n-grams of each set in the global order. Two sets that link have
+   so many n-grams in common that the first of these stand near the start of both (`prefix_length`, `least_shared`).
+   A fragment counts, for each set, how many of its first n-grams are among the first of another set; the sums
+   over fragments leave only sets that some partner may reach.
 2. Over what is left. Sets are ordered from rare to frequent n-grams, a prefix filter with the length filter
-   puts those that may link into one candidate group, and groups are cut into tiles of TILE by TILE sets. A
-   tile counts the partial overlaps of its pairs in each fragment (as one matrix of counts), and the sums
+   puts those that may link into one candidate group, groups are cut into blocks of TILE sets, and blocks that
+   have a prefix n-gram in common meet in a tile. A tile counts the partial overlaps of its pairs in each fragment (as one matrix of counts), and the sums
    decide. Pairs never are rows: a tile returns links as a forest and a degree for each set.
 
 Sets are hashed to 64 bits per n-gram, and to 128 bits as a whole; documents of one set form a class.
@@ -16,6 +18,7 @@ Sets are hashed to 64 bits per n-gram, and to 128 bits as a whole; documents of
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,9 @@ from skerry.llm.components import components
 
 BLOCK_CHARS = 4_000_000
 MEMO_WORDS = 300_000
-TILE, TILE_FRAGMENTS, HOT_RUN = 512, 4, 32
+TILE, TILE_FRAGMENTS, HOT_RUN, PART = 512, 4, 32, 8192
 PREFIX_FRAGMENTS, FRAGMENT_KEYS = 16, 4_000_000  # least number, and keys in each, of the second stage
+COMMON_PERCENT = 5  # of a set: n-grams that prefixes of the first stage must have in common
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 _memo: dict[bytes, int] = {}
@@ -67,22 +71,49 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def digest_of(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap that a set of n can have with a partner."""
     return -(-n * percent // 100)
 
 
+def common(n):
+    """How many n-grams two sets must have in common among their first ones, for the smaller size n of the two."""
+    return np.maximum(1, n * COMMON_PERCENT // 100)
+
+
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """The first n-grams of a set of n that hold common(n) of those that it shares with any set it links to.
+
+    At most n - least_overlap(n) of its n-grams are not in the partner, so the first n - least_overlap(n) + k hold k
+    that are. The partner's own prefix holds at least the same first ones, as many as its size asks for.
+    """
+    least = least_overlap(n, percent)
+    return n - least + np.minimum(least, common(n))
+
+
+def least_shared(n, percent: int):
+    """What a set of n must share within prefixes: common() of the smallest set that may link to it. n: a column."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) * COMMON_PERCENT / 100))
+
+
 def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
 SPREAD = "fragment int, keys binary, owners binary, sets binary, ids binary, sizes binary, digests binary"
-FRAGMENT_BYTES = 25_000_000  # of text, that a fragment of the first stage stands for
+FRAGMENT_BYTES = 100_000_000  # of text, that a fragment of the first stage stands for
 COUNTED = "doc_id long, n long, digest binary, set_id long, shared long"
 
 
-def spread(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: int) -> DataFrame:
-    """Blocks of documents: one row for each fragment with the keys there and their owners, and one (fragment < 0) with the documents."""
+def spread(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fragments: int) -> DataFrame:
+    """Blocks of documents: one row for each fragment with the prefix keys there and their owners, and one (fragment < 0) with the documents.
+
+    Prefixes are taken in the order of the keys; fragments go by another hash of them, so that all have as much.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
@@ -90,7 +121,7 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: int)
             texts = batch.column(1)
             for a, b in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK_CHARS):
                 found = [shingles(t, n) for t in texts.slice(a, b - a).to_pylist()]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+                digests = [digest_of(s.tobytes()) for s in found]
                 sizes = np.array([len(s) for s in found], dtype=np.int64)
                 sets = np.frombuffer(b"".join(digests), dtype=np.int64)[::2]
                 ids = batch.column(0).slice(a, b - a)
@@ -100,8 +131,9 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, fragments: int)
                 _, firsts = np.unique(sets, return_index=True)  # of the equal sets of a block, one
                 firsts = firsts[sizes[firsts] > 0]
                 if len(firsts):
-                    keys = np.concatenate([found[i] for i in firsts])
-                    owners = np.repeat(np.arange(len(firsts), dtype=np.uint32), sizes[firsts])
+                    firm = prefix_length(sizes[firsts], percent)
+                    keys = mixed(np.concatenate([found[i][:k] for i, k in zip(firsts.tolist(), firm.tolist())]) ^ ODD[0])
+                    owners = np.repeat(np.arange(len(firsts), dtype=np.uint32), firm)
                     order = np.argsort(keys)
                     keys, owners = keys[order], owners[order]
                     top = (keys >> np.uint64(32)).astype(np.int64) * fragments >> 32
@@ -166,18 +198,20 @@ def count_shared(blocks_: DataFrame) -> DataFrame:
     return blocks_.sortWithinPartitions("fragment").mapInArrow(run, COUNTED)
 
 
-SETS = "rep long, n long, shingles binary"
+SETS = "digest binary, n long, shingles binary"
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def sets_of(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """The set of each row, under its digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BLOCK_CHARS):
-                found = [shingles(t, n) for t in batch.column(1).slice(a, b - a).to_pylist()]
-                columns = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary())]
+            for a, b in blocks(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), BLOCK_CHARS):
+                found = [shingles(t, n).tobytes() for t in batch.column(0).slice(a, b - a).to_pylist()]
+                columns = [pa.array([digest_of(s) for s in found], type=pa.binary()), pa.array([len(s) // 8 for s in found], type=pa.int64()), pa.array(found, type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names(SETS))
 
-    return docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SETS)
+    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SETS)
 
 
 CUT = "fragment int, rep long, keys binary"
@@ -244,14 +278,18 @@ def prefixes(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
 def candidate_groups(prefix: DataFrame, percent: int) -> DataFrame:
     """(node, component): sets that share a prefix n-gram with a set of a length near enough, and transitively so.
 
-    Sets of one n-gram stand in the order of their length; where the next is too long for the one before it, no
-    pair across can link. Each run between such gaps is a star around its first set.
+    Lengths are classed so that any two of a class are near enough. The sets of an n-gram and a class are a star
+    around its smallest; stars of neighbouring classes are joined where the longest of one is near enough to the
+    shortest of the next. Aggregates only: no task orders all sets of a frequent n-gram.
     """
-    order = Window.partitionBy("token").orderBy("n", "rep")
-    gap = F.when(100 * F.lag("n").over(order) >= percent * F.col("n"), 0).otherwise(1)
-    run = prefix.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = run.groupBy("token", "run").agg(F.min("rep").alias("b"))
-    return components(run.join(first, ["token", "run"]).selectExpr("rep a", "b").filter("a <> b").distinct())
+    by = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    classed = prefix.withColumn("cls", by.cast("long"))
+    stars = classed.groupBy("token", "cls").agg(F.min("rep").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("sets"))
+    more = stars.filter("sets > 1").select("token", "cls", "b")
+    edges = classed.join(more, ["token", "cls"]).selectExpr("rep a", "b")
+    longer = stars.selectExpr("token", "cls - 1 cls", "b a", "low next_low")
+    chain = stars.join(longer, ["token", "cls"]).filter(100 * F.col("high") >= percent * F.col("next_low")).select("a", "b")
+    return components(edges.unionByName(chain).filter("a <> b").distinct())
 
 
 TILED = "grp long, bi int, bj int, fragment int, side int, at int, rep long, n long, keys binary"
@@ -364,14 +402,22 @@ def links_of(partials: DataFrame, percent: int) -> DataFrame:
     return partials.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").mapInArrow(run, LINKS)
 
 
-def tiles_of(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The sets of each tile, cut into fragments of the order of n-grams."""
-    order = Window.partitionBy("grp").orderBy("n", "rep")
-    placed = sets.select("rep", "n").join(groups.selectExpr("node rep", "component grp"), "rep").withColumn("rn", F.row_number().over(order) - 1)
-    placed = materialise(placed.withColumn("blk", F.floor(F.col("rn") / TILE).cast("int")).withColumn("at", (F.col("rn") % TILE).cast("int")), "placed")
-    span = placed.groupBy("grp", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = span.selectExpr("grp", "blk bi", "high"), span.selectExpr("grp", "blk bj", "low")
-    pairs = left.join(right, "grp").filter((F.col("bi") == F.col("bj")) | ((F.col("bi") < F.col("bj")) & (100 * F.col("high") >= percent * F.col("low")))).select("grp", "bi", "bj")
+def tiles_of(sets: DataFrame, prefix: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The sets of each tile, cut into fragments of the order of n-grams.
+
+    A group is dealt into parts of about PART sets by a hash, and a part is cut into blocks in the order of length.
+    Two blocks meet if a prefix n-gram stands in both and their lengths are near enough.
+    """
+    sized = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    grouped = groups.join(sized, "component").selectExpr("node rep", "component grp", "pmod(xxhash64(node), parts) part")
+    order = Window.partitionBy("grp", "part").orderBy("n", "rep")
+    placed = sets.select("rep", "n").join(grouped, "rep").withColumn("rn", F.row_number().over(order) - 1)
+    blk = F.col("part") * (4 * PART // TILE) + F.floor(F.col("rn") / TILE)  # a part has at most four times its size
+    placed = materialise(placed.select("grp", "rep", "n", blk.cast("int").alias("blk"), (F.col("rn") % TILE).cast("int").alias("at")), "placed")
+    held = prefix.select("rep", "token").join(placed, "rep").groupBy("grp", "token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = held.selectExpr("grp", "token", "blk bi", "low low_i", "high high_i"), held.selectExpr("grp", "token", "blk bj", "low low_j", "high high_j")
+    near = (100 * F.col("high_i") >= percent * F.col("low_j")) & (100 * F.col("high_j") >= percent * F.col("low_i"))
+    pairs = materialise(left.join(right, ["grp", "token"]).filter(near & (F.col("bi") <= F.col("bj"))).select("grp", "bi", "bj").distinct(), "tile-pairs")
     sides = pairs.select("grp", "bi", "bj", F.col("bi").alias("blk"), F.lit(0).alias("side")).unionByName(pairs.filter("bi <> bj").select("grp", "bi", "bj", F.col("bj").alias("blk"), F.lit(1).alias("side")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,28 +441,37 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     Sets are the distinct n-word shingles of whole texts (words as [^\\x20\\x09-\\x0D]+, A-Z lower-cased; fewer words are
     one shingle). Two documents link if 100 * intersection >= percent * union. component_id: the smallest doc_id
     reachable by links, itself included. n_links: linked sets other than the own. Null and empty texts link with nothing.
-    Rows of a null id count in the classes but never name a component unless alone. Repeated rows stay. An empty table gives an empty one.
+    Rows of a null id link like others; they have no id to name a component by, so one of null ids alone is null.
+    Rows that repeat an id with another text are rows of their own. Repeated rows stay. An empty table gives an empty one.
     """
+    if not COMMON_PERCENT < percent <= 100:
+        raise ValueError(f"percent must be above {COMMON_PERCENT}, at most 100")
     spark = docs.sparkSession
     parts = n_parts(spark)
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     fragments = max(parts, -(-total // FRAGMENT_BYTES))
-    dealt = spread(docs, id_col, text_col, n, fragments).repartitionById(parts, F.pmod("fragment", F.lit(parts)))
+    dealt = spread(docs, id_col, text_col, n, percent, fragments).repartitionById(parts, F.pmod("fragment", F.lit(parts)))
     counted = materialise(count_shared(dealt), "ngram-counts")
     rows = counted.filter("digest is not null").select("doc_id", "n", "digest", "set_id")
-    classes = materialise(rows.groupBy("digest", "set_id", "n").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    classes = rows.groupBy("digest", "set_id", "n").agg(F.min("doc_id").alias("least_id"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "ngram-classes")  # rep: the class's own number
     shared = counted.filter("digest is null").groupBy("set_id").agg(F.sum("shared").alias("shared"))
-    may = classes.filter("rep is not null and n > 0").join(shared, "set_id").filter(100 * F.col("shared") >= percent * F.col("n")).select("rep")
-    left = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(may.withColumnRenamed("rep", id_col), id_col, "left_semi")
-    sets = sets_of(left, id_col, text_col, n).join(classes.select("rep", F.col("n").alias("n_class")), "rep")
-    sets = materialise(sets.filter("n = n_class").select("rep", "n", "shingles").dropDuplicates(["rep"]), "ngram-sets")
+    may = classes.filter("n > 0").join(shared, "set_id").filter(F.col("shared") >= least_shared(F.col("n"), percent))
+    may = materialise(may.select("digest", "rep", "least_id"), "ngram-candidates")
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("__least_id"))
+    left = docs.join(may.select(F.col("least_id").alias("__least_id")).distinct(), own, "left_semi")
+    sets = sets_of(left, text_col, n).join(may.select("digest", "rep"), "digest")
+    sets = materialise(sets.select("rep", "n", "shingles").dropDuplicates(["rep"]), "ngram-sets")
     keys = sets.agg(F.sum("n")).first()[0] or 0
-    groups = materialise(candidate_groups(prefixes(sets, percent, max(PREFIX_FRAGMENTS, -(-keys // FRAGMENT_KEYS))), percent), "ngram-groups")
-    links = materialise(links_of(partial_counts(tiles_of(sets, groups, percent)), percent), "ngram-links")
-    linked = materialise(components(links.select("a", "b")), "ngram-components")
-    degrees = links.groupBy("a").agg(F.sum("degree").alias("n_links"))
-    found = classes.join(linked, F.col("rep") == F.col("node"), "left").join(degrees, F.col("rep") == F.col("a"), "left")
-    found = found.select("digest", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = rows.join(found.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
+    prefix = materialise(prefixes(sets, percent, max(PREFIX_FRAGMENTS, -(-keys // FRAGMENT_KEYS))), "ngram-prefixes")
+    groups = materialise(candidate_groups(prefix, percent), "ngram-groups")
+    links = materialise(links_of(partial_counts(tiles_of(sets, prefix, groups, percent)), percent), "ngram-links")
+    linked = materialise(components(links.select("a", "b")).join(classes.select(F.col("rep").alias("node"), "least_id"), "node"), "ngram-components")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = linked.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    degrees = links.groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("n_links"))
+    found = classes.join(named.join(degrees, "rep"), "rep", "left")
+    found = found.select(F.col("digest").alias("d"), F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    full = rows.join(found, F.col("digest") == F.col("d"))
     alone = F.col("n") == 0
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"))

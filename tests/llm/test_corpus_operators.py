@@ -103,9 +103,10 @@ def near_copies(seed, bases, copies, length, edits):
     return list(enumerate(out + ["one two", "One Two", "", None, "one two three"]))
 
 
-@pytest.mark.parametrize("n, percent, tile", [(4, 85, 512), (5, 80, 512), (4, 85, 16)])
-def test_join_is_brute_force(spark, monkeypatch, n, percent, tile):
+@pytest.mark.parametrize("n, percent, tile, part", [(4, 85, 512, 8192), (5, 80, 512, 8192), (4, 85, 16, 8192), (4, 85, 8, 32)])
+def test_join_is_brute_force(spark, monkeypatch, n, percent, tile, part):
     monkeypatch.setattr(ngramjoin, "TILE", tile)
+    monkeypatch.setattr(ngramjoin, "PART", part)
     docs = near_copies(n, 6, 25, 60, 3)
     got = ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string"), n, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(docs, n, percent)
@@ -119,6 +120,47 @@ def test_join_on_odd_rows(spark, odd):
     assert ngramjoin.join(odd.limit(0)).count() == 0
 
 
+def plain_rows(rows, n, percent):
+    """Brute force over rows, whose ids may repeat or be null: (id, size, component, links to other sets) of each."""
+    sets = [frozenset(" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    linked = [[j for j, b in enumerate(sets) if a and 100 * len(a & b) >= percent * len(a | b)] for a in sets]
+    out = []
+    for i, (own, _) in enumerate(rows):
+        reach, todo = {i}, [i]
+        while todo:
+            fresh = set(linked[todo.pop()]) - reach
+            reach |= fresh
+            todo += fresh
+        ids = [rows[j][0] for j in reach if rows[j][0] is not None]
+        out.append((own, len(sets[i]), min(ids) if ids else None, len({sets[j] for j in linked[i]} - {sets[i]})))
+    return sorted(out, key=str)
+
+
+def test_join_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    near = lambda t: t.replace(" ", " ", 1)[:-3] + "new"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, c), (4, near(c)), (None, d), (None, near(d)), (5, None), (5, ""), (None, ""), (6, "one"), (6, "one")]
+    for n, percent in ((4, 85), (5, 80), (4, 100)):
+        got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == plain_rows(rows, n, percent)
+
+
+def test_prefixes_lose_no_link():
+    """Sets that link share enough within their prefixes, for every size and threshold."""
+    rng = np.random.default_rng(8)
+    for percent in (50, 80, 85, 100):
+        for size in (1, 2, 7, 20, 41, 300):
+            base = np.sort(rng.choice(10**6, size, replace=False)).astype(np.uint64)
+            for gone in range(0, size + 1, max(1, size // 9)):
+                other = np.sort(np.concatenate([rng.permutation(base)[: size - gone], rng.integers(10**6, 10**7, rng.integers(0, 1 + gone)).astype(np.uint64)]))
+                both = len(np.intersect1d(base, other))
+                if len(other) and both and 100 * both >= percent * len(np.union1d(base, other)):
+                    sizes = np.array([len(base), len(other)])
+                    x, y = (s[:k] for s, k in zip((base, other), ngramjoin.prefix_length(sizes, percent)))
+                    for m in sizes:
+                        assert len(np.intersect1d(x, y)) >= max(1, -(-int(m) * percent // 100) * ngramjoin.COMMON_PERCENT // 100)
+
+
 def test_overlaps_of_frequent_and_rare_keys():
     rng = np.random.default_rng(5)
     sets = [np.unique(np.concatenate([np.arange(40), rng.integers(100, 400, 30)])).astype(np.uint64) for _ in range(50)]
