@@ -1,4 +1,9 @@
-"""Health measurements of a key: fold into current state, bounded history, verdicts and the next check."""
+"""Health measurements of a key: fold into current state, bounded history, verdicts and the next check.
+
+Everything is one grouping by key: windows over the measurements in their order say which of them are applied,
+windows from the newest back give the history and its runs, and one aggregate sums a key up. No array holds a
+key's measurements, and windows stream their sorted rows.
+"""
 
 from __future__ import annotations
 
@@ -9,53 +14,103 @@ from pyspark.sql.window import Window
 #: Seconds.
 KEEP_S, HISTORY, DEAD_RUN, DEAD_SPAN_S, DEAD_TRACKERS = 14 * 86_400, 40, 3, 12 * 3600, 2
 INTERVAL_S = {"alive": 6 * 3600, "weak": 12 * 3600, "quiet": 6 * 3600, "dead": 3 * 86_400}
-BACKOFF_S, BACKOFF_MAX_S = 1800, 259_200
+BACKOFF_S, BACKOFF_MAX_S, UNKNOWN_MOST = 1800, 259_200, 255
 
 
-def fold(measured: DataFrame) -> DataFrame:
-    """Current state of each key after its measurements in the order of (mt, event_id).
+def upto(*keys: str, order: list) -> Window:
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
 
-    A measurement by another way than a scrape that finds fewer seeders than a scrape of the last 14 days
-    only counts as a check. After a scrape, the first other measurement that isn't skipped ends its hold, and
-    all up to the next scrape are kept: so the fold is two running windows and an aggregate, without arrays.
+def applied(measured: DataFrame) -> DataFrame:
+    """measured with figures not below 0, and kept: whether the measurement is applied, in the order of (mt, event_id).
+
+    measured: ih, mt, event_id, seeders, peers, src, and, if known, nrep (trackers that answered) and cs (seeders
+    connected to). A measurement by another way than a scrape that finds fewer seeders than a scrape of the last
+    14 days only counts as a check. After a scrape, the first other measurement that isn't skipped ends its hold,
+    and all up to the next scrape are kept.
     """
-    by = ["mt", "event_id", "seeders", "peers", "src"]
-    running = lambda *keys: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    m = measured.select("ih", *by).withColumn("scrape", F.col("src").eqNullSafe("scrape"))
-    m = m.withColumns({"seg": F.count_if("scrape").over(running("ih")), "held": F.last(F.when(F.col("scrape"), F.struct("seeders", "mt")), ignorenulls=True).over(running("ih"))})
+    extra = {c: F.lit(v) for c, v in (("nrep", 1), ("cs", 0)) if c not in measured.columns}
+    m = measured.withColumns(extra | {c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in ("seeders", "peers")})
+    m = m.select("ih", "mt", "event_id", "seeders", "peers", "src", F.coalesce("nrep", F.lit(1)).alias("nrep"), F.coalesce("cs", F.lit(0)).alias("cs"))
+    by = [F.col(c) for c in ("mt", "event_id", "seeders", "peers", "src")]
+    m = m.withColumn("scrape", F.col("src").eqNullSafe("scrape"))
+    m = m.withColumns({"seg": F.count_if("scrape").over(upto("ih", order=by)), "held": F.last(F.when(F.col("scrape"), F.struct("seeders", "mt")), ignorenulls=True).over(upto("ih", order=by))})
     skip = (F.col("src") != "scrape") & (F.col("mt") - F.col("held.mt") < KEEP_S) & (F.col("seeders") < F.col("held.seeders"))
     m = m.withColumn("ends", ~F.col("scrape") & ~F.coalesce(skip, F.lit(False)))
-    m = m.withColumn("kept", F.col("scrape") | F.bool_or("ends").over(running("ih", "seg")))
-    last = F.max_by(F.struct("seeders", "peers", "src", F.col("mt").alias("health_at")), F.when(F.col("kept"), F.struct(*by)))
-    return m.groupBy("ih").agg(last.alias("s"), F.max("mt").alias("checked_at"), F.count_if("kept").alias("n_kept")).select("ih", "s.*", "checked_at", "n_kept")
+    return m.withColumn("kept", F.col("scrape") | F.bool_or("ends").over(upto("ih", "seg", order=by))).drop("seg", "held", "ends", "scrape")
+
+
+def confirmed_zero() -> Column:
+    """A scrape that found nobody, answered by enough trackers."""
+    return (F.col("src") == "scrape") & (F.col("seeders") == 0) & (F.col("peers") == 0) & (F.col("nrep") >= DEAD_TRACKERS)
+
+
+def placed(measured: DataFrame) -> DataFrame:
+    """applied() with rn, the place in the history from the newest on (null for what isn't in it), and broken, which is 1 from the first on that is no confirmed zero.
+
+    Of kept measurements of one time only the last is in the history.
+    """
+    newest = [F.col("mt").desc(), F.col("event_id").desc(), F.col("seeders").desc(), F.col("peers").desc(), F.col("src").desc()]
+    before = Window.partitionBy("ih").orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1)
+    m = applied(measured).withColumn("one", F.col("kept") & ~F.coalesce(F.last(F.when(F.col("kept"), F.col("mt")), ignorenulls=True).over(before) == F.col("mt"), F.lit(False)))
+    run = upto("ih", order=newest)
+    m = m.withColumns({"n": F.count_if("one").over(run), "broken": F.max(F.when(F.col("one") & ~confirmed_zero(), 1).otherwise(0)).over(run)})
+    return m.withColumn("rn", F.when(F.col("one") & (F.col("n") <= HISTORY), F.col("n"))).drop("n", "one")
+
+
+def summary(measured: DataFrame) -> DataFrame:
+    """One row for each key: seeders, peers, src, health_at (of the last applied measurement), checked_at (of the last),
+    seed_ok_at (of the last with a seeder connected to, or 0), n_kept, and of the history: run and span of its newest
+    confirmed zeros, dead, and unk, how many of its newest came without a scrape's answer."""
+    m = placed(measured)
+    by = F.struct("mt", "event_id", "seeders", "peers", "src")
+    last = F.max_by(F.struct("seeders", "peers", "src", F.col("mt").alias("health_at")), F.when(F.col("kept"), by))
+    zero = F.col("rn").isNotNull() & (F.col("broken") == 0)
+    first_scrape = F.min(F.when(F.col("src") == "scrape", F.col("rn")))
+    found = m.groupBy("ih").agg(
+        last.alias("s"),
+        F.max("mt").alias("checked_at"),
+        F.coalesce(F.max(F.when(F.col("cs") > 0, F.col("mt"))), F.lit(0)).alias("seed_ok_at"),
+        F.count_if("kept").alias("n_kept"),
+        F.count_if(zero).alias("run"),
+        F.coalesce(F.max(F.when(zero, F.col("mt"))) - F.min(F.when(zero, F.col("mt"))), F.lit(0)).alias("span"),
+        F.least(F.lit(UNKNOWN_MOST), F.coalesce(first_scrape - 1, F.count("rn"))).cast("long").alias("unk"),
+    )
+    dead = (F.col("run") >= DEAD_RUN) & (F.col("span") >= DEAD_SPAN_S)
+    return found.select("ih", "s.*", "checked_at", "seed_ok_at", "n_kept", "run", "span", dead.alias("dead"), "unk")
+
+
+def fold(measured: DataFrame) -> DataFrame:
+    """Current state of each key after its measurements."""
+    return summary(measured).select("ih", "seeders", "peers", "src", "health_at", "checked_at", "seed_ok_at", "n_kept")
 
 
 def history(measured: DataFrame, most: int = HISTORY) -> DataFrame:
-    """The last measurements of each key, one for each time, with their place from the newest on."""
-    newest = Window.partitionBy("ih", "mt").orderBy(F.col("event_id").desc())
-    order = Window.partitionBy("ih").orderBy(F.col("mt").desc())
-    one = measured.withColumn("k", F.row_number().over(newest)).filter("k = 1")
-    return one.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("k")
+    """The last applied measurements of each key, at most HISTORY, one for each time, with their place rn from the newest on."""
+    return placed(measured).filter(F.col("rn") <= most).drop("kept", "broken")
 
 
-def confirmed_zero() -> Column:
-    """A scrape that found nobody, answered by enough trackers; without nrep by one."""
-    return (F.col("src") == "scrape") & (F.col("seeders") == 0) & (F.col("peers") == 0) & (F.coalesce("nrep", F.lit(1)) >= DEAD_TRACKERS)
+def dead_keys(measured: DataFrame) -> DataFrame:
+    """(ih, run, span, dead) of the keys whose newest applied measurements are confirmed zeros."""
+    return summary(measured).filter("run > 0").select("ih", "run", "span", "dead")
 
 
-def dead_keys(recent: DataFrame, zero: Column | None = None) -> DataFrame:
-    """(ih, run, span, dead) of the newest unbroken run of zeros. recent: as history() gives it; zero: confirmed_zero(), if not given."""
-    zero = confirmed_zero() if zero is None else zero
-    order = Window.partitionBy("ih").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    run = recent.withColumn("broken", F.max(F.when(zero, 0).otherwise(1)).over(order)).filter("broken = 0")
-    found = run.groupBy("ih").agg(F.count("*").alias("run"), (F.max("mt") - F.min("mt")).alias("span"))
-    return found.withColumn("dead", (F.col("run") >= DEAD_RUN) & (F.col("span") >= DEAD_SPAN_S))
+def unknown_run(measured: DataFrame) -> DataFrame:
+    """(ih, unk): how many of the newest applied measurements came without a scrape's answer, at most UNKNOWN_MOST."""
+    return summary(measured).select("ih", "unk")
 
 
-def unknown_run(recent: DataFrame, most: int = 255) -> DataFrame:
-    """(ih, unk): how many of the newest measurements came without a scrape's answer."""
-    first = F.min(F.when(F.col("src") == "scrape", F.col("rn")))
-    return recent.groupBy("ih").agg(F.least(F.lit(most), F.coalesce(first - 1, F.count("*"))).cast("long").alias("unk"))
+def health_state(dead: Column | None = None) -> Column:
+    """Five-state verdict of the current figures; dead: the key's flag, by default the column of that name."""
+    dead = F.col("dead") if dead is None else dead
+    return (
+        F.when(F.coalesce(F.col("src"), F.lit("none")) == "none", "unknown")
+        .when(F.col("seeders") > 0, "alive")
+        .when(F.col("peers") > 0, "weak")
+        .when(F.col("src") != "scrape", "unknown")
+        .when(dead, "dead")
+        .otherwise("quiet")
+    )
 
 
 def backoff(run: Column) -> Column:
@@ -70,6 +125,19 @@ def due_at(state: Column, run: Column) -> Column:
     return F.greatest("health_at", "checked_at") + wait
 
 
+def verdicts(measured: DataFrame) -> DataFrame:
+    """summary() with state and due_at."""
+    full = summary(measured).withColumn("state", health_state())
+    return full.withColumn("due_at", due_at(F.col("state"), F.col("unk")).cast("long"))
+
+
+def defer(current: DataFrame, keys: DataFrame, now: int) -> DataFrame:
+    """current (verdicts) with the given keys counted as checked now, and due again from then on."""
+    put_off = current.join(keys.select("ih", F.lit(now).cast("long").alias("__now")).distinct(), "ih", "left")
+    put_off = put_off.withColumn("checked_at", F.greatest("checked_at", F.coalesce("__now", "checked_at"))).drop("__now")
+    return put_off.withColumn("due_at", due_at(F.col("state"), F.col("unk")).cast("long"))
+
+
 def latest(changes: DataFrame) -> DataFrame:
     """Live keys of a change log: the last of new and delete events, if it isn't a delete."""
     last = changes.filter("t in ('n', 'd')").groupBy("ih").agg(F.max_by(F.struct("seq", "t", "size", "category"), "seq").alias("r"))

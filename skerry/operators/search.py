@@ -8,6 +8,9 @@ only the page is joined with its texts.
 from __future__ import annotations
 
 import difflib
+import math
+import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skerry.functions.text import ext_of, index_tokens, padded, tokens
+from skerry.functions.text import answered_trackers, brief, ext_of, index_tokens, magnet, padded, resolve_category, tokens
+from skerry.operators.health import health_state
 
 
 @dataclass
@@ -34,7 +38,10 @@ class Group:
 
 @dataclass
 class Search:
-    """Groups are alternatives. ranges are closed intervals of columns; an empty Search fits all."""
+    """Groups are alternatives. ranges are closed intervals of columns; an empty Search fits all.
+
+    Categories are names as they stand in the column; categories_of() finds those that a user's words mean.
+    """
 
     groups: list[Group] = field(default_factory=list)
     categories: list[str] | None = None
@@ -79,9 +86,14 @@ def with_phrase(docs: DataFrame, phrase: str, scope: str | None = None) -> Colum
 
 
 def matching(docs: DataFrame, index: DataFrame, group: Group) -> DataFrame:
-    """doc_ids of the group: semi joins for its words, a filter for phrases, anti joins for exclusions."""
+    """doc_ids of the group: semi joins for its words, a filter for phrases, anti joins for exclusions.
+
+    A phrase's own words are asked of the index first, so that only texts that hold them all are read. Single
+    letters aren't in it; a phrase with one matches nothing.
+    """
     found = docs
-    for word in group.words:
+    inside = [w for phrase in group.phrases for w in re.findall("[a-z0-9]+", phrase)]
+    for word in dict.fromkeys([*group.words, *inside]):
         found = found.join(with_token(index, word, group.scope), "doc_id", "left_semi")
     if group.prefix:
         found = found.join(with_token(index, group.prefix, group.scope, prefix=len(group.prefix) >= 3), "doc_id", "left_semi")
@@ -112,12 +124,27 @@ def filters(search: Search, now: int) -> Column:
     return keep
 
 
-def health_state(dead: Column | None = None) -> Column:
-    """Five-state verdict of the current figures."""
-    dead = F.lit(False) if dead is None else dead
-    return (
-        F.when(F.col("src") == "none", "unknown").when(F.col("seeders") > 0, "alive").when(F.col("peers") > 0, "weak").when(F.col("src") != "scrape", "unknown").when(dead, "dead").otherwise("quiet")
-    )
+def categories_of(asked: DataFrame, column: str = "value") -> DataFrame:
+    """(value, category) of the names that a user asks for categories by; null where there is no such category."""
+    return asked.select(F.col(column).alias("value"), resolve_category(F.col(column)).alias("category"))
+
+
+def terms_of(search: Search) -> list[str]:
+    """The words to mark in results: all that must match, those of phrases too, each once, in the order asked."""
+    found = []
+    for group in search.groups:
+        found += [*group.words, *([group.prefix] if group.prefix else []), *(w for phrase in group.phrases for w in re.findall("[a-z0-9]+", phrase))]
+    return list(dict.fromkeys(found))
+
+
+#: Labels of sizes with the least and the greatest size in bytes; 0 stands for no bound.
+SIZE_RANGES = {"< 1 MB": (0, 2**20 - 1), "1–100 MB": (2**20, 100 * 2**20 - 1), "100 MB–1 GB": (100 * 2**20, 2**30 - 1), "1–10 GB": (2**30, 10 * 2**30 - 1), "10–50 GB": (10 * 2**30, 50 * 2**30 - 1), "> 50 GB": (50 * 2**30, 0)}
+
+
+def size_range(label: str) -> tuple[int | None, int | None]:
+    """Range of a size facet, as Search takes it."""
+    low, high = SIZE_RANGES[label]
+    return low or None, high or None
 
 
 def run(docs: DataFrame, index: DataFrame, search: Search, now: int) -> DataFrame:
@@ -136,8 +163,6 @@ def frequencies(index: DataFrame) -> DataFrame:
 
 def idf_of(index: DataFrame, words: list[str], n_live: int) -> dict[str, float]:
     """ln(1 + N / (1 + max(df_name, df_files))) of a query's words."""
-    import math
-
     rows = frequencies(index.filter(F.col("token").isin(words))).groupBy("token").agg(F.max("df").alias("df")).collect()
     df = {r.token: r.df for r in rows}
     return {w: math.log(1 + max(n_live, 1) / (1 + df.get(w, 0))) for w in words}
@@ -156,7 +181,7 @@ def relevance(words: list[str], idf: dict[str, float], phrases: list[str] = (),
         exact = F.array_contains(name, w)
         starts = F.exists(name, starts_with(w)) if len(w) >= 3 else F.lit(False)
         total += F.when(exact, 3.0).when(starts, 2.0).otherwise(1.0) * idf[w]
-        inside += F.when(exact, 1).otherwise(0)
+        inside += F.when(exact | starts, 1).otherwise(0)
     n = len(words)
     total += 2.0 * n / size + 1.5 * inside / max(n, 1)
     if phrases:
@@ -167,7 +192,7 @@ def relevance(words: list[str], idf: dict[str, float], phrases: list[str] = (),
 
 
 #: Sort orders by name; every order ends with the id.
-SORTS = {"seeders": ["seeders", "peers"], "peers": ["peers", "seeders"], "size": ["size"], "files": ["file_count"], "date": ["indexed_at"]}
+SORTS = {"seeders": ["seeders", "peers"], "peers": ["peers", "seeders"], "size": ["size"], "files": ["file_count"], "date": ["indexed_at"], "created": ["created"]}
 
 
 def page(found: DataFrame, sort: str = "seeders", page: int = 1, per_page: int = 20, ascending: bool = False) -> DataFrame:
@@ -177,6 +202,30 @@ def page(found: DataFrame, sort: str = "seeders", page: int = 1, per_page: int =
     return found.orderBy(*keys, "doc_id").offset((max(1, page) - 1) * per_page).limit(per_page)
 
 
+def page_count(total: Column, per_page: int = 20) -> Column:
+    return F.greatest(F.lit(1), F.ceil(total / min(100, max(5, per_page))))
+
+
+def result_items(page: DataFrame, terms: list[str], name_only: bool = False) -> DataFrame:
+    """What a list of results shows of the rows of a page. page: hot columns joined with the records of its rows.
+
+    Names come in stretches with their hits marked. Where a word doesn't start a word of the name, the files that
+    have most of the words come along; without words, the first three files.
+    """
+    words = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    name = tokens(F.col("name"))
+    by_name = reduce(lambda a, b: a & b, (F.exists(name, starts_with(t)) for t in terms), F.lit(True))
+    none = F.lit(None).cast("array<string>")
+    return page.select(
+        "doc_id", "ih", "name", highlight("name", words).alias("stretches"), "size", "file_count", "seeders", "peers",
+        F.col("src").eqNullSafe("scrape").alias("verified"), "health_at", health_state().alias("state"), "checked_at", "seed_ok_at",
+        brief(F.col("detail")).alias("detail"), "category", F.slice("exts", 1, 5).alias("exts"), "indexed_at", "created",
+        magnet(F.col("ih"), F.col("name"), answered_trackers(F.coalesce(F.col("detail.tr"), F.array()), F.col("trackers"))).alias("magnet"),
+        F.when(by_name | F.lit(not terms or name_only), none).otherwise(best_files(F.col("files"), terms)).alias("matched_files"),
+        F.when(F.lit(not terms), F.slice(F.transform("files", lambda f: f.path), 1, 3)).alias("top_files"),
+    )
+
+
 def facets(found: DataFrame, categories_of: DataFrame, bucket: Column, labels: list[str], states: list[str]) -> DataFrame:
     """(facet, label, n): categories without the category filter; sizes and states with their zeros. One pass for sizes and states."""
     cat = categories_of.groupBy(F.col("category").alias("label")).agg(F.count("*").alias("n")).select(F.lit("category").alias("facet"), "label", "n")
@@ -204,49 +253,100 @@ def related(index: DataFrame, visible: DataFrame, doc_id: int, n_docs: int, n: i
 
 
 def did_you_mean(index: DataFrame, visible: DataFrame, words: list[str]) -> DataFrame:
-    """(word, suggestion): the most frequent visible name word close to each word of four letters or more that starts no word."""
+    """(word, suggestion) for each word of four letters or more that starts no word of any document.
+
+    Of the name words of like first letter and length the three closest are taken; of those that a visible
+    document has, the most frequent one is suggested.
+    """
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)])
 
-    asked = [w for w in words if len(w) >= 4 and not w.isdigit()]
+    asked = [w for w in dict.fromkeys(words) if len(w) >= 4 and not w.isdigit()]
     spark = index.sparkSession
-    wanted = spark.createDataFrame([(w, w[0], len(w)) for w in asked], "word string, first string, n int")
-    seen = index.filter(F.col("field") == "n").join(visible.select("doc_id"), "doc_id", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    close = seen.withColumn("first", F.left("token", F.lit(1))).join(F.broadcast(wanted), "first").filter(F.abs(F.char_length("token") - F.col("n")) <= 2)  # the query's words
-    known = seen.join(F.broadcast(wanted), F.col("token").startswith(F.col("word"))).select("word").distinct()
+    wanted = spark.createDataFrame([(w, w[0], w[:4], len(w)) for w in asked], "word string, first string, four string, n int")
+    start = index.withColumn("four", F.left("token", F.lit(4))).join(F.broadcast(wanted), "four")  # the query's words
+    known = start.filter(F.col("token").startswith(F.col("word"))).select("word").distinct()
+    names = index.filter(F.col("field") == "n")
+    close = names.withColumn("first", F.left("token", F.lit(1))).join(F.broadcast(wanted), "first").filter(F.abs(F.char_length("token") - F.col("n")) <= 2)
+    close = close.join(known, "word", "left_anti").groupBy("word", "token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("word").orderBy(F.col("r").desc(), F.col("token").desc())
-    three = close.join(known, "word", "left_anti").withColumn("r", ratio("word", "token")).filter("r >= 0.75").withColumn("k", F.row_number().over(order)).filter("k <= 3")
-    return three.groupBy("word").agg(F.max_by("token", F.struct("df", "r", "token")).alias("suggestion"))
-
-
-@F.udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("hit", T.BooleanType())])), useArrow=True)
-def highlight(text: str, words: list[str]) -> list[dict]:
-    """The text in stretches, those that match a word marked. Words of three letters or more mark the whole word they start."""
-    import re
-    import unicodedata
-
-    folded, origin = [], []
-    for i, c in enumerate(text or ""):
-        for x in unicodedata.normalize("NFKD", c.lower()):
-            if not unicodedata.combining(x):
-                folded.append(x)
-                origin.append(i)
-    joined, marks = "".join(folded), set()
-    for w in words:
-        for m in re.finditer(r"(?<![a-z0-9])" + re.escape(w) + (r"[a-z0-9]*" if len(w) >= 3 else r"(?![a-z0-9])"), joined):
-            marks.update(origin[m.start() : m.end()])
-    out = []
-    for i, c in enumerate(text or ""):
-        if out and out[-1]["hit"] == (i in marks):
-            out[-1]["text"] += c
-        else:
-            out.append({"text": c, "hit": i in marks})
-    return out
+    three = close.withColumn("r", ratio("word", "token")).filter("r >= 0.75").withColumn("k", F.row_number().over(order)).filter("k <= 3")
+    seen = names.join(F.broadcast(three.select("token").distinct()), "token", "left_semi").join(visible.select("doc_id"), "doc_id", "left_semi").select("token").distinct()
+    return three.join(seen, "token", "left_semi").groupBy("word").agg(F.max_by("token", F.struct("df", "r", "token")).alias("suggestion"))
+
+
+def folded(text: str) -> tuple[str, list[int]]:
+    """text in lower case without marks, and which character of it each one comes from."""
+    pairs = [(c, i) for i, x in enumerate(text) for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c)]
+    return "".join(c for c, _ in pairs), [i for _, i in pairs]
+
+
+STRETCHES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("hit", T.BooleanType())]))
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
+
+
+@F.pandas_udf(STRETCHES)
+def highlight(texts: pd.Series, words: pd.Series) -> pd.Series:
+    """Each text in stretches, those that match a word marked. Words of three letters or more mark the whole word they start."""
+    patterns: dict[str, re.Pattern] = {}
+
+    def of(word: str) -> re.Pattern:
+        if word not in patterns:
+            patterns[word] = re.compile("(?<![a-z0-9])" + re.escape(word) + (r"[^\W_]*" if len(word) >= 3 else "(?![a-z0-9])"))
+        return patterns[word]
+
+    def stretches(text: str | None, asked: list[str]) -> list[dict]:
+        if not text:
+            return []
+        low, origin = folded(text)
+        at, out = 0, []
+        for a, b in sorted((origin[m.start()], origin[m.end() - 1] + 1) for w in asked for m in of(w).finditer(low)):
+            if b <= at:
+                continue
+            if out and a <= at and out[-1]["hit"]:
+                out[-1]["text"] += text[at:b]
+            else:
+                out += [{"text": text[at:a], "hit": False}] * (a > at) + [{"text": text[max(a, at) : b], "hit": True}]
+            at = b
+        return out + [{"text": text[at:], "hit": False}] * (at < len(text))
+
+    return pd.Series([stretches(t, list(w)) for t, w in zip(texts, words)])
+
+
+def spans_of(text: Column, term: str, mode: str, most: int = 20) -> Column:
+    """Where a rule's term stands in the original text: the first spans [start, stop), in characters."""
+    if mode == "word":
+        wanted = re.compile("(?<![a-z0-9])" + "[^a-z0-9]+".join(map(re.escape, re.findall("[a-z0-9]+", folded(term)[0]))) + "(?![a-z0-9])")
+    elif mode == "substring":
+        wanted = re.compile("(?=(" + re.escape(folded(term)[0].strip()) + "))")  # from every place on
+    else:
+        wanted = re.compile(term, re.IGNORECASE)
+
+    @F.pandas_udf(SPANS)
+    def find(texts: pd.Series) -> pd.Series:
+        def spans(text: str | None) -> list[dict]:
+            raw, origin = (text or "", None) if mode == "regex" else folded(text or "")
+            out = []
+            for m in wanted.finditer(raw):
+                a, b = m.span(1) if mode == "substring" else m.span()
+                if b > a and len(out) < most:
+                    out.append({"start": a, "stop": b} if origin is None else {"start": origin[a], "stop": origin[b - 1] + 1})
+            return out
+
+        return texts.map(spans)
+
+    return find(text)
+
+
+def best_files(files: Column, words: list[str], most: int = 3, among: int = 500) -> Column:
+    """Paths of the files with a word that starts with most of the words, of the first `among`; ties by length and path."""
+    count = lambda f: sum((F.when(F.contains(padded(f.path), F.lit(f" {w}")), 1).otherwise(0) for w in words), F.lit(0))
+    scored = F.transform(F.slice(files, 1, among), lambda f: F.struct((-count(f)).alias("hits"), F.char_length(f.path).alias("n"), f.path.alias("path")))
+    return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x.hits < 0)), 1, most), lambda x: x.path)
 
 
 def matched_files(items: DataFrame, words: list[str], most: int = 3, among: int = 500) -> DataFrame:
-    """(doc_id, file): the files that have the most of the words, of the first `among`; ties by length and path."""
-    at = F.filter(F.transform(F.slice("files", 1, among), lambda f: F.struct((-sum((F.when(F.array_contains(tokens(f.path), w), 1).otherwise(0) for w in words), F.lit(0))).alias("hits"), F.char_length(f.path).alias("n"), f.path.alias("path"))), lambda x: x.hits < 0)
-    return items.select("doc_id", F.explode(F.slice(F.array_sort(at), 1, most)).alias("x")).select("doc_id", F.col("x.path").alias("file"))
+    """(doc_id, file): the best files of each document, as best_files() ranks them."""
+    return items.select("doc_id", F.explode(best_files(F.col("files"), words, most, among)).alias("file"))

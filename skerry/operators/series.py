@@ -16,46 +16,104 @@ from pyspark.sql.window import Window
 TIERS = {"raw": (86_400, 10), "m5": (30 * 86_400, 300), "h1": (730 * 86_400, 3600)}
 
 
+DAY = 86_400
+
+
 def to_tenths(value: Column) -> Column:
-    """Rounded to one place, halves up."""
-    return F.floor(value * 10 + 0.5) / 10
+    """Rounded to one place, halves to the even digit; as a decimal, so that the order of a sum doesn't show."""
+    return F.bround(value.cast("decimal(30,12)"), 1).cast("double")
 
 
 def roll_up(points: DataFrame, step: int) -> DataFrame:
-    """One point for each bucket of step seconds: the gauge's sum over all points (also those without it), counters as last seen."""
+    """One point for each bucket of step seconds: the gauge's sum over all points (also those without it; null if none has it), counters as last seen."""
     start = F.floor(F.col("t") / step) * step
-    mean = to_tenths(F.coalesce(F.sum("gauge"), F.lit(0.0)) / F.count("*"))
-    return points.groupBy(start.alias("start")).agg(mean.alias("gauge"), F.max_by("counter", F.struct("t", "event_id")).alias("counter"), F.count("*").alias("n")).select((F.col("start") + step // 2).alias("t"), "gauge", "counter", "n")
+    mean = to_tenths(F.sum("gauge") / F.count("*"))
+    last = F.max_by("counter", F.when(F.col("counter").isNotNull(), F.struct("t", "event_id")))
+    return points.groupBy(start.alias("start")).agg(mean.alias("gauge"), last.alias("counter"), F.count("*").alias("n")).select((F.col("start") + step // 2).alias("t"), "gauge", "counter", "n")
+
+
+def bucketed(points: DataFrame, at: str = "t", width: int = DAY) -> DataFrame:
+    """points with __b, the stretch of the order that a row lies in. A series' windows run within it, and what they
+    need of earlier stretches is carried over from one row for each, so that no task holds a series."""
+    return points.withColumn("__b", F.floor(F.col(at) / width))
+
+
+def previous(points: DataFrame, by: str, *columns: str, width: int = DAY) -> DataFrame:
+    """points with prev_<column>, the values of the series' point before, in the order of (t, event_id)."""
+    p, row = bucketed(points, width=width), F.struct(*columns)
+    edges = p.groupBy(by, "__b").agg(F.max_by(row, F.struct("t", "event_id")).alias("__e"))
+    edges = edges.withColumn("__e", F.lag("__e").over(Window.partitionBy(by).orderBy("__b")))
+    p = p.withColumn("__p", F.lag(row).over(Window.partitionBy(by, "__b").orderBy("t", "event_id"))).join(edges, [by, "__b"], "left")
+    return p.withColumns({f"prev_{c}": F.coalesce(F.col("__p"), F.col("__e"))[c] for c in columns}).drop("__b", "__p", "__e")
+
+
+def running(points: DataFrame, by: str, order: tuple[str, ...] = ("t", "event_id"), width: int = DAY, **values: tuple[str, Column]) -> DataFrame:
+    """points with a running sum or max of each value (name=("sum" or "max", column)) in the series' order, whose first column stretches go by."""
+    agg = {"sum": F.sum, "max": F.max}
+    p = bucketed(points, order[0], width).withColumns({f"__v_{k}": v for k, (_, v) in values.items()})
+    totals = p.groupBy(by, "__b").agg(*(agg[how](f"__v_{k}").alias(f"__t_{k}") for k, (how, _) in values.items()))
+    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"__t_{k}": agg[how](f"__t_{k}").over(before) for k, (how, _) in values.items()})
+    inside = Window.partitionBy(by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumns({f"__v_{k}": agg[how](f"__v_{k}").over(inside) for k, (how, _) in values.items()}).join(totals, [by, "__b"], "left")
+    both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest}
+    p = p.withColumns({k: both[how](F.col(f"__v_{k}"), F.col(f"__t_{k}")) for k, (how, _) in values.items()})
+    return p.drop("__b", *(f"__{x}_{k}" for k in values for x in "vt"))
 
 
 def segments(points: DataFrame, gap: int, by: str = "event_type") -> DataFrame:
     """points with seg, which grows where more than gap seconds are missing, and rn within it. by: the series."""
-    order = Window.partitionBy(by).orderBy("t", "event_id")
-    broken = F.when(F.col("t") - F.lag("t").over(order) > gap, 1).otherwise(0)
-    with_seg = points.withColumn("broken", broken).withColumn("seg", F.sum("broken").over(order)).drop("broken")
-    return with_seg.withColumn("rn", F.row_number().over(Window.partitionBy(by, "seg").orderBy("t", "event_id")))
+    steps = previous(points.withColumn("__one", F.lit(1)), by, "t")
+    steps = steps.withColumn("broken", F.when(F.col("t") - F.col("prev_t") > gap, 1).otherwise(0))
+    counted = running(steps, by, seg=("sum", F.col("broken")), number=("sum", F.col("__one")))
+    started = running(counted, by, start=("max", F.when((F.col("broken") == 1) | F.col("prev_t").isNull(), F.col("number"))))
+    return started.withColumn("rn", F.col("number") - F.col("start") + 1).drop("broken", "prev_t", "number", "start", "__one")
 
 
 def down_sample(points: DataFrame, most: int, step: int, by: str = "event_type") -> DataFrame:
-    """At most about `most` points for each series, none across a gap: last time, mean of gauges that are there, last counter."""
+    """At most about `most` points for each series, none across a gap: last time, mean of gauges that are there, last counter that is there."""
     sizes = points.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).alias("g"))
     grouped = segments(points, max(4 * step, 60), by).join(sizes, by).withColumn("grp", F.floor((F.col("rn") - 1) / F.col("g")))
-    return grouped.groupBy(by, "seg", "grp").agg(F.max("t").alias("t"), F.avg("gauge").alias("gauge"), F.max_by("counter", F.struct("t", "event_id")).alias("counter")).drop("grp")
+    last = F.max_by("counter", F.when(F.col("counter").isNotNull(), F.struct("t", "event_id")))
+    return grouped.groupBy(by, "seg", "grp").agg(F.max("t").alias("t"), F.avg("gauge").alias("gauge"), last.alias("counter")).drop("grp")
 
 
-def rates(points: DataFrame, window: int, by: str = "event_type") -> DataFrame:
-    """Growth of the counter per second over a sliding window, not across gaps, not below zero; null where the window is too short."""
-    order = Window.partitionBy(by).orderBy("t", "event_id")
-    steps = points.withColumn("dt", F.col("t") - F.lag("t").over(order))
-    counts = steps.filter("dt is not null").groupBy(by, "dt").agg(F.count("*").alias("n"))
+def typical_step(points: DataFrame, by: str = "event_type") -> DataFrame:
+    """(by, med): the upper median of the steps between a series' points."""
+    steps = previous(points, by, "t").withColumn("dt", F.col("t") - F.col("prev_t"))
+    counts = steps.filter("dt is not null").groupBy(by, "dt").agg(F.count("*").alias("n"))  # distinct steps only
     upto, total = F.sum("n").over(Window.partitionBy(by).orderBy("dt")), F.sum("n").over(Window.partitionBy(by))
-    # the upper median
-    typical = counts.select(by, "dt", upto.alias("upto"), total.alias("total")).filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(by).agg(F.min("dt").alias("med"))
-    cut = steps.join(typical, by).withColumn("broken", F.when(F.col("dt") > F.greatest(F.lit(60), 4 * F.col("med")), 1).otherwise(0))
-    cut = cut.withColumn("seg", F.sum("broken").over(order))
-    back = Window.partitionBy(by, "seg").orderBy("t").rangeBetween(-window, 0)
+    return counts.select(by, "dt", upto.alias("upto"), total.alias("total")).filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(by).agg(F.min("dt").alias("med"))
+
+
+def rates(points: DataFrame, window: int, by: str = "event_type") -> DataFrame:
+    """Growth of the counter per second over a sliding window, not across gaps, not below zero; null where the window is too short.
+
+    A gap is more than four of the series' median steps and more than a minute. A point's window reaches into its
+    own stretch of that length and the one before, so points stand in two.
+    """
+    steps = previous(points, by, "t").withColumn("dt", F.col("t") - F.col("prev_t"))
+    cut = steps.join(typical_step(points, by), by).withColumn("broken", F.when(F.col("dt") > F.greatest(F.lit(60), 4 * F.col("med")), 1).otherwise(0))
+    cut = running(cut, by, seg=("sum", F.col("broken")))
+    twice = cut.withColumn("late", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", F.floor(F.col("t") / window) + F.col("late"))
+    back = Window.partitionBy(by, "seg", "part").orderBy("t").rangeBetween(-window, 0)
+    found = twice.withColumn("t0", F.min("t").over(back)).withColumn("c0", F.min("counter").over(back)).filter("late = 0")
     span = F.col("t") - F.col("t0")
-    return cut.withColumn("t0", F.min("t").over(back)).withColumn("c0", F.min("counter").over(back)).select(by, "t", "event_id", F.when(span >= 0.8 * window, F.greatest(F.lit(0.0), (F.col("counter") - F.col("c0")) / span)).alias("rate"))
+    return found.select(by, "t", "event_id", F.when(span >= 0.8 * window, F.greatest(F.lit(0.0), (F.col("counter") - F.col("c0")) / span)).alias("rate"))
+
+
+def deltas(points: DataFrame, by: str = "event_type") -> DataFrame:
+    """(by, event_id, rate): growth of the counter since the point before, per second, not below zero."""
+    d = previous(points, by, "t", "counter").filter("prev_t is not null")
+    grown, passed = F.col("counter") - F.col("prev_counter"), (F.col("t") - F.col("prev_t")).cast("double")
+    return d.select(by, "event_id", (F.greatest(grown, F.lit(0)) / F.greatest(passed, F.lit(0.001))).alias("rate"))
+
+
+def lifetime(points: DataFrame, by: str = "event_type", gap: int = 60) -> DataFrame:
+    """(by, seconds, transferred): time between points no further apart than gap seconds, and the gauge summed over it."""
+    d = previous(points, by, "t").withColumn("dt", F.col("t") - F.col("prev_t"))
+    near = (F.col("dt") > 0) & (F.col("dt") <= gap)
+    return d.groupBy(by).agg(F.sum(F.when(near, F.col("dt")).otherwise(0)).alias("seconds"), F.sum(F.when(near, F.coalesce("gauge", F.lit(0.0)) * F.col("dt")).otherwise(0.0)).alias("transferred"))
 
 
 def moving_average(points: DataFrame, by: str, order: list[str], value: str, gain: float = 0.05) -> DataFrame:
@@ -86,9 +144,46 @@ def moving_average(points: DataFrame, by: str, order: list[str], value: str, gai
     return runs.groupBy(by).agg(F.when(~F.bool_or("__null"), total).alias("average"))
 
 
+ARRIVALS = 100_000  # events that a stretch of arrivals stands for
+
+
 def monotonic(points: DataFrame, by: str = "event_type") -> DataFrame:
-    """t never goes back in the order of arrival."""
-    return points.withColumn("t", F.max("t").over(Window.partitionBy(by).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    """t never goes back in the order of arrival, that of event_id."""
+    late = running(points, by, ("event_id",), ARRIVALS, latest=("max", F.col("t")))
+    return late.withColumn("t", F.col("latest")).drop("latest")
+
+
+#: Bounds of a range in seconds, and the most points of an answer.
+LEAST_RANGE_S, MOST_RANGE_S, MOST_POINTS = 60, 730 * DAY, 600
+
+
+def tier_for(seconds: int) -> str:
+    return "raw" if seconds <= DAY else "m5" if seconds <= 30 * DAY else "h1"
+
+
+def history_range(tiers: dict[str, DataFrame], seconds: int, now: int, most: int = MOST_POINTS) -> DataFrame:
+    """Points (t, gauge, counter, tier) of the last seconds up to now.
+
+    tiers: raw, m5 and h1 as (t, event_id, gauge, counter). The tier that suits the range comes first, finer ones
+    complete it after its last point; then points are grouped down to about `most`, none across a gap. The last
+    time of each tier is one number, read before the next scan, which it prunes.
+    """
+    seconds = max(LEAST_RANGE_S, min(int(seconds), MOST_RANGE_S))
+    names = list(TIERS)
+    own, last, found = tier_for(seconds), None, None
+    for name in reversed(names[: names.index(own) + 1]):
+        after = F.col("t") >= now - seconds if last is None else (F.col("t") >= now - seconds) & (F.col("t") > last)
+        part = tiers[name].filter(after).select("t", "event_id", "gauge", "counter", F.lit(name).alias("tier"))
+        newest = part.agg(F.max("t")).first()[0]
+        if newest is not None:
+            last = newest + TIERS[name][1] / 2
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return tiers[own].limit(0).select("t", "gauge", "counter", F.lit(own).alias("tier"))
+    sizes = found.count()
+    if sizes <= most:
+        return found.select("t", "gauge", "counter", "tier")
+    return down_sample(found.withColumn("series", F.lit("all")), most, TIERS[own][1], "series").select("t", "gauge", "counter", F.lit(own).alias("tier"))
 
 
 def stitch(coarse: DataFrame, fine: DataFrame, coarse_step: int) -> DataFrame:
@@ -112,5 +207,10 @@ def estimate(sketches: DataFrame) -> DataFrame:
 
 def uptime(points: DataFrame, by: str = "event_type", most: int = 120) -> DataFrame:
     """Seconds between ticks of each series, without gaps of `most` and more."""
-    dt = F.col("t") - F.lag("t").over(Window.partitionBy(by).orderBy("t", "event_id"))
-    return points.withColumn("dt", dt).groupBy(by).agg(F.coalesce(F.sum(F.when((F.col("dt") > 0) & (F.col("dt") < most), F.col("dt"))), F.lit(0)).alias("uptime_s"))
+    d = previous(points, by, "t").withColumn("dt", F.col("t") - F.col("prev_t"))
+    return d.groupBy(by).agg(F.coalesce(F.sum(F.when((F.col("dt") > 0) & (F.col("dt") < most), F.col("dt"))), F.lit(0)).alias("uptime_s"))
+
+
+def life_report(days: Column, uptime_s: Column, traffic: Column) -> tuple[Column, Column]:
+    """Availability in percent since the first start, and the average traffic per second of uptime."""
+    return F.least(F.lit(100.0), uptime_s / 864 / days), traffic / F.greatest(uptime_s, F.lit(1))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skerry.plans import search_queries, state_queries, stream_queries, telemetry_queries
+from skerry.plans import record_queries, search_queries, state_queries, stream_queries, telemetry_queries
 from skerry.plans.register import Query
 
-PARTS = (search_queries.query, telemetry_queries.query, state_queries.query, stream_queries.query)
+PARTS = (search_queries.query, telemetry_queries.query, state_queries.query, record_queries.query, stream_queries.query)
 
 
 def queries() -> dict[str, Query]:

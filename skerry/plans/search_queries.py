@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions.text import bucket, ext_of, host_of, index_tokens, padded, tokens
+from skerry.operators import records as R
 from skerry.operators import search as S
 from skerry.plans.register import Register
-from skerry.plans.views import DOCS, FILES, NOW, docs, items, table
+from skerry.plans.views import DOCS, FILE_ORDER, FILES, NOW, RECORDS, docs, file_rows, items, media_files, table
 
 query = Register()
 IDS = "SELECT doc_id FROM toks WHERE NOT deleted AND NOT hidden AND "
 NAME_SIZES, SIZE_LABELS = [500, 1000, 2000, 5000, 20_000], ["<500", "<1000", "<2000", "<5000", "<20000", "more"]
 STATES = ["alive", "weak", "quiet", "dead", "unknown"]
-STATE_SQL = "CASE WHEN src = 'none' THEN 'unknown' WHEN seeders > 0 THEN 'alive' WHEN peers > 0 THEN 'weak' WHEN src <> 'scrape' THEN 'unknown' ELSE 'quiet' END"
+STATE_SQL = "CASE WHEN src = 'none' THEN 'unknown' WHEN seeders > 0 THEN 'alive' WHEN peers > 0 THEN 'weak' WHEN src <> 'scrape' THEN 'unknown' WHEN dead THEN 'dead' ELSE 'quiet' END"
 SIZE_SQL = "CASE WHEN size < 500 THEN '<500' WHEN size < 1000 THEN '<1000' WHEN size < 2000 THEN '<2000' WHEN size < 5000 THEN '<5000' WHEN size < 20000 THEN '<20000' ELSE 'more' END"
 
 
@@ -77,9 +78,9 @@ def search_age_range(spark, sf_dir):
     return found(spark, sf_dir, S.Search(ranges={"age": (None, 90 * 86_400)}))
 
 
-@query(f"WITH {DOCS} {IDS} {STATE_SQL} IN ('alive', 'weak')")
+@query(f"WITH {DOCS} {IDS} {STATE_SQL} IN ('weak', 'dead')")
 def search_health_state(spark, sf_dir):
-    return found(spark, sf_dir, S.Search(states=["alive", "weak"]))
+    return found(spark, sf_dir, S.Search(states=["weak", "dead"]))
 
 
 @query(f"WITH {DOCS} {IDS} starts_with(ih, 'a')")
@@ -99,7 +100,7 @@ idf AS (SELECT max(CASE WHEN token = 'and' THEN ln(1 + n / (1 + df)) END) AS a,
 scored AS (SELECT doc_id, seeders, indexed_at,
   a * CASE WHEN list_contains(nt, 'and') THEN 3 WHEN len(list_filter(nt, lambda t: starts_with(t, 'and'))) > 0 THEN 2 ELSE 1 END
   + w * CASE WHEN list_contains(nt, 'with') THEN 3 WHEN len(list_filter(nt, lambda t: starts_with(t, 'with'))) > 0 THEN 2 ELSE 1 END
-  + 4.0 / greatest(len(nt), 1) + 1.5 * (CAST(list_contains(nt, 'and') AS INT) + CAST(list_contains(nt, 'with') AS INT)) / 2
+  + 4.0 / greatest(len(nt), 1) + 1.5 * (CAST(len(list_filter(nt, lambda t: starts_with(t, 'and'))) > 0 AS INT) + CAST(len(list_filter(nt, lambda t: starts_with(t, 'with'))) > 0 AS INT)) / 2
   + CASE WHEN array_to_string(nt, ' ') = 'and with' THEN 6 ELSE 0 END + CASE WHEN src = 'scrape' THEN 0.6 * log10(1 + seeders) ELSE 0 END AS score
   FROM toks, idf WHERE NOT deleted AND NOT hidden AND (list_contains(nt, 'and') OR list_contains(ft, 'and')) AND (list_contains(nt, 'with') OR list_contains(ft, 'with')))
 SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, seeders DESC, indexed_at DESC, doc_id LIMIT 20"""
@@ -119,6 +120,43 @@ def search_sorted_page(spark, sf_dir):
     return S.page(S.run(docs(spark, sf_dir), None, S.Search(), NOW), "seeders", page=2).select("doc_id", "seeders", "peers", "name")
 
 
+@query(f"WITH {DOCS} SELECT doc_id, created FROM live ORDER BY created DESC, doc_id LIMIT 20")
+def search_created_sort(spark, sf_dir):
+    return S.page(S.run(docs(spark, sf_dir), None, S.Search(), NOW), "created").select("doc_id", "created")
+
+
+@query(f"WITH {DOCS} SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 20.0)) AS BIGINT) AS pages FROM live WHERE category = 'fr'")
+def search_page_count(spark, sf_dir):
+    total = S.run(docs(spark, sf_dir), None, S.Search(categories=["fr"]), NOW).agg(F.count("*").alias("total"))
+    return total.select("total", S.page_count(F.col("total")).alias("pages"))
+
+
+@query("SELECT * FROM (VALUES (0, 'blue'), (1, 'moon'), (2, 'over'), (3, 'the'), (4, 'ri')) AS v(place, term)")
+def search_terms(spark, sf_dir):
+    """The words that results mark, of all alternatives."""
+    terms = S.terms_of(S.Search([S.Group(words=["blue", "moon"], not_words=["red"], phrases=["over the moon"]), S.Group(words=["moon"], prefix="ri")]))
+    return spark.createDataFrame(list(enumerate(terms)), "place int, term string")
+
+
+@query(
+    """WITH r(label, low, high) AS (VALUES ('< 1 MB', NULL, 1048575), ('1–100 MB', 1048576, 104857599), ('100 MB–1 GB', 104857600, 1073741823), ('1–10 GB', 1073741824, 10737418239), ('10–50 GB', 10737418240, 53687091199), ('> 50 GB', 53687091200, NULL)),
+d AS (SELECT CAST(n_chars AS BIGINT) * n_chars * 1000 AS size FROM documents)
+SELECT label, count(size) AS n FROM r LEFT JOIN d ON size >= coalesce(low, 0) AND size <= coalesce(high, 9223372036854775807) GROUP BY label"""
+)
+def search_size_ranges(spark, sf_dir):
+    """What choosing each size facet finds."""
+    sized = docs(spark, sf_dir).select((F.col("size") * F.col("size") * 1000).alias("size"))
+    fits = lambda low, high: (F.lit(True) if low is None else F.col("size") >= low) & (F.lit(True) if high is None else F.col("size") <= high)
+    wide = sized.agg(*(F.count_if(fits(*S.size_range(label))).alias(label) for label in S.SIZE_RANGES))
+    return wide.unpivot([], list(S.SIZE_RANGES), "label", "n")
+
+
+@query("SELECT * FROM (VALUES ('Vídeo', 'Video'), ('pelicula', 'Video'), ('MUSIC', 'Audio'), (' docs ', 'Documents'), ('Comprimidos', 'Archives'), ('otros', 'Other'), ('nothing', '-'), ('Imágenes', 'Images'), ('iso', 'Software')) AS v(value, category)")
+def category_names(spark, sf_dir):
+    asked = spark.createDataFrame([(x,) for x in ("Vídeo", "pelicula", "MUSIC", " docs ", "Comprimidos", "otros", "nothing", "Imágenes", "iso")], "value string")
+    return S.categories_of(asked).withColumn("category", F.coalesce("category", F.lit("-")))
+
+
 @query(f"WITH {DOCS} SELECT doc_id, array_to_string(nt, ' ') AS sort_name FROM toks WHERE NOT deleted AND NOT hidden ORDER BY sort_name, doc_id LIMIT 20")
 def search_name_sort(spark, sf_dir):
     d = S.run(docs(spark, sf_dir), None, S.Search(), NOW)
@@ -126,13 +164,13 @@ def search_name_sort(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DOCS}, hit AS (SELECT *, {STATE_SQL} AS state, {SIZE_SQL} AS bucket FROM live WHERE seeders >= 50),
+    f"""WITH {DOCS}, hit AS (SELECT *, {STATE_SQL} AS state, {SIZE_SQL} AS bucket FROM live WHERE indexed_at >= 1680000000),
 labels(facet, label) AS (VALUES ('size', '<500'), ('size', '<1000'), ('size', '<2000'), ('size', '<5000'), ('size', '<20000'), ('size', 'more'), ('state', 'alive'), ('state', 'weak'), ('state', 'quiet'), ('state', 'dead'), ('state', 'unknown'))
 SELECT 'category' AS facet, category AS label, count(*) AS n FROM hit GROUP BY category
 UNION ALL SELECT facet, label, (SELECT count(*) FROM hit WHERE category = 'en' AND CASE WHEN facet = 'size' THEN bucket ELSE state END = label) FROM labels"""
 )
 def search_facets(spark, sf_dir):
-    every = S.run(docs(spark, sf_dir), None, S.Search(ranges={"seeders": (50, None)}), NOW)
+    every = S.run(docs(spark, sf_dir), None, S.Search(ranges={"indexed_at": (1_680_000_000, None)}), NOW)
     return S.facets(every.filter("category = 'en'"), every, bucket(F.col("size"), NAME_SIZES, SIZE_LABELS), SIZE_LABELS, STATES)
 
 
@@ -144,36 +182,55 @@ def search_suggest(spark, sf_dir):
 
 @query(
     f"""WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 AND NOT regexp_matches(token, '^[0-9]+$')),
-df AS (SELECT token, count(*) AS df FROM k WHERE token IN (SELECT token FROM k WHERE doc_id = 2) GROUP BY token), n AS (SELECT count(*) AS n FROM docs),
+df AS (SELECT token, count(*) AS df FROM k WHERE token IN (SELECT token FROM k WHERE doc_id = 2) GROUP BY token), n AS (SELECT count(*) AS n FROM docs WHERE NOT deleted),
 idf AS (SELECT token, ln(1 + CAST(n AS DOUBLE) / df) AS w FROM df, n WHERE df BETWEEN 2 AND greatest(50, n // 20) ORDER BY w DESC, token LIMIT 8)
 SELECT k.doc_id, round(sum(w), 2) AS score FROM k JOIN idf ON k.token = idf.token JOIN live ON live.doc_id = k.doc_id WHERE k.doc_id <> 2 GROUP BY k.doc_id, seeders ORDER BY score DESC, seeders DESC, k.doc_id LIMIT 8"""
 )
 def search_related(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return S.related(S.postings(d), d.filter("not deleted and not hidden"), 2, d.count())
+    return S.related(S.postings(d), d.filter("not deleted and not hidden"), 2, d.filter("not deleted").count())
+
+
+#: Words with a letter wrong, as users write them.
+MISSPELT = ["wiht", "thatt", "therre", "fromm", "haave", "andd", "whithout", "therrre", "becuase", "abuot", "peopel"]
 
 
 @query()
 def search_did_you_mean(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return S.did_you_mean(S.postings(d), d.filter("not deleted and not hidden"), ["thatt", "therr", "andre"])
+    return S.did_you_mean(S.postings(d), d.filter("not deleted and not hidden"), MISSPELT)
 
 
-@query()
+@query(
+    f"""WITH {DOCS}, places AS (SELECT doc_id, name, lower(strip_accents(name)) AS low, unnest(range(1, length(name) + 1)) AS i FROM docs),
+h AS (SELECT doc_id, i, CASE WHEN starts_with(substr(low, i), 'the') THEN length(regexp_extract(substr(low, i), '^[\\p{{L}}\\p{{N}}]+')) ELSE 2 END AS n FROM places
+  WHERE (i = 1 OR NOT regexp_matches(substr(low, i - 1, 1), '[a-z0-9]')) AND (starts_with(substr(low, i), 'the') OR regexp_matches(substr(low, i), '^of([^a-z0-9]|$)')))
+SELECT doc_id, array_to_string(list((i - 1) || '-' || (i - 1 + n) ORDER BY i), ',') AS marks FROM h GROUP BY doc_id"""
+)
 def search_highlight(spark, sf_dir):
-    return S.page(docs(spark, sf_dir)).select("doc_id", S.highlight("name", F.array(F.lit("the"), F.lit("an"))).alias("stretches"))
+    """Where names match words: the start `the` with the word it stands in, and the word `of`."""
+    s = docs(spark, sf_dir).select("doc_id", S.highlight("name", F.array(F.lit("the"), F.lit("of"))).alias("s"))
+    ends = F.transform("s", lambda x, i: F.struct(x.hit.alias("hit"), F.aggregate(F.slice("s", F.lit(1), i), F.lit(0), lambda n, y: n + F.char_length(y.text)).alias("a"), F.char_length(x.text).alias("n")))
+    marks = F.transform(F.filter(ends, lambda x: x.hit), lambda x: F.concat_ws("-", x.a, x.a + x.n))
+    return s.select("doc_id", F.array_join(marks, ",").alias("marks")).filter("marks <> ''")
+
+
+#: Postings of both fields: tokens without single letters, and runs of three digits or more of mixed ones.
+POSTED = """every AS (SELECT DISTINCT doc_id, 'n' AS field, unnest(nt) AS token FROM toks UNION ALL SELECT DISTINCT doc_id, 'f', unnest(ft) FROM toks),
+posted AS (SELECT doc_id, field, token FROM every WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')
+  UNION SELECT doc_id, field, unnest(regexp_extract_all(token, '[0-9]{3,}')) FROM every WHERE regexp_matches(token, '[a-z]'))"""
 
 
-@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, 'n' AS field, unnest(nt) AS token FROM toks UNION ALL SELECT DISTINCT doc_id, 'f', unnest(ft) FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')), m AS (SELECT DISTINCT doc_id, field, unnest(regexp_extract_all(token, '[0-9]{{3,}}')) AS token FROM p WHERE regexp_matches(token, '[a-z]')) SELECT field, token, count(*) AS df FROM (SELECT doc_id, field, token FROM k UNION SELECT doc_id, field, token FROM m) GROUP BY field, token")
+@query(f"WITH {DOCS}, {POSTED} SELECT field, token, count(*) AS df FROM posted GROUP BY field, token")
 def index_document_frequency(spark, sf_dir):
     return S.frequencies(S.postings(docs(spark, sf_dir)))
 
 
-@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks WHERE NOT hidden) SELECT token, count(*) AS df FROM (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]') UNION SELECT doc_id, unnest(regexp_extract_all(token, '[0-9]{{3,}}')) FROM p WHERE regexp_matches(token, '[a-z]')) GROUP BY token")
+@query(f"WITH {DOCS}, {POSTED} SELECT field, token, count(*) AS df FROM posted WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE hidden) GROUP BY field, token")
 def index_visible_frequency(spark, sf_dir):
     d = docs(spark, sf_dir)
-    index = S.postings(d).filter("field = 'n'")
-    return index.join(d.filter("not hidden").select("doc_id"), "doc_id", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    index = S.postings(d)
+    return S.frequencies(index.join(d.filter("hidden").select("doc_id"), "doc_id", "left_anti"))
 
 
 @query(f"WITH {DOCS} SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(ft) AS token FROM toks) WHERE starts_with(token, 'clo')")
@@ -187,21 +244,18 @@ def index_term_dictionary(spark, sf_dir):
     return index.filter((F.col("token") >= "ea") & (F.col("token") < "eb")).select("token").distinct().orderBy("token").limit(100)
 
 
-@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]') UNION SELECT doc_id, unnest(regexp_extract_all(token, '[0-9]{{3,}}')) FROM p WHERE regexp_matches(token, '[a-z]')) SELECT CAST(doc_id // 100 AS BIGINT) AS batch, count(*) AS added FROM k WHERE doc_id > 99 GROUP BY batch")
+@query(f"WITH {DOCS}, {POSTED} SELECT CAST(doc_id // 100 AS BIGINT) AS batch, count(*) AS added FROM posted WHERE doc_id > 99 GROUP BY batch")
 def index_catch_up(spark, sf_dir):
     """Documents beyond the watermark are indexed in batches."""
     fresh = docs(spark, sf_dir).filter("doc_id > 99")
-    return S.postings(fresh).filter("field = 'n'").groupBy(F.floor(F.col("doc_id") / 100).alias("batch")).agg(F.count("*").alias("added"))
+    return S.postings(fresh).groupBy(F.floor(F.col("doc_id") / 100).alias("batch")).agg(F.count("*").alias("added"))
 
 
-@query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks), k AS (SELECT * FROM p WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')) SELECT token, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM (SELECT doc_id, token FROM k UNION SELECT doc_id, unnest(regexp_extract_all(token, '[0-9]{{3,}}')) FROM p WHERE regexp_matches(token, '[a-z]')) GROUP BY token")
+@query(f"WITH {DOCS}, {POSTED} SELECT field, token, doc_id FROM posted")
 def index_merge_segments(spark, sf_dir):
-    """Two segments of sorted postings become one."""
+    """Two segments of postings, which have some in common, become one."""
     d = docs(spark, sf_dir)
-    part = [S.postings(d.filter(c)).filter("field = 'n'") for c in ("doc_id % 2 = 0", "doc_id % 2 = 1")]
-    both = S.merged_postings(*part)
-    # a row for each token, with all its ids, is what the SQL asks for
-    return both.groupBy("token").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
+    return S.merged_postings(*(S.postings(d.filter(c)) for c in ("doc_id % 2 = 0 or doc_id % 10 = 1", "doc_id % 2 = 1")))
 
 
 @query(f"WITH {FILES} SELECT DISTINCT doc_id FROM named WHERE ext IN ('eco', 'economy') OR starts_with(ext, 'prom')")
@@ -217,11 +271,11 @@ def search_extension_not_in(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FILES}, t AS (SELECT *, regexp_extract_all(lower(path), '[a-z0-9]+') AS w FROM files WHERE pos < 500), h AS (SELECT doc_id, path, CAST(list_contains(w, 'small') AS INT) + CAST(list_contains(w, 'ring') AS INT) AS n FROM t)
+    f"""WITH {FILES}, t AS (SELECT *, regexp_extract_all(lower(path), '[a-z0-9]+') AS w FROM files WHERE pos < 500), h AS (SELECT doc_id, path, CAST(len(list_filter(w, lambda x: starts_with(x, 'sma'))) > 0 AS INT) + CAST(len(list_filter(w, lambda x: starts_with(x, 'ring'))) > 0 AS INT) AS n FROM t)
 SELECT doc_id, path AS file FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(path), path) AS rn FROM h WHERE n > 0) WHERE rn <= 3"""
 )
 def search_matched_files(spark, sf_dir):
-    return S.matched_files(items(spark, sf_dir), ["small", "ring"])
+    return S.matched_files(items(spark, sf_dir), ["sma", "ring"])
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages")
@@ -241,24 +295,21 @@ def folder_roll_up(spark, sf_dir):
     return p.select(F.explode(up).alias("folder"), "size").groupBy("folder").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
-@query(f"WITH {FILES}, a AS (SELECT doc_id, ext, sum(size) AS size, min(pos) AS first FROM named GROUP BY doc_id, ext) SELECT doc_id, arg_max(ext, (size, -first)) AS category FROM a GROUP BY doc_id")
+@query(f"WITH {RECORDS} SELECT doc_id, category FROM cats")
 def dominant_category(spark, sf_dir):
-    f = items(spark, sf_dir).select("doc_id", F.posexplode("files").alias("at", "f")).select("doc_id", "at", ext_of(F.col("f.path")).alias("ext"), F.col("f.size").alias("size"))
-    a = f.groupBy("doc_id", "ext").agg(F.sum("size").alias("size"), F.min("at").alias("first"))
-    return a.groupBy("doc_id").agg(F.max_by("ext", F.struct("size", -F.col("first"))).alias("category"))
+    return R.dominant_category(media_files(spark, sf_dir), *FILE_ORDER)
 
 
-@query(f"WITH {FILES}, a AS (SELECT doc_id, ext, sum(size) AS size FROM named GROUP BY doc_id, ext), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, ext) AS rn FROM a) SELECT doc_id, array_to_string(list(ext ORDER BY rn), ',') AS exts FROM r WHERE rn <= 8 GROUP BY doc_id")
+@query(f"WITH {RECORDS} SELECT doc_id, exts FROM exts")
 def top_extensions(spark, sf_dir):
-    f = items(spark, sf_dir).select("doc_id", F.explode("files").alias("f")).groupBy("doc_id", ext_of(F.col("f.path")).alias("ext")).agg(F.sum("f.size").alias("size"))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "ext"))), 1, 8)
-    return f.groupBy("doc_id").agg(ranked.alias("r")).select("doc_id", F.array_join("r.ext", ",").alias("exts"))
+    return R.top_exts(media_files(spark, sf_dir), *FILE_ORDER).select("doc_id", F.array_join("exts", ",").alias("exts"))
 
 
 @query(f"WITH {FILES} SELECT ext, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM named GROUP BY ext ORDER BY n DESC, ext LIMIT 12")
 def extension_counts(spark, sf_dir):
-    f = items(spark, sf_dir).select(F.explode("files").alias("f"))
-    return f.groupBy(ext_of(F.col("f.path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("f.size").alias("size")).orderBy(F.col("n").desc(), "ext").limit(12)
+    """Files of each extension, straight from the lines: nothing is nested first."""
+    f = file_rows(spark, sf_dir)
+    return f.groupBy(ext_of(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy(F.col("n").desc(), "ext").limit(12)
 
 
 @query(f"WITH {DOCS}, r AS (SELECT doc_id, 'r1' AS rule_id FROM toks WHERE contains(' ' || array_to_string(nt, ' ') || ' ', ' the ') UNION ALL SELECT doc_id, 'r2' FROM docs WHERE contains(lower(strip_accents(name)), 'ein') OR contains(lower(strip_accents(body)), 'cloud') UNION ALL SELECT doc_id, 'r3' FROM docs WHERE regexp_matches(body, '(?i)lo[sz]er') OR regexp_matches(lower(strip_accents(body)), '(?i)lo[sz]er')) SELECT DISTINCT doc_id, rule_id FROM r")
@@ -281,6 +332,6 @@ def name_tokens(spark, sf_dir):
     return d.select("doc_id", F.array_join(F.array_sort(F.array_distinct(tokens(F.col("name")))), " ").alias("words"), F.size(tokens(F.col("name"))).cast("long").alias("n"))
 
 
-@query()
+@query(f"WITH {DOCS}, {POSTED} SELECT toks.doc_id, coalesce(words, '') AS words, ' ' || array_to_string(nt, ' ') || ' ' AS needle FROM toks LEFT JOIN (SELECT doc_id, array_to_string(list_sort(list(token)), ' ') AS words FROM posted WHERE field = 'n' GROUP BY doc_id) p ON p.doc_id = toks.doc_id")
 def index_tokens_of_names(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", index_tokens(F.col("name")).alias("words"), padded(F.col("name")).alias("needle"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(index_tokens(F.col("name"))), " ").alias("words"), padded(F.col("name")).alias("needle"))

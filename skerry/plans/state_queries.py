@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from skerry.functions.text import ext_of, label_of, padded, tokens
+from skerry.functions import numbers as N
+from skerry.functions.text import label_of, padded, tokens
+from skerry.operators import discovery as D
 from skerry.operators import health as H
 from skerry.operators import moderation as M
 from skerry.operators import observations as O
+from skerry.operators import records as R
+from skerry.operators import series as T
 from skerry.plans.register import Register
-from skerry.plans.views import DOCS, FILES, MEASUREMENTS, METRICS, NOW, OBSERVATIONS, docs, items, measurements, metrics, observations, table
+from skerry.plans.views import DOCS, FILE_ORDER, FILES, MEASUREMENTS, MEDIA, METRICS, NOW, OBSERVATIONS, RECORDS, docs, items, measurements, media_files, metrics, observations, records, table
 
 query = Register()
 
@@ -20,10 +23,16 @@ def admin_text_filter(spark, sf_dir):
     return docs(spark, sf_dir).filter(F.contains(F.lower("name"), F.lit("er th")) | F.col("ih").startswith("er th")).select("doc_id")
 
 
-@query(f"WITH {DOCS}, e AS (SELECT doc_id, unnest(string_split(lang, ',')) AS tag FROM documents) SELECT tag, count(*) AS n FROM e JOIN live ON live.doc_id = e.doc_id GROUP BY tag ORDER BY n DESC, tag LIMIT 14")
+BITS = ", ".join(f"('{e}', {1 << k})" for k, e in enumerate(R.EXT_BITS))
+
+
+@query(f"WITH {RECORDS}, bits(ext, bit) AS (VALUES {BITS}), e AS (SELECT DISTINCT m.doc_id, m.ext FROM ext_sums m JOIN bits ON bits.ext = m.ext JOIN full_rows r ON r.doc_id = m.doc_id WHERE NOT r.deleted AND NOT r.hidden AND list_contains(string_split(exts, ','), m.ext)) SELECT ext, count(*) AS n FROM e GROUP BY ext ORDER BY n DESC, ext LIMIT 14")
 def tag_facet(spark, sf_dir):
-    d = docs(spark, sf_dir).filter("not deleted and not hidden")
-    return d.select(F.explode(F.split("category", ",")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "tag").limit(14)
+    """Extensions by documents, from the bit masks of their heaviest ones."""
+    hot, _ = records(spark, sf_dir)
+    exts = R.top_exts(media_files(spark, sf_dir), *FILE_ORDER)
+    live = hot.filter("not deleted and not hidden").select("doc_id")
+    return R.ext_facet(exts.join(live, "doc_id", "left_semi").select(R.ext_mask(F.col("exts")).alias("mask")))
 
 
 @query("SELECT event_type AS status, count(*) AS n, count(DISTINCT user_id) AS keys FROM events GROUP BY event_type")
@@ -38,25 +47,61 @@ def best_of_sources(spark, sf_dir):
     return best.select("ih", "day", "seeders", "peers", F.greatest("seeders", "peers").alias("most"), "sources")
 
 
-@query(f"WITH {FILES} SELECT doc_id, ext, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM named GROUP BY doc_id, ext")
+@query(f"WITH {MEDIA}, c AS (SELECT doc_id, ext, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM media GROUP BY doc_id, ext), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bytes DESC, ext) AS rn FROM c) SELECT doc_id, ext, n, bytes FROM r WHERE rn <= 8")
 def composition_by_extension(spark, sf_dir):
-    f = items(spark, sf_dir).select("doc_id", F.explode("files").alias("f"))
-    return f.groupBy("doc_id", ext_of(F.col("f.path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("f.size").alias("bytes"))
+    return R.composition(media_files(spark, sf_dir))
 
 
 @query(f"WITH {METRICS}, d AS (SELECT event_type, t, event_id, counter - lag(counter) OVER w AS dc, t - lag(t) OVER w AS dt FROM metrics WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)) SELECT event_type, event_id, round(greatest(dc, 0) / greatest(CAST(dt AS DOUBLE), 0.001), 6) AS rate FROM d WHERE dt IS NOT NULL")
 def rate_of_deltas(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy("t", "event_id")
-    d = metrics(spark, sf_dir).withColumn("dc", F.col("counter") - F.lag("counter").over(order)).withColumn("dt", F.col("t") - F.lag("t").over(order))
-    return d.filter("dt is not null").select("event_type", "event_id", F.round(F.greatest("dc", F.lit(0)) / F.greatest(F.col("dt").cast("double"), F.lit(0.001)), 6).alias("rate"))
+    return T.deltas(metrics(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
 
+LIFE = f"WITH {METRICS}, d AS (SELECT event_type, gauge, t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) AS dt FROM metrics), l AS (SELECT event_type, CAST(sum(CASE WHEN dt > 0 AND dt <= 60 THEN dt ELSE 0 END) AS BIGINT) AS seconds, sum(CASE WHEN dt > 0 AND dt <= 60 THEN coalesce(gauge, 0.0) * dt ELSE 0 END) AS transferred FROM d GROUP BY event_type)"
 
-@query(f"WITH {METRICS}, d AS (SELECT event_type, gauge, t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) AS dt FROM metrics) SELECT event_type, CAST(sum(CASE WHEN dt > 0 AND dt <= 600 THEN dt ELSE 0 END) AS BIGINT) AS seconds, round(sum(CASE WHEN dt > 0 AND dt <= 600 THEN gauge * dt ELSE 0 END), 4) AS transferred FROM d GROUP BY event_type")
+
+@query(LIFE + " SELECT event_type, seconds, round(transferred, 4) AS transferred FROM l")
 def lifetime_totals(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy("t", "event_id")
-    d = metrics(spark, sf_dir).withColumn("dt", F.col("t") - F.lag("t").over(order))
-    near = (F.col("dt") > 0) & (F.col("dt") <= 600)
-    return d.groupBy("event_type").agg(F.sum(F.when(near, F.col("dt")).otherwise(0)).alias("seconds"), F.round(F.sum(F.when(near, F.col("gauge") * F.col("dt")).otherwise(0)), 4).alias("transferred"))
+    """Time and traffic of each series, rebuilt from points no more than a minute apart."""
+    return T.lifetime(metrics(spark, sf_dir)).withColumn("transferred", F.round("transferred", 4))
+
+
+@query(LIFE + ", s AS (SELECT (max(t) - min(t)) / 86400.0 AS days FROM metrics), u AS (SELECT CAST(sum(seconds) AS BIGINT) AS uptime, sum(transferred) AS traffic FROM l) SELECT round(least(100.0, uptime / 864.0 / days), 6) AS availability, round(traffic / greatest(uptime, 1), 4) AS average FROM u, s")
+def lifetime_report(spark, sf_dir):
+    """Availability since the first point, and the average traffic per second of uptime."""
+    m = metrics(spark, sf_dir)
+    total = T.lifetime(m).agg(F.sum("seconds").alias("uptime"), F.sum("transferred").alias("traffic"))
+    span = m.agg(((F.max("t") - F.min("t")) / 86_400.0).alias("days"))
+    available, average = T.life_report(F.col("days"), F.col("uptime"), F.col("traffic"))
+    return total.join(F.broadcast(span)).select(F.round(available, 6).alias("availability"), F.round(average, 4).alias("average"))  # one row each
+
+
+@query(f"WITH {DOCS}, d AS (SELECT greatest(({NOW} - min(indexed_at)) / 86400.0, 1 / 24.0) AS days, count(*) AS n, count(*) FILTER (src = 'scrape') AS v FROM docs WHERE NOT deleted), e AS (SELECT count(*) FILTER (event_type = 'purchase') AS ok, count(*) FILTER (event_type = 'error') AS fail FROM events) SELECT round(n / days, 6) AS docs_per_day, round(100.0 * ok / nullif(ok + fail, 0), 6) AS success, round(100.0 * v / n, 6) AS verified FROM d, e")
+def catalogue_ratios(spark, sf_dir):
+    d = docs(spark, sf_dir).filter("not deleted").agg(F.greatest((NOW - F.min("indexed_at")) / 86_400.0, F.lit(1 / 24.0)).alias("days"), F.count("*").alias("n"), F.count_if(F.col("src") == "scrape").alias("v"))
+    e = table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "purchase").alias("ok"), F.count_if(F.col("event_type") == "error").alias("fail"))
+    n, ok, fail = F.col("n"), F.col("ok"), F.col("fail")
+    return d.join(F.broadcast(e)).select(F.round(n / F.col("days"), 6).alias("docs_per_day"), F.round(100.0 * ok / F.nullif(ok + fail, F.lit(0)), 6).alias("success"), F.round(100.0 * F.col("v") / n, 6).alias("verified"))  # one row each
+
+
+@query("SELECT count(*) FILTER (event_type = 'view') AS jobs_new, count(*) FILTER (event_type = 'click') AS jobs_refresh, count(DISTINCT user_id) AS nodes_known, count(DISTINCT user_id) FILTER (epoch(ts) <= 1705000000) AS nodes_due, count(*) FILTER (event_type = 'purchase') AS queue_peer, count(*) FILTER (event_type = 'signup') AS queue_other FROM events")
+def live_gauges(spark, sf_dir):
+    """Jobs by kind, nodes known and due, and lengths of queues, at one time."""
+    kind = F.col("event_type")
+    due = F.when(F.unix_seconds(F.col("ts").cast("timestamp")) <= 1_705_000_000, F.col("user_id"))
+    jobs = [F.count_if(kind == a).alias(b) for a, b in (("view", "jobs_new"), ("click", "jobs_refresh"), ("purchase", "queue_peer"), ("signup", "queue_other"))]
+    return table(spark, sf_dir, "events").agg(*jobs, F.count_distinct("user_id").alias("nodes_known"), F.count_distinct(due).alias("nodes_due"))
+
+
+@query(
+    f"""WITH {METRICS}, {DOCS}, a AS (SELECT count(*) AS docs, CAST(sum(file_count) AS BIGINT) AS files, count(*) FILTER (src = 'scrape') AS verified FROM docs WHERE NOT deleted)
+SELECT t, event_id, CAST(round(coalesce(gauge, 0.0)) AS BIGINT) AS rx_bps, docs, files, verified, counter AS hashes FROM metrics, a"""
+)
+def metric_points(spark, sf_dir):
+    """What a point of the history holds: live gauges beside the catalogue's counts."""
+    a = docs(spark, sf_dir).filter("not deleted").agg(F.count("*").alias("docs"), F.sum("file_count").alias("files"), F.count_if(F.col("src") == "scrape").alias("verified"))
+    points = metrics(spark, sf_dir).select("t", "event_id", F.round(F.coalesce("gauge", F.lit(0.0))).cast("long").alias("rx_bps"), F.col("counter").alias("hashes"))
+    return points.join(F.broadcast(a))  # one row
 
 
 @query(f"WITH {METRICS}, t AS (SELECT 'raw' AS tier, t FROM metrics UNION ALL SELECT DISTINCT 'm5', CAST(floor(t / 300) * 300 + 150 AS BIGINT) FROM metrics UNION ALL SELECT DISTINCT 'h1', CAST(floor(t / 3600) * 3600 + 1800 AS BIGINT) FROM metrics) SELECT tier, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM t GROUP BY tier")
@@ -79,12 +124,12 @@ def endpoint_sources(spark, sf_dir):
     return e.select("ip", "port", F.array_join("s", ",").alias("sources"), F.size("s").cast("long").alias("n"))
 
 
-@query("WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 WHEN l_linestatus = 'O' THEN 2 ELSE 3 END AS k, least(l_discount * 10, 1.0) AS progress FROM lineitem) SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, k, round(progress, 4) AS progress FROM p ORDER BY k, round(progress, 4) DESC, l_orderkey, l_linenumber, l_suppkey, l_partkey LIMIT 100")
+@query("WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 WHEN l_linestatus = 'O' THEN 2 ELSE 3 END AS k, least(l_discount * 10, 1.0) AS progress FROM lineitem) SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, k, round(progress, 4) AS progress FROM p")
 def verification_order(spark, sf_dir):
     flag, line = F.col("l_returnflag"), F.col("l_linestatus")
     k = F.when(flag == "R", 0).when(flag == "A", 1).when(line == "O", 2).otherwise(3).cast("long")
     p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", k.alias("k"), F.round(F.least(F.col("l_discount") * 10, F.lit(1.0)), 4).alias("progress"))
-    return p.orderBy("k", F.col("progress").desc(), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").limit(100)
+    return p.orderBy("k", F.col("progress").desc(), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
 
 
 @query(f"WITH {OBSERVATIONS}, g AS (SELECT ih, count(DISTINCT ip) AS peers, count(DISTINCT ip) FILTER (role = 1) AS seeds, count(DISTINCT ip) FILTER (src = 'd') AS dht FROM obs GROUP BY ih) SELECT ih, peers, dht, greatest(seeds, peers // 2) AS confirmed FROM g")
@@ -94,16 +139,21 @@ def probe_detail(spark, sf_dir):
     return g.select("ih", "peers", "dht", F.greatest("seeds", F.floor(F.col("peers") / 2)).alias("confirmed"))
 
 
-@query(f"WITH {OBSERVATIONS}, a AS (SELECT ih, ip, max(ts) AS last FROM obs GROUP BY ih, ip) SELECT ih, ip, last FROM a ORDER BY last, ih, ip LIMIT 200")
+@query(f"WITH {OBSERVATIONS}, a AS (SELECT ih, ip, max(ts) AS last FROM obs GROUP BY ih, ip), r AS (SELECT *, row_number() OVER (ORDER BY last, ih, ip) AS rn, count(*) OVER () AS n FROM a) SELECT ih, ip, last FROM r WHERE rn <= n - 1000")
 def peers_over_global_cap(spark, sf_dir):
-    """The oldest observations, which go first when the store is full."""
-    return observations(spark, sf_dir).groupBy("ih", "ip").agg(F.max("ts").alias("last")).orderBy("last", "ih", "ip").limit(200)
+    """The oldest observations, which go when a store for 1,000 is full."""
+    return O.over_cap(observations(spark, sf_dir).groupBy("ih", "ip").agg(F.max("ts").alias("last")), 1000)
 
 
-@query(f"WITH {OBSERVATIONS} SELECT DISTINCT ip, port FROM obs WHERE port BETWEEN 1 AND 65535 AND ip <> 3323068417 ORDER BY ip, port LIMIT 500")
+NODES = "nodes AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 167772160 ELSE 3227017984 END + l_orderkey % 256 AS ip, l_partkey % 65537 AS port FROM lineitem)"
+
+
+@query(f"WITH {NODES} SELECT DISTINCT ip, port FROM nodes WHERE port BETWEEN 1 AND 65535 AND ip BETWEEN 3227017984 AND 3227018239 AND ip <> 3227017985 ORDER BY ip, port LIMIT 50000")
 def node_registry(spark, sf_dir):
-    """Capped as in the SQL."""
-    return O.registry(observations(spark, sf_dir), 3_323_068_417, 500)
+    """Nodes with a port and a global address (here of a block that nobody uses), without one's own, at most 50,000."""
+    base = F.when(F.col("l_suppkey") % 3 == 0, N.block_range("10.0.0.0/8")[0]).otherwise(N.block_range("192.88.99.0/24")[0]).cast("long")
+    nodes = table(spark, sf_dir, "lineitem").select((base + F.col("l_orderkey") % 256).alias("ip"), (F.col("l_partkey") % 65_537).alias("port"))
+    return O.registry(nodes, N.block_range("192.88.99.1")[0])
 
 
 @query("WITH f AS (SELECT user_id AS ih, max(CAST(floor(epoch(ts)) AS BIGINT)) AS failed_at FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT ih, failed_at FROM f WHERE failed_at >= 1706659000 - 3 * 86400 ORDER BY failed_at DESC, ih LIMIT 50000")
@@ -120,12 +170,16 @@ def rebuilt_queues(spark, sf_dir):
     return s.select("ih", F.when(F.col("done") > 8, "peer").when(F.col("hits") >= 2, "hits").otherwise("new").alias("queue"))
 
 
-@query("WITH q AS (SELECT event_type AS queue, CAST(count(*) FILTER (value >= 50) AS DOUBLE) AS ok, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY event_type) SELECT queue, ok, n, round((ok + 1) / (n + 2), 9) AS mean, round(((ok + 1) * (n - ok + 1)) / ((n + 2) * (n + 2) * (n + 3)), 12) AS variance FROM q")
+@query(
+    """WITH picks AS (SELECT row_number() OVER (ORDER BY event_id) AS k, event_type AS queue, value >= 50 AS won FROM events),
+h AS (SELECT *, CASE WHEN k <= 400 THEN 0 ELSE 1 + (k - 401) // 200 END AS after, CASE WHEN k <= 401 THEN 0 ELSE 1 + (k - 402) // 200 END AS before FROM picks),
+w AS (SELECT queue, sum(CASE WHEN won THEN pow(0.5, last - after) ELSE 0 END) AS ok, sum(pow(0.5, last - before)) AS n FROM h, (SELECT max(after) AS last FROM h) GROUP BY queue)
+SELECT queue, round(ok, 9) AS ok, round(n, 9) AS n, round((ok + 1) / (n + 2), 9) AS mean FROM w"""
+)
 def scheduler_statistics(spark, sf_dir):
-    """Mean and variance of each queue's success, from which a scheduler draws."""
-    q = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("queue")).agg(F.count_if(F.col("value") >= 50).cast("double").alias("ok"), F.count("*").cast("double").alias("n"))
-    ok, n = F.col("ok"), F.col("n")
-    return q.select("queue", "ok", "n", F.round((ok + 1) / (n + 2), 9).alias("mean"), F.round(((ok + 1) * (n - ok + 1)) / ((n + 2) * (n + 2) * (n + 3)), 12).alias("variance"))
+    """Success of each queue, from which a scheduler draws, with a window of 400 picks."""
+    picks = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("queue"), (F.col("value") >= 50).alias("won"))
+    return D.queue_success(picks, 400).select("queue", *(F.round(c, 9).alias(c) for c in ("ok", "n", "mean")))
 
 
 @query(f"WITH {DOCS}, c AS (SELECT doc_id FROM toks WHERE list_contains(ft, 'in') AND list_contains(ft, 'the')) SELECT doc_id, 'in the' AS term FROM toks WHERE doc_id IN (SELECT doc_id FROM c) AND contains(' ' || array_to_string(ft, ' ') || ' ', ' in the ') AND doc_id >= 100")
@@ -147,10 +201,46 @@ def rule_matches_in_files(spark, sf_dir):
     return items(spark, sf_dir).select("doc_id", F.array_join(F.slice(at, 1, 8).cast("array<string>"), ",").alias("places")).filter("places <> ''")
 
 
-@query(f"WITH {DOCS} SELECT doc_id, strpos(lower(name), 'th') - 1 AS start, strpos(lower(name), 'th') + 1 AS stop FROM docs WHERE contains(lower(name), 'th')")
-def rule_first_span(spark, sf_dir):
-    at = F.instr(F.lower("name"), "th")
-    return docs(spark, sf_dir).filter(at > 0).select("doc_id", (at - 1).cast("long").alias("start"), (at + 1).cast("long").alias("stop"))
+PLACES = """places AS (SELECT doc_id, name, lower(strip_accents(name)) AS low, unnest(range(1, length(name) + 1)) AS i FROM docs)"""
+
+
+@query(
+    f"""WITH {DOCS}, {PLACES}, h AS (SELECT doc_id, 'sub' AS rule_id, i - 1 AS start, i + 1 AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM places WHERE substr(low, i, 2) = 'er'
+UNION ALL SELECT doc_id, 'word', i - 1, i - 1 + length(regexp_extract(substr(low, i), '^in[^a-z0-9]+the')), row_number() OVER (PARTITION BY doc_id ORDER BY i) FROM places
+  WHERE regexp_matches(substr(low, i), '^in[^a-z0-9]+the([^a-z0-9]|$)') AND (i = 1 OR NOT regexp_matches(substr(low, i - 1, 1), '[a-z0-9]'))
+UNION ALL SELECT doc_id, 'regex', i - 1, i + 2, row_number() OVER (PARTITION BY doc_id ORDER BY i) FROM places WHERE regexp_matches(substr(lower(name), i, 3), '^a[nm]d'))
+SELECT doc_id, rule_id, start, stop FROM h WHERE rn <= 20"""
+)
+def rule_spans(spark, sf_dir):
+    """Where rules hit in names, in the original text."""
+    from skerry.operators.search import spans_of
+
+    d = docs(spark, sf_dir)
+    rules = [("sub", "ER", "substring"), ("word", "in the", "word"), ("regex", "a[nm]d", "regex")]
+    each = [d.select("doc_id", F.lit(r).alias("rule_id"), F.explode(spans_of(F.col("name"), term, mode)).alias("s")) for r, term, mode in rules]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("doc_id", "rule_id", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
+
+
+@query(f"WITH {FILES}, f AS (SELECT doc_id, pos, path, lower(path) AS low, unnest(range(1, length(path) + 1)) AS i FROM files), h AS (SELECT *, length(regexp_extract(substr(low, i), '^small[^a-z0-9]+ring')) AS n FROM f WHERE regexp_matches(substr(low, i), '^small[^a-z0-9]+ring([^a-z0-9]|$)') AND (i = 1 OR NOT regexp_matches(substr(low, i - 1, 1), '[a-z0-9]'))), r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM h) SELECT doc_id, path, i - 1 AS start, i - 1 + n AS stop FROM r WHERE k <= 8")
+def rule_details(spark, sf_dir):
+    """The first eight files that a rule hits, with the places of the hits."""
+    from skerry.operators.search import spans_of
+
+    needle = padded(F.lit("small ring"))
+    hit = F.slice(F.filter(F.transform("files", lambda f: f.path), lambda p: F.contains(padded(p), needle)), 1, 8)
+    each = items(spark, sf_dir).select("doc_id", F.posexplode(hit).alias("at", "path"))
+    spans = each.select("doc_id", "path", F.explode(spans_of(F.col("path"), "small ring", "word")).alias("s"))
+    return spans.select("doc_id", "path", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'first', 'all', 'word', true, ''), ('c', 'lo[sz]er', 'files', 'regex', false, 'off'), ('d', 'ein', 'name', 'substring', true, '')) AS v(id, term, scope, mode, enabled, note)")
+def rule_book(spark, sf_dir):
+    """Rules after additions (of which two are refused), a change and a deletion."""
+    rules: list[M.Rule] = []
+    for r in [M.Rule("a", " first "), M.Rule("b", "second", "name"), M.Rule("x", "first"), M.Rule("y", "(a+)+b", "all", "regex"), M.Rule("c", "lo[sz]er", "files", "regex"), M.Rule("d", "ein", "name", "substring")]:
+        rules, _ = M.add_rule(rules, r)
+    rules = M.delete_rule(M.update_rule(rules, "c", enabled=False, note="off"), "b")
+    return spark.createDataFrame([(r.id, r.term, r.scope, r.mode, r.enabled, r.note) for r in rules], "id string, term string, scope string, mode string, enabled boolean, note string")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(strip_accents(name)), '[a-z0-9]+'), lambda t: length(t) > 2)[1 : 4], ' ') AS similar FROM docs")
@@ -179,11 +269,19 @@ def check_backoff(spark, sf_dir):
     return measurements(spark, sf_dir).select("ih", "mt", "event_id", H.backoff(F.col("nrep")).alias("wait"))
 
 
-@query("WITH a AS (SELECT s_name AS term, s_nationkey AS scope FROM supplier), b AS (SELECT DISTINCT s_name AS term, s_nationkey AS scope FROM supplier WHERE s_suppkey % 2 = 0) SELECT a.term, a.scope FROM a LEFT JOIN b ON a.term = b.term AND a.scope = b.scope WHERE b.term IS NULL")
+@query(
+    """WITH here AS (SELECT 'id' || s_suppkey AS id, s_name AS term, 'all' AS scope, 'word' AS mode FROM supplier WHERE s_suppkey % 2 = 0),
+there AS (SELECT CASE WHEN s_suppkey % 7 <> 6 THEN 'id' || (s_suppkey - s_suppkey % 3) END AS id, s_name AS term, CASE WHEN s_suppkey % 6 = 0 THEN 'name' ELSE 'all' END AS scope, 'word' AS mode FROM supplier),
+fresh AS (SELECT * FROM there WHERE (term, scope, mode) NOT IN (SELECT (term, scope, mode) FROM here)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY term, scope, mode) AS rn FROM fresh)
+SELECT CASE WHEN id IS NULL OR rn > 1 OR id IN (SELECT id FROM here) THEN substr(sha1(concat_ws(chr(0), term, scope, mode)), 1, 10) ELSE id END AS id, term, scope, mode FROM r"""
+)
 def import_rules(spark, sf_dir):
-    """Rules of the source that are not here yet, by term and scope."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("term"), F.col("s_nationkey").alias("scope"), "s_suppkey")
-    return s.join(s.filter("s_suppkey % 2 = 0").select("term", "scope"), ["term", "scope"], "left_anti").select("term", "scope")
+    """Rules of another catalogue that are not here yet, by term, scope and mode; ids that are taken are replaced."""
+    k, s = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    here = s.filter(k % 2 == 0).select(F.concat(F.lit("id"), k).alias("id"), F.col("s_name").alias("term"), F.lit("all").alias("scope"), F.lit("word").alias("mode"))
+    there = s.select(F.when(k % 7 != 6, F.concat(F.lit("id"), k - k % 3)).alias("id"), F.col("s_name").alias("term"), F.when(k % 6 == 0, "name").otherwise("all").alias("scope"), F.lit("word").alias("mode"))
+    return M.merge_rules(here, there)
 
 
 @query("SELECT o_orderkey AS seq, sha1(CAST(o_custkey AS VARCHAR)) AS ih, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE 'other' END AS category FROM orders WHERE regexp_full_match(sha1(CAST(o_custkey AS VARCHAR)), '[0-9a-f]{40}')")

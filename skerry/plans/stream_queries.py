@@ -2,39 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.plans.register import Register
+from skerry.sources.files import work_folder
 from skerry.streaming import rollup
 
 query = Register()
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream puts out over all that is there now."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream of files; the pattern finds a file as well as a folder of files."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if sf_dir.endswith("_parts") else f"{sf_dir}/event[s].parquet")
+MEAN10 = "CAST(sum(value) / count(*) AS DECIMAL(30, 12)) * 10"
 
 
-@query("SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, floor(sum(value) / count(*) * 10 + 0.5) / 10 AS gauge, max(event_id) AS counter, count(*) AS n FROM events GROUP BY 1")
+@query(
+    f"""SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, CAST(floor({MEAN10}) + CASE WHEN {MEAN10} - floor({MEAN10}) > 0.5 OR ({MEAN10} - floor({MEAN10}) = 0.5 AND floor({MEAN10}) % 2 <> 0) THEN 1 ELSE 0 END AS DOUBLE) / 10 AS gauge,
+arg_max(event_id, (ts, event_id)) AS counter, count(*) AS n FROM events GROUP BY 1"""
+)
 def stream_roll_up(spark, sf_dir):
-    points = events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("gauge"), F.col("event_id").alias("counter"))
-    return drained(spark, rollup.roll_up(points, "1 hour", "30 days"), "complete")
+    points = events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("gauge"), F.col("event_id").alias("counter"))
+    return rollup.latest_of(rollup.drained(rollup.roll_up(points, "1 hour", "30 days"), work_folder(spark, "roll-up")), "start")
 
 
 @query()
 def stream_discovery(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "view", "seen").when(F.col("event_type") == "click", "probe").when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "fail").otherwise("seen")
+    """State of each key at the end of the stream."""
+    kind = F.when(F.col("event_type") == "view", "seen").when(F.col("event_type") == "click", "probe").when(F.col("event_type") == "purchase", "peer").when(F.col("event_type") == "error", "fail").otherwise("announce")
+    kind = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 20 == 0), "ok").otherwise(kind)
     e = events(spark, sf_dir).select(F.col("user_id").alias("ih"), kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"))
-    return drained(spark, rollup.discovery(e), "update")
+    return rollup.latest_of(rollup.drained(rollup.discovery(e), work_folder(spark, "discovery")), "ih")
+
+
+@query("SELECT DISTINCT user_id AS ih FROM events")
+def stream_first_seen(spark, sf_dir):
+    """Every key once, however often it is seen again."""
+    e = events(spark, sf_dir).select(F.col("user_id").alias("ih"), F.col("ts").cast("timestamp").alias("time"))
+    return rollup.drained(rollup.first_seen(e, "40 days"), work_folder(spark, "first-seen"), "append").select("ih")

@@ -10,44 +10,39 @@ from skerry.operators import health as H
 from skerry.operators import moderation as M
 from skerry.operators import observations as O
 from skerry.operators import series as T
-from skerry.operators.search import health_state
 from skerry.plans.register import Register
 from skerry.plans.views import CHANGES, DOCS, FILES, MEASUREMENTS, METRICS, NOW, OBSERVATIONS, SCORES, changes, docs, items, measurements, metrics, observations, scores, table
 
 query = Register()
+#: The mean over all points of a bucket, to one place, halves to the even digit, on decimals.
+MEAN10 = "CAST(sum(gauge) / count(*) AS DECIMAL(30, 12)) * 10"
+TENTHS = f"CAST(floor({MEAN10}) + CASE WHEN {MEAN10} - floor({MEAN10}) > 0.5 OR ({MEAN10} - floor({MEAN10}) = 0.5 AND floor({MEAN10}) % 2 <> 0) THEN 1 ELSE 0 END AS DOUBLE) / 10"
 
-FOLD = f"""WITH RECURSIVE {MEASUREMENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY mt, event_id) AS k FROM meas),
+FOLD = f"""WITH RECURSIVE {MEASUREMENTS}, o AS (SELECT * REPLACE (greatest(seeders, 0) AS seeders), row_number() OVER (PARTITION BY ih ORDER BY mt, event_id) AS k FROM meas),
 fold AS (
-  SELECT ih, k, seeders, peers, src, mt AS health_at, mt AS checked_at, CAST(1 AS BIGINT) AS n_kept FROM o WHERE k = 1
+  SELECT ih, k, seeders, peers, src, mt AS health_at, mt AS checked_at, CAST(CASE WHEN cs > 0 THEN mt ELSE 0 END AS BIGINT) AS seed_ok_at, CAST(1 AS BIGINT) AS n_kept, true AS kept FROM o WHERE k = 1
   UNION ALL
   SELECT o.ih, o.k, CASE WHEN keep THEN f.seeders ELSE o.seeders END, CASE WHEN keep THEN f.peers ELSE o.peers END, CASE WHEN keep THEN f.src ELSE o.src END,
-         CASE WHEN keep THEN f.health_at ELSE o.mt END, o.mt, f.n_kept + CASE WHEN keep THEN 0 ELSE 1 END
+         CASE WHEN keep THEN f.health_at ELSE o.mt END, o.mt, CASE WHEN o.cs > 0 THEN o.mt ELSE f.seed_ok_at END, f.n_kept + CASE WHEN keep THEN 0 ELSE 1 END, NOT keep
   FROM (SELECT f.*, o.k AS nk, o.src <> 'scrape' AND f.src = 'scrape' AND o.mt - f.health_at < 1209600 AND o.seeders < f.seeders AS keep FROM fold f JOIN o ON o.ih = f.ih AND o.k = f.k + 1) f JOIN o ON o.ih = f.ih AND o.k = f.nk
 ), state AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY k DESC) AS rn FROM fold) WHERE rn = 1),
-recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY mt DESC) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY ih, mt ORDER BY event_id DESC) AS one FROM meas) WHERE one = 1) WHERE rn <= 40),
+hist AS (SELECT o.* FROM o JOIN fold ON fold.ih = o.ih AND fold.k = o.k WHERE kept),
+recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY mt DESC) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY ih, mt ORDER BY event_id DESC) AS one FROM hist) WHERE one = 1) WHERE rn <= 40),
 unk AS (SELECT ih, least(255, coalesce(min(CASE WHEN src = 'scrape' THEN rn END) - 1, count(*))) AS unk FROM recent GROUP BY ih),
-zeros AS (SELECT *, max(CASE WHEN src = 'swarm' AND seeders = 0 AND peers <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY ih ORDER BY rn) AS broken FROM recent),
+zeros AS (SELECT *, max(CASE WHEN src = 'scrape' AND seeders = 0 AND peers = 0 AND nrep >= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY ih ORDER BY rn) AS broken FROM recent),
 dead AS (SELECT ih, count(*) AS run, max(mt) - min(mt) AS span, count(*) >= 3 AND max(mt) - min(mt) >= 43200 AS dead FROM zeros WHERE broken = 0 GROUP BY ih),
 verdict AS (SELECT state.*, unk, CASE WHEN src = 'none' THEN 'unknown' WHEN seeders > 0 THEN 'alive' WHEN peers > 0 THEN 'weak' WHEN src <> 'scrape' THEN 'unknown' WHEN coalesce(dead, false) THEN 'dead' ELSE 'quiet' END AS state
   FROM state LEFT JOIN dead ON dead.ih = state.ih JOIN unk ON unk.ih = state.ih),
-due AS (SELECT ih, state, greatest(health_at, checked_at) + CASE state WHEN 'alive' THEN 21600 WHEN 'weak' THEN 43200 WHEN 'quiet' THEN 21600 WHEN 'dead' THEN 259200 ELSE least(259200, 1800 * CAST(pow(2, least(unk, 8)) AS BIGINT)) END AS due_at FROM verdict)
+wait AS (SELECT *, CASE state WHEN 'alive' THEN 21600 WHEN 'weak' THEN 43200 WHEN 'quiet' THEN 21600 WHEN 'dead' THEN 259200 ELSE least(259200, 1800 * CAST(pow(2, least(unk, 8)) AS BIGINT)) END AS wait FROM verdict),
+due AS (SELECT ih, state, greatest(health_at, checked_at) + wait AS due_at FROM wait)
 """
 
 
-def fold_zero():
-    """What FOLD counts as a zero. It is not the operator's rule, H.confirmed_zero()."""
-    return (F.col("src") == "swarm") & (F.col("seeders") == 0) & (F.col("peers") <= 5)
-
-
 def verdicts(spark, sf_dir):
-    m = measurements(spark, sf_dir)
-    recent = H.history(m)
-    full = H.fold(m).join(H.dead_keys(recent, fold_zero()).select("ih", "dead"), "ih", "left").join(H.unknown_run(recent), "ih")
-    full = full.withColumn("state", health_state(F.coalesce("dead", F.lit(False))))
-    return full.withColumn("due_at", H.due_at(F.col("state"), F.col("unk")).cast("long"))
+    return H.verdicts(measurements(spark, sf_dir))
 
 
-@query(FOLD + "SELECT ih, seeders, peers, src, health_at, checked_at, n_kept FROM state")
+@query(FOLD + "SELECT ih, seeders, peers, src, health_at, checked_at, seed_ok_at, n_kept FROM state")
 def health_fold(spark, sf_dir):
     return H.fold(measurements(spark, sf_dir))
 
@@ -59,12 +54,12 @@ def health_history(spark, sf_dir):
 
 @query(FOLD + "SELECT ih, run, CAST(span AS BIGINT) AS span, dead FROM dead")
 def health_dead_confirmation(spark, sf_dir):
-    return H.dead_keys(H.history(measurements(spark, sf_dir)), fold_zero())
+    return H.dead_keys(measurements(spark, sf_dir))
 
 
 @query(FOLD + "SELECT ih, CAST(unk AS BIGINT) AS unk FROM unk")
 def health_unknown_run(spark, sf_dir):
-    return H.unknown_run(H.history(measurements(spark, sf_dir)))
+    return H.unknown_run(measurements(spark, sf_dir))
 
 
 @query(FOLD + "SELECT state, count(*) AS n FROM verdict GROUP BY state")
@@ -83,6 +78,13 @@ def health_refresh_queue(spark, sf_dir):
     return verdicts(spark, sf_dir).filter(F.col("due_at") <= NOW).orderBy("due_at", "ih").limit(512).select("ih", "state", (F.lit(NOW) - F.col("due_at")).alias("overdue_s"))
 
 
+@query(FOLD + f"SELECT ih, CASE WHEN ih % 3 = 0 THEN greatest(health_at, checked_at, {NOW}) ELSE greatest(health_at, checked_at) END + wait AS due_at FROM wait")
+def health_deferred(spark, sf_dir):
+    """Every third key is put off: it counts as checked now."""
+    current = verdicts(spark, sf_dir)
+    return H.defer(current, current.filter("ih % 3 = 0"), NOW).select("ih", "due_at")
+
+
 @query(f"WITH {MEASUREMENTS} SELECT ih, max(mt) AS health_at, arg_max(seeders, mt) AS seeders FROM (SELECT ih, mt, arg_max(seeders, event_id) AS seeders FROM meas GROUP BY ih, mt) GROUP BY ih")
 def health_restore(spark, sf_dir):
     """Current figures from the newest entry of the history."""
@@ -90,12 +92,12 @@ def health_restore(spark, sf_dir):
     return m.groupBy("ih").agg(F.max("mt").alias("health_at"), F.max_by("seeders", F.struct("mt", "event_id")).alias("seeders"))
 
 
-@query(f"WITH {METRICS} SELECT CAST(floor(t / 300) * 300 + 150 AS BIGINT) AS t, floor(coalesce(sum(gauge), 0.0) / count(*) * 10 + 0.5) / 10 AS gauge, arg_max(counter, (t, event_id)) AS counter, count(*) AS n FROM metrics GROUP BY floor(t / 300)")
+@query(f"WITH {METRICS} SELECT CAST(floor(t / 300) * 300 + 150 AS BIGINT) AS t, {TENTHS} AS gauge, arg_max(counter, (t, event_id)) FILTER (counter IS NOT NULL) AS counter, count(*) AS n FROM metrics GROUP BY floor(t / 300)")
 def metrics_five_minutes(spark, sf_dir):
     return T.roll_up(metrics(spark, sf_dir), 300)
 
 
-@query(f"WITH {METRICS} SELECT CAST(floor(t / 3600) * 3600 + 1800 AS BIGINT) AS t, floor(coalesce(sum(gauge), 0.0) / count(*) * 10 + 0.5) / 10 AS gauge, arg_max(counter, (t, event_id)) AS counter, count(*) AS n FROM metrics GROUP BY floor(t / 3600)")
+@query(f"WITH {METRICS} SELECT CAST(floor(t / 3600) * 3600 + 1800 AS BIGINT) AS t, {TENTHS} AS gauge, arg_max(counter, (t, event_id)) FILTER (counter IS NOT NULL) AS counter, count(*) AS n FROM metrics GROUP BY floor(t / 3600)")
 def metrics_hours(spark, sf_dir):
     return T.roll_up(metrics(spark, sf_dir), 3600)
 
@@ -111,7 +113,7 @@ def metrics_gaps(spark, sf_dir):
     return T.segments(metrics(spark, sf_dir), 1200).groupBy("event_type", "seg").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-@query(SEGMENTS + "SELECT placed.event_type, CAST(seg AS BIGINT) AS seg, max(t) AS t, round(avg(gauge), 6) AS gauge, arg_max(counter, (t, event_id)) AS counter FROM placed JOIN g ON g.event_type = placed.event_type GROUP BY placed.event_type, seg, floor((rn - 1) / g)")
+@query(SEGMENTS + "SELECT placed.event_type, CAST(seg AS BIGINT) AS seg, max(t) AS t, round(avg(gauge), 6) AS gauge, arg_max(counter, (t, event_id)) FILTER (counter IS NOT NULL) AS counter FROM placed JOIN g ON g.event_type = placed.event_type GROUP BY placed.event_type, seg, floor((rn - 1) / g)")
 def metrics_down_sample(spark, sf_dir):
     return T.down_sample(metrics(spark, sf_dir), 600, 300).withColumn("gauge", F.round("gauge", 6))
 
@@ -171,27 +173,49 @@ def latency_histogram(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_suppkey AS source, count(*) FILTER (l_returnflag <> 'R') AS ok, count(*) FILTER (l_returnflag = 'R') AS fail, round(count(*) FILTER (l_returnflag <> 'R') / count(*), 3) AS rate, CAST(floor(epoch(max(l_shipdate))) AS BIGINT) AS last FROM lineitem GROUP BY l_suppkey")
+REPORTS = "r AS (SELECT l_suppkey AS source, l_returnflag <> 'R' AS ok, CAST(floor(epoch(l_shipdate)) AS BIGINT) AS ts, CASE WHEN l_returnflag = 'R' THEN 'error ' || (l_linenumber % 5) END AS error FROM lineitem)"
+
+
+@query(f"WITH {REPORTS} SELECT source, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS fail, round(count(*) FILTER (ok) / count(*), 3) AS rate, coalesce(max(ts) FILTER (ok), 0) AS last_ok, coalesce(max(ts) FILTER (NOT ok), 0) AS last_fail, coalesce(arg_max(error, (ts, error)) FILTER (NOT ok), '') AS last_error, source % 3 = 0 AS configured FROM r GROUP BY source")
 def source_report(spark, sf_dir):
-    line, ok = table(spark, sf_dir, "lineitem"), F.col("l_returnflag") != "R"
-    return line.groupBy(F.col("l_suppkey").alias("source")).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("fail"), F.round(F.count_if(ok) / F.count("*"), 3).alias("rate"), F.unix_seconds(F.max("l_shipdate").cast("timestamp")).alias("last"))
+    """How often each source answered, when last, and with what error it last did not."""
+    line = table(spark, sf_dir, "lineitem")
+    r = line.select(F.col("l_suppkey").alias("source"), (F.col("l_returnflag") != "R").alias("ok"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ts"), F.concat(F.lit("error "), F.col("l_linenumber") % 5).alias("error"))
+    return O.source_health(r).withColumns({"rate": F.round("rate", 3), "configured": F.col("source") % 3 == 0})
 
 
-@query(
-    """WITH p AS (SELECT l_suppkey AS source, CASE WHEN l_returnflag = 'R' THEN 'seed' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'leecher' WHEN l_linestatus = 'O' THEN 'timeout' ELSE 'refused' END AS status FROM lineitem),
-s AS (SELECT source, count(*) AS tested, count(*) FILTER (status IN ('seed', 'leecher')) AS reachable, count(*) FILTER (status = 'seed') AS seeds, count(*) FILTER (status = 'leecher') AS leechers FROM p GROUP BY source)
-SELECT *, CASE WHEN seeds > 0 THEN 'confirmed' WHEN reachable > 0 THEN 'partial' ELSE 'none' END AS verdict FROM s"""
-)
+PROBES = """p AS (SELECT l_suppkey AS source, l_orderkey % 500 AS ip, CASE WHEN l_returnflag = 'R' AND l_suppkey % 4 < 2 THEN 'seed' WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_suppkey % 4 < 3 THEN 'leecher' WHEN l_returnflag = 'N' AND l_linenumber = 7 AND l_suppkey % 4 < 3 THEN 'connected' WHEN l_linestatus = 'O' THEN 'timeout' ELSE 'refused' END AS status FROM lineitem),
+s AS (SELECT source, count(*) AS tested, count(*) FILTER (status IN ('seed', 'leecher', 'connected')) AS reachable, count(*) FILTER (status = 'seed') AS seeds, count(*) FILTER (status = 'leecher') AS leechers, source % 7 * (source % 3) AS reported FROM p GROUP BY source)"""
+
+
+def probes(spark, sf_dir):
+    """Probes of addresses that sources gave: (source, ip, status)."""
+    flag, line, four = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_suppkey") % 4
+    status = F.when((flag == "R") & (four < 2), "seed").when((flag == "A") & (line == "F") & (four < 3), "leecher").when((flag == "N") & (F.col("l_linenumber") == 7) & (four < 3), "connected").when(line == "O", "timeout").otherwise("refused")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_orderkey") % 500).alias("ip"), status.alias("status"))
+
+
+def claims(spark, sf_dir):
+    """Seeders that each source reports; every tenth didn't answer."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("source"), F.when(k % 10 != 9, k % 7 * (k % 3)).alias("reported"))
+
+
+@query(f"WITH {PROBES} SELECT source, tested, reachable, seeds, leechers, CASE WHEN seeds > 0 THEN 'seeders' WHEN source % 10 <> 9 AND reported > 0 AND reachable = 0 THEN 'claims only' WHEN source % 10 <> 9 AND reported > 0 THEN 'leechers only' WHEN reachable > 0 THEN 'no seeders' ELSE 'nobody' END AS verdict FROM s")
 def verification_summary(spark, sf_dir):
-    flag, line = F.col("l_returnflag"), F.col("l_linestatus")
-    status = F.when(flag == "R", "seed").when((flag == "A") & (line == "F"), "leecher").when(line == "O", "timeout").otherwise("refused")
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), status.alias("status"))
-    s = p.groupBy("source").agg(F.count("*").alias("tested"), F.count_if(F.col("status").isin("seed", "leecher")).alias("reachable"), F.count_if(F.col("status") == "seed").alias("seeds"), F.count_if(F.col("status") == "leecher").alias("leechers"))
-    return s.withColumn("verdict", F.when(F.col("seeds") > 0, "confirmed").when(F.col("reachable") > 0, "partial").otherwise("none"))
+    return O.verification_by_source(probes(spark, sf_dir), claims(spark, sf_dir))
+
+
+@query(f"""WITH {PROBES}, a AS (SELECT ip, min(CASE status WHEN 'seed' THEN 0 WHEN 'leecher' THEN 1 WHEN 'connected' THEN 2 ELSE 3 END) AS k FROM p GROUP BY ip), c AS (SELECT max(CASE WHEN s_suppkey % 10 <> 9 THEN s_suppkey % 7 * (s_suppkey % 3) END) AS most, count(*) FILTER (s_suppkey % 10 <> 9) AS answered FROM supplier)
+SELECT count(*) AS tested, count(*) FILTER (k < 3) AS reachable, count(*) FILTER (k = 0) AS seeds, count(*) FILTER (k = 1) AS leechers, coalesce(any_value(most), 0) AS most_reported, any_value(answered) AS sources_ok,
+CASE WHEN count(*) FILTER (k = 0) > 0 THEN 'seeders' WHEN any_value(most) > 0 AND count(*) FILTER (k < 3) = 0 THEN 'claims only' WHEN any_value(most) > 0 THEN 'leechers only' WHEN count(*) FILTER (k < 3) > 0 THEN 'no seeders' ELSE 'nobody' END AS verdict FROM a, c""")
+def verification_totals(spark, sf_dir):
+    """All addresses once, however many sources gave them, and what the sources claimed at most."""
+    return O.verification_totals(probes(spark, sf_dir), claims(spark, sf_dir))
 
 
 MERGED = f"""WITH {OBSERVATIONS}, merged AS (
-  SELECT ih, ip, max(role) AS role, coalesce(arg_max(port, (ts, port)) FILTER (src = 'c'), arg_min(port, (ts, port))) AS port, coalesce(max(client) FILTER (client <> ''), '') AS client,
+  SELECT ih, ip, max(role) AS role, coalesce(arg_max(port, (ts, port)) FILTER (src = 'c' AND port > 0), arg_min(port, (ts, port))) AS port, coalesce(arg_max(client, (ts, client)) FILTER (client <> ''), '') AS client,
          CAST(bit_or(CASE src WHEN 'c' THEN 1 WHEN 'd' THEN 2 ELSE 4 END) AS BIGINT) AS src, min(ts) AS first, max(ts) AS last FROM obs GROUP BY ih, ip
 )"""
 
@@ -205,15 +229,15 @@ def peers_merged(spark, sf_dir):
     return merged(spark, sf_dir)
 
 
-@query(MERGED + ", r AS (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY last DESC, ip) AS rn FROM merged) SELECT ih, ip, last FROM r WHERE rn <= 2")
+@query(MERGED + ", r AS (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY last DESC, ip) AS rn FROM merged) SELECT ih, ip, last FROM r WHERE rn <= 300")
 def peers_capped(spark, sf_dir):
-    return O.cap(merged(spark, sf_dir), 2).select("ih", "ip", "last")
+    return O.cap(merged(spark, sf_dir)).select("ih", "ip", "last")
 
 
-@query(MERGED + ", i AS (SELECT *, ih % 10 = 1 AS inside FROM merged) SELECT ip, count(*) FILTER (inside) AS n, count(*) FILTER (inside AND role = 1) AS n_seed, max(role) FILTER (inside) AS role, array_to_string(list_sort(list(DISTINCT port) FILTER (inside))[1 : 6], ',') AS ports, CAST(bit_or(src) FILTER (inside) AS BIGINT) AS src, max(last) FILTER (inside) AS last, count(*) FILTER (NOT inside) AS elsewhere FROM i GROUP BY ip HAVING count(*) FILTER (inside) > 0")
+@query(MERGED + ", i AS (SELECT *, ih % 10 = 1 AS inside FROM merged) SELECT ip, count(*) FILTER (inside) AS n, count(*) FILTER (inside AND role = 1) AS n_seed, max(role) FILTER (inside) AS role, array_to_string(list_sort(list(DISTINCT port) FILTER (inside AND port > 0))[1 : 6], ',') AS ports, coalesce(array_to_string(list_sort(list(DISTINCT client) FILTER (inside AND client <> ''))[1 : 3], ','), '') AS clients, CAST(bit_or(src) FILTER (inside) AS BIGINT) AS src, max(last) FILTER (inside) AS last, count(*) FILTER (NOT inside) AS elsewhere FROM i GROUP BY ip HAVING count(*) FILTER (inside) > 0")
 def peers_by_address(spark, sf_dir):
     hidden = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("ih")).distinct()
-    return O.by_address(merged(spark, sf_dir), hidden).withColumn("ports", F.array_join(F.col("ports").cast("array<string>"), ","))
+    return O.by_address(merged(spark, sf_dir), hidden).withColumns({"ports": F.array_join(F.col("ports").cast("array<string>"), ","), "clients": F.array_join("clients", ",")})
 
 
 @query(MERGED + "SELECT ih, ip FROM merged WHERE ip BETWEEN 3323068416 AND 3323068431 OR ip = 3323068450")
@@ -222,6 +246,34 @@ def peers_in_ranges(spark, sf_dir):
     return O.in_ranges(merged(spark, sf_dir), spark.createDataFrame(spans, "low long, high long")).select("ih", "ip")
 
 
+@query(MERGED + ", r AS (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY role DESC, last DESC, ip) AS rn FROM merged) SELECT ih, ip, role, last, rn FROM r WHERE rn <= 500")
+def peers_of_key(spark, sf_dir):
+    return O.peers_of(merged(spark, sf_dir)).select("ih", "ip", "role", "last", F.col("rn").cast("long").alias("rn"))
+
+
+@query(MERGED + ", f AS (SELECT * FROM merged WHERE ip BETWEEN 3323068416 AND 3323068431 OR ip = 3323068450), k AS (SELECT ih, count(*) AS addresses, max(role) AS role, max(last) AS last FROM f GROUP BY ih) SELECT ih, addresses, role, last, o_custkey AS owner FROM k JOIN orders ON o_orderkey = ih ORDER BY addresses DESC, last DESC, ih LIMIT 500")
+def peers_hits(spark, sf_dir):
+    """Keys of the catalogue in which the addresses of a request were found."""
+    spans = [N.block_range("198.18.0.5/28"), N.block_range("198.18.0.34")]
+    found = O.in_ranges(merged(spark, sf_dir), spark.createDataFrame(spans, "low long, high long"))
+    hits, _ = O.hits_of(found, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ih"), F.col("o_custkey").alias("owner")))
+    return hits
+
+
+@query(MERGED + ", f AS (SELECT DISTINCT ih FROM merged WHERE ip BETWEEN 3323068416 AND 3323068431 OR ip = 3323068450) SELECT count(*) AS total, count(*) > 500 AS truncated FROM f JOIN orders ON o_orderkey = ih")
+def peers_hits_total(spark, sf_dir):
+    spans = [N.block_range("198.18.0.5/28"), N.block_range("198.18.0.34")]
+    found = O.in_ranges(merged(spark, sf_dir), spark.createDataFrame(spans, "low long, high long"))
+    _, total = O.hits_of(found, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ih")))
+    return total
+
+
+@query("SELECT l_orderkey AS ih, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' OR (l_linestatus = 'F' AND l_discount * 10 >= 1.0) THEN 1 WHEN l_linestatus = 'F' THEN 0 ELSE -1 END AS role FROM lineitem")
+def peers_roles(spark, sf_dir):
+    role = O.role_of(F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", F.col("l_discount") * 10)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ih"), "l_linenumber", "l_partkey", "l_suppkey", role.alias("role"))
+
+
 @query(f"WITH {OBSERVATIONS} SELECT count(*) AS entries, count(DISTINCT ih) AS docs, count(DISTINCT ip) AS addresses FROM obs")
 def peers_summary(spark, sf_dir):
     return observations(spark, sf_dir).agg(F.count("*").alias("entries"), F.count_distinct("ih").alias("docs"), F.count_distinct("ip").alias("addresses"))
@@ -259,15 +311,48 @@ def moderation_list(spark, sf_dir):
     return s.filter(F.col("done") & F.col("score").between(5, 95)).orderBy(F.col("score").desc(), "doc_id").limit(50).select("doc_id", "state", "score")
 
 
-@query(f"WITH {SCORES} SELECT least(score // 10, 9) AS bin, count(*) AS n, count(*) FILTER ((cats & 1) <> 0) AS cat0, count(*) FILTER ((cats & 2) <> 0) AS cat1 FROM scores WHERE done GROUP BY bin")
+@query(f"WITH {SCORES} SELECT least(score // 10, 9) AS bin, count(*) AS n, " + ", ".join(f"count(*) FILTER ((cats & {1 << k}) <> 0) AS cat{k}" for k in range(7)) + " FROM scores WHERE done AND NOT deleted GROUP BY bin")
 def moderation_histogram(spark, sf_dir):
-    bit = lambda k: F.count_if(F.col("cats").bitwiseAND(k) != 0)
-    return scores(spark, sf_dir).filter("done").groupBy(F.least(F.floor(F.col("score") / 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), bit(1).alias("cat0"), bit(2).alias("cat1"))
+    bit = lambda k: F.count_if(F.col("cats").bitwiseAND(1 << k) != 0).alias(f"cat{k}")
+    return scores(spark, sf_dir).filter("done and not deleted").groupBy(F.least(F.floor(F.col("score") / 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), *map(bit, range(M.SCORE_CATEGORIES)))
+
+
+@query(
+    f"WITH {SCORES}, s AS (SELECT *, {POLICY} AS hid FROM scores) SELECT count(*) FILTER (done AND NOT deleted) AS analysed, count(*) FILTER (NOT done AND NOT deleted) AS pending, count(*) FILTER (hid) AS hidden, count(*) FILTER (override = 'allow' AND NOT deleted) AS allowed, count(*) FILTER (override = 'hide' AND NOT deleted) AS manual, "
+    + ", ".join(f"count(*) FILTER (done AND NOT deleted AND least(score // 10, 9) = {k}) AS bin{k}" for k in range(10))
+    + ", "
+    + ", ".join(f"count(*) FILTER (hid AND (cats & {1 << k}) <> 0) AS cat{k}" for k in range(7))
+    + " FROM s"
+)
+def moderation_counts(spark, sf_dir):
+    return M.counts(scores(spark, sf_dir), 50, 63)
 
 
-@query(f"WITH {SCORES} SELECT doc_id FROM scores WHERE NOT done AND NOT deleted ORDER BY doc_id DESC LIMIT 100")
+@query(f"WITH {SCORES}, s AS (SELECT *, {POLICY} AS hid FROM scores) SELECT doc_id, CASE WHEN override = 'allow' THEN 'allowed' WHEN override = 'hide' THEN 'manual' WHEN hid THEN 'hidden' ELSE 'visible' END AS state, lower(name) AS low FROM s WHERE NOT deleted AND (done OR override IS NOT NULL) AND NOT hid AND coalesce(score, 0) BETWEEN 0 AND 95 AND (coalesce(cats, 0) & 8) = 0 AND (contains(lower(name), 'er') OR starts_with(ih, 'er')) ORDER BY seeders DESC, doc_id LIMIT 30")
+def moderation_search(spark, sf_dir):
+    """Visible documents with a text in their name, by seeders, without one category."""
+    found = M.listing(scores(spark, sf_dir), 50, 63, "visible", 0, 95, text="er", sort="seeders")
+    return found.filter(F.coalesce("cats", F.lit(0)).bitwiseAND(8) == 0).limit(30).select("doc_id", "state", F.lower("name").alias("low"))
+
+
+@query(
+    f"""WITH {SCORES}, a AS (SELECT doc_id, doc_id % 50 AS seq, CASE doc_id % 5 WHEN 0 THEN 'allow' WHEN 1 THEN 'hide' WHEN 2 THEN 'reset' ELSE 'reanalyse' END AS action FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 25, CASE doc_id % 3 WHEN 0 THEN 'hide' WHEN 1 THEN 'reanalyse' ELSE 'reset' END FROM documents),
+l AS (SELECT doc_id, arg_max(action, seq) FILTER (action <> 'reanalyse') AS last, bool_or(action = 'reanalyse') AS again FROM a GROUP BY doc_id),
+s AS (SELECT scores.* REPLACE (CASE WHEN last IS NULL THEN override WHEN last = 'reset' THEN NULL ELSE last END AS override, done AND NOT again AS done, CASE WHEN again THEN NULL ELSE score END AS score, CASE WHEN again THEN NULL ELSE cats END AS cats) FROM scores JOIN l ON l.doc_id = scores.doc_id)
+SELECT doc_id, coalesce(override, '') AS override, done, {POLICY} AS hidden FROM s"""
+)
+def moderation_overrides(spark, sf_dir):
+    """Decisions of moderators, in their order; the last of each document counts."""
+    s, i = scores(spark, sf_dir), F.col("doc_id")
+    one = s.filter("doc_id % 2 = 0 and doc_id % 50 <> 25").select("doc_id", (i % 50).alias("seq"), F.when(i % 5 == 0, "allow").when(i % 5 == 1, "hide").when(i % 5 == 2, "reset").otherwise("reanalyse").alias("action"))
+    two = s.select("doc_id", F.lit(25).cast("long").alias("seq"), F.when(i % 3 == 0, "hide").when(i % 3 == 1, "reanalyse").otherwise("reset").alias("action"))
+    return M.override(s, one.unionByName(two)).select("doc_id", F.coalesce("override", F.lit("")).alias("override"), "done", M.policy(50, 63).alias("hidden"))
+
+
+@query(f"WITH {SCORES} SELECT doc_id FROM scores WHERE NOT done AND NOT deleted AND doc_id >= 50 ORDER BY doc_id DESC LIMIT 100")
 def moderation_pending(spark, sf_dir):
-    return scores(spark, sf_dir).filter("not done and not deleted").orderBy(F.col("doc_id").desc()).limit(100).select("doc_id")
+    return M.pending(scores(spark, sf_dir), 100, 50).select("doc_id")
 
 
 @query(f"WITH {SCORES}, h AS (SELECT doc_id FROM scores WHERE {POLICY} UNION SELECT doc_id FROM scores WHERE contains(' ' || array_to_string(regexp_extract_all(lower(strip_accents(name)), '[a-z0-9]+'), ' ') || ' ', ' the ')) SELECT count(*) AS hidden FROM h")
@@ -332,31 +417,30 @@ def change_log_later_health(spark, sf_dir):
     return log.filter("t = 'h'").join(alive, "ih").filter("seq > since").groupBy("ih").agg(F.count("*").alias("n"))
 
 
-@query(LAST + " SELECT count(*) AS live, count(*) FILTER (ih % 4 = 0) AS already_present, count(*) FILTER (ih % 4 <> 0 AND category = '1-URGENT') AS blocked, count(*) FILTER (ih % 4 <> 0 AND category <> '1-URGENT') AS fresh FROM alive")
-def import_plan(spark, sf_dir):
-    alive = H.latest(changes(spark, sf_dir))
-    here = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("ih"), F.lit(True).alias("here"))
-    seen, blocked = F.coalesce("here", F.lit(False)), F.col("category") == "1-URGENT"
-    return alive.join(here, "ih", "left").agg(F.count("*").alias("live"), F.count_if(seen).alias("already_present"), F.count_if(~seen & blocked).alias("blocked"), F.count_if(~seen & ~blocked).alias("fresh"))
-
-
 @query(LAST + " SELECT ih FROM alive WHERE ih NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)")
 def import_new_keys(spark, sf_dir):
     here = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("ih"))
     return H.latest(changes(spark, sf_dir)).join(here, "ih", "left_anti").select("ih")
 
 
-@query("SELECT c_custkey AS ih FROM customer WHERE c_custkey % 5 <> 0")
+@query(
+    LAST
+    + """, here AS (SELECT c_custkey AS ih FROM customer WHERE c_custkey % 4 = 0), imported AS (SELECT ih FROM alive WHERE ih NOT IN (SELECT ih FROM here) AND category <> '1-URGENT'),
+after AS (SELECT ih FROM here UNION ALL SELECT ih FROM imported UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 40 = 1 AND c_custkey NOT IN (SELECT ih FROM imported))
+SELECT ih FROM after WHERE ih NOT IN (SELECT ih FROM imported)"""
+)
 def import_undo(spark, sf_dir):
-    """Exactly the imported keys go."""
-    imported = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ih")).union(table(spark, sf_dir, "customer").select("c_custkey")).filter("ih % 5 = 0").distinct()
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ih")).join(imported, "ih", "left_anti")
+    """After an import and some keys added since, exactly the imported keys go: those that were here or came later stay."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ih"))
+    here = customers.filter("ih % 4 = 0")
+    imported = H.latest(changes(spark, sf_dir)).filter("category <> '1-URGENT'").select("ih").join(here, "ih", "left_anti")
+    later = customers.filter("ih % 40 = 1").join(imported, "ih", "left_anti")
+    return here.unionAll(imported).unionAll(later).join(imported, "ih", "left_anti")
 
 
-@query("WITH u AS (SELECT c_custkey AS id FROM customer UNION SELECT s_suppkey FROM supplier) SELECT id FROM u ORDER BY id LIMIT 1000")
+@query("WITH u AS (SELECT c_custkey AS id FROM customer UNION SELECT s_suppkey FROM supplier) SELECT id FROM u ORDER BY id LIMIT 100000")
 def import_node_union(spark, sf_dir):
-    """Capped as in the SQL."""
-    return O.node_union(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "supplier").select("s_suppkey"), 1000)
+    return O.node_union(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "supplier").select("s_suppkey"))
 
 
 @query("WITH q AS (SELECT event_type AS queue, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) SELECT queue, event_id FROM q WHERE rn <= 50")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = 1_706_700_000
+#: What files of an order are ordered by.
+FILE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,31 +29,38 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("category"),
         "source",
         F.col("n_chars").alias("size"),
-        (i * 7919 % 500).alias("seeders"),
-        (i * 104729 % 300).alias("peers"),
+        F.when(i % 7 == 3, 0).otherwise(i * 7919 % 500).alias("seeders"),
+        F.when(i % 14 == 3, 0).otherwise(i * 104729 % 300).alias("peers"),
         (1 + i % 40).alias("file_count"),
         F.when(i % 3 == 0, "scrape").when(i % 3 == 1, "swarm").otherwise("none").alias("src"),
         (NOW - i * 3571 % 40_000_000).alias("indexed_at"),
         (i % 50 == 49).alias("deleted"),
         (i % 31 == 7).alias("hidden"),
+        (i % 4 == 1).alias("dead"),
+        (1_600_000_000 + i * 997 % 50_000).alias("created"),
     )
 
 
 DOCS = f"""docs AS (
   SELECT doc_id, sha1(CAST(doc_id AS VARCHAR)) AS ih, string_split(text, chr(10))[1] AS name, text AS body, lang AS category, source, n_chars AS size,
-         doc_id * 7919 % 500 AS seeders, doc_id * 104729 % 300 AS peers, 1 + doc_id % 40 AS file_count,
+         CASE WHEN doc_id % 7 = 3 THEN 0 ELSE doc_id * 7919 % 500 END AS seeders, CASE WHEN doc_id % 14 = 3 THEN 0 ELSE doc_id * 104729 % 300 END AS peers, 1 + doc_id % 40 AS file_count,
          CASE doc_id % 3 WHEN 0 THEN 'scrape' WHEN 1 THEN 'swarm' ELSE 'none' END AS src, {NOW} - doc_id * 3571 % 40000000 AS indexed_at,
-         doc_id % 50 = 49 AS deleted, doc_id % 31 = 7 AS hidden FROM documents
+         doc_id % 50 = 49 AS deleted, doc_id % 31 = 7 AS hidden, doc_id % 4 = 1 AS dead, 1600000000 + doc_id * 997 % 50000 AS created FROM documents
 ), live AS (SELECT * FROM docs WHERE NOT deleted AND NOT hidden),
 toks AS (SELECT *, regexp_extract_all(lower(strip_accents(name)), '[a-z0-9]+') AS nt, regexp_extract_all(lower(strip_accents(body)), '[a-z0-9]+') AS ft FROM docs)"""
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with nested files: orders with their lines. files has a path and a size for each line."""
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each file, with what the files of an order are ordered by, its path and its size."""
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     path = F.concat(F.lit("order"), F.col("l_orderkey"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), F.lower(F.replace("p_type", F.lit(" "), F.lit(""))))
-    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", path.alias("path"), F.col("l_extendedprice").cast("long").alias("size"))
-    files = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    return line.select("l_orderkey", *FILE_ORDER, path.alias("path"), F.col("l_extendedprice").cast("long").alias("size"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with nested files: orders with their lines. files has a path and a size for each line."""
+    entry = F.struct(*FILE_ORDER, "path", "size")
+    files = file_rows(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("f"))
     o = table(spark, sf_dir, "orders").join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     listed = F.coalesce(F.transform("f", lambda x: F.struct(x.path.alias("path"), x["size"].alias("size"))), F.array().cast("array<struct<path:string,size:bigint>>"))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("ih"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("indexed_at"), listed.alias("files"))
@@ -66,23 +75,31 @@ FILES = """files AS (
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health measurements: events of a user are the measurements of a key."""
+    """Health measurements: events of a user are the measurements of a key.
+
+    Every tenth key is found empty by scrapes alone (by two trackers or more), another tenth by one tracker.
+    """
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
+    empty, one = F.col("user_id") % 10 == 3, F.col("user_id") % 10 == 4
+    zero = empty | one
     return e.select(
         F.col("user_id").alias("ih"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("mt"),
-        F.when(F.col("event_type").isin("view", "signup"), "scrape").otherwise("swarm").alias("src"),
-        F.floor(F.col("value") / 10).cast("long").alias("seeders"),
-        k.alias("peers"),
-        (k % 5).alias("nrep"),
+        F.when(zero | F.col("event_type").isin("view", "signup"), "scrape").otherwise("swarm").alias("src"),
+        F.when(zero, 0).otherwise(F.floor(F.col("value") / 10) - 2).cast("long").alias("seeders"),
+        F.when(zero, 0).otherwise(k).alias("peers"),
+        F.when(empty, 2 + k % 3).when(one, 1).otherwise(k % 5).alias("nrep"),
+        F.when(zero, 0).otherwise(k % 4).alias("cs"),
         "event_id",
     )
 
 
-MEASUREMENTS = """meas AS (
-  SELECT user_id AS ih, CAST(floor(epoch(ts)) AS BIGINT) AS mt, CASE WHEN event_type IN ('view', 'signup') THEN 'scrape' ELSE 'swarm' END AS src,
-         CAST(floor(value / 10) AS BIGINT) AS seeders, CAST(json_extract(props, '$.k') AS BIGINT) AS peers, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS nrep, event_id FROM events
+MEASUREMENTS = """kinds AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id % 10 = 3 AS empty, user_id % 10 = 4 AS one FROM events),
+meas AS (
+  SELECT user_id AS ih, CAST(floor(epoch(ts)) AS BIGINT) AS mt, CASE WHEN empty OR one OR event_type IN ('view', 'signup') THEN 'scrape' ELSE 'swarm' END AS src,
+         CASE WHEN empty OR one THEN 0 ELSE CAST(floor(value / 10) AS BIGINT) - 2 END AS seeders, CASE WHEN empty OR one THEN 0 ELSE k END AS peers,
+         CASE WHEN empty THEN 2 + k % 3 WHEN one THEN 1 ELSE k % 5 END AS nrep, CASE WHEN empty OR one THEN 0 ELSE k % 4 END AS cs, event_id FROM kinds
 )"""
 
 
@@ -148,3 +165,76 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGES = """log AS (
   SELECT o_orderkey AS seq, o_custkey AS ih, CASE o_orderstatus WHEN 'F' THEN 'n' WHEN 'O' THEN 'h' ELSE 'd' END AS t, CAST(trunc(o_totalprice) AS BIGINT) AS size, o_orderpriority AS category FROM orders
 )"""
+
+
+#: Extensions of the media files by the part's key; none, upper case and unknown ones among them.
+MEDIA_EXTS = ["mkv", "mp3", "jpg", "pdf", "exe", "zip", "csv", "nfo", "", "MKV", "tar.gz", "srt", "longextension"]
+
+
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each line of an order, as a file: doc_id, the keys that order it, path and size; every fifth has no size."""
+    ext = F.get(F.array(*map(F.lit, MEDIA_EXTS)), (F.col("l_partkey") % len(MEDIA_EXTS)).cast("int"))
+    name = F.concat(F.lit("disc"), F.col("l_linenumber"), F.lit("/track"), F.col("l_partkey"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+    size = F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(F.col("l_extendedprice").cast("long"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), *FILE_ORDER, name.alias("path"), size.alias("size"))
+
+
+MEDIA = (
+    "media AS (SELECT l_orderkey AS doc_id, 'disc' || l_linenumber || '/track' || l_partkey || CASE WHEN ext = '' THEN '' ELSE '.' || ext END AS path, size, lower(substr(string_split(ext, '.')[-1], 1, 8)) AS ext,"
+    " row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS pos FROM (SELECT *, ["
+    + ", ".join(f"'{e}'" for e in MEDIA_EXTS)
+    + f"][l_partkey % {len(MEDIA_EXTS)} + 1] AS ext, CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE CAST(trunc(l_extendedprice) AS BIGINT) END AS size FROM lineitem)),\n"
+    + """kinds_of(ext, category) AS (VALUES ('mkv', 'Video'), ('mp3', 'Audio'), ('jpg', 'Images'), ('pdf', 'Documents'), ('exe', 'Software'), ('zip', 'Archives'), ('gz', 'Archives'), ('csv', 'Data')),
+media_kinds AS (SELECT media.*, coalesce(category, 'Other') AS category FROM media LEFT JOIN kinds_of ON kinds_of.ext = media.ext)"""
+)
+
+
+def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as a catalogue: (hot columns, cold records with files, trackers and the last measurement's sources)."""
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    hot = o.select(
+        k.alias("doc_id"),
+        F.sha1(k.cast("string").cast("binary")).alias("ih"),
+        F.concat(F.lit("Órder "), k, F.lit(" track box "), F.col("o_custkey")).alias("name"),
+        F.when(k % 11 == 2, 0).otherwise(k * 7919 % 500).alias("seeders"),
+        (k * 104729 % 300).alias("peers"),
+        F.when(k % 3 == 0, "scrape").when(k % 3 == 1, "swarm").otherwise("none").alias("src"),
+        (NOW - k % 4_000_000).alias("health_at"),
+        (NOW - k % 3_000_000).alias("checked_at"),
+        F.when(k % 5 == 0, NOW - k % 2_000_000).otherwise(0).alias("seed_ok_at"),
+        (k % 9).alias("unk"),
+        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("indexed_at"),
+        (1_500_000_000 + k % 1000).alias("created"),
+        (k % 4 == 1).alias("dead"),
+        (k % 50 == 49).alias("deleted"),
+        (k % 31 == 7).alias("hidden"),
+        (k % 17 == 0).alias("private"),
+    )
+    entry = F.struct(*FILE_ORDER, "path", "size")
+    files = media_files(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    url = lambda i: F.concat(F.lit("udp://t"), F.lit(str(i)), F.lit(".example:80/announce"))
+    number = lambda keep, value: F.when(keep, value).cast("long")
+    source = lambda i, s, e: F.struct(url(i).alias("u"), s.alias("s"), number(k % 2 == 0, k % 7).alias("l"), F.lit(None).cast("long").alias("r"), e.alias("e"))
+    tr = F.array(source(1, number(k % 4 != 0, k % 50), F.lit(None).cast("string")), source(2, number(k % 3 == 0, k % 90), F.lit(None).cast("string")), source(3, number(F.lit(False), k), F.when(k % 2 == 0, "timed out")))
+    detail = F.when(k % 6 != 5, F.struct((NOW - k % 1000).alias("at"), (k % 3).alias("cs"), (k % 8).alias("cp"), (k % 20).alias("dht"), F.lit(1).cast("long").alias("md"), tr.alias("tr")))
+    listed = F.coalesce(F.transform("f", lambda x: F.struct(x.path.alias("path"), x["size"].alias("size"))), F.array().cast("array<struct<path:string,size:bigint>>"))
+    cold = o.select(k.alias("doc_id"), F.array(url(9), url(1)).alias("trackers"), F.when(k % 2 == 0, k % 1000 + 1).otherwise(0).alias("piece_length"), detail.alias("detail")).join(files, "doc_id", "left")
+    return hot, cold.select("doc_id", "trackers", "piece_length", "detail", listed.alias("files"))
+
+
+RECORDS = (
+    MEDIA
+    + f""", hot AS (
+  SELECT o_orderkey AS doc_id, sha1(CAST(o_orderkey AS VARCHAR)) AS ih, 'Órder ' || o_orderkey || ' track box ' || o_custkey AS name, CASE WHEN o_orderkey % 11 = 2 THEN 0 ELSE o_orderkey * 7919 % 500 END AS seeders,
+         o_orderkey * 104729 % 300 AS peers, CASE o_orderkey % 3 WHEN 0 THEN 'scrape' WHEN 1 THEN 'swarm' ELSE 'none' END AS src, {NOW} - o_orderkey % 4000000 AS health_at, {NOW} - o_orderkey % 3000000 AS checked_at,
+         CASE WHEN o_orderkey % 5 = 0 THEN {NOW} - o_orderkey % 2000000 ELSE 0 END AS seed_ok_at, o_orderkey % 9 AS unk, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS indexed_at, 1500000000 + o_orderkey % 1000 AS created,
+         o_orderkey % 4 = 1 AS dead, o_orderkey % 50 = 49 AS deleted, o_orderkey % 31 = 7 AS hidden, o_orderkey % 17 = 0 AS private FROM orders
+), sums AS (SELECT doc_id, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS size FROM media GROUP BY doc_id),
+cat_sums AS (SELECT doc_id, category, sum(CASE WHEN size = 0 THEN 1 ELSE size END) AS w, min(pos) AS first FROM media_kinds GROUP BY doc_id, category),
+cats AS (SELECT doc_id, arg_max(category, (w, -first)) AS category FROM cat_sums GROUP BY doc_id),
+ext_sums AS (SELECT doc_id, ext, sum(CASE WHEN size = 0 THEN 1 ELSE size END) AS w, min(pos) AS first FROM media WHERE ext <> '' GROUP BY doc_id, ext),
+exts AS (SELECT doc_id, array_to_string(list(ext ORDER BY w DESC, first)[1 : 8], ',') AS exts, array_to_string(list(ext ORDER BY w DESC, first)[1 : 5], ',') AS five FROM ext_sums GROUP BY doc_id),
+full_rows AS (SELECT hot.*, coalesce(sums.file_count, 0) AS file_count, coalesce(sums.size, 0) AS size, coalesce(category, 'Other') AS category, coalesce(exts, '') AS exts, coalesce(five, '') AS five,
+         CASE WHEN src = 'none' THEN 'unknown' WHEN seeders > 0 THEN 'alive' WHEN peers > 0 THEN 'weak' WHEN src <> 'scrape' THEN 'unknown' WHEN dead THEN 'dead' ELSE 'quiet' END AS state
+  FROM hot LEFT JOIN sums ON sums.doc_id = hot.doc_id LEFT JOIN cats ON cats.doc_id = hot.doc_id LEFT JOIN exts ON exts.doc_id = hot.doc_id)"""
+)

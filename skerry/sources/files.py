@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +43,42 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     return rows.filter("r._corrupt is null").select("r.*").drop("_corrupt"), rows.filter("r._corrupt is not null").select("value")
 
 
-def whole_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def whole_json(spark: SparkSession, path: str, schema: T.StructType, aside: str | None = None) -> DataFrame:
+    """Records of JSON files of one value each; of files that aren't JSON none. aside: a folder that their texts are kept in."""
+    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = texts.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    if aside:
+        bad = rows.filter("r is null or r._corrupt is not null").select(F.to_json(F.struct("file", "value")).alias("value"))
+        bad.write.mode("append").text(aside)
+    return rows.filter("r._corrupt is null").select("r.*").drop("_corrupt")
+
+
+def placed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of JSON lines with file, block and line, which order them as they stand in their files; corrupt lines are left out."""
+    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    rows = lines.filter("value <> ''").select("file", "block", "line", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return rows.filter("r._corrupt is null").select("file", "block", "line", "r.*").drop("_corrupt")
+
+
+#: Layouts of change logs: lines of one event each, and whole files that map keys to records.
+JOURNAL = "t string, ih string, r struct<name:string,category:string>, s long, p long, a long, g string, n int"
+
+
+def journal(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Change log events (seq, t, ih, name, category, s, p, a, g, n) of an older catalogue.
+
+    Lines of events are in the order of their files; a whole file is one object from key to record, whose keys are new in
+    the order of their names.
+    """
+    if not whole:
+        rows = placed_lines(spark, path, T._parse_datatype_string(JOURNAL))
+        return rows.select(F.struct("file", "block", "line").alias("seq"), "t", F.coalesce("ih", F.lit("")).alias("ih"), "r.name", "r.category", "s", "p", "a", "g", "n")
+    texts = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<name:string,category:string>>").alias("m"), F.col("_metadata.file_path").alias("file"))
+    each = texts.select("file", F.explode("m").alias("ih", "r"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    return each.select(F.struct("file", F.lit(0).cast("long").alias("block"), F.xxhash64("ih").alias("line")).alias("seq"), F.lit("n").alias("t"), "ih", "r.name", "r.category", none("s", "long"), none("p", "long"), none("a", "long"), none("g", "string"), none("n", "int"))
 
 
 def patterns(spark: SparkSession, path: str) -> DataFrame:
@@ -66,10 +103,41 @@ def last_per_key(events: DataFrame, key: str, *order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share. Only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="skerry-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the whole snapshots below a folder; one that a writer left unfinished has no success mark and isn't among them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version=*/_SUCCESS")) or []
+    return sorted(int(m.getPath().getParent().getName().partition("=")[2]) for m in marks)
+
+
+def snapshot(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest whole snapshot, or None."""
+    found = versions(spark, target)
+    return spark.read.parquet(f"{target}/version={found[-1]}") if found else None
+
+
 def compact(spark: SparkSession, events: DataFrame, key: str, order: str, target: str) -> DataFrame:
-    """Write the last event of each key as a new snapshot. The committer makes it whole or nothing."""
-    last_per_key(events, key, order).repartition(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    """Write the last event of each key, of the newest snapshot and of events, as a new snapshot beside the older ones.
+
+    Readers see the old one until the new one is whole; a job that dies leaves the old one. events may be read from below target.
+    """
+    before = snapshot(spark, target)
+    every = events if before is None else before.unionByName(events)
+    number = (versions(spark, target) or [0])[-1] + 1
+    last_per_key(every, key, order).repartition(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{target}/version={number}")
+    return snapshot(spark, target)
 
 
 def export(records: DataFrame, path: str, categories: dict[str, str] | None = None) -> None:
@@ -113,9 +181,15 @@ def newest(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).drop("rn")
 
 
-def compact_peers(blob: Column) -> Column:
-    """(ip, port) of records of six bytes: four of the address, two of the port; those of port 0 are left out."""
-    n = F.floor(F.octet_length(blob) / 6).cast("int")
+def compact_peers(blob: Column, version: int = 4) -> Column:
+    """(ip, port) of records of an address and a port of two bytes; those of port 0 are left out.
+
+    Addresses of version 4 are numbers of four bytes, those of version 6 are 16 bytes. A rest that is no whole record isn't read.
+    """
+    wide = 4 if version == 4 else 16
+    n = F.floor(F.octet_length(blob) / (wide + 2)).cast("int")
     number = lambda at, size: F.conv(F.hex(F.substr(blob, at, F.lit(size))), 16, 10).cast("long")
-    every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(number(i * 6 + 1, 4).alias("ip"), number(i * 6 + 5, 2).cast("int").alias("port")))
-    return F.when(n > 0, F.filter(every, lambda p: p.port > 0)).otherwise(F.array().cast("array<struct<ip:bigint,port:int>>"))
+    address = (lambda at: number(at, 4)) if version == 4 else (lambda at: F.substr(blob, at, F.lit(16)))
+    every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(address(i * (wide + 2) + 1).alias("ip"), number(i * (wide + 2) + 1 + wide, 2).cast("int").alias("port")))
+    kind = "bigint" if version == 4 else "binary"
+    return F.when(n > 0, F.filter(every, lambda p: p.port > 0)).otherwise(F.array().cast(f"array<struct<ip:{kind},port:int>>"))

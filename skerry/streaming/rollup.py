@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skerry.operators.series import to_tenths
@@ -19,10 +20,11 @@ OUT = f"ih long, {STATE}"
 
 
 def roll_up(points: DataFrame, width: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Tumbling roll-up of a stream of (ts, gauge, counter). Points later than the watermark are dropped by Spark."""
+    """Tumbling roll-up of a stream of (ts, event_id, gauge, counter). Points later than the watermark are dropped by Spark."""
     windows = points.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"))
-    mean = to_tenths(F.coalesce(F.sum("gauge"), F.lit(0.0)) / F.count("*"))
-    return windows.agg(mean.alias("gauge"), F.max("counter").alias("counter"), F.count("*").alias("n")).select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "gauge", "counter", "n")
+    mean = to_tenths(F.sum("gauge") / F.count("*"))
+    last = F.max_by("counter", F.when(F.col("counter").isNotNull(), F.struct("ts", "event_id")))
+    return windows.agg(mean.alias("gauge"), last.alias("counter"), F.count("*").alias("n")).select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "gauge", "counter", "n")
 
 
 def step(state: dict | None, kind: str, ts: int, revive_after: int = 0) -> dict:
@@ -65,15 +67,64 @@ def step(state: dict | None, kind: str, ts: int, revive_after: int = 0) -> dict:
     return s
 
 
+def release(state: dict) -> dict:
+    """A key whose wait for a retry is over."""
+    return {**state, "status": "pending", "priority": True} if state["status"] == "retry" else state
+
+
 def discover(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold a micro-batch of a key's events, or release its retry when the watermark has come to its time."""
     now = dict(zip((c.split()[0] for c in STATE.split(", ")), state.get)) if state.exists else None
-    events = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    for kind, ts in zip(events["kind"], events["ts"]):
-        now = step(now, kind, int(ts), REVIVE_S)
+    if state.hasTimedOut:
+        now = release(now)
+    else:
+        events = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        for kind, ts in zip(events["kind"], events["ts"]):
+            now = step(now, kind, int(ts), REVIVE_S)
     state.update(tuple(now.values()))
+    if now["status"] == "retry":
+        state.setTimeoutTimestamp(max(now["retry_at"] * 1000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([{"ih": key[0], **now}])
 
 
-def discovery(events: DataFrame) -> DataFrame:
-    """State of each key after each micro-batch. events: (ih, kind, ts, seq)."""
-    return events.groupBy("ih").applyInPandasWithState(discover, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def discovery(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """State of each key after each micro-batch that changes it. events: (ih, kind, ts, seq), ts in seconds."""
+    timed = events.withColumn("time", F.timestamp_seconds("ts")).withWatermark("time", late)
+    return timed.groupBy("ih").applyInPandasWithState(discover, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Events of a crawler as files of JSON lines.
+SIGHTINGS = "ts long, ih string, src string, kind string, peer_ip string, peer_port int, seq long"
+
+
+def sightings(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
+    """Stream of the sightings that arrive in a folder. An announcement of a peer with an address is of kind peer."""
+    rows = spark.readStream.schema(SIGHTINGS).option("maxFilesPerTrigger", files_at_once).json(path)
+    kind = F.when((F.col("src") == "announce") & F.col("peer_ip").isNotNull() & (F.col("peer_port") > 0), "peer").when(F.col("src") == "announce", "announce").otherwise("seen")
+    return rows.withColumn("kind", F.coalesce("kind", kind))
+
+
+def first_seen(events: DataFrame, late: str = "6 hours") -> DataFrame:
+    """Each key once for as long as the watermark remembers it. events: with ih and time."""
+    return events.withWatermark("time", late).dropDuplicatesWithinWatermark(["ih"])
+
+
+def drained(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all that is there, and return what its micro-batches put out, with the number of each as batch.
+
+    Batches are written to a folder that executors and driver share; nothing passes through the driver.
+    """
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/{number}")  # a batch that is run again replaces itself
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+
+
+def latest_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """The last row that batches put out for each key."""
+    names = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("r")).select(*keys, "r.*")

@@ -24,7 +24,8 @@ def test_tokens(spark):
     rows = [("Café del Mar 1080p x264",), ("",), (None,), ("a 7 ß",)]
     assert values(spark, X.tokens(F.col("x")), rows) == [["cafe", "del", "mar", "1080p", "x264"], [], [], ["a", "7"]]
     assert values(spark, X.index_tokens(F.col("x")), rows) == [["cafe", "del", "mar", "1080p", "x264", "1080", "264"], [], [], ["7"]]
-    assert values(spark, X.norm_any(F.col("x")), [("Éé ǅ",), (None,)]) == ["ee dz", None]
+    folded = [("Éé ǅ",), (None,), ("e\u0301 Ệ ﬁ ½ ⑩ ㎏ ﷺ İ",), ("\U0001d400\U0001f130",)]
+    assert values(spark, X.norm(F.col("x")), folded) == ["ee dz", None, "ee fi 1\u20442 10 kg \ufdfa i".replace("ee fi", "e e fi"), "AA"]
 
 
 def test_extensions(spark):
@@ -44,16 +45,17 @@ def test_addresses(spark):
     assert N.block_range("198.18.0.5/28") == (3323068416, 3323068431)
 
 
-DOCS = "doc_id long, ih string, name string, body string, category string, seeders long, peers long, src string, deleted boolean, hidden boolean, indexed_at long, size long, file_count long"
+DOCS = "doc_id long, ih string, name string, body string, category string, seeders long, peers long, src string, deleted boolean, hidden boolean, indexed_at long, size long, file_count long, dead boolean"
 
 
 def catalogue(spark):
     rows = [
-        (1, "aa", "Team A wins", "first file", "en", 5, 1, "scrape", False, False, 100, 10, 1),
-        (2, "ab", "Blue movie", "the moving file", "en", 0, 3, "scrape", False, False, 90, 20, 1),
-        (3, "b0", "Blue moon", "", "de", 0, 0, "swarm", False, True, 80, 30, 1),
-        (4, "b1", "blue moon rising", None, "de", 0, 0, "none", True, False, 70, 40, 1),
-        (5, "c0", "Moon over blue", "x", "fr", 9, 9, "swarm", False, False, 60, 50, 1),
+        (1, "aa", "Team A wins", "first file", "en", 5, 1, "scrape", False, False, 100, 10, 1, False),
+        (2, "ab", "Blue movie", "the moving file", "en", 0, 3, "scrape", False, False, 90, 20, 1, False),
+        (3, "b0", "Blue moon", "", "de", 0, 0, "swarm", False, True, 80, 30, 1, True),
+        (4, "b1", "blue moon rising", None, "de", 0, 0, "none", True, False, 70, 40, 1, True),
+        (5, "c0", "Moon over blue", "x", "fr", 9, 9, "swarm", False, False, 60, 50, 1, True),
+        (6, "c1", "gone", "x", "fr", 0, 0, "scrape", False, False, 10, 60, 1, True),
     ]
     return spark.createDataFrame(rows, DOCS)
 
@@ -69,19 +71,20 @@ def test_search(spark):
     assert run(words=["blue"]) == [2, 5]
     assert run(words=["file"], prefix="mov") == [2]
     assert run(phrases=["blue moon"]) == []
-    assert run(not_words=["blue"]) == [1]
+    assert run(not_words=["blue"]) == [1, 6]
     assert run(words=["file"], scope="n") == []
     assert ids(S.run(d, index, S.Search([S.Group(words=["wins"]), S.Group(words=["moon"])]), 100)) == [1, 5]
     assert ids(S.run(d, index, S.Search([S.Group(words=["nothing"])], key_prefix="a"), 100)) == [1, 2]
     assert ids(S.run(d, index, S.Search(ranges={"age": (None, 10)}), 100)) == [1, 2]
     assert ids(S.run(d, index, S.Search(states=["weak"]), 100)) == [2]
-    assert ids(S.run(d, index, S.Search(), 100)) == [1, 2, 5]
+    assert ids(S.run(d, index, S.Search(states=["dead"]), 100)) == [6]
+    assert ids(S.run(d, index, S.Search(), 100)) == [1, 2, 5, 6]
 
 
 def test_relevance(spark):
     d = catalogue(spark).filter("doc_id = 5")
     got = d.select(S.relevance(["moon", "blu"], {"moon": 1.0, "blu": 2.0}).alias("s")).first().s
-    assert math.isclose(got, 3 * 1 + 2 * 2 + 2 * 2 / 3 + 1.5 * 1 / 2)
+    assert math.isclose(got, 3 * 1 + 2 * 2 + 2 * 2 / 3 + 1.5 * 2 / 2)  # a word that a name word starts with is in the name
 
 
 def test_did_you_mean_and_highlight(spark):
@@ -102,6 +105,14 @@ def test_fold_keeps_a_recent_scrape(spark):
     assert H.fold(m.limit(0)).count() == 0
 
 
+def test_history_has_no_skipped_measurements(spark):
+    day = 86_400
+    rows = [(1, 0, 50, 5, "scrape", 1), (1, day, 3, 3, "swarm", 2), (1, 2 * day, -4, 0, "scrape", 3), (1, 3 * day, 0, 0, "swarm", 4)]
+    m = spark.createDataFrame(rows, "ih long, mt long, seeders long, peers long, src string, event_id long")
+    assert [(r.mt, r.seeders) for r in H.history(m).orderBy("rn").collect()] == [(3 * day, 0), (2 * day, 0), (0, 50)]
+    assert H.unknown_run(m).first().unk == 1
+
+
 def test_history_is_bounded_and_newest_wins(spark):
     rows = [(1, t, t, 0, "swarm", t) for t in range(50)] + [(1, 49, 99, 0, "swarm", 1000)]
     m = spark.createDataFrame(rows, "ih long, mt long, seeders long, peers long, src string, event_id long")
@@ -115,10 +126,8 @@ def test_dead_needs_confirmed_scrapes(spark):
     rows = [(ih, t * hour, *figures, 10 * ih + t) for ih, figures in runs.items() for t in (0, 6, 12)]
     rows += [(6, t * hour, 0, 0, "scrape", 2, 60 + t) for t in (0, 6, 11)]
     m = spark.createDataFrame(rows, "ih long, mt long, seeders long, peers long, src string, nrep long, event_id long")
-    recent = H.history(m)
-    assert {r.ih: (r.run, r.span, r.dead) for r in H.dead_keys(recent).collect()} == {1: (3, 12 * hour, True), 6: (3, 11 * hour, False)}
-    full = H.fold(m).join(H.dead_keys(recent).select("ih", "dead"), "ih", "left")
-    state = full.select("ih", S.health_state(F.coalesce("dead", F.lit(False))).alias("state")).collect()
+    assert {r.ih: (r.run, r.span, r.dead) for r in H.dead_keys(m).collect()} == {1: (3, 12 * hour, True), 6: (3, 11 * hour, False)}
+    state = H.verdicts(m).select("ih", "state").collect()
     assert {r.ih: r.state for r in state} == {1: "dead", 2: "weak", 3: "quiet", 4: "unknown", 5: "quiet", 6: "quiet"}
 
 
@@ -166,9 +175,9 @@ def test_merged_postings_are_rows(spark):
 
 
 def test_roll_up_counts_points_without_the_gauge(spark):
-    p = spark.createDataFrame([(600, 100.0, 1, 1), (610, None, 2, 2), (900, 5.0, 3, 3)], "t long, gauge double, counter long, event_id long")
+    p = spark.createDataFrame([(600, 100.0, 1, 1), (610, None, 2, 2), (620, None, None, 4), (630, 0.0, 2, 5), (900, 5.0, 3, 3), (1200, None, 4, 6), (1500, 0.25, 5, 7), (1800, 0.75, 6, 8)], "t long, gauge double, counter long, event_id long")
     got = {r.t: (r.gauge, r.counter) for r in T.roll_up(p, 300).collect()}
-    assert got == {750: (50.0, 2), 1050: (5.0, 3)}
+    assert got == {750: (25.0, 2), 1050: (5.0, 3), 1350: (None, 4), 1650: (0.2, 5), 1950: (0.8, 6)}
 
 
 def test_down_sample_does_not_cross_gaps(spark):
@@ -183,13 +192,83 @@ def test_merge_of_observations(spark):
     assert (r.role, r.port, r.client, r.src, r.first, r.last) == (1, 2000, "y", 7, 5, 7)
 
 
+def test_last_client_and_port_of_a_connection(spark):
+    rows = [(1, 7, 1000, 1, "zz", "d", 5), (1, 7, 0, -1, "aa", "c", 6), (1, 7, 3000, 0, "", "a", 7)]
+    r = O.merge(spark.createDataFrame(rows, "ih long, ip long, port long, role int, client string, src string, ts long")).first()
+    assert (r.port, r.client) == (1000, "aa")
+
+
+def test_ranges_over_many_steps(spark):
+    rows = [(k, ip, 0, k) for k, ip in enumerate((0, 65_535, 65_536, 200_000, 2**32 - 1))]
+    merged = spark.createDataFrame(rows, "ih long, ip long, role int, last long")
+    spans = spark.createDataFrame([(65_535, 70_000), (0, 0), (199_999, 2**32 - 1)], "low long, high long")
+    assert sorted(r.ip for r in O.in_ranges(merged, spans).collect()) == [0, 65_535, 65_536, 200_000, 2**32 - 1]
+    assert O.in_ranges(merged, spans.limit(0)).count() == 0
+
+
+def test_series_are_carried_over_days(spark):
+    """Windows of stretches and their carried edges give what one window over the whole series gives."""
+    from pyspark.sql.window import Window
+
+    rng = random.Random(11)
+    rows = [(rng.randrange(12) * 40_000 + rng.randrange(3), n, rng.randrange(100), rng.choice("ab")) for n in range(300)]
+    p = spark.createDataFrame(rows, "t long, event_id long, counter long, event_type string")
+    order = Window.partitionBy("event_type").orderBy("t", "event_id")
+    got = T.running(T.previous(p, "event_type", "t", "counter"), "event_type", s=("sum", F.col("counter")), m=("max", F.col("counter")))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    want = p.select("*", F.lag("t").over(order).alias("prev_t"), F.lag("counter").over(order).alias("prev_counter"), F.sum("counter").over(upto).alias("s"), F.max("counter").over(upto).alias("m"))
+    key = lambda f: sorted((r.event_id, r.prev_t, r.prev_counter, r.s, r.m) for r in f.select("event_id", F.coalesce("prev_t", F.lit(-1)).alias("prev_t"), F.coalesce("prev_counter", F.lit(-1)).alias("prev_counter"), "s", "m").collect())
+    assert key(got) == key(want)
+
+
+def test_history_range_takes_the_tier_and_completes_it(spark):
+    day = T.DAY
+    raw = spark.range(0, 2 * day, 60).selectExpr("id t", "id event_id", "1.0D gauge", "id counter")
+    m5 = spark.range(150, day, 300).selectExpr("id t", "id event_id", "2.0D gauge", "id counter")
+    tiers = {"raw": raw, "m5": m5, "h1": raw.limit(0)}
+    assert [T.tier_for(s) for s in (60, day, day + 1, 30 * day, 31 * day)] == ["raw", "raw", "m5", "m5", "h1"]
+    last_hour = T.history_range(tiers, 3600, 2 * day).collect()
+    assert len(last_hour) == 60 and {r.tier for r in last_hour} == {"raw"}
+    both = T.history_range(tiers, 2 * day, 2 * day, most=10_000).collect()
+    newest = max(r.t for r in both if r.tier == "m5")
+    assert min(r.t for r in both if r.tier == "raw") > newest + 150
+    assert T.history_range(tiers, 2 * day, 2 * day).count() <= 620
+    assert T.history_range({k: v.limit(0) for k, v in tiers.items()}, 60, 5).count() == 0
+
+
+def test_addresses_of_version_six(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "2001:db8::1:0:0:1", "1:2:3:4:5:6:7:8", "2001:DB8:0:0:1::", "::ffff:198.18.0.1", "fe80::198.18.0.1", "0:0:1::", "1::2::3", "1:2:3", "12345::", "198.18.0.1", "x", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", N.ip_binary(F.col("x")).alias("b"), N.ip_text(N.ip_binary(F.col("x"))).alias("t")).collect()
+    for r in got:
+        try:
+            a = ipaddress.ip_address(r.x)
+        except ValueError:
+            assert r.b is None and r.t is None, r
+            continue
+        packed = a.packed if a.version == 6 else b"\0" * 10 + b"\xff\xff" + a.packed
+        mapped = a.ipv4_mapped if a.version == 6 else a
+        assert bytes(r.b) == packed and r.t == str(mapped or a), r
+    specs, bad = N.ip_specs("198.18.0.1:80, [2001:db8::1]; 10.0.0.7/8 nonsense")
+    assert [v4 for _, _, v4 in specs] == [True, False, True] and bad == ["nonsense"]
+
+
+def test_rules_of_another_catalogue(spark):
+    schema = "id string, term string, scope string, mode string"
+    here = spark.createDataFrame([("a", "x", "all", "word"), ("b", "y", "all", "word")], schema)
+    there = spark.createDataFrame([("q", "x", "all", "word"), ("a", "z", "all", "word"), (None, "v", "all", "word"), ("c", "w", "all", "word"), ("c", "u", "all", "word"), ("d", "u", "all", "word")], schema)
+    got = {r.term: r.id for r in M.merge_rules(here, there).collect()}
+    assert set(got) == {"z", "v", "w", "u"} and got["u"] == "c" and len(set(got.values()) - {"a", "b"}) == 4
+
+
 def test_caps_are_the_references(spark):
     merged = spark.range(310).selectExpr("1L ih", "id ip", "id last")
     assert sorted(r.ip for r in O.cap(merged).collect()) == list(range(10, 310))
     assert sorted(r.ip for r in O.cap(merged, 2).collect()) == [308, 309]
     obs = spark.range(600).selectExpr("id ip", "cast(id % 599 as int) port")
-    assert O.registry(obs, 7).count() == 597
-    assert [tuple(r) for r in O.registry(obs, 1, 2).collect()] == [(2, 2), (3, 3)]
+    assert O.registry(obs, 7, everywhere=True).count() == 597 and O.registry(obs, 7).count() == 0  # 0.0.0.0/8 isn't global
+    assert [tuple(r) for r in O.registry(obs, 1, 2, everywhere=True).collect()] == [(2, 2), (3, 3)]
     nodes = O.node_union(spark.range(1500), spark.range(1400, 1600))
     assert nodes.count() == 1600 and [r.id for r in O.node_union(spark.range(3), spark.range(5), 4).collect()] == [0, 1, 2, 3]
     assert (O.KEY_ROWS, O.REGISTRY_NODES, O.KEPT_NODES) == (300, 50_000, 100_000)
@@ -198,6 +277,10 @@ def test_caps_are_the_references(spark):
 def test_rules():
     assert M.check_rule("", "all", "word") and M.check_rule("(", "all", "regex") and M.check_rule(".*", "all", "regex")
     assert M.check_rule("a b", "name", "word") is None
+    for pattern in ("(?P<x>a)", "(a+)+b", "(x*y)*", r"a\Z", "[a&&b]"):
+        assert M.check_rule(pattern, "all", "regex"), pattern
+    for pattern in ("lo[sz]er", "(foo|bar)+x", r"a\.b{2,3}", "(?:a|b)c"):
+        assert M.check_rule(pattern, "all", "regex") is None, pattern
 
 
 def test_policy_prefers_overrides(spark):
@@ -217,12 +300,27 @@ def test_discovery_steps():
 class Held:
     """Stands in for the state of a group."""
 
-    exists, get = False, None
+    exists, get, hasTimedOut, timeout = False, None, False, None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
 
     def update(self, value):
         self.exists, self.get = True, value
 
 
+def test_discovery_timer_releases_a_retry():
+    held = Held()
+    list(rollup.discover((7,), iter([pd.DataFrame([{"kind": k, "ts": n, "seq": n} for n, k in enumerate(("announce", "probe", "fail"))])]), held))
+    assert held.timeout == (2 + rollup.RETRY_DELAY_S) * 1000
+    held.hasTimedOut = True
+    out = list(rollup.discover((7,), iter([]), held))[0].iloc[0]
+    assert (out.status, out.priority) == ("pending", True)
+
+
 def test_discovery_waits_and_promotes():
     hour = 3600
     cases = {
