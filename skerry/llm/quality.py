@@ -1,9 +1,9 @@
 """Quality rules, with DataFrame functions only.
 
 Rules on a text's own words and lines come first. Then lines are compared across documents: normalised lines
-are hashed, the distinct texts that hold a line are counted for each host, and lines above the limit are
-removed from all documents but the first that holds them. A document that keeps too few words is depleted
-and rejected.
+are hashed, the distinct documents that hold a line are counted for each host, and lines above the limit are
+removed. A document that keeps too few words is depleted and rejected. Two options are for corpora that still
+hold exact copies: to count copies of a text once, and to leave a line with the first text that holds it.
 """
 
 from __future__ import annotations
@@ -69,11 +69,11 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     measured = docs.select(
         *docs.columns,
-        let(words_of(text), by_word).alias("__m"),
+        let(words_of(text), by_word).alias("__skerry_m"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    measured = measured.select(*docs.columns, "__m.n_words", "__m.word_chars", "n_symbols", "n_dup_lines", "__m.n_repeat_words")
+    measured = measured.select(*docs.columns, "__skerry_m.n_words", "__skerry_m.word_chars", "n_symbols", "n_dup_lines", "__skerry_m.n_repeat_words")
     return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -83,13 +83,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
-    """(host, line, first): lines above the limit and the smallest doc_id that holds them. docs as keyed() has them.
+def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, copies_once: bool = False, first_keeps: bool = False) -> DataFrame:
+    """(host, line, first): lines in at least line_docs documents of a host. docs as keyed() has them.
 
-    Exact copies of a text count once. Counts are of all documents; partial counts are summed before rows travel.
+    Rows of one id are one document, rows without an id are told apart by their text. copies_once: exact copies of a text
+    count once. first_keeps: first is the text of the smallest doc_id with the line, else null. The limit is the same
+    for hosts of all sizes; partial counts are summed before rows travel.
     """
     lines = docs.select("doc_id", "host", "text_hash", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n"), F.min("doc_id").alias("first"))
+    counted = F.col("text_hash") if copies_once else F.coalesce("doc_id", "text_hash")
+    first = F.min_by("text_hash", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))) if first_keeps else F.first(F.lit(None).cast("long"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct(counted).alias("n"), first.alias("first"))
     return counts.filter(F.col("n") >= line_docs).select("host", "line", "first")
 
 
@@ -97,19 +101,20 @@ def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """(doc_id, host, text_hash, removed_words, bad) of documents that lose lines; bad: hashes of these lines."""
     line = F.transform(lines_of(F.col("text")), lambda x: F.struct(line_hash(x).alias("line"), F.size(words_of(x)).alias("n")))
     lines = docs.select("doc_id", "host", "text_hash", F.posexplode(line).alias("at", "x")).select("doc_id", "host", "text_hash", "at", "x.line", "x.n")
-    hit = lines.join(frequent, ["host", "line"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    hit = lines.join(frequent, ["host", "line"]).filter(~F.col("text_hash").eqNullSafe(F.col("first")))
     hit = hit.dropDuplicates(["doc_id", "host", "text_hash", "at"])  # rows that repeat id, host and text
     return hit.groupBy("doc_id", "host", "text_hash").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("bad"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, left_percent: float = LEFT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, left_percent: float = LEFT_PERCENT, copies_once: bool = False, first_keeps: bool = False) -> DataFrame:
     """Every row of docs as (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept, bad, host, text_hash).
 
     Null and empty texts have no words and fail the base rules. Rows that repeat id, host and text get the same verdict.
-    A null id is never the first holder of a line. Other columns are not read; an empty table gives an empty one.
+    copies_once and first_keeps: as in frequent_lines(); a text without any id is never the first.
+    Other columns are not read; an empty table gives an empty one.
     """
     rows = keyed(docs, id_col, text_col, host_col)
-    frequent = materialise(frequent_lines(rows, line_docs), "frequent-lines")
+    frequent = materialise(frequent_lines(rows, line_docs, copies_once, first_keeps), "frequent-lines")
     removed = removed_lines(rows, frequent)
     base = measures(rows).drop("text")
     same = (base.doc_id.eqNullSafe(removed.doc_id)) & (base.host == removed.host) & (base.text_hash == removed.text_hash)
@@ -119,11 +124,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs; lines above the limit are gone from text, and n_chars follows."""
+    """The rows of docs that are kept, with the columns of docs; lines above the limit are gone from text, and n_chars follows.
+
+    Rows that repeat id, host and text stay repeated. Columns of docs may have any names but those that begin with
+    `__skerry_`. An empty table gives an empty one.
+    """
     kept = materialise(judge(docs, **options), "quality").filter("kept").dropDuplicates(["doc_id", "host", "text_hash"])
-    kept = kept.selectExpr("doc_id __id", "host __host", "text_hash __hash", "bad __bad")
+    kept = kept.selectExpr("doc_id __skerry_id", "host __skerry_host", "text_hash __skerry_hash", "bad __skerry_bad")
     host, digest = F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (host == F.col("__host")) & (digest == F.col("__hash")))
-    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__bad", line_hash(x)))
-    text = F.when(F.col("__bad").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__skerry_id")) & (host == F.col("__skerry_host")) & (digest == F.col("__skerry_hash")))
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__skerry_bad", line_hash(x)))
+    text = F.when(F.col("__skerry_bad").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     return joined.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)

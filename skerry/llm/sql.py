@@ -66,12 +66,10 @@ WITH docs AS (
 ), lines AS (
   SELECT row_id, doc_id, host, text, lower(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS line,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT row_id, doc_id, host, text, unnest(l) AS line FROM base)
-), hosts AS (SELECT host, count(DISTINCT text) AS n FROM docs GROUP BY host),
-frequent AS (
-  SELECT f.host, f.line, f.first FROM (SELECT host, line, count(DISTINCT text) AS n, min(doc_id) AS first FROM lines GROUP BY host, line HAVING count(DISTINCT text) >= 50) f
-  JOIN hosts ON hosts.host = f.host AND 100 * f.n >= hosts.n
+), frequent AS (
+  SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), text)) >= 50
 ), removed AS (
-  SELECT row_id, sum(n) AS n FROM lines JOIN frequent ON frequent.host = lines.host AND frequent.line = lines.line AND lines.doc_id IS DISTINCT FROM frequent.first GROUP BY row_id
+  SELECT row_id, sum(n) AS n FROM lines JOIN frequent ON frequent.host = lines.host AND frequent.line = lines.line GROUP BY row_id
 ), failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 100 * (n_words - least(n_words, coalesce(n, 0))) >= 30 * n_words AS kept, CAST(coalesce(n, 0) AS BIGINT) AS removed_words
