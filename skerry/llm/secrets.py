@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import json
 import re
 from collections.abc import Iterator
@@ -26,9 +27,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that have 32 characters
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_=-])([A-Za-z0-9_=-]+)\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*")
+OPENING = re.compile("e(?:y[A-DI-L]|w[k-r0-3])")  # what `{` and white space or a quote begin with in base64
+PEEK = 64  # characters of a header that are looked at first
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:(?:\r?\n|\\r\\n|\\n)[A-Za-z0-9+/]+)+={0,2}")  # runs over lines, or with written line breaks
+COLONS = re.compile(r"(?:[0-9A-Fa-f]{2}:){31,}[0-9A-Fa-f]{2}")
+BREAKS = re.compile(r"\s+|\\[nr]|:")
 
 _words = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _as_run = bytes(104 if chr(b) in "0123456789abcdefABCDEF" else 98 if re.match(r"[A-Za-z0-9+/_-]", chr(b), re.A) else 32 for b in range(256))
@@ -108,7 +114,7 @@ def is_openssh_key(data: bytes) -> bool:
 
 def unbase64(s: str) -> bytes:
     """Decoded bytes of base64 in either alphabet; none if it isn't."""
-    s = "".join(s.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    s = BREAKS.sub("", s).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -119,7 +125,25 @@ def kind_of(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def plausible(run: str, at: int) -> bool:
+    """Whether what stands in a run from a place on may begin a JSON object, by its first characters alone: a run with
+    many openings isn't decoded from each of them."""
+    part = run[at : at + PEEK]
+    try:
+        start = codecs.getincrementaldecoder("utf-8")().decode(base64.urlsafe_b64decode(part[: len(part) & ~3]))
+    except ValueError:
+        return False
+    try:
+        json.loads(start)
+    except json.JSONDecodeError as e:
+        return len(part) < PEEK or e.msg.startswith("Unterminated string") or e.pos >= len(start.rstrip())
+    except RecursionError:
+        return False
+    return True
+
+
 def is_signed_token(s: str) -> bool:
+    """A header that names an algorithm, and claims; however their JSON is spaced."""
     header, payload, _ = s.split(".", 2)
     try:
         top, claims = (json.loads(unbase64(x)) for x in (header, payload))
@@ -139,15 +163,24 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if b"h" * 32 in runs:
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
         for m in ANY_HEX.finditer(text):
-            if len(m[0]) % 2 == 0 and (kind := kind_of(bytes.fromhex(m[0]))):
-                found.append((kind, *m.span()))
-    if b"eyJ" in raw:
-        found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+            size = len(m[0]) & ~1
+            for a in {m.start(), m.end() - size}:  # of an odd run, without its last or its first digit
+                if kind := kind_of(bytes.fromhex(text[a : a + size])):
+                    found.append((kind, a, a + size))
+    if raw.count(b":") > 30:
+        found += [(kind, *m.span()) for m in COLONS.finditer(text) if (kind := kind_of(bytes.fromhex(m[0].replace(":", ""))))]
+    if b"ey" in raw or b"ew" in raw:
+        for m in DOTTED.finditer(text):
+            tail = text[m.end(1) : m.end()]
+            start = next((m.start() + o.start() for o in OPENING.finditer(m[1]) if plausible(m[1], o.start()) and is_signed_token(m[1][o.start() :] + tail)), None)
+            if start is not None:
+                found.append(("jwt", start, m.end()))
     if b"b" * 40 in runs.translate(_all_run):
         keys = [(kind, *m.span()) for m in PEM.finditer(text) if (kind := kind_of(unbase64(m[2])))] if b"PRIVATE KEY-----" in raw else []
-        for m in BASE64.finditer(text):
-            if not any(a <= m.start() < b for _, a, b in keys) and (kind := kind_of(unbase64(m[0]))):
-                keys.append((kind, *m.span()))
+        for pattern in (WRAPPED, BASE64):
+            for m in pattern.finditer(text):
+                if not any(a <= m.start() < b for _, a, b in keys) and (kind := kind_of(unbase64(m[0]))):
+                    keys.append((kind, *m.span()))
         found += keys
     return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -178,7 +211,8 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with secrets replaced by the mark in text_col; nulls stay null."""
+    """docs with secrets replaced by the mark in text_col. Nulls stay null, empty texts empty; other columns, repeated rows
+    and ids stay as they are; an empty table gives an empty one."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
