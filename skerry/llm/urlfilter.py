@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 32  # copies of the expressions of rules that URLs have
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,6 +36,8 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     then the one of the longer host, then block. Without one the verdict is default. Rules with a null are void.
     The lengths of the rules' paths, at most as many as a path has characters, are read first; rules themselves
     are joined, and Spark broadcasts them only if their size allows it. URLs are judged once each, however often they stand there.
+    Distinct expressions meet the rules first; the few that hit come back to the URLs in SALTS copies, so that an
+    expression that a third of all URLs have, like `com/`, is no single key.
     """
     rules = rules.dropna(subset=["host", "path", "verdict"]).select(
         F.concat(F.translate("host", UPPER, LOWER), "path").alias("rule"), F.char_length("host").alias("host_len"), "verdict", F.char_length("path").alias("path_len")
@@ -48,9 +51,11 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         .select("url", F.sha2("expression", 256).alias("digest"))
         .withColumn("short", F.substring("digest", 1, 2 * prefix_bytes))
     )
+    hits = tried.select("short", "digest").distinct().join(rules, "short").filter(F.col("digest") == F.col("rule_digest"))
+    hits = hits.select("digest", "rule", "host_len", "verdict").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     best = (
-        tried.join(rules, "short")
-        .filter(F.col("digest") == F.col("rule_digest"))
+        tried.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        .join(hits, ["digest", "salt"])
         .groupBy("url")
         .agg(F.max(F.struct(F.char_length("rule").alias("n"), "host_len", "verdict", "rule")).alias("best"))
     )
@@ -65,8 +70,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """
     judged = judge(pages, rules, url_col, default)
     host, path = host_and_path(F.col("url"))
-    return (
-        pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-        .join(judged, "url", "left")
-        .select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
-    )
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    shown = ["page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")]
+    there = rows.filter("url is not null").join(judged, "url", "left").select(*shown)
+    none = F.lit(None).cast("string")  # null urls, however many, don't meet in one task
+    return there.unionByName(rows.filter("url is null").withColumns({"rule": none, "verdict": none}).select(*shown))
