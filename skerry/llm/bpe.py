@@ -1,4 +1,4 @@
-"""Byte-level BPE: corpus-level merge replay.
+"""Byte-level BPE: merge replay over blocks of the corpus.
 
 A task cuts its documents into blocks of bounded text. The distinct words of a block that are not yet
 known form one flat array of byte tokens. An inverted index leads from a merge's rank to the word

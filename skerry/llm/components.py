@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import materialise
+from skerry.llm.common import forget, materialise
 
 
 def state(edges: DataFrame) -> tuple:
@@ -16,7 +16,9 @@ def state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): every node of the edges (a, b) with the smallest node that it reaches.
 
-    Each round is a few joins and groupings by node, written to the shared folder; nothing but two sums reaches the driver.
+    Each round is a few joins and groupings by node, written to the shared folder, where it replaces the one before;
+    nothing but two sums reaches the driver. Edges with a null end, and those from a node to itself, count for nothing;
+    without edges there are no nodes.
     """
     edges = materialise(edges.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     before = state(edges)
@@ -26,7 +28,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").filter("b > a").selectExpr("b a", "m b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").selectExpr("greatest(b, m) a", "least(b, m) b").unionByName(least.selectExpr("a", "m b")).distinct()
-        edges = materialise(small, "edges")
+        older, edges = edges, materialise(small, "edges")
+        forget(older)
         now = state(edges)
         if now == before:
             break

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Bounds of the sample that a dictionary is made of, and of the dictionary.
 SAMPLE_ROWS = 2_000
 DICTIONARY_BYTES = 64_000
+MOST_LANGUAGES = 500
 LEVEL = 6
 MARGIN = 0.02
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean, sizes map<string,int>"
@@ -22,12 +23,18 @@ LETTER = re.compile(r"[^\W\d_]")
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary for each language.
 
-    Of each language about sample_rows rows are taken by a hash of their text (all, if there are no more); whole
-    texts, in the order of that hash, fill dictionary_bytes. Rows with a null text or language are not used.
+    Of each language about sample_rows rows are candidates by a hash of their text (all, if there are no more); whole
+    texts, in the order of that hash, fill dictionary_bytes, which about as many texts do as fit into them: a task holds
+    no more of a language than that and its current batch, and of a long text only the start comes into the dictionary.
+    Rows with a null or empty text, or a null language, are not used. More than MOST_LANGUAGES languages are an error:
+    every task holds a dictionary for each.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text <> '' and lang is not null")
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), sample_rows / F.count("*")).alias("share"))
-    picked = rows.join(F.broadcast(share), "lang").withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    if (found := share.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{found} languages, at most {MOST_LANGUAGES}")
+    picked = rows.join(F.broadcast(share), "lang")  # at most MOST_LANGUAGES rows
+    picked = picked.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first texts by hash of each language, as many as a dictionary holds."""

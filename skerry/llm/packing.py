@@ -35,10 +35,6 @@ class Bins:
         self.sources: list[list[int]] = []  # per_source bitmaps of each bin
         self.clusters: list[int] = []
         self.holds: list[list[int]] = []
-        self.bits: dict[object, int] = {}
-
-    def bit(self, key: object) -> int:
-        return 1 << self.bits.setdefault(key, len(self.bits))
 
     def put(self, item: int, size: int, source: int, cluster: int) -> int:
         """source: its bit; cluster: its bit, or 0. Returns the bin."""
@@ -97,7 +93,7 @@ def pack_rows(rows: list[tuple], capacity: int, per_source: int) -> list[tuple[i
 def pack(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", length_col: str = "n_units", capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every piece of every row as (doc_id, piece, n_units, bin_id, bin_offset, bin_used).
 
-    Rows longer than a bin are cut into pieces; empty ones have one piece of size 0. A null length counts as 0, a null
+    Rows longer than a bin are cut into pieces; empty ones have one piece of size 0, which a full bin doesn't take. A null length counts as 0, a null
     source is a source of its own, a null cluster never conflicts. Repeated rows are packed like others; ties go by id,
     source and cluster. An empty table gives an empty one. Results don't depend on the number of partitions.
     """
@@ -134,15 +130,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", cl
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_units, the words of the whole text, and cluster, a hash of the text without case and spacing."""
+    """docs with n_units, the words of the whole text, and cluster, a hash of the text without case and spacing.
+
+    A null or blank text has no words and a null cluster. docs may not have columns of these two names.
+    """
+    if taken := {"n_units", "cluster"} & set(docs.columns):
+        raise ValueError(f"docs has {sorted(taken)} already")
     words = words_of(F.lower(F.col(text_col)))
     return docs.withColumn("n_units", F.size(words).cast("long")).withColumn("cluster", F.when(F.size(words) > 0, F.xxhash64(F.array_join(words, " "))))
 
 
 def clustered(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, source, n_units, cluster) of docs; cluster is that of all near copies, by n-grams. Rows without an id have that of exact copies."""
+    """(doc_id, source, n_units, cluster) of docs; cluster is that of all near copies, by n-grams.
+
+    Rows without an id have that of exact copies; rows that repeat an id all have its smallest. Other columns are not read.
+    """
     groups = ngramjoin.join(docs.select("doc_id", "text"), n=n, percent=percent)
     groups = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("near"))
-    rows = measured(docs).select("doc_id", "source", "n_units", F.col("cluster").alias("exact"))
+    rows = measured(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_units", F.col("cluster").alias("exact"))
     joined = rows.join(groups, F.col("doc_id") == F.col("__id"), "left")
     return joined.select("doc_id", "source", "n_units", F.when(F.col("exact").isNotNull(), F.coalesce("near", "exact")).alias("cluster"))

@@ -94,7 +94,11 @@ def train(texts: list[str], labels: np.ndarray, bits: int = BITS, epochs: int =
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from the rows of a bounded sample of (text, label); rows with a null label are not used. One task trains."""
+    """Weights from the rows of a bounded sample of (text, label), as pick() bounds it; one task trains.
+
+    Rows with a null label are not used, null texts are empty ones, equal rows count once. Texts are used whole, so the
+    task holds as many words as the sample's texts have, however long. Without rows nothing is toxic.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(t or "", y) for b in batches for t, y in zip(*(c.to_pylist() for c in b.columns))})
