@@ -166,6 +166,20 @@ def is_global(number: Column) -> Column:
     return ~inside
 
 
+#: Blocks of version 6 that are not global.
+LOCAL_BLOCKS6 = ["::/127", "64:ff9b:1::/48", "100::/64", "2001:db8::/32", "2002::/16", "3fff::/20", "5f00::/16", "fc00::/7", "fe80::/10"]
+
+
+def is_global_packed(packed: Column) -> Column:
+    """is_global() of 16 bytes of either version."""
+    inside = F.lit(False)
+    for block in LOCAL_BLOCKS6:
+        net = ipaddress.ip_network(block)
+        inside = inside | packed.between(F.lit(net.network_address.packed), F.lit(net.broadcast_address.packed))
+    mapped = F.lower(F.hex(packed)).startswith("00000000000000000000ffff")
+    return F.when(mapped, is_global(F.conv(F.hex(F.substr(packed, F.lit(13), F.lit(4))), 16, 10).cast("long"))).otherwise(~inside)
+
+
 def score(unsafe: Column, doubtful: Column, safe: Column, weight: float = 0.5, least: float = 0.3) -> Column:
     """0-100 from log probabilities of the three answers; null if they carry too little mass."""
     u, d, s = (F.coalesce(F.exp(x), F.lit(0.0)) for x in (unsafe, doubtful, safe))

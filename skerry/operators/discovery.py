@@ -28,3 +28,14 @@ def queue_success(picks: DataFrame, window: int = DECAY_PICKS) -> DataFrame:
     left = lambda k: F.pow(F.lit(0.5), halvings(F.lit(total)) - halvings(k))
     ok, n = F.sum(F.when(F.col("won"), left(F.col("k"))).otherwise(0.0)), F.sum(left(F.col("k") - 1))
     return numbered.groupBy("queue").agg(ok.alias("ok"), n.alias("n"), ((ok + 1) / (ok + 2 + F.greatest(n - ok, F.lit(0.0)))).alias("mean"))
+
+
+#: The states that outlive a restart; the others start anew as pending.
+PERSISTED = ("failed", "retry")
+
+
+def replayed(snapshot: DataFrame, log: DataFrame) -> DataFrame:
+    """(ih, status, failed_at) after a snapshot and the change log since: op `s` sets a key, `x` takes it out; the last counts."""
+    before = snapshot.select("ih", F.lit(-1).cast("long").alias("seq"), F.lit("s").alias("op"), "status", "failed_at")
+    last = before.unionByName(log.select("ih", "seq", "op", "status", "failed_at")).groupBy("ih").agg(F.max_by(F.struct("op", "status", "failed_at"), "seq").alias("r"))
+    return last.filter((F.col("r.op") == "s") & F.col("r.status").isin(*PERSISTED)).select("ih", "r.status", "r.failed_at")

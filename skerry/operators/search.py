@@ -79,10 +79,16 @@ def with_token(index: DataFrame, word: str, scope: str | None = None, prefix: bo
 
 
 def with_phrase(docs: DataFrame, phrase: str, scope: str | None = None) -> Column:
-    """Consecutive tokens in the name, or in the files."""
+    """Consecutive tokens in the name, or in one file: the body, or, of documents with a list of files, any path by itself."""
     needle = padded(F.lit(phrase))
-    fields = {"n": "name", "f": "body"}
-    return reduce(lambda a, b: a | b, (F.contains(padded(docs[c]), needle) for s, c in fields.items() if scope in (None, s)))
+    nested = "files" in docs.columns and "body" not in docs.columns
+    in_files = F.exists("files", lambda f: F.contains(padded(f.path), needle)) if nested else F.contains(padded(F.col("body")), needle)
+    found = []
+    if scope in (None, "n"):
+        found.append(F.contains(padded(F.col("name")), needle))
+    if scope in (None, "f"):
+        found.append(in_files)
+    return reduce(lambda a, b: a | b, found)
 
 
 def matching(docs: DataFrame, index: DataFrame, group: Group) -> DataFrame:

@@ -10,6 +10,7 @@ from skerry.operators import records as R
 from skerry.operators import search as S
 from skerry.plans.register import Register
 from skerry.plans.views import DOCS, FILE_ORDER, FILES, NOW, RECORDS, docs, file_rows, items, media_files, table
+from skerry.sources.files import work_folder, write_postings
 
 query = Register()
 IDS = "SELECT doc_id FROM toks WHERE NOT deleted AND NOT hidden AND "
@@ -19,9 +20,21 @@ STATE_SQL = "CASE WHEN src = 'none' THEN 'unknown' WHEN seeders > 0 THEN 'alive'
 SIZE_SQL = "CASE WHEN size < 500 THEN '<500' WHEN size < 1000 THEN '<1000' WHEN size < 2000 THEN '<2000' WHEN size < 5000 THEN '<5000' WHEN size < 20000 THEN '<20000' ELSE 'more' END"
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the tables, sorted and stored once for each session: searches read the row groups of their words."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = work_folder(spark, "postings")
+        write_postings(S.postings(docs(spark, sf_dir)), path, spark.sparkContext.defaultParallelism)
+        _indexes[key] = path
+    return spark.read.parquet(_indexes[key])
+
+
 def found(spark: SparkSession, sf_dir: str, search: S.Search) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return S.run(d, S.postings(d), search, NOW).select("doc_id")
+    return S.run(docs(spark, sf_dir), stored(spark, sf_dir), search, NOW).select("doc_id")
 
 
 def one(**group) -> S.Search:
@@ -43,6 +56,13 @@ def search_phrase(spark, sf_dir):
     return found(spark, sf_dir, one(phrases=["in the"]))
 
 
+@query(f"WITH {FILES} SELECT DISTINCT doc_id FROM files WHERE contains(' ' || array_to_string(regexp_extract_all(lower(path), '[a-z0-9]+'), ' ') || ' ', ' small ring ')")
+def search_phrase_in_files(spark, sf_dir):
+    """A phrase in the path of one file; it never spans two."""
+    d = items(spark, sf_dir)
+    return S.matching(d, S.file_postings(d), S.Group(phrases=["small ring"], scope="f"))
+
+
 @query(f"WITH {DOCS} {IDS} (list_contains(nt, 'der') OR list_contains(ft, 'der') OR list_contains(nt, 'que') OR list_contains(ft, 'que'))")
 def search_or_groups(spark, sf_dir):
     return found(spark, sf_dir, S.Search([S.Group(words=["der"]), S.Group(words=["que"])]))
@@ -108,7 +128,7 @@ SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DES
 def search_ranked(spark, sf_dir):
     """Flagship: two words, ranked by relevance; the page is cut by top-k."""
     d = docs(spark, sf_dir)
-    index = S.postings(d)
+    index = stored(spark, sf_dir)
     words = ["and", "with"]
     idf = S.idf_of(index, words, d.filter("not deleted and not hidden").count())
     hit = S.run(d, index, one(words=words), NOW).withColumn("score", F.round(S.relevance(words, idf), 6))
@@ -177,7 +197,7 @@ def search_facets(spark, sf_dir):
 @query(f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(nt) AS token FROM toks WHERE NOT deleted AND NOT hidden) SELECT token, count(*) AS df FROM p WHERE starts_with(token, 'th') GROUP BY token ORDER BY df DESC, token LIMIT 8")
 def search_suggest(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return S.suggest(S.postings(d), d.filter("not deleted and not hidden"), "th")
+    return S.suggest(stored(spark, sf_dir), d.filter("not deleted and not hidden"), "th")
 
 
 @query(
@@ -188,7 +208,7 @@ SELECT k.doc_id, round(sum(w), 2) AS score FROM k JOIN idf ON k.token = idf.toke
 )
 def search_related(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return S.related(S.postings(d), d.filter("not deleted and not hidden"), 2, d.filter("not deleted").count())
+    return S.related(stored(spark, sf_dir), d.filter("not deleted and not hidden"), 2, d.filter("not deleted").count())
 
 
 #: Words with a letter wrong, as users write them.
@@ -198,7 +218,7 @@ MISSPELT = ["wiht", "thatt", "therre", "fromm", "haave", "andd", "whithout", "th
 @query()
 def search_did_you_mean(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return S.did_you_mean(S.postings(d), d.filter("not deleted and not hidden"), MISSPELT)
+    return S.did_you_mean(stored(spark, sf_dir), d.filter("not deleted and not hidden"), MISSPELT)
 
 
 @query(

@@ -163,6 +163,20 @@ def failed_keys_kept(spark, sf_dir):
     return f.filter(F.col("failed_at") >= 1_706_659_000 - 3 * 86_400).orderBy(F.col("failed_at").desc(), "ih").limit(50_000)
 
 
+@query(
+    """WITH log AS (SELECT user_id AS ih, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'x' ELSE 's' END AS op, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'retry' ELSE 'pending' END AS status, CAST(floor(epoch(ts)) AS BIGINT) AS failed_at FROM events
+UNION ALL SELECT c_custkey, -1, 's', CASE WHEN c_custkey % 2 = 0 THEN 'failed' ELSE 'retry' END, c_custkey FROM customer),
+last AS (SELECT ih, arg_max(op, seq) AS op, arg_max(status, seq) AS status, arg_max(failed_at, seq) AS failed_at FROM log GROUP BY ih)
+SELECT ih, status, failed_at FROM last WHERE op = 's' AND status IN ('failed', 'retry')"""
+)
+def hash_log_replay(spark, sf_dir):
+    """States that outlive a restart, from the last snapshot and the changes since."""
+    kind = F.col("event_type")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("ih"), F.col("event_id").alias("seq"), F.when(kind == "purchase", "x").otherwise("s").alias("op"), F.when(kind == "error", "failed").when(kind == "click", "retry").otherwise("pending").alias("status"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("failed_at"))
+    c = F.col("c_custkey")
+    return D.replayed(table(spark, sf_dir, "customer").select(c.alias("ih"), F.when(c % 2 == 0, "failed").otherwise("retry").alias("status"), c.alias("failed_at")), log)
+
+
 @query("WITH s AS (SELECT user_id AS ih, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'purchase') AS done FROM events GROUP BY user_id) SELECT ih, CASE WHEN done > 8 THEN 'peer' WHEN hits >= 2 THEN 'hits' ELSE 'new' END AS queue FROM s")
 def rebuilt_queues(spark, sf_dir):
     """After a restart, every open key goes back to the queue its history gives it."""

@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue documents: the first line is the name, the whole text is the one file's text."""
+def docs(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
+    """Catalogue documents: the first line is the name, the whole text is the one file's text. copies: of each, under ids of their own."""
     d = table(spark, sf_dir, "documents")
+    if copies > 1:
+        d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("doc_id", F.col("doc_id") * copies + F.col("copy"))
     i = F.col("doc_id")
     return d.select(
         "doc_id",

@@ -250,6 +250,9 @@ def test_addresses_of_version_six(spark):
         packed = a.packed if a.version == 6 else b"\0" * 10 + b"\xff\xff" + a.packed
         mapped = a.ipv4_mapped if a.version == 6 else a
         assert bytes(r.b) == packed and r.t == str(mapped or a), r
+    whole = ["8.8.8.8", "10.1.1.1", "2606:4700::1", "fe80::1", "fd00::1", "2001:db8::5", "::1", "2002::1", "100::9"]
+    seen = spark.createDataFrame([(t,) for t in whole], "x string").select("x", N.is_global_packed(N.ip_binary(F.col("x"))).alias("g")).collect()
+    assert {r.x: r.g for r in seen} == {t: ipaddress.ip_address(t).is_global for t in whole}
     specs, bad = N.ip_specs("198.18.0.1:80, [2001:db8::1]; 10.0.0.7/8 nonsense")
     assert [v4 for _, _, v4 in specs] == [True, False, True] and bad == ["nonsense"]
 
