@@ -1,16 +1,22 @@
 """Token-id files: blocks of whole documents, each coded on its own by an adaptive context-mixing range coder.
 
 A block's ids run in lanes that advance in step and share one model, so that numpy codes one id of every
-lane at a time. The model predicts by order 2 (the last id seen after this pair), by order 1 (after this
-id) and by order 0 (adaptive frequencies); how far each is trusted is learned for each state of confidence.
+lane at a time. Three distributions predict each id: order 2 puts all its mass on the id last seen after this
+pair, order 1 on the one last seen after this id, and order 0 spreads it by adaptive frequencies over the whole
+vocabulary. They are mixed, P = w2 P2 + w1 P1 + w0 P0, with weights that are learned for each state of the two
+contexts' confidence, and the mixture drives the coder: an id has the mass that every order gives it.
 Every block starts with a fresh model and ends with a CRC-32, so blocks are read in any order.
 
-Block: magic, then little-endian u32 documents, ids, vocabulary, lanes, bytes of the document table; the table
-(zlib: i64 document ids, i64 counts); u32 words of each lane; the words; u32 CRC-32 of all before it.
+Files are lines of text, one for each block, in ascending order of document ids over the files' names and their
+lines: part, block, first document (empty for none), documents, ids, ids before in the part, and the block in
+base64, separated by tabs. Block: magic, then little-endian u32 documents, ids, vocabulary, lanes, bytes of the
+document table; the table (zlib: i64 document ids, i64 counts); u32 words of each lane; the words; u32 CRC-32 of
+all before it.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import struct
@@ -22,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry.llm.bpe import blocks
-from skerry.llm.common import materialise
+from skerry.llm.common import new_path
 
-MAGIC = b"SKT1"
+MAGIC = b"SKT2"
 BLOCK_IDS = 1_000_000
 LANES, LEAST_STEPS = 4096, 128
 MEMO_WORDS = 400_000
@@ -37,20 +43,24 @@ WORD, LOW_BITS = 31, 1 << 31
 MASK = LOW_BITS - 1
 SOURCE_BITS, ZERO_BITS, HASH_BITS = 10, 19, 18
 ALL_BITS = SOURCE_BITS + ZERO_BITS
-FILE = "part int, block int, first_doc long, n_docs int, n_ids long, ids_before long, data binary"
+NO_ID = -(2**63)  # in a document table: a document without an id
+FILE = "part int, block int, first_doc long, n_docs int, n_ids long, ids_before long, data string"
 READ = "part int, doc_id long, start_in_part long, n_tokens long, packed binary"
 
 
 class Model:
-    """Predictions shared by the lanes of a block. Coder and decoder drive it alike.
+    """The mixture of the three orders, shared by the lanes of a block. Coder and decoder drive it alike.
 
-    A table entry is an id and, in its two low bits, how sure it is.
+    A table entry is an id and, in its two low bits, how sure it is. Masses are of 2^ALL_BITS: a weight has SOURCE_BITS,
+    the frequencies of order 0 have ZERO_BITS, and the point masses of orders 1 and 2 are a weight's whole 2^ZERO_BITS.
     """
 
     def __init__(self, vocabulary: int):
+        if not 0 < vocabulary <= 1 << ZERO_BITS - 1:
+            raise ValueError(f"a vocabulary has 1 to {1 << ZERO_BITS - 1} ids")
         self.n = vocabulary
         self.table1, self.table2 = np.zeros(vocabulary, dtype=np.int64), np.zeros(1 << HASH_BITS, dtype=np.int64)
-        self.mix = np.tile(np.array([2, 1, 2]), (16, 1))
+        self.mix = np.tile(np.array([2, 1, 2]), (16, 1))  # weights of orders 2, 1 and 0
         self.count, self.fresh, self.step = np.ones(vocabulary, dtype=np.int64), [], 0
         self.rebuild()
 
@@ -70,33 +80,51 @@ class Model:
         return self.slots[slot]
 
     def predict(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Contexts, predictions and source frequencies for the lanes whose last two ids are a and b."""
+        """Guesses and weights for the lanes whose last two ids are a and b."""
         self.at1, self.at2 = b, ((a * 49_999 + b) * 40_503 >> 7) & ((1 << HASH_BITS) - 1)
         self.entry2, self.entry1 = self.table2[self.at2], self.table1[b]
         self.guess2, self.guess1 = self.entry2 >> 2, self.entry1 >> 2
         self.state = (self.entry2 & 3) << 2 | self.entry1 & 3
-        freq = 1 + self.mix * ((1 << SOURCE_BITS) - 3) // self.mix.sum(axis=1, keepdims=True)
-        freq[:, 2] += (1 << SOURCE_BITS) - freq.sum(axis=1)
-        self.freq, self.start = freq, np.cumsum(freq, axis=1) - freq
-
-    def interval(self, source: np.ndarray, miss: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of what was chosen, of 2^ALL_BITS. miss: the lanes that order 0 codes, with their ids."""
-        at = self.state * 3 + source
-        start, freq = self.start.ravel()[at] << ZERO_BITS, self.freq.ravel()[at]
-        part = freq[miss]
-        start[miss] += self.start0[ids] * part
-        freq = freq << ZERO_BITS
-        freq[miss] = self.freq0[ids] * part
-        return start, freq
-
-    def update(self, ids: np.ndarray, source: np.ndarray) -> None:
-        self.mix += np.bincount(self.state * 3 + source, minlength=48).reshape(16, 3) * 4
+        weight = 1 + self.mix * ((1 << SOURCE_BITS) - 3) // self.mix.sum(axis=1, keepdims=True)
+        weight[:, 2] += (1 << SOURCE_BITS) - weight.sum(axis=1)
+        point = weight << ZERO_BITS
+        self.mass2, self.mass1, self.weight0 = point[:, 0][self.state], point[:, 1][self.state], weight[:, 2][self.state]
+
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of ids in the mixture, of 2^ALL_BITS: what all three orders have below them, and at them."""
+        start = self.start0[ids] * self.weight0 + self.mass2 * (self.guess2 < ids) + self.mass1 * (self.guess1 < ids)
+        return start, self.freq0[ids] * self.weight0 + self.mass2 * (self.guess2 == ids) + self.mass1 * (self.guess1 == ids)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """place() of the ids that come next."""
+        self.hit2, self.hit1 = self.guess2 == ids, self.guess1 == ids
+        return self.place(ids)
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that come next, by values in their intervals, with starts and lengths."""
+        start2, size2 = self.place(self.guess2)
+        start1, size1 = self.place(self.guess1)
+        end2, end1 = start2 + size2, start1 + size1
+        above2, above1 = v >= end2, v >= end1
+        self.hit2, self.hit1 = (v >= start2) & ~above2, (v >= start1) & ~above1
+        ids, start, size = np.where(self.hit2, self.guess2, self.guess1), np.where(self.hit2, start2, start1), np.where(self.hit2, size2, size1)
+        rest = np.flatnonzero(~(self.hit2 | self.hit1))  # that only order 0 has mass for
+        weight = self.weight0[rest]
+        points = self.mass2[rest] * above2[rest] + self.mass1[rest] * above1[rest]  # the other orders' mass below
+        found = ids[rest] = self.id_at((v[rest] - points) // weight)
+        start[rest], size[rest] = self.start0[found] * weight + points, self.freq0[found] * weight
+        return ids, start, size
+
+    def update(self, ids: np.ndarray) -> None:
+        """Learn from the ids that interval() was asked for, or find() found."""
+        hits = np.bincount(self.state << 2 | self.hit2.view(np.int8) << 1 | self.hit1, minlength=64).reshape(16, 4)
+        self.mix += np.stack([hits[:, 2] + hits[:, 3], hits[:, 1] + hits[:, 3], hits[:, 0]], axis=1) * 4
         if self.step % 16 == 0:
             self.mix = (self.mix + 1 >> 1) + 1
         fresh = ids << 2
-        for table, at, entry, guess in ((self.table2, self.at2, self.entry2, self.guess2), (self.table1, self.at1, self.entry1, self.guess1)):
+        for table, at, entry, hit in ((self.table2, self.at2, self.entry2, self.hit2), (self.table1, self.at1, self.entry1, self.hit1)):
             sure = entry & 3
-            table[at] = np.where(guess == ids, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
+            table[at] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
         self.fresh.append(ids)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 32 == 0:
@@ -118,9 +146,7 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.nd
     for t in range(steps):
         s = grid[t]
         model.predict(a, b)
-        source = np.where(model.guess2 == s, 0, np.where(model.guess1 == s, 1, 2))
-        miss = np.flatnonzero(source == 2)
-        start, freq = model.interval(source, miss, s[miss])
+        start, freq = model.interval(s)
         r = span >> ALL_BITS
         low += r * start
         span = r * freq
@@ -130,7 +156,7 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.nd
         at[full] += 1
         low[full] = (part & MASK) << WORD
         span[full] <<= WORD
-        model.update(s, source)
+        model.update(s)
         a, b = b, s
     every = np.arange(lanes)
     out[every, at] = low >> WORD
@@ -155,22 +181,14 @@ def decode_ids(n: int, vocabulary: int, lanes: int, counts: np.ndarray, words: n
     for t in range(steps):
         model.predict(a, b)
         r = span >> ALL_BITS
-        v = np.minimum(value // r, (1 << ALL_BITS) - 1)
-        top = v >> ZERO_BITS
-        one, two = model.start[:, 1][model.state], model.start[:, 2][model.state]
-        source = (top >= one).astype(np.int64) + (top >= two)
-        s = np.where(source == 0, model.guess2, model.guess1)
-        miss = np.flatnonzero(source == 2)
-        part = model.freq[:, 2][model.state[miss]]
-        s[miss] = model.id_at((v[miss] - (two[miss] << ZERO_BITS)) // part)
-        start, freq = model.interval(source, miss, s[miss])
+        s, start, freq = model.find(np.minimum(value // r, (1 << ALL_BITS) - 1))
         value -= r * start
         span = r * freq
         full = np.flatnonzero(span < LOW_BITS)
         value[full] = value[full] << WORD | words[np.minimum(at[full], last)]
         at[full] += 1
         span[full] <<= WORD
-        model.update(s, source)
+        model.update(s)
         grid[t] = s
         a, b = b, s
     return grid.T.reshape(-1)[:n]
@@ -200,11 +218,15 @@ class Words:
     """Ids of words between ASCII white space, by the parts of the tokenizers library, with bounded memos of two generations.
 
     White space never joins words there, so words are encoded once each: the library normalises and splits a word
-    and encodes its pieces. For words in ASCII, normalising is lower case and the split is a pattern.
+    and encodes its pieces. For words of ASCII and Latin letters, normalising is lower case, the split is a pattern
+    and the bytes of a piece are spelled out by a table.
     """
 
     loaded: dict[str, "Words"] = {}
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
+    ALL_LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+    LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+    SPELLED = str.maketrans({b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))})
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -238,6 +260,8 @@ class Words:
             return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
         if text.isascii() and text.isprintable():
             return b"".join(map(self.piece, self.ASCII.findall(text.lower())))
+        if self.ALL_LATIN.fullmatch(text):
+            return b"".join([self.piece(p.encode().decode("latin-1").translate(self.SPELLED)) for p in self.LATIN.findall(text.lower())])
         return b"".join(self.piece(p) for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text)))
 
     def learn(self, words: set[bytes]) -> None:
@@ -250,25 +274,25 @@ class Words:
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Packed little-endian int32 ids of each text, with the end id."""
-        cut = [t.split() for t in texts]
-        fresh: set[bytes] = set()
-        for words in cut:
-            fresh.update(words)
-        if len(self.memo) > MEMO_WORDS:
-            self.older, self.memo = self.memo, {}
-        unknown = fresh.difference(self.memo)
-        if unknown:
-            self.learn(unknown)
-        tail = struct.pack("<i", end)
-        return [b"".join(map(self.memo.__getitem__, words)) + tail for words in cut]
-
-
-def write_ids(docs: DataFrame, vocabulary: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Write the ids of every whole text, in ascending order of doc_id, and return the table of blocks as written.
+        tail, out = struct.pack("<i", end), []
+        for text in texts:  # one by one: what a text has just looked up is still near
+            words = text.split()
+            if unknown := set(words).difference(self.memo):
+                if len(self.memo) > MEMO_WORDS:
+                    self.older, self.memo = self.memo, {}
+                    unknown = set(words)
+                self.learn(unknown)
+            out.append(b"".join(map(self.memo.__getitem__, words)) + tail)
+        return out
+
+
+def write_ids(docs: DataFrame, vocabulary: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, path: str | None = None) -> DataFrame:
+    """Write the ids of every whole text, in ascending order of doc_id, as files, and return their blocks as open_files() reads them.
 
     Rows are dealt by ranges of doc_id: part p holds smaller ids than part p+1, blocks within a part ascend. A null
-    text counts as empty and has the end id alone. Rows with a null doc_id have no place in the order and are refused. Rows
-    that repeat an id stand side by side, by text. An empty table writes no block. vocabulary is a file that each executor has.
+    text counts as empty and has the end id alone. Rows with a null doc_id come first of all and are read back without
+    one (so is the id -2^63). Rows that repeat an id stand side by side, by text. An empty table writes no block. path: where the
+    files go, by default a new folder in the shared one. vocabulary is a file that each executor has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +301,8 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int = 1, id_col: str = "doc
 
         def out() -> pa.RecordBatch:
             data = write_block(ids, counts, np.frombuffer(b"".join(packed), dtype="<i4").astype(np.int64), coder.vocabulary)
-            row = (part, block, ids[0], len(ids), total, before, data)
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, types)], names=[c.split()[0] for c in FILE.split(", ")])
+            row = (part, block, "" if ids[0] == NO_ID else ids[0], len(ids), total, before, base64.b64encode(data).decode())
+            return pa.RecordBatch.from_arrays([pa.array(["\t".join(map(str, row))])], names=["value"])
 
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_pylist()
@@ -297,8 +320,18 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int = 1, id_col: str = "doc
         if ids:
             yield out()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a null id has no place in the order"))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return materialise(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE), "token-ids")
+    spark = docs.sparkSession
+    path = path or new_path(spark, "token-ids")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "value string").write.text(path)
+    return open_files(spark, path)
+
+
+def open_files(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of the files of a folder, one row for each."""
+    field = F.split("value", "\t")
+    names = [c.split() for c in FILE.split(", ")]
+    return spark.read.schema("value string").text(path).select(*(F.nullif(field[k], F.lit("")).cast(kind).alias(name) for k, (name, kind) in enumerate(names)))
 
 
 def read_ids(files: DataFrame, batch_ids: int = BLOCK_IDS) -> DataFrame:
@@ -307,10 +340,10 @@ def read_ids(files: DataFrame, batch_ids: int = BLOCK_IDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, data in zip(*(c.to_pylist() for c in batch.columns)):
-                doc_ids, counts, ids = read_block(data)
+                doc_ids, counts, ids = read_block(base64.b64decode(data))
                 packed, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
                 texts = [packed[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
-                columns = [pa.array(np.full(len(counts), part, dtype=np.int32)), pa.array(doc_ids), pa.array(before + ends - counts), pa.array(counts), pa.array(texts, type=pa.binary())]
+                columns = [pa.array(np.full(len(counts), part, dtype=np.int32)), pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(before + ends - counts), pa.array(counts), pa.array(texts, type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in READ.split(", ")])
 
     return files.select("part", "ids_before", "data").mapInArrow(run, READ)

@@ -3,6 +3,7 @@
 import base64
 import itertools
 import json
+import os
 import random
 
 import numpy as np
@@ -216,7 +217,9 @@ def test_frequent_lines_are_removed(spark):
     rows = [(i, f"{common}\nshort {i}", "h", "en", 1) for i in range(60)] + [(i, f"{common}\n" + " ".join(f"w{i}x{k}" for k in range(30)), "h", "en", 1) for i in range(100, 160)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     kept = {r.doc_id: r.text for r in quality.clean(docs).collect()}
-    assert set(kept) == {0, *range(100, 160)}  # the first holder keeps the line
+    assert set(kept) == set(range(100, 160)) and all(common not in t for t in kept.values())
+    kept = {r.doc_id: r.text for r in quality.clean(docs, first_keeps=True).collect()}
+    assert set(kept) == {0, *range(100, 160)}
     assert common in kept[0] and all(common not in t for i, t in kept.items() if i)
     assert quality.clean(docs.limit(0)).count() == 0
 
@@ -226,7 +229,17 @@ def test_line_limit_does_not_grow_with_the_host(spark):
     rows = spark.createDataFrame([(i, f"{line}\nown {i}", host) for i, line, host in lines], "doc_id long, text string, source string")
     others = spark.range(30_000, 36_000).selectExpr("id doc_id", "concat('other ', id) text", "'hot' source")
     got = quality.frequent_lines(quality.keyed(rows.unionByName(others), "doc_id", "text", "source")).collect()
-    assert sorted((r.host, r.first) for r in got) == [("hot", 10_000), ("small", 0)]
+    assert sorted((r.host, r.first) for r in got) == [("hot", None), ("small", None)]
+    first = quality.frequent_lines(quality.keyed(rows, "doc_id", "text", "source"), first_keeps=True).join(quality.keyed(rows, "doc_id", "text", "source").select("doc_id", F.col("text_hash").alias("first")), "first")
+    assert sorted((r.host, r.doc_id) for r in first.collect()) == [("hot", 10_000), ("small", 0)]
+
+
+def test_lines_of_documents_or_of_distinct_texts(spark):
+    text = "a line that stands in every copy of this one text\nand another one of the same"
+    rows = [(i, text, "h") for i in range(60)] + [(1, text, "h")] * 100 + [(i, "b line of a document that is there again and again", "g") for i in [7] * 90 + [8]] + [(None, f"own {i}\na line without ids", "n") for i in range(50)]
+    keyed = quality.keyed(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
+    assert sorted(r.host for r in quality.frequent_lines(keyed).collect()) == ["h", "h", "n"]
+    assert [r.host for r in quality.frequent_lines(keyed, copies_once=True).collect()] == ["n"]
 
 
 def test_quality_on_odd_rows(odd):
@@ -248,17 +261,48 @@ def test_id_blocks():
 
 def test_words_are_the_library():
     coder = idfile.Words(registry.WORD_BPE)
-    odd = ["It'S a\x1cb \x00!\u0301 e\u0301 \u0130\u00df \u03a3\u03c2 \ufb01 <|endoftext|>x 9a8 \x7f don't", "\u01c5 \u4e2d\u6587\u5b57 \u0663 \u2028 \xa0a \u3000 ", "\x85a\x1f \x01b"]
+    odd = ["\u00c9t\u00e9'S \u00d7\u00f7 \u00c6\u00d8\u0178\u017f\u0149 \u0130x \u00bd\u00aa \u00e9\u00e9e\u0301 na\u00efve-9\u0153!", "It'S a\x1cb \x00!\u0301 e\u0301 \u0130\u00df \u03a3\u03c2 \ufb01 <|endoftext|>x 9a8 \x7f don't", "\u01c5 \u4e2d\u6587\u5b57 \u0663 \u2028 \xa0a \u3000 ", "\x85a\x1f \x01b"]
     for text in odd:
         assert np.frombuffer(coder.encode([text.encode()], 1)[0], "<i4").tolist() == coder.coder.encode(text, add_special_tokens=False).ids + [1]
 
 
-def test_id_files_on_odd_rows(odd):
-    rows = odd.filter("doc_id is not null")
-    read = idfile.read_ids(idfile.write_ids(rows, registry.WORD_BPE)).collect()
-    assert sorted(r.doc_id for r in read) == [1, 2, 3, 3, 5, 6, 7, 8]
+def test_mixture_has_all_the_mass():
+    """Intervals of all ids follow each other without gaps and fill the whole, and values find their ids."""
+    model, rng = idfile.Model(50), np.random.default_rng(4)
+    a = b = np.zeros(8, dtype=np.int64)
+    for step in range(60):
+        model.predict(a, b)
+        end = np.zeros(8, dtype=np.int64)
+        for i in range(50):
+            ids = np.full(8, i)
+            start, freq = model.interval(ids)
+            assert (start == end).all() and (freq > 0).all()
+            for value in (start, start + freq - 1):
+                assert all((x == y).all() for x, y in zip(model.find(value), (ids, start, freq)))
+            end = start + freq
+        assert (end == 1 << idfile.ALL_BITS).all()
+        ids = rng.integers(0, 3 if step % 2 else 50, 8)
+        model.interval(ids)
+        model.update(ids)
+        a, b = b, ids
+    with pytest.raises(ValueError):
+        idfile.Model((1 << idfile.ZERO_BITS) + 1)
+
+
+def test_id_files_on_odd_rows(spark, odd, tmp_path):
+    path = str(tmp_path / "ids")
+    read = idfile.read_ids(idfile.write_ids(odd, registry.WORD_BPE, path=path)).collect()
+    assert sorted(r.doc_id or 0 for r in read) == [0, 1, 2, 3, 3, 5, 6, 7, 8]
     assert {r.n_tokens for r in read if r.doc_id in (2, 3, 7)} == {1}
-    assert idfile.read_ids(idfile.write_ids(rows.limit(0), registry.WORD_BPE)).count() == 0
+    assert min((r.part, r.start_in_part) for r in read) == next((r.part, r.start_in_part) for r in read if r.doc_id is None)
+    assert idfile.read_ids(idfile.write_ids(odd.limit(0), registry.WORD_BPE)).count() == 0
+    # the files open without Spark: lines of text, in the order of the names
+    plain = []
+    for name in sorted(f for f in os.listdir(path) if f.startswith("part-")):
+        for line in (tmp_path / "ids" / name).read_text().splitlines():
+            ids, counts, _ = idfile.read_block(base64.b64decode(line.split("\t")[6]))
+            plain += zip(ids.tolist(), counts.tolist())
+    assert [i for i, _ in plain] == [idfile.NO_ID, 1, 2, 3, 3, 5, 6, 7, 8]
 
 
 def test_language_edge_cases(spark, odd):
@@ -268,6 +312,50 @@ def test_language_edge_cases(spark, odd):
     assert langid.fit(odd.limit(0)) == {}
 
 
+def test_languages_are_the_smallest_output(spark):
+    """The classifier against one plain compression for each text and language."""
+    import zstandard
+
+    rng = random.Random(6)
+    alphabets = {"x": "abcdef", "y": "defghi", "z": "ghijkl"}
+    word = lambda a: "".join(rng.choices(a, k=rng.randint(2, 6)))
+    dictionaries = {k: " ".join(word(a) for _ in range(300)).encode() for k, a in alphabets.items()}
+    texts = [" ".join(word(alphabets[rng.choice("xyz")]) for _ in range(rng.randint(1, 40))).upper() for _ in range(80)] + ["abc " * 20_000, "?", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.classify(docs, dictionaries).collect():
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        sizes = {}
+        for k, d in dictionaries.items():
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = len(coder.compress(text.lower().encode()))
+        first, second = sorted(sizes.values())[:2]
+        assert r.lang_pred == min(sizes, key=lambda k: (sizes[k], k))
+        assert abs(r.score - min(1.0, 0.5 + 5 * (second - first) / second)) < 1e-9 and r.rejected == ((second - first) / second < langid.MARGIN)
+
+
+def test_toxicity_is_plain_noisy_or(spark):
+    """Scores against products over sentences, with weights that a small sample gives."""
+    import math
+    import re
+
+    rng, vocabulary = random.Random(2), [f"word{k}" for k in range(40)] + ["moron", "scum"]
+    text = lambda: ". ".join(" ".join(rng.choices(vocabulary, k=rng.randint(1, 8))) for _ in range(rng.randint(1, 6)))
+    texts = [text() for _ in range(150)]
+    weights = toxicity.train(texts, np.array([int("moron" in t or "scum" in t) for t in texts]), epochs=60)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, ""), (901, None), (902, "fine words " * 20_000 + ". moron")], "doc_id long, text string")
+    for r in toxicity.score(docs, weights).collect():
+        none = 1.0
+        for sentence in re.split(r"[.!?]+\s+|\n+", {900: "", 901: "", 902: "fine words " * 20_000 + ". moron"}.get(r.doc_id) if r.doc_id >= 900 else texts[r.doc_id]):
+            words = set(sentence.lower().split())
+            if words:
+                z = weights[-1] + sum(weights[k] for w in words for k in toxicity.slots_of(w.encode()))
+                none *= 1 - 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert abs(r.score - (1 - none)) < 1e-4
+
+
 def test_toxicity_edge_cases(spark, odd):
     texts = ["you are a moron indeed. fine words here"] * 20 + ["fine words here. more fine words"] * 40
     weights = toxicity.train(texts, np.array([1] * 20 + [0] * 40))
@@ -290,6 +378,58 @@ def test_packing_respects_conflicts(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def plain_best_fit(rows, capacity, per_source):
+    """Every piece, largest first, into the fullest of all bins with room that it fits and that its source and cluster allow; a full bin takes no more, not even empty pieces."""
+    pieces = []
+    for k, (i, source, cluster, n) in enumerate(sorted(rows, key=lambda r: (-r[3], r[0], r[1], r[2]))):
+        sizes = [capacity] * (n // capacity) + ([n % capacity] if n % capacity or n < capacity else [])
+        pieces += [(size, k, p, i, source, cluster) for p, size in enumerate(sizes)]
+    bins = []
+    for size, k, p, i, source, cluster in sorted(pieces, key=lambda x: (-x[0], x[1], x[2])):
+        fits = [b for b in bins if sum(x[1] for x in b) < capacity and sum(x[1] for x in b) + size <= capacity and sum(x[2] == source for x in b) < per_source and (size == capacity or all(x[3] != cluster or x[4] == k for x in b))]
+        best = min(fits, key=lambda b: (capacity - sum(x[1] for x in b), bins.index(b)), default=None)
+        if best is None:
+            bins.append(best := [])
+        best.append((i, size, source, cluster, k))
+    return sorted(sorted((i, size) for i, size, *_ in b) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_plain_best_fit(spark, seed):
+    """One group against a search over all bins, with ties, sources and clusters that conflict, empty rows and long ones."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("abc" if seed % 2 else "abcdefghij"), f"c{rng.randrange(5 + 60 * (seed % 3))}", rng.choice([0, 1, 7, 20, 20, 33, 50, 99, 100, 101, 250])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, cluster string, n_units long").withColumns({c: F.lit("clash") for c in ("grp", "n", "bin_id", "piece")})
+    bins = {}
+    for r in packing.pack(docs, capacity=100, per_source=3).collect():
+        bins.setdefault(r.bin_id, []).append((r.doc_id, r.n_units))
+    assert sorted(sorted(b) for b in bins.values()) == plain_best_fit(rows, 100, 3)
+
+
+def test_packing_of_odd_rows(spark, odd):
+    units = packing.measured(odd.select("doc_id", "source", "text"))
+    packed = packing.pack(units).collect()
+    assert sorted((r.doc_id or 0, r.n_units) for r in packed if r.doc_id in (2, 3, 7)) == [(2, 0), (3, 0), (3, 0), (7, 0)]
+    assert sum(r.n_units for r in packed if r.doc_id == 6) == 30_000
+    with pytest.raises(ValueError):
+        packing.measured(units)
+    assert packing.pack(packing.clustered(odd.limit(0))).count() == 0
+
+
+def test_packing_fills_groups_as_one_run(spark):
+    """Bins of small groups are almost as full as those of one run over all rows."""
+    rng = random.Random(3)
+    rows = [(i, f"s{rng.randrange(50)}", None, int(min(3000, rng.lognormvariate(5.5, 0.8)))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, cluster string, n_units long")
+    one, many = (packing.pack(docs, group_rows=g).select("bin_id").distinct().count() for g in (10_000, 500))
+    assert many <= 1.05 * one
+
+
+def test_components_without_edges(spark):
+    edges = spark.createDataFrame([(None, 1), (2, None), (3, 3)], "a long, b long")
+    assert components.components(edges).count() == 0 and components.components(edges.limit(0)).count() == 0
+
+
 def test_packing_keeps_near_copies_apart(spark):
     words = [f"w{k}" for k in range(100)]
     rows = [(1, "a", " ".join(words)), (2, "b", " ".join([*words[:50], "other", *words[51:]])), (3, "c", " ".join(f"x{k}" for k in range(100))), (4, "d", None), (None, "e", "no id")]
@@ -316,6 +456,13 @@ def test_structures_of_secrets():
     token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2lnbmF0dXJl"
     assert secrets.scan(f"é {token}") == [("jwt", 2, 2 + len(token))]
     assert secrets.scan(f"{part({'no': 1})}.{part({'sub': 1})}.x") == []
+    spaced = base64.urlsafe_b64encode(b'{ \n "alg": "none"}').decode().rstrip("=")
+    assert [k for k, _, _ in secrets.scan(f"key={spaced}.{part({'sub': 1})}. keys{token}")] == ["jwt", "jwt"]
+    assert secrets.scan("eyeyey" * 20_000 + "." + "ew" * 1000 + ".x") == []
+    for wrapped in ("\n".join(lines.split("\n")), lines.replace("\n", "\\n"), f"-----BEGIN PRIVATE KEY-----\\n{lines}\\n-----END PRIVATE KEY-----".replace("\n", "\\n")):
+        assert [k for k, _, _ in secrets.scan(f'"{wrapped}"')] == ["der"], wrapped
+    assert ("der", 4, 3 + 3 * len(rsa)) in secrets.scan(f"key {':'.join(f'{b:02X}' for b in rsa)} end")
+    assert ("der", 1, 1 + 2 * len(rsa)) in secrets.scan("a" + rsa.hex()) and ("der", 0, 2 * len(rsa)) in secrets.scan(rsa.hex() + "a")
     blob = lambda b: len(b).to_bytes(4, "big") + b
     ssh = b"openssh-key-v1\0" + blob(b"none") + blob(b"none") + blob(b"") + (1).to_bytes(4, "big") + blob(b"public") + blob(b"private" * 5)
     assert [k for k, _, _ in secrets.scan(base64.b64encode(ssh).decode())] == ["openssh"]

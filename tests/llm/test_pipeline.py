@@ -1,8 +1,11 @@
 """Stages of the pipeline on a small corpus, each against what it should do."""
 
+import itertools
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -52,6 +55,78 @@ def test_decisions_take_effect(stages):
     assert {i: sum(r.n_units for r in packed if r.doc_id == i) for i in words} == words
 
 
+def plain_pipeline(rows):
+    """Ids that each stage should leave, by brute force over all rows."""
+    words = lambda t: re.findall("[^\x20\x09-\x0D]+", t or "")
+    kept = []
+    for i, t, source in rows:
+        w = words(t)
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        inside = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(5)}
+        if len(w) >= 10 and 100 * len(inside) <= 20 * len(w):
+            kept.append((i, t, source))
+    holders = {}
+    for i, t, source in kept:  # of a corpus where only kept documents have lines of 50 others
+        for line in {x.strip().lower() for x in t.split("\n") if x.strip()}:
+            holders.setdefault((source, line), {}).setdefault(t, []).append(i)
+    first = {k: min(v, key=lambda t: min(v[t])) for k, v in holders.items() if len(v) >= 50}
+    cleaned = []
+    for i, t, source in kept:
+        lines = [x for x in t.split("\n") if not ((source, x.strip().lower()) in first and first[source, x.strip().lower()] != t)]
+        if 100 * len(words("\n".join(lines))) >= 30 * len(words(t)):
+            cleaned.append((i, "\n".join(lines), source))
+    owners = {}
+    for i, t, _ in cleaned:
+        owners[t] = max(i, owners.get(t, i))
+    single = sorted({(i, t) for i, t, _ in cleaned if owners[t] == i})
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, t in single if (w := words(t.lower()))]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if 100 * len(x & y) >= 80 * len(x | y):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {"quality_rules": sorted(i for i, _, _ in cleaned), "exact_dedup": [i for i, _ in single], "ngram_jaccard": [i for i, _ in single if find(i) == i]}
+
+
+def test_stages_are_brute_force(spark):
+    """Exact and near copies, a line of many texts, short and repetitive texts, nulls and repeated rows, with clashing columns."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    line = text(12)
+    rows = [(i, f"{line}\n{text(rng.choice([3, 30]))}", "hot") for i in range(70)]
+    bases = [text(60) for _ in range(8)]
+    for i in range(100, 160):
+        w = rng.choice(bases).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = word()
+        rows.append((i, " ".join(w), f"s{i % 3}"))
+    rows += [(200, text(5), "a"), (201, "x y z " * 20, "a"), (202, None, None), (203, "", "a"), (300, rows[-1][1], "b"), (301, rows[-1][1], "b"), (302, bases[0], "a"), (302, bases[0], "a")]
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in ("rep", "bad", "host", "kept", "sha256", "cluster", "n_units", "spans")} | {"lang": F.lit("en"), "n_chars": F.char_length("text").cast("long")})
+    want = plain_pipeline(list(dict.fromkeys(rows)))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.materialise(stage(spark, docs, ""), name)
+        if name in want:
+            assert sorted(set(ids(docs))) == want[name], name
+        if name != "best_fit_packing":
+            assert docs.columns == before.columns
+    assert len(want["ngram_jaccard"]) < len(want["exact_dedup"]) < len(want["quality_rules"])
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, ""), name)
+        assert docs.count() == 0
+
+
 def test_registered(spark):
     import __spark_entry__
 
