@@ -16,32 +16,42 @@ from skerry.llm.common import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that their host repeats too often."""
-    return quality.clean(docs)
+    """Documents that the rules keep, without the lines that their host repeats too often.
+
+    Exact copies are still in the table, and of each group one is to stay: copies count once, and a line stays with the
+    first text that holds it, or whole groups of copies would go. Null and short texts go; rows that repeat stay.
+    """
+    return quality.clean(docs, copies_once=True, first_keeps=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; of rows that repeat id and text, one."""
-    kept = exactdedup.dedup(docs, owner=max).filter("kept").selectExpr("doc_id __id", "text_sha256 __sha")
-    rows = docs.withColumn("__own", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    """Of equal texts the row with the largest doc_id; of rows that repeat id and text, one. A null text equals an empty one.
+
+    Rows meet their owner by one key of id and digest, and rows of one key each other, so whole texts travel once.
+    """
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), sha)
+    kept = exactdedup.owners(docs, owner=max).select(key(F.col("keep_id"), F.col("sha256")).alias("__skerry_key"))
+    rows = docs.withColumn("__skerry_key", key(F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+    return rows.join(kept, "__skerry_key", "left_semi").dropDuplicates(["__skerry_key"]).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates, that of the smallest doc_id: five words, a similarity of 0.8 or more.
+
+    Texts without words are in no group. Rows without an id stay, as they can't be told from each other.
+    """
     groups = ngramjoin.join(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = groups.filter("doc_id <> component_id").selectExpr("doc_id __id").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = groups.filter("doc_id <> component_id").selectExpr("doc_id __skerry_id").distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__skerry_id"), "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark."""
+    """All documents, with every secret replaced by a mark; n_chars follows. Nulls stay null."""
     return secrets.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces, with their bins."""
+    """Every document's pieces, with their bins. Texts without words, null ones too, have one piece of no words."""
     return packing.pack(packing.measured(docs.select("doc_id", "source", "text")))
 
 
@@ -52,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("secret_scans", secret_scans),
     ("best_fit_packing", best_fit_packing),
 ]
-#: Packing has no equivalent in SQL; the tests hold every stage against a brute-force version.
+#: Packing has no equivalent in SQL; the tests hold all stages against a brute-force version.
 ORACLE_SQL = None
 
 
