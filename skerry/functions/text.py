@@ -49,11 +49,18 @@ def _ranges(letters: dict[str, str], gap: int = 24) -> str:
 _MAY_BE_SEVERAL = _ranges(SEVERAL)
 
 
+SEVERAL_LETTERS, SEVERAL_TEXTS = "".join(SEVERAL), "\n".join(SEVERAL.values())
+
+
 def norm(text: Column) -> Column:
     """Lower case, NFKD, without combining marks; stays in the JVM. Hangul syllables are left whole."""
     low = F.lower(text)
-    spelled = F.create_map(*(F.lit(x) for pair in SEVERAL.items() for x in pair))
-    wide = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(spelled, c), c)), "")
+
+    def spelled(c: Column) -> Column:
+        """What a character is spelled as: the text at its place among those with several letters, or itself."""
+        return F.coalesce(F.get(F.split(F.lit(SEVERAL_TEXTS), "\n"), F.position(c, F.lit(SEVERAL_LETTERS)) - 1), c)
+
+    wide = F.array_join(F.transform(F.filter(F.split(low, ""), lambda c: c != ""), spelled), "")
     return F.translate(F.when(low.rlike(_MAY_BE_SEVERAL), wide).otherwise(low), FOLDED, PLAIN)
 
 
