@@ -16,11 +16,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import ngramjoin
-from skerry.llm.common import words_of
+from skerry.llm.common import SPACE
 
 CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 8, 20_000
 PACKED = "doc_id long, piece int, n_units long, bin_id string, bin_offset long, bin_used long"
@@ -136,8 +136,17 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     if taken := {"n_units", "cluster"} & set(docs.columns):
         raise ValueError(f"docs has {sorted(taken)} already")
-    words = words_of(F.lower(F.col(text_col)))
-    return docs.withColumn("n_units", F.size(words).cast("long")).withColumn("cluster", F.when(F.size(words) > 0, F.xxhash64(F.array_join(words, " "))))
+    return docs.withColumn("n_units", word_count(F.col(text_col))).withColumn("cluster", F.when(F.col("n_units") > 0, text_key(F.col(text_col))))
+
+
+def word_count(text: Column) -> Column:
+    """How many words [^\\x20\\x09-\\x0D]+ a text has, without a list of them."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def text_key(text: Column) -> Column:
+    """Hash of a text without case and spacing."""
+    return F.xxhash64(F.regexp_replace(F.btrim(F.lower(text), F.lit(SPACE)), r"[\x20\x09-\x0D]+", " "))
 
 
 def clustered(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -147,6 +156,7 @@ def clustered(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     groups = ngramjoin.join(docs.select("doc_id", "text"), n=n, percent=percent)
     groups = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("near"))
-    rows = measured(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_units", F.col("cluster").alias("exact"))
+    exact = F.when(F.col("doc_id").isNull(), text_key(F.col("text")))  # rows with an id have the join's answer
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("n_units"), exact.alias("exact"))
     joined = rows.join(groups, F.col("doc_id") == F.col("__id"), "left")
-    return joined.select("doc_id", "source", "n_units", F.when(F.col("exact").isNotNull(), F.coalesce("near", "exact")).alias("cluster"))
+    return joined.select("doc_id", "source", "n_units", F.when(F.col("n_units") > 0, F.coalesce("near", "exact")).alias("cluster"))
