@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, exactdedup, idfile, langid, ngramjoin, packing, quality, secrets, toxicity, urlfilter
+from skerry.llm import align, bpe, exactdedup, idfile, langid, ngramjoin, packing, quality, secrets, toxicity, urlfilter
 from skerry.llm.common import table
 from skerry.llm.sql import ORACLES
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE_LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -89,7 +91,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_byte_bpe, op2_url_filters, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_token_id_output, op7_exact_dedup, op8_language_id, op9_best_fit_packing, op10_secret_scans)
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(table(spark, sf_dir, "documents"), BYTE_BPE_LIBRARY, PIECE_BPE)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return align.count(aligned.withColumn("groups_sha256", digest), more=["groups_sha256"])
+
+
+QUERIES = (op1_byte_bpe, op2_url_filters, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_token_id_output, op7_exact_dedup, op8_language_id, op9_best_fit_packing, op10_secret_scans, op13_cross_tokenizer_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
