@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import ngramjoin
-from skerry.llm.common import SPACE
+from skerry.llm.common import SPACE, word_count
 
 CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 8, 20_000
 PACKED = "doc_id long, piece int, n_units long, bin_id string, bin_offset long, bin_used long"
@@ -139,11 +139,6 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("n_units", word_count(F.col(text_col))).withColumn("cluster", F.when(F.col("n_units") > 0, text_key(F.col(text_col))))
 
 
-def word_count(text: Column) -> Column:
-    """How many words [^\\x20\\x09-\\x0D]+ a text has, without a list of them."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
 def text_key(text: Column) -> Column:
     """Hash of a text without case and spacing."""
     return F.xxhash64(F.regexp_replace(F.btrim(F.lower(text), F.lit(SPACE)), r"[\x20\x09-\x0D]+", " "))

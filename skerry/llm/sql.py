@@ -76,4 +76,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed LEFT JOIN removed ON removed.row_id = failed.row_id
 """
 
-ORACLES = {"op2_url_filters": URLS, "op3_ngram_jaccard_join": NEAR, "op5_quality_rules": QUALITY, "op7_exact_dedup": COPIES}
+#: Every node by its whole prefix, as text; what is below a node is counted through its members.
+TRIE = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h FROM t
+), turns AS (
+  SELECT crc.conv_id AS c, pos, role, text, words FROM crc JOIN t ON t.conv_id = crc.conv_id AND pos > h
+  UNION ALL SELECT crc.conv_id, pos, role, text, words FROM crc JOIN t ON t.conv_id = base AND pos <= h
+), prefixes AS (
+  SELECT c, row_number() OVER w AS d, words, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS p FROM turns WINDOW w AS (PARTITION BY c ORDER BY pos)
+), placed AS (
+  SELECT c, d, words, sha256(p) AS p FROM prefixes UNION ALL SELECT conv_id, 0, 0, sha256('') FROM crc
+), steps AS (
+  SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS is_end FROM placed
+), nodes AS (
+  SELECT p, any_value(d) AS d, any_value(words) AS words, any_value(up) AS up, min(c) AS conv_id, count(*) AS n,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (is_end), '')) AS ends FROM steps GROUP BY p
+), children AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT steps.p, sum((nodes.n - 1) * nodes.words) AS saved, count(*) FILTER (nodes.p NOT IN (SELECT up FROM children)) AS leaves
+  FROM nodes JOIN steps ON steps.c = nodes.conv_id AND steps.d <= nodes.d GROUP BY steps.p
+)
+SELECT nodes.conv_id, nodes.d AS depth, above.conv_id AS parent_conv_id, nodes.n AS n_convs, CAST(coalesce(children.n, 0) AS BIGINT) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes LEFT JOIN nodes above ON above.p = nodes.up LEFT JOIN children ON children.up = nodes.p JOIN below ON below.p = nodes.p
+"""
+
+ORACLES = {"op2_url_filters": URLS, "op3_ngram_jaccard_join": NEAR, "op5_quality_rules": QUALITY, "op7_exact_dedup": COPIES, "op12_conversation_prefix_trie": TRIE}
