@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import align, bpe, exactdedup, idfile, langid, ngramjoin, packing, prefixtrie, quality, secrets, toxicity, urlfilter
+from skerry.llm import align, bpe, exactdedup, idfile, langid, mixing, ngramjoin, packing, prefixtrie, quality, secrets, toxicity, urlfilter
 from skerry.llm.common import table
 from skerry.llm.sql import ORACLES
 
@@ -91,6 +91,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.nodes(prefixtrie.rebuilt(prefixtrie.sequences(table(spark, sf_dir, "conversations"))))
 
@@ -101,7 +105,7 @@ def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.count(aligned.withColumn("groups_sha256", digest), more=["groups_sha256"])
 
 
-QUERIES = (op1_byte_bpe, op2_url_filters, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_token_id_output, op7_exact_dedup, op8_language_id, op9_best_fit_packing, op10_secret_scans, op12_conversation_prefix_trie, op13_cross_tokenizer_alignment)
+QUERIES = (op1_byte_bpe, op2_url_filters, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_token_id_output, op7_exact_dedup, op8_language_id, op9_best_fit_packing, op10_secret_scans, op11_mix_sources, op12_conversation_prefix_trie, op13_cross_tokenizer_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
