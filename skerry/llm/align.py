@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skerry.llm.bpe import blocks
 from skerry.llm.common import materialise
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 CHUNK_CHARS = 200_000  # of words that a library encodes in one call
 MEMO_WORDS, MEMO_CHARS = 400_000, 64
 ALIGNED = (
