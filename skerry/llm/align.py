@@ -145,13 +145,15 @@ class Encoders:
         return [np.concatenate([p[0][k] for p in parts]) for k in (0, 1)], [np.concatenate([p[1][k] for p in parts]) for k in (0, 1)], np.concatenate([p[2] for p in parts])
 
     def learn(self, words: list[str]) -> None:
-        """Put words into the memo."""
-        ids, counts, exact = [self.ids], [self.counts], [self.exact]
-        for a, b in blocks(list(map(len, words)), CHUNK_CHARS):
-            i, c, e = self.encoded(words[a:b])
-            ids.append(i)
-            counts.append(c)
-            exact.append(e)
+        """Put words into the memo. Those that end in white space, or are nothing but their space, end a text: no word may follow them."""
+        last = [w for w in words if not w or w[-1].isspace()]
+        words = [w for w in words if w and not w[-1].isspace()]
+        found = [self.encoded(words[a:b]) for a, b in blocks(list(map(len, words)), CHUNK_CHARS)]
+        for w in last:
+            ids, (a, b), exact = self.encoded(["a", w])
+            found.append(([ids[0][a[0] :], ids[1][b[0] :]], [a[1:], b[1:]], exact[1:]))
+        words += last
+        ids, counts, exact = zip((self.ids, self.counts, self.exact), *found)
         self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words))))
         self.ids = [np.concatenate([p[k] for p in ids]) for k in (0, 1)]
         self.counts = [np.concatenate([p[k] for p in counts]) for k in (0, 1)]
