@@ -18,6 +18,7 @@ Sets are hashed to 64 bits per n-gram, and to 128 bits as a whole; documents of
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,10 +52,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a UTF-8 text, A-Z lower-cased; fewer words are one shingle."""
+    return shingled(text, n)[0]
+
+
+def shingled(text: bytes, n: int) -> tuple[np.ndarray, int]:
+    """Sorted distinct 64-bit hashes of the n-word shingles of a UTF-8 text, A-Z lower-cased, and its words; fewer words are one shingle."""
     words = text.lower().split()
     if not words:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), 0
     try:
         w = np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:
@@ -68,7 +73,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     h = np.full(len(w) - size + 1, size, dtype=np.uint64)
     for k in range(size):
         h = mixed(h * ODD[0] + w[k : len(w) - size + 1 + k])
-    return np.unique(h)
+    return np.unique(h), len(words)
 
 
 def digest_of(packed: bytes) -> bytes:
@@ -104,12 +109,12 @@ def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-SPREAD = "fragment int, keys binary, owners binary, sets binary, ids binary, sizes binary, digests binary"
+SPREAD = "fragment int, keys binary, owners binary, sets binary, ids binary, sizes binary, digests binary, carried string"
 FRAGMENT_BYTES = 100_000_000  # of text, that a fragment of the first stage stands for
-COUNTED = "doc_id long, n long, digest binary, set_id long, shared long"
+COUNTED = "doc_id long, n long, digest binary, set_id long, shared long, mark long, n_words long, carried string"
 
 
-def spread(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fragments: int) -> DataFrame:
+def spread(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fragments: int, carry: Column) -> DataFrame:
     """Blocks of documents: one row for each fragment with the prefix keys there and their owners, and one (fragment < 0) with the documents.
 
     Prefixes are taken in the order of the keys; fragments go by another hash of them, so that all have as much.
@@ -120,14 +125,15 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fr
         for batch in batches:
             texts = batch.column(1)
             for a, b in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK_CHARS):
-                found = [shingles(t, n) for t in texts.slice(a, b - a).to_pylist()]
+                found, words = zip(*(shingled(t, n) for t in texts.slice(a, b - a).to_pylist()))
                 digests = [digest_of(s.tobytes()) for s in found]
                 sizes = np.array([len(s) for s in found], dtype=np.int64)
                 sets = np.frombuffer(b"".join(digests), dtype=np.int64)[::2]
                 ids = batch.column(0).slice(a, b - a)
                 valid = np.array(pc.is_valid(ids), dtype=np.int64)
                 ids = np.array(pc.fill_null(ids, 0), dtype=np.int64)
-                rows = [(-1 - (part * 7919 + block) % fragments, b"", b"", sets.tobytes(), np.stack([ids, valid]).tobytes(), sizes.tobytes(), b"".join(digests))]
+                marks, carried = np.array(batch.column(2).slice(a, b - a), dtype=np.int64), batch.column(3).slice(a, b - a).to_pylist()
+                rows = [(-1 - (part * 7919 + block) % fragments, b"", b"", sets.tobytes(), np.stack([ids, valid, marks, words]).tobytes(), sizes.tobytes(), b"".join(digests), json.dumps(carried))]
                 _, firsts = np.unique(sets, return_index=True)  # of the equal sets of a block, one
                 firsts = firsts[sizes[firsts] > 0]
                 if len(firsts):
@@ -143,13 +149,14 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fr
                         if y > x:
                             there, at = np.unique(owners[x:y], return_inverse=True)
                             at = at.astype(np.uint16 if len(there) < 65_536 else np.uint32)
-                            rows.append((f, small[x:y].tobytes(), at.tobytes(), sets[firsts[there]].tobytes(), b"", b"", b""))
+                            rows.append((f, small[x:y].tobytes(), at.tobytes(), sets[firsts[there]].tobytes(), b"", b"", b"", None))
                 block += 1
-                types = (pa.int32(), *[pa.binary()] * 6)
+                types = (pa.int32(), *[pa.binary()] * 6, pa.string())
                 for c in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows[c : c + 64]), types)], names=names(SPREAD))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SPREAD)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"), carry.cast("string").alias("carried")).mapInArrow(run, SPREAD)
 
 
 def count_shared(blocks_: DataFrame) -> DataFrame:
@@ -157,7 +164,7 @@ def count_shared(blocks_: DataFrame) -> DataFrame:
 
     def fragment(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys, sets, start = [], [], 0
-        for _, k, o, s, _, _, _ in rows:
+        for _, k, o, s, *_ in rows:
             own = np.frombuffer(o, dtype=np.uint16 if len(o) * 2 == len(k) else np.uint32)
             keys.append(np.frombuffer(k, dtype=np.uint32).astype(np.uint64) << np.uint64(32) | (own.astype(np.uint64) + np.uint64(start)))
             sets.append(np.frombuffer(s, dtype=np.int64))
@@ -176,17 +183,17 @@ def count_shared(blocks_: DataFrame) -> DataFrame:
         found, shared = np.unique(own, return_counts=True)
         if len(found):
             none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(shared.astype(np.int64))], names=names(COUNTED))
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(shared.astype(np.int64)), none, none, pa.nulls(len(found), pa.string())], names=names(COUNTED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] < 0:
-                    ids, valid = np.frombuffer(row[4], dtype=np.int64).reshape(2, -1)
+                    ids, valid, marks, words = np.frombuffer(row[4], dtype=np.int64).reshape(4, -1)
                     digests = [row[6][i : i + 16] for i in range(0, len(row[6]), 16)]
                     columns = [pa.array(ids, mask=valid == 0), pa.array(np.frombuffer(row[5], dtype=np.int64)), pa.array(digests, type=pa.binary()), pa.array(np.frombuffer(row[3], dtype=np.int64))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.int64())], names=names(COUNTED))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.int64()), pa.array(marks), pa.array(words), pa.array(json.loads(row[7]), type=pa.string())], names=names(COUNTED))
                     continue
                 if rows and rows[0][0] != row[0]:
                     yield from fragment(rows)
@@ -444,16 +451,25 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     Rows of a null id link like others; they have no id to name a component by, so one of null ids alone is null.
     Rows that repeat an id with another text are rows of their own. Repeated rows stay. An empty table gives an empty one.
     """
+    return grouped(docs, n, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def grouped(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """The rows of join() with what else the same pass knows: mark, the hash of the text (which with doc_id tells rows apart), n_words,
+    carried (a string column of docs), near, which names the component, null for texts without words, and is_first: of a component's rows the one with the
+    smallest doc_id, null last, then the smallest mark; rows that repeat both, and those of texts without words, are all first.
+    """
     if not COMMON_PERCENT < percent <= 100:
         raise ValueError(f"percent must be above {COMMON_PERCENT}, at most 100")
     spark = docs.sparkSession
     parts = n_parts(spark)
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     fragments = max(parts, -(-total // FRAGMENT_BYTES))
-    dealt = spread(docs, id_col, text_col, n, percent, fragments).repartitionById(parts, F.pmod("fragment", F.lit(parts)))
+    dealt = spread(docs, id_col, text_col, n, percent, fragments, F.lit(None) if carry is None else carry).repartitionById(parts, F.pmod("fragment", F.lit(parts)))
     counted = materialise(count_shared(dealt), "ngram-counts")
-    rows = counted.filter("digest is not null").select("doc_id", "n", "digest", "set_id")
-    classes = rows.groupBy("digest", "set_id", "n").agg(F.min("doc_id").alias("least_id"))
+    rows = counted.filter("digest is not null").select("doc_id", "n", "digest", "set_id", "mark", "n_words", "carried")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    classes = rows.groupBy("digest", "set_id", "n").agg(F.min("doc_id").alias("least_id"), F.min(first).alias("first"))
     classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "ngram-classes")  # rep: the class's own number
     shared = counted.filter("digest is null").groupBy("set_id").agg(F.sum("shared").alias("shared"))
     may = classes.filter("n > 0").join(shared, "set_id").filter(F.col("shared") >= least_shared(F.col("n"), percent))
@@ -466,12 +482,28 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     prefix = materialise(prefixes(sets, percent, max(PREFIX_FRAGMENTS, -(-keys // FRAGMENT_KEYS))), "ngram-prefixes")
     groups = materialise(candidate_groups(prefix, percent), "ngram-groups")
     links = materialise(links_of(partial_counts(tiles_of(sets, prefix, groups, percent)), percent), "ngram-links")
-    linked = materialise(components(links.select("a", "b")).join(classes.select(F.col("rep").alias("node"), "least_id"), "node"), "ngram-components")
-    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    linked = materialise(components(links.select("a", "b")).join(classes.select(F.col("rep").alias("node"), "least_id", "first"), "node"), "ngram-components")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"))
+    named = linked.drop("least_id", "first").join(least, "component").select(F.col("node").alias("rep"), "component_id", F.col("first").alias("component_first"))
     degrees = links.groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("n_links"))
     found = classes.join(named.join(degrees, "rep"), "rep", "left")
-    found = found.select(F.col("digest").alias("d"), F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = F.col("n_links").isNull()
+    found = found.select(
+        F.col("digest").alias("d"),
+        F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("first")).otherwise(F.col("component_first")).alias("first"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
     full = rows.join(found, F.col("digest") == F.col("d"))
     alone = F.col("n") == 0
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"))
+    return full.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"),
+        "mark",
+        "n_words",
+        "carried",
+        F.when(~alone, F.xxhash64("first.doc_id", "first.mark")).alias("near"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))).alias("is_first"),
+    )

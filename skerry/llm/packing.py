@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import ngramjoin
-from skerry.llm.common import SPACE, word_count
+from skerry.llm.common import SPACE, materialise, word_count
 
 CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 8, 20_000
 PACKED = "doc_id long, piece int, n_units long, bin_id string, bin_offset long, bin_used long"
@@ -144,14 +144,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.btrim(F.lower(text), F.lit(SPACE)), r"[\x20\x09-\x0D]+", " "))
 
 
-def clustered(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, source, n_units, cluster) of docs; cluster is that of all near copies, by n-grams.
+def clustered(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(doc_id, source, n_units, cluster) of each row of docs; cluster is that of all near copies, by n-grams, null without words.
 
-    Rows without an id have that of exact copies; rows that repeat an id all have its smallest. Other columns are not read.
+    Words, sources and clusters all come from the pass over the texts that the n-gram join makes; rows without an id, and
+    rows that repeat one, have the cluster of their own text. Other columns are not read.
     """
-    groups = ngramjoin.join(docs.select("doc_id", "text"), n=n, percent=percent)
-    groups = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("near"))
-    exact = F.when(F.col("doc_id").isNull(), text_key(F.col("text")))  # rows with an id have the join's answer
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("n_units"), exact.alias("exact"))
-    joined = rows.join(groups, F.col("doc_id") == F.col("__id"), "left")
-    return joined.select("doc_id", "source", "n_units", F.when(F.col("n_units") > 0, F.coalesce("near", "exact")).alias("cluster"))
+    near = ngramjoin.grouped(docs, n, percent, id_col, text_col, carry=F.col(source_col))
+    return materialise(near.select("doc_id", F.col("carried").alias("source"), F.col("n_words").alias("n_units"), F.col("near").alias("cluster")), "clusters")

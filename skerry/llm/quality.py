@@ -123,16 +123,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return joined.withColumn("kept", ~F.col("base_failed") & (100 * left >= left_percent * F.col("n_words")))
 
 
-def clean(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs; lines above the limit are gone from text, and n_chars follows.
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs; lines above the limit are gone from text, and n_chars follows, if docs has it.
+
+    options: those of judge().
 
     Rows that repeat id, host and text stay repeated. Columns of docs may have any names but those that begin with
     `__skerry_`. An empty table gives an empty one.
     """
-    kept = materialise(judge(docs, **options), "quality").filter("kept").dropDuplicates(["doc_id", "host", "text_hash"])
+    kept = materialise(judge(docs, id_col, text_col, host_col, **options), "quality").filter("kept").dropDuplicates(["doc_id", "host", "text_hash"])
     kept = kept.selectExpr("doc_id __skerry_id", "host __skerry_host", "text_hash __skerry_hash", "bad __skerry_bad")
-    host, digest = F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__skerry_id")) & (host == F.col("__skerry_host")) & (digest == F.col("__skerry_hash")))
-    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__skerry_bad", line_hash(x)))
-    text = F.when(F.col("__skerry_bad").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    id_, own = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    host, digest = F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), F.xxhash64(F.coalesce(own, F.lit("")))
+    joined = docs.join(kept, id_.eqNullSafe(F.col("__skerry_id")) & (host == F.col("__skerry_host")) & (digest == F.col("__skerry_hash")))
+    stays = F.filter(F.split(own, "\n"), lambda x: ~F.array_contains("__skerry_bad", line_hash(x)))
+    text = F.when(F.col("__skerry_bad").isNull(), own).otherwise(F.array_join(stays, "\n"))
+    joined = joined.withColumn(text_col, text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.char_length(text_col).cast("long"))
+    return joined.select(*docs.columns)

@@ -438,6 +438,26 @@ def test_packing_keeps_near_copies_apart(spark):
     assert len(bins) == 5 and bins[1] != bins[2] and bins[3] in (bins[1], bins[2])
 
 
+def test_packing_clusters_by_row(spark):
+    """Rows that repeat an id have the cluster of their own text, and columns may have other names."""
+    words = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(0, "s", words("b")), (1, None, words("a")), (1, "t", words("b") + " more"), (None, "u", words("b")), (2, "v", ""), (3, "v", None)]
+    docs = spark.createDataFrame(rows, "n long, host string, body string").withColumns({c: F.lit("clash") for c in ("doc_id", "source", "text", "mark", "carried")})
+    got = {(r.doc_id, r.source): (r.n_units, r.cluster) for r in packing.clustered(docs, id_col="n", source_col="host", text_col="body").collect()}
+    assert {k: v[0] for k, v in got.items()} == {(0, "s"): 60, (1, None): 60, (1, "t"): 61, (None, "u"): 60, (2, "v"): 0, (3, "v"): 0}
+    assert got[0, "s"][1] == got[1, "t"][1] == got[None, "u"][1] != got[1, None][1] and got[2, "v"][1] is None is got[3, "v"][1]
+
+
+def test_quality_cleans_other_columns(spark):
+    line = "the very same line of many words in each of these documents"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, f"{line}\n{own(i)}", "h") for i in range(60)] + [(99, f"{line}\n{own(99)}", "other")]
+    docs = spark.createDataFrame(rows, "id long, body string, site string").withColumns({c: F.lit("clash") for c in ("doc_id", "source", "text", "host")})
+    got = quality.clean(docs, id_col="id", text_col="body", host_col="site")
+    assert got.columns == docs.columns
+    assert {r.id: r.body for r in got.collect()} == {i: own(i) if i < 60 else t for i, t, _ in rows}
+
+
 def der(tag, body):
     size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
     return bytes([tag]) + size + body

@@ -107,3 +107,24 @@ def test_packing_holds_every_word(spark, small, texts):
         assert sum(r.n_units for r in held) == held[0].bin_used <= 2048
         assert all(a.bin_offset + a.n_units == b.bin_offset for a, b in zip(held, held[1:]))
     assert len(bins) <= 1.3 * sum(units.values()) / 2048 + 8
+
+
+def test_packing_query_is_plain_best_fit(spark, small, texts):
+    """Clusters by all pairs of documents, bins by a search over all bins."""
+    from test_corpus_operators import plain_best_fit
+
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t)) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    cluster = {i: i for i in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and cluster[a] != cluster[b]:
+                low, high = sorted((cluster[a], cluster[b]))
+                cluster = {i: low if c == high else c for i, c in cluster.items()}
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source").collect()}
+    rows = [(i, source[i] or "\0", f"c{cluster[i]}" if words[i] else f"none{i}", len(words[i])) for i in ids]
+    bins = {}
+    for r in registry.op9_best_fit_packing(spark, small).collect():
+        bins.setdefault(r.bin_id, []).append((r.doc_id, r.n_units))
+    assert sorted(sorted(b) for b in bins.values()) == plain_best_fit(rows, 2048, 8)
