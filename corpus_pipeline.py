@@ -36,13 +36,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id: five words, a similarity of 0.8 or more.
+    """One document of each group of near-duplicates, that of the smallest doc_id, null last: five words, a similarity of 0.8 or more.
 
-    Texts without words are in no group. Rows without an id stay, as they can't be told from each other.
+    A row is told by its id and the hash of its text: rows that repeat an id with another text each have their own group, and
+    of those in one group one stays. Rows that repeat both go or stay together. Texts without words are in no group.
     """
-    groups = ngramjoin.join(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = groups.filter("doc_id <> component_id").selectExpr("doc_id __skerry_id").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__skerry_id"), "left_anti")
+    groups = ngramjoin.grouped(docs.select("doc_id", "text"), n=5, percent=80)
+    gone = groups.filter("not is_first").selectExpr("doc_id __skerry_id", "mark __skerry_mark").distinct()
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return docs.join(gone, (mark == F.col("__skerry_mark")) & F.col("doc_id").eqNullSafe(F.col("__skerry_id")), "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
