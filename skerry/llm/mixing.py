@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from skerry.llm.common import materialise, n_parts, word_count
 
 LIMIT = 3  # times its size that a source, and a document, is taken at most
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 FAN = 32
 WEIGHTS = (1, 2, 3)
 _MASK = (1 << 64) - 1
