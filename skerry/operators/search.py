@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skerry.functions.text import answered_trackers, brief, ext_of, index_tokens, magnet, padded, resolve_category, tokens
+from skerry.functions.text import answered_trackers, brief, magnet, padded, resolve_category, tokens
 from skerry.operators.health import health_state
+from skerry.operators.postings import file_postings, merged_postings, postings, with_phrase, with_token  # noqa: F401
 
 
 @dataclass
@@ -51,64 +52,22 @@ class Search:
     key_prefix: str | None = None
 
 
-def postings(docs: DataFrame, name: str = "name", files: str = "body") -> DataFrame:
-    """(field, token, doc_id): `n` for words of the name, `f` for words of the files. One row per distinct token of a document."""
-    both = F.array(F.struct(F.lit("n").alias("field"), index_tokens(F.col(name)).alias("t")), F.struct(F.lit("f").alias("field"), index_tokens(F.col(files)).alias("t")))
-    return docs.select("doc_id", F.explode(both).alias("x")).select("x.field", F.explode("x.t").alias("token"), "doc_id")
-
-
-def merged_postings(*segments: DataFrame) -> DataFrame:
-    """Segments of postings as one, each posting once and a row of its own."""
-    every = segments[0]
-    for segment in segments[1:]:
-        every = every.unionByName(segment)
-    return every.distinct()
-
-
-def file_postings(items: DataFrame) -> DataFrame:
-    """Postings of nested files: words of the paths as `f`, and extensions as `e`."""
-    words = index_tokens(F.array_join(F.transform("files", lambda f: f.path), " "))
-    exts = F.array_distinct(F.filter(F.transform("files", lambda f: ext_of(f.path)), lambda e: e != ""))
-    both = F.array(F.struct(F.lit("f").alias("field"), words.alias("t")), F.struct(F.lit("e").alias("field"), exts.alias("t")))
-    return items.select("doc_id", F.explode(both).alias("x")).select("x.field", F.explode("x.t").alias("token"), "doc_id")
-
-
-def with_token(index: DataFrame, word: str, scope: str | None = None, prefix: bool = False) -> DataFrame:
-    hit = index.filter(F.col("token").startswith(word) if prefix else F.col("token") == word)
-    return (hit if scope is None else hit.filter(F.col("field") == scope)).select("doc_id").distinct()
-
-
-def with_phrase(docs: DataFrame, phrase: str, scope: str | None = None) -> Column:
-    """Consecutive tokens in the name, or in one file: the body, or, of documents with a list of files, any path by itself."""
-    needle = padded(F.lit(phrase))
-    nested = "files" in docs.columns and "body" not in docs.columns
-    in_files = F.exists("files", lambda f: F.contains(padded(f.path), needle)) if nested else F.contains(padded(F.col("body")), needle)
-    found = []
-    if scope in (None, "n"):
-        found.append(F.contains(padded(F.col("name")), needle))
-    if scope in (None, "f"):
-        found.append(in_files)
-    return reduce(lambda a, b: a | b, found)
-
-
 def matching(docs: DataFrame, index: DataFrame, group: Group) -> DataFrame:
-    """doc_ids of the group: semi joins for its words, a filter for phrases, anti joins for exclusions.
+    """doc_ids of the group: semi joins with the index for its words and phrases, anti joins for exclusions. No text is read.
 
-    A phrase's own words are asked of the index first, so that only texts that hold them all are read. Single
-    letters aren't in it; a phrase with one matches nothing.
+    Single letters aren't in the index: a phrase with one matches nothing, and excludes nothing.
     """
     found = docs
-    inside = [w for phrase in group.phrases for w in re.findall("[a-z0-9]+", phrase)]
-    for word in dict.fromkeys([*group.words, *inside]):
+    for word in dict.fromkeys(group.words):
         found = found.join(with_token(index, word, group.scope), "doc_id", "left_semi")
     if group.prefix:
         found = found.join(with_token(index, group.prefix, group.scope, prefix=len(group.prefix) >= 3), "doc_id", "left_semi")
     for word in group.not_words:
         found = found.join(with_token(index, word, group.scope), "doc_id", "left_anti")
     for phrase in group.phrases:
-        found = found.filter(with_phrase(found, phrase, group.scope))
+        found = found.join(with_phrase(index, phrase, group.scope), "doc_id", "left_semi")
     for phrase in group.not_phrases:
-        found = found.filter(~with_phrase(found, phrase, group.scope))
+        found = found.join(with_phrase(index, phrase, group.scope), "doc_id", "left_anti")
     return found.select("doc_id")
 
 

@@ -243,24 +243,23 @@ posted AS (SELECT doc_id, field, token FROM every WHERE length(token) > 1 OR reg
 
 @query(f"WITH {DOCS}, {POSTED} SELECT field, token, count(*) AS df FROM posted GROUP BY field, token")
 def index_document_frequency(spark, sf_dir):
-    return S.frequencies(S.postings(docs(spark, sf_dir)))
+    return S.frequencies(stored(spark, sf_dir))
 
 
 @query(f"WITH {DOCS}, {POSTED} SELECT field, token, count(*) AS df FROM posted WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE hidden) GROUP BY field, token")
 def index_visible_frequency(spark, sf_dir):
     d = docs(spark, sf_dir)
-    index = S.postings(d)
-    return S.frequencies(index.join(d.filter("hidden").select("doc_id"), "doc_id", "left_anti"))
+    return S.frequencies(stored(spark, sf_dir).join(d.filter("hidden").select("doc_id"), "doc_id", "left_anti"))
 
 
 @query(f"WITH {DOCS} SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(ft) AS token FROM toks) WHERE starts_with(token, 'clo')")
 def index_prefix_postings(spark, sf_dir):
-    return S.with_token(S.postings(docs(spark, sf_dir)), "clo", "f", prefix=True)
+    return S.with_token(stored(spark, sf_dir), "clo", "f", prefix=True).distinct()
 
 
 @query(f"WITH {DOCS}, p AS (SELECT DISTINCT unnest(nt) AS token FROM toks) SELECT token FROM p WHERE token >= 'ea' AND token < 'eb' ORDER BY token LIMIT 100")
 def index_term_dictionary(spark, sf_dir):
-    index = S.postings(docs(spark, sf_dir)).filter("field = 'n'")
+    index = stored(spark, sf_dir).filter("field = 'n'")
     return index.filter((F.col("token") >= "ea") & (F.col("token") < "eb")).select("token").distinct().orderBy("token").limit(100)
 
 
@@ -275,7 +274,7 @@ def index_catch_up(spark, sf_dir):
 def index_merge_segments(spark, sf_dir):
     """Two segments of postings, which have some in common, become one."""
     d = docs(spark, sf_dir)
-    return S.merged_postings(*(S.postings(d.filter(c)) for c in ("doc_id % 2 = 0 or doc_id % 10 = 1", "doc_id % 2 = 1")))
+    return S.merged_postings(*(S.postings(d.filter(c)) for c in ("doc_id % 2 = 0 or doc_id % 10 = 1", "doc_id % 2 = 1"))).drop("at")
 
 
 @query(f"WITH {FILES} SELECT DISTINCT doc_id FROM named WHERE ext IN ('eco', 'economy') OR starts_with(ext, 'prom')")

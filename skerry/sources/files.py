@@ -166,8 +166,12 @@ def keep_days(spark: SparkSession, path: str, oldest: int) -> DataFrame:
 
 
 def write_postings(index: DataFrame, path: str, files: int) -> None:
-    """Postings sorted by field and token in ranges, so that a look-up reads the row groups of its token."""
-    index.repartitionByRange(files, "field", "token").sortWithinPartitions("field", "token", "doc_id").write.mode("overwrite").parquet(path)
+    """Postings sorted by field, token and document in ranges, so that a look-up reads the row groups of its token.
+
+    A token of many documents has many ranges. Version 2 of Parquet writes places as differences.
+    """
+    ranged = index.repartitionByRange(files, "field", "token", "doc_id").sortWithinPartitions("field", "token", "doc_id")
+    ranged.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
 
 
 def multi_get(cold: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
