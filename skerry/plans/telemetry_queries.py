@@ -11,6 +11,7 @@ from skerry.operators import moderation as M
 from skerry.operators import observations as O
 from skerry.operators import series as T
 from skerry.plans.register import Register
+from skerry.sources.files import stored_once
 from skerry.plans.views import CHANGES, DOCS, FILES, MEASUREMENTS, METRICS, NOW, OBSERVATIONS, SCORES, changes, docs, items, measurements, metrics, observations, scores, table
 
 query = Register()
@@ -85,11 +86,20 @@ def health_deferred(spark, sf_dir):
     return H.defer(current, current.filter("ih % 3 = 0"), NOW).select("ih", "due_at")
 
 
-@query(f"WITH {MEASUREMENTS} SELECT ih, max(mt) AS health_at, arg_max(seeders, mt) AS seeders FROM (SELECT ih, mt, arg_max(seeders, event_id) AS seeders FROM meas GROUP BY ih, mt) GROUP BY ih")
+@query(FOLD + "SELECT recent.ih, mt AS health_at, seeders, peers, src, coalesce(dead.dead, false) AS dead, CAST(unk AS BIGINT) AS unk FROM recent LEFT JOIN dead ON dead.ih = recent.ih JOIN unk ON unk.ih = recent.ih WHERE rn = 1")
 def health_restore(spark, sf_dir):
-    """Current figures from the newest entry of the history."""
+    """Current figures from the newest entry of the history, flags from all of it."""
+    return H.restored(H.states(measurements(spark, sf_dir)))
+
+
+@query(FOLD + "SELECT state.ih, seeders, peers, src, health_at, checked_at, seed_ok_at, n_kept, coalesce(dead.dead, false) AS dead, CAST(unk AS BIGINT) AS unk FROM state LEFT JOIN dead ON dead.ih = state.ih JOIN unk ON unk.ih = state.ih")
+def health_folded_on(spark, sf_dir):
+    """Half of each key's measurements are in stored states; the later half is folded into these."""
     m = measurements(spark, sf_dir)
-    return m.groupBy("ih").agg(F.max("mt").alias("health_at"), F.max_by("seeders", F.struct("mt", "event_id")).alias("seeders"))
+    half = m.groupBy("ih").agg(F.floor((F.min("mt") + F.max("mt")) / 2).alias("until"))
+    m = m.join(half, "ih")
+    stored = stored_once(H.states(m.filter("mt <= until")), "health")
+    return H.flagged(H.fold_into(stored, m.filter("mt > until"))).drop("history", "run", "span")
 
 
 @query(f"WITH {METRICS} SELECT CAST(floor(t / 300) * 300 + 150 AS BIGINT) AS t, {TENTHS} AS gauge, arg_max(counter, (t, event_id)) FILTER (counter IS NOT NULL) AS counter, count(*) AS n FROM metrics GROUP BY floor(t / 300)")

@@ -114,6 +114,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new folder of work_folder() and read from there: what follows starts from a table, and survives lost executors."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def versions(spark: SparkSession, target: str) -> list[int]:
     """Numbers of the whole snapshots below a folder; one that a writer left unfinished has no success mark and isn't among them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)

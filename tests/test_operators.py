@@ -4,6 +4,7 @@ import math
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import numbers as N
@@ -149,6 +150,70 @@ def test_fold_is_the_plain_fold_without_arrays(spark):
     assert "collect_list" not in plan(got)
 
 
+def plain_states(rows):
+    """The rules of a measurement, one after another. rows: ih, mt, seeders, peers, src, event_id, nrep, cs."""
+    day, found = 86_400, {}
+    for ih, t, seeders, peers, src, event, nrep, cs in sorted(rows, key=lambda r: (r[0], r[1], r[5])):
+        k = found.setdefault(ih, {"seeders": None, "src": None, "at": None, "checked": 0, "ok": 0, "n": 0, "history": []})
+        seeders, peers = max(seeders or 0, 0), max(peers or 0, 0)
+        k["checked"] = t
+        if cs:
+            k["ok"] = t
+        if src != "scrape" and k["src"] == "scrape" and t - k["at"] < 14 * day and seeders < k["seeders"]:
+            continue
+        k |= {"seeders": seeders, "peers": peers, "src": src, "at": t, "n": k["n"] + 1}
+        k["history"] = ([h for h in k["history"] if h[0] != t] + [(t, seeders, peers, src, nrep)])[-40:]
+    out = {}
+    for ih, k in found.items():
+        newest = k["history"][::-1]
+        zeros = next((i for i, h in enumerate(newest) if not (h[3] == "scrape" and h[1] == h[2] == 0 and h[4] >= 2)), len(newest))
+        unk = next((i for i, h in enumerate(newest) if h[3] == "scrape"), len(newest))
+        dead = zeros >= 3 and newest[0][0] - newest[zeros - 1][0] >= 12 * 3600
+        out[ih] = (k["seeders"], k["peers"], k["src"], k["at"], k["checked"], k["ok"], k["n"], [h[:4] for h in newest], dead, unk)
+    return out
+
+
+def found_states(current):
+    rows = H.flagged(current).collect()
+    return {r.ih: (r.seeders, r.peers, r.src, r.health_at, r.checked_at, r.seed_ok_at, r.n_kept, [(e.mt, e.seeders, e.peers, e.src) for e in r.history], r.dead, r.unk) for r in rows}
+
+
+MEASURED = "ih long, mt long, seeders long, peers long, src string, event_id long, nrep long, cs long"
+
+
+@pytest.mark.parametrize("seed, stretch", [(0, 86_400), (1, 7 * 86_400), (2, 3600), (3, 86_400)])
+def test_stretches_add_up_to_the_plain_fold(spark, seed, stretch):
+    """Random lives with long holds, ties in time, a hot key and a state that is stored in between, at any width of stretches."""
+    rng = random.Random(seed)
+    step = rng.choice([3600, 20_000, 86_400])
+    rows = []
+    for n in range(1_500):
+        ih = 1 if n % 3 else rng.randrange(2, 40)
+        src = rng.choices(["scrape", "swarm", "legacy"], [1, 8, 1])[0]
+        rows.append((ih, rng.randrange(120) * step, rng.choice([0, 0, 0, 1, 2, 5, 9, -3]), rng.choice([0, 0, 0, 2]), src, n, rng.randrange(4), rng.choice([0, 0, 1])))
+    m = spark.createDataFrame(rows, MEASURED).repartition(5)
+    want = plain_states(rows)
+    assert found_states(H.states(m, stretch_s=stretch)) == want
+    cuts = [40 * step, 41 * step, 90 * step, 1000 * step]
+    stored, since = None, -1
+    for cut in cuts:
+        part = m.filter((F.col("mt") > since) & (F.col("mt") <= cut))
+        stored = spark.createDataFrame(H.states(part, stored, stretch).collect(), H.STATE)
+        since = cut
+    assert found_states(stored) == want
+    assert {r.ih: (r.health_at, r.seeders, r.peers, r.src, r.dead, r.unk) for r in H.restored(stored).collect()} == {i: (w[7][0][0], *w[7][0][1:4], w[8], w[9]) for i, w in want.items()}
+
+
+def test_states_of_odd_rows(spark):
+    rows = [(None, 1, 1, 1, "scrape", 1, 1, 0), (1, 5, None, None, "scrape", None, None, None), (2, 7, 1, 1, None, 2, 0, 1), (2, 7, 1, 1, None, 2, 0, 1)]
+    got = found_states(H.states(spark.createDataFrame(rows, MEASURED)))
+    assert got == {1: (0, 0, "scrape", 5, 5, 0, 1, [(5, 0, 0, "scrape")], False, 0), 2: (1, 1, None, 7, 7, 7, 2, [(7, 1, 1, None)], False, 1)}
+    empty = spark.createDataFrame([], MEASURED)
+    assert H.states(empty).count() == 0
+    stored = H.states(spark.createDataFrame(rows, MEASURED))
+    assert found_states(H.fold_into(stored, empty)) == got
+
+
 def test_moving_average_across_ranges_without_arrays(spark):
     rng = random.Random(5)
     rows = [("a", n // 2, n, rng.random()) for n in range(500)] + [("b", 1, 1, 3.0), ("c", 1, 1, None), ("c", 2, 2, 1.0)]
