@@ -57,7 +57,9 @@ def ipv4_text(number: Column) -> Column:
 
 
 #: Address blocks that are not global.
-LOCAL_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
+LOCAL_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
+#: Addresses within these blocks that are global.
+GLOBAL_WITHIN = ["192.0.0.9/32", "192.0.0.10/32"]
 
 
 def block_range(block: str) -> tuple[int, int]:
@@ -163,6 +165,8 @@ def is_global(number: Column) -> Column:
     inside = F.lit(False)
     for block in LOCAL_BLOCKS:
         inside = inside | number.between(*block_range(block))
+    for block in GLOBAL_WITHIN:
+        inside = inside & ~number.between(*block_range(block))
     return ~inside
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 #: Seconds.
 KEEP_S, HISTORY, DEAD_RUN, DEAD_SPAN_S, DEAD_TRACKERS = 14 * 86_400, 40, 3, 12 * 3600, 2
 INTERVAL_S = {"alive": 6 * 3600, "weak": 12 * 3600, "quiet": 6 * 3600, "dead": 3 * 86_400}
-BACKOFF_S, BACKOFF_MAX_S, UNKNOWN_MOST = 1800, 259_200, 255
+BACKOFF_S, BACKOFF_MAX_S, UNKNOWN_MOST, FORCED = 1800, 259_200, 255, 1000
 
 
 #: Seconds of a stretch: what one task sees of a key at once.
@@ -233,6 +233,12 @@ def defer(current: DataFrame, keys: DataFrame, now: int) -> DataFrame:
     return put_off.withColumn("due_at", due_at(F.col("state"), F.col("unk")).cast("long"))
 
 
+def forced(requests: DataFrame, now: int, most: int = FORCED) -> DataFrame:
+    """(ih, checked_at) of the first `most` keys that were asked for (ih, seq), each once, in the order of their first request."""
+    first = requests.groupBy("ih").agg(F.min("seq").alias("seq"))
+    return first.orderBy("seq", "ih").limit(most).select("ih", F.lit(now).alias("checked_at"))
+
+
 def latest(changes: DataFrame) -> DataFrame:
     """Live keys of a change log: the last of new and delete events, if it isn't a delete."""
     last = changes.filter("t in ('n', 'd')").groupBy("ih").agg(F.max_by(F.struct("seq", "t", "size", "category"), "seq").alias("r"))

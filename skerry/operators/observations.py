@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry.functions.numbers import is_global
+from skerry.sources.files import stored_once
 
 #: Caps of the reference: merged rows of a key, nodes of the registry, nodes that are kept.
 KEY_ROWS, REGISTRY_NODES, KEPT_NODES = 300, 50_000, 100_000
 SRC_BIT = {"c": 1, "d": 2, "a": 4}
+UNKNOWN_ROLE = -1
 
 
 def merge(obs: DataFrame) -> DataFrame:
@@ -40,10 +42,47 @@ def cap(merged: DataFrame, most: int = KEY_ROWS, by: str = "ih") -> DataFrame:
     return merged.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("rn")
 
 
+def persisted(merged: DataFrame, all_nodes: bool = False) -> DataFrame:
+    """The merged rows that are stored: not those of unknown role that only the node network told, unless all_nodes."""
+    return merged if all_nodes else merged.filter((F.col("src") != SRC_BIT["d"]) | (F.col("role") != UNKNOWN_ROLE))
+
+
+RANGES, AT_ONCE = 1_000, 100_000
+
+
+def smallest(rows: DataFrame, n: int, *order: str, at_once: int = AT_ONCE) -> DataFrame:
+    """The n smallest rows by whole-number columns without nulls, for any n: a filter by cut values, not a sorted limit.
+
+    The cut lies in one of RANGES ranges of a column, found by their exact counts; that range is cut again until it has at most at_once
+    rows, of which the least are taken by order, or one value, of which the next column decides. rows are read once for each cut.
+    """
+    whole, rest, left = F.lit(False), F.lit(True), n
+    for c in order:
+        while left > 0:
+            at = rows.filter(rest).agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).first()
+            if at.n <= left:
+                return rows.filter(whole | rest)
+            if at.n <= at_once:
+                return rows.filter(whole).unionByName(rows.filter(rest).orderBy(*order).limit(left))
+            if at.low == at.high:
+                break
+            width = -(-(at.high - at.low + 1) // RANGES)
+            counts = rows.filter(rest).groupBy(F.floor((F.col(c) - at.low) / width).alias("r")).count().orderBy("r").collect()  # RANGES rows at most
+            passed = 0
+            for r in counts:
+                if passed + r["count"] > left:
+                    break
+                passed += r["count"]
+            low = at.low + r.r * width
+            whole, left = whole | (rest & (F.col(c) < low)), left - passed
+            rest = rest & F.col(c).between(low, low + width - 1)
+    return rows.filter(whole).unionByName(rows.filter(rest).limit(max(0, left)))  # rows that are alike in all columns
+
+
 def over_cap(merged: DataFrame, most: int) -> DataFrame:
-    """The rows that go when at most `most` may stay in all: the oldest, ties by key and address. How many is read first."""
-    extra = max(0, merged.count() - most)
-    return merged.orderBy("last", "ih", "ip").limit(extra)
+    """The rows that go when at most `most` may stay in all: the oldest, ties by key and address."""
+    kept = stored_once(merged, "merged")
+    return smallest(kept, max(0, kept.count() - most), "last", "ih", "ip")
 
 
 def peers_of(merged: DataFrame, most: int = 500) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 from pyspark.sql.window import Window
 
+from skerry.sources.files import stored_once
+
 #: Retention of each tier in seconds, and its step.
 TIERS = {"raw": (86_400, 10), "m5": (30 * 86_400, 300), "h1": (730 * 86_400, 3600)}
 
@@ -71,35 +73,55 @@ def segments(points: DataFrame, gap: int, by: str = "event_type") -> DataFrame:
 
 
 def down_sample(points: DataFrame, most: int, step: int, by: str = "event_type") -> DataFrame:
-    """At most about `most` points for each series, none across a gap: last time, mean of gauges that are there, last counter that is there."""
+    """At most about `most` points for each series, none across a gap: last time, mean of gauges that are there, to one place, last counter that is there."""
     sizes = points.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).alias("g"))
     grouped = segments(points, max(4 * step, 60), by).join(sizes, by).withColumn("grp", F.floor((F.col("rn") - 1) / F.col("g")))
     last = F.max_by("counter", F.when(F.col("counter").isNotNull(), F.struct("t", "event_id")))
-    return grouped.groupBy(by, "seg", "grp").agg(F.max("t").alias("t"), F.avg("gauge").alias("gauge"), last.alias("counter")).drop("grp")
+    return grouped.groupBy(by, "seg", "grp").agg(F.max("t").alias("t"), to_tenths(F.avg(F.col("gauge").cast("decimal(30,12)"))).alias("gauge"), last.alias("counter")).drop("grp")
 
 
-def typical_step(points: DataFrame, by: str = "event_type") -> DataFrame:
-    """(by, med): the upper median of the steps between a series' points."""
-    steps = previous(points, by, "t").withColumn("dt", F.col("t") - F.col("prev_t"))
+def typical_step(steps: DataFrame, by: str = "event_type") -> DataFrame:
+    """(by, med): the upper median of the steps dt between a series' points."""
     counts = steps.filter("dt is not null").groupBy(by, "dt").agg(F.count("*").alias("n"))  # distinct steps only
     upto, total = F.sum("n").over(Window.partitionBy(by).orderBy("dt")), F.sum("n").over(Window.partitionBy(by))
     return counts.select(by, "dt", upto.alias("upto"), total.alias("total")).filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(by).agg(F.min("dt").alias("med"))
 
 
-def rates(points: DataFrame, window: int, by: str = "event_type") -> DataFrame:
-    """Growth of the counter per second over a sliding window, not across gaps, not below zero; null where the window is too short.
+def rates(points: DataFrame, window: int, by: str = "event_type", *counters: str) -> DataFrame:
+    """(by, t, event_id, rate, ...): growth per second of the counter since the point's anchor, not below zero, so 0 after a reset.
+
+    The anchor is the newest point at least a window back, or, where there is none, the first one since the last gap; the
+    window is as long as three of the series' median steps at least. There is no rate where the anchor is less than 0.8 windows
+    back, or where it or the point has no counter. A gap is more than four median steps and more than a minute.
+    counters: several columns, whose rates are named rate_<column>, instead of the one named counter.
 
-    A gap is more than four of the series' median steps and more than a minute. A point's window reaches into its
-    own stretch of that length and the one before, so points stand in two.
+    The steps are taken once and stored. An anchor is less than a window and a gap back, so that points meet it in
+    stretches of a window's or a gap's length, to the one and the next of which it is dealt.
     """
-    steps = previous(points, by, "t").withColumn("dt", F.col("t") - F.col("prev_t"))
-    cut = steps.join(typical_step(points, by), by).withColumn("broken", F.when(F.col("dt") > F.greatest(F.lit(60), 4 * F.col("med")), 1).otherwise(0))
-    cut = running(cut, by, seg=("sum", F.col("broken")))
-    twice = cut.withColumn("late", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", F.floor(F.col("t") / window) + F.col("late"))
-    back = Window.partitionBy(by, "seg", "part").orderBy("t").rangeBetween(-window, 0)
-    found = twice.withColumn("t0", F.min("t").over(back)).withColumn("c0", F.min("counter").over(back)).filter("late = 0")
-    span = F.col("t") - F.col("t0")
-    return found.select(by, "t", "event_id", F.when(span >= 0.8 * window, F.greatest(F.lit(0.0), (F.col("counter") - F.col("c0")) / span)).alias("rate"))
+    values = counters or ("counter",)
+    steps = stored_once(previous(points.select(by, "t", "event_id", *values), by, "t").withColumn("dt", F.col("t") - F.col("prev_t")).drop("prev_t"), "steps")
+    known = steps.join(typical_step(steps, by), by, "left")
+    w, gap = F.greatest(F.lit(window), 3 * F.col("med")), F.greatest(F.lit(60), 4 * F.col("med"))
+    row = F.struct("t", "event_id", *values)
+    marked = known.withColumns({"w": w, "far": F.greatest(w, gap), "begins": F.when(F.col("dt").isNull() | (F.col("dt") > gap), row)})
+    marked = running(marked, by, start=("max", F.col("begins")))
+    part = lambda at, more: (F.floor(at / F.col("far")) + more).alias("part")
+    later = F.col("t") + F.col("w")
+    roles = [F.struct(part(F.col("t"), 0), F.col("t").alias("at"), F.lit(1).alias("asks"))] + [F.struct(part(later, k), later.alias("at"), F.lit(0).alias("asks")) for k in (0, 1)]
+    dealt = marked.select(by, "t", "event_id", *values, "start", "w", F.explode(F.array(*roles)).alias("r"))
+    upto = Window.partitionBy(by, "start", "r.part").orderBy("r.at", "r.asks", "t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("anchor", F.last(F.when(F.col("r.asks") == 0, row), ignorenulls=True).over(upto)).filter("r.asks = 1")
+    found = found.withColumn("anchor", F.coalesce("anchor", "start"))
+    passed = F.col("t") - F.col("anchor.t")
+    growth = lambda c: F.when((passed >= 0.8 * F.col("w")) & F.col(c).isNotNull() & F.col(f"anchor.{c}").isNotNull(), F.greatest(F.lit(0.0), (F.col(c) - F.col(f"anchor.{c}")) / passed))
+    return found.select(by, "t", "event_id", *(growth(c).alias(f"rate_{c}" if counters else "rate") for c in values))
+
+
+def share_of_rates(points: DataFrame, window: int, good: str, bad: str, by: str = "event_type") -> DataFrame:
+    """(by, t, event_id, share): the rate of one counter in percent of the rates of both; null where either is, or both are 0."""
+    r = rates(points, window, by, good, bad)
+    both = F.col(f"rate_{good}") + F.col(f"rate_{bad}")
+    return r.select(by, "t", "event_id", F.when(both > 0, 100 * F.col(f"rate_{good}") / both).alias("share"))
 
 
 def deltas(points: DataFrame, by: str = "event_type") -> DataFrame:

@@ -272,10 +272,10 @@ def classified(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", M.classify(F.col("body")).alias("score"))
 
 
-@query(f"WITH {MEASUREMENTS}, l AS (SELECT ih, arg_max(mt, event_id) AS mt FROM meas GROUP BY ih) SELECT ih, {NOW} AS checked_at FROM l WHERE ih % 3 = 0 ORDER BY ih LIMIT 1000")
+@query(f"WITH {MEASUREMENTS}, l AS (SELECT ih, min(event_id) AS seq FROM meas WHERE ih % 3 = 0 GROUP BY ih) SELECT ih, {NOW} AS checked_at FROM l ORDER BY seq LIMIT 1000")
 def forced_checks(spark, sf_dir):
-    """Keys asked for by hand: each once, first come first served, at most 1,000, and counted as checked now."""
-    return measurements(spark, sf_dir).filter("ih % 3 = 0").select("ih").distinct().orderBy("ih").limit(1000).select("ih", F.lit(NOW).alias("checked_at"))
+    """Keys asked for by hand, in the order they first came: each once, at most 1,000, and counted as checked now."""
+    return H.forced(measurements(spark, sf_dir).filter("ih % 3 = 0").select("ih", F.col("event_id").alias("seq")), NOW)
 
 
 @query(f"WITH {MEASUREMENTS} SELECT ih, mt, event_id, least(259200, 1800 * CAST(pow(2, least(nrep, 8)) AS BIGINT)) AS wait FROM meas")

@@ -16,8 +16,12 @@ from skerry.plans.views import CHANGES, DOCS, FILES, MEASUREMENTS, METRICS, NOW,
 
 query = Register()
 #: The mean over all points of a bucket, to one place, halves to the even digit, on decimals.
-MEAN10 = "CAST(sum(gauge) / count(*) AS DECIMAL(30, 12)) * 10"
-TENTHS = f"CAST(floor({MEAN10}) + CASE WHEN {MEAN10} - floor({MEAN10}) > 0.5 OR ({MEAN10} - floor({MEAN10}) = 0.5 AND floor({MEAN10}) % 2 <> 0) THEN 1 ELSE 0 END AS DOUBLE) / 10"
+def tenths(n: str) -> str:
+    mean = f"CAST(sum(gauge) / {n} AS DECIMAL(30, 12)) * 10"
+    return f"CAST(floor({mean}) + CASE WHEN {mean} - floor({mean}) > 0.5 OR ({mean} - floor({mean}) = 0.5 AND floor({mean}) % 2 <> 0) THEN 1 ELSE 0 END AS DOUBLE) / 10"
+
+
+TENTHS = tenths("count(*)")
 
 FOLD = f"""WITH RECURSIVE {MEASUREMENTS}, o AS (SELECT * REPLACE (greatest(seeders, 0) AS seeders), row_number() OVER (PARTITION BY ih ORDER BY mt, event_id) AS k FROM meas),
 fold AS (
@@ -123,21 +127,42 @@ def metrics_gaps(spark, sf_dir):
     return T.segments(metrics(spark, sf_dir), 1200).groupBy("event_type", "seg").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-@query(SEGMENTS + "SELECT placed.event_type, CAST(seg AS BIGINT) AS seg, max(t) AS t, round(avg(gauge), 6) AS gauge, arg_max(counter, (t, event_id)) FILTER (counter IS NOT NULL) AS counter FROM placed JOIN g ON g.event_type = placed.event_type GROUP BY placed.event_type, seg, floor((rn - 1) / g)")
+@query(SEGMENTS + "SELECT placed.event_type, CAST(seg AS BIGINT) AS seg, max(t) AS t, " + tenths("nullif(count(gauge), 0)") + " AS gauge, arg_max(counter, (t, event_id)) FILTER (counter IS NOT NULL) AS counter FROM placed JOIN g ON g.event_type = placed.event_type GROUP BY placed.event_type, seg, floor((rn - 1) / g)")
 def metrics_down_sample(spark, sf_dir):
-    return T.down_sample(metrics(spark, sf_dir), 600, 300).withColumn("gauge", F.round("gauge", 6))
+    return T.down_sample(metrics(spark, sf_dir), 600, 300)
 
 
-@query(
-    f"""WITH {METRICS}, s AS (SELECT *, t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) AS dt FROM metrics), m AS (SELECT event_type, list_sort(list(dt))[len(list(dt)) // 2 + 1] AS med FROM s WHERE dt IS NOT NULL GROUP BY event_type),
-b AS (SELECT s.*, CASE WHEN dt > greatest(60, 4 * med) THEN 1 ELSE 0 END AS broken FROM s JOIN m ON m.event_type = s.event_type), g AS (SELECT *, sum(broken) OVER (PARTITION BY event_type ORDER BY t, event_id) AS seg FROM b),
-w AS (SELECT *, min(t) OVER r AS t0, min(counter) OVER r AS c0 FROM g WINDOW r AS (PARTITION BY event_type, seg ORDER BY t RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW))
-SELECT event_type, t, event_id, CASE WHEN t - t0 >= 0.8 * 7200 THEN round(greatest(0.0, (counter - c0) / (t - t0)), 9) END AS rate FROM w"""
-)
+def rates_sql(window: int, source: str, *values: str) -> str:
+    """Tables of a source of points (event_type, t, event_id and counters without nulls), the last of which, r, has the rate of each counter."""
+    first = ", ".join(f"arg_min({v}, (t, event_id)) AS {v}_first" for v in values)
+    last = ", ".join(f"arg_max({v}, event_id) AS {v}_last" for v in values)
+    rate = ", ".join(f"CASE WHEN x.t - coalesce(lasts.t, t0) >= 0.8 * w THEN greatest(0.0, (x.{v} - coalesce({v}_last, {v}_first)) / (x.t - coalesce(lasts.t, t0))) END AS {v}_rate" for v in values)
+    return f"""s AS (SELECT *, t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) AS dt FROM {source}),
+m AS (SELECT event_type, list_sort(list(dt))[len(list(dt)) // 2 + 1] AS med FROM s WHERE dt IS NOT NULL GROUP BY event_type),
+b AS (SELECT s.*, greatest({window}, 3 * med) AS w, CASE WHEN dt > greatest(60, 4 * med) THEN 1 ELSE 0 END AS broken FROM s JOIN m ON m.event_type = s.event_type),
+seg AS (SELECT *, sum(broken) OVER (PARTITION BY event_type ORDER BY t, event_id) AS seg FROM b),
+firsts AS (SELECT event_type, seg, min(t) AS t0, {first} FROM seg GROUP BY event_type, seg),
+lasts AS (SELECT event_type, seg, t, {last} FROM seg GROUP BY event_type, seg, t),
+r AS (SELECT x.event_type, x.t, x.event_id, {rate} FROM (SELECT *, t - w AS back FROM seg) x
+  ASOF LEFT JOIN lasts ON x.event_type = lasts.event_type AND x.seg = lasts.seg AND x.back >= lasts.t JOIN firsts ON firsts.event_type = x.event_type AND firsts.seg = x.seg)"""
+
+
+@query(f"WITH {METRICS}, {rates_sql(7200, 'metrics', 'counter')} SELECT event_type, t, event_id, round(counter_rate, 9) AS rate FROM r")
 def metrics_rates(spark, sf_dir):
     return T.rates(metrics(spark, sf_dir), 7200).withColumn("rate", F.round("rate", 9))
 
 
+@query(
+    f"""WITH {METRICS}, counters AS (SELECT 'all' AS event_type, t, event_id, sum(CAST(event_type = 'purchase' AS BIGINT)) OVER o AS ok, sum(CAST(event_type = 'error' AS BIGINT)) OVER o AS fail FROM metrics WINDOW o AS (ORDER BY t, event_id)),
+{rates_sql(120, 'counters', 'ok', 'fail')} SELECT t, event_id, CASE WHEN ok_rate + fail_rate > 0 THEN round(100 * ok_rate / (ok_rate + fail_rate), 6) END AS success FROM r"""
+)
+def success_rate(spark, sf_dir):
+    """Purchases in percent of purchases and errors, as the ratio of the rates of two counters."""
+    kinds = metrics(spark, sf_dir).select(F.lit("all").alias("event_type"), "t", "event_id", *((F.col("event_type") == kind).cast("long").alias(name) for name, kind in (("ok", "purchase"), ("fail", "error"))))
+    counted = T.running(kinds, "event_type", ok=("sum", F.col("ok")), fail=("sum", F.col("fail")))
+    return T.share_of_rates(counted, 120, "ok", "fail").select("t", "event_id", F.round("share", 6).alias("success"))
+
+
 @query(f"WITH {METRICS}, m AS (SELECT event_id, max(t) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS t FROM metrics) SELECT CAST(floor(t / 3600) AS BIGINT) AS hour, count(*) AS n FROM m GROUP BY hour")
 def metrics_late_points(spark, sf_dir):
     """Late points count at the latest time seen so far."""
@@ -239,6 +264,12 @@ def peers_merged(spark, sf_dir):
     return merged(spark, sf_dir)
 
 
+@query(MERGED + "SELECT * FROM merged WHERE src <> 2 OR role <> -1")
+def peers_persisted(spark, sf_dir):
+    """What is stored of them: addresses that only the node network told, and of whose role nothing is known, aren't."""
+    return O.persisted(merged(spark, sf_dir))
+
+
 @query(MERGED + ", r AS (SELECT *, row_number() OVER (PARTITION BY ih ORDER BY last DESC, ip) AS rn FROM merged) SELECT ih, ip, last FROM r WHERE rn <= 300")
 def peers_capped(spark, sf_dir):
     return O.cap(merged(spark, sf_dir)).select("ih", "ip", "last")

@@ -76,9 +76,9 @@ def journal(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
         rows = placed_lines(spark, path, T._parse_datatype_string(JOURNAL))
         return rows.select(F.struct("file", "block", "line").alias("seq"), "t", F.coalesce("ih", F.lit("")).alias("ih"), "r.name", "r.category", "s", "p", "a", "g", "n")
     texts = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<name:string,category:string>>").alias("m"), F.col("_metadata.file_path").alias("file"))
-    each = texts.select("file", F.explode("m").alias("ih", "r"))
+    each = texts.select("file", F.posexplode(F.array_sort(F.transform(F.map_keys("m"), lambda k: F.struct(k.alias("ih"), F.col("m")[k].alias("r"))))).alias("at", "e")).select("file", "at", "e.ih", "e.r")
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    return each.select(F.struct("file", F.lit(0).cast("long").alias("block"), F.xxhash64("ih").alias("line")).alias("seq"), F.lit("n").alias("t"), "ih", "r.name", "r.category", none("s", "long"), none("p", "long"), none("a", "long"), none("g", "string"), none("n", "int"))
+    return each.select(F.struct("file", F.lit(0).cast("long").alias("block"), F.col("at").cast("long").alias("line")).alias("seq"), F.lit("n").alias("t"), "ih", "r.name", "r.category", none("s", "long"), none("p", "long"), none("a", "long"), none("g", "string"), none("n", "int"))
 
 
 def patterns(spark: SparkSession, path: str) -> DataFrame:

@@ -228,11 +228,77 @@ def test_moving_average_across_ranges_without_arrays(spark):
 
 def test_rates_break_at_the_upper_median(spark):
     p = spark.createDataFrame([(t, t, t, "a") for t in (0, 20, 40, 120, 200, 450)], "t long, counter long, event_id long, event_type string")
-    got = T.rates(p, 200)  # steps of 20, 20, 80, 80 and 250: their median is 80, so none is a gap
-    assert {r.t: r.rate for r in got.collect()} == {0: None, 20: None, 40: None, 120: None, 200: 1.0, 450: None}
+    got = T.rates(p, 200)  # steps of 20, 20, 80, 80 and 250: their median is 80, so none is a gap, and the window is 240
+    assert {r.t: r.rate for r in got.collect()} == {0: None, 20: None, 40: None, 120: None, 200: 1.0, 450: 1.0}
     assert "collect_list" not in plan(got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rates_are_those_of_a_search_for_each_anchor(spark, seed):
+    """Uneven steps, gaps, equal times, missing values and counters that start again."""
+    rng, rows, n = random.Random(seed), [], 0
+    for series in ("a", "b", "only one"):
+        t, value = 0, 0
+        for _ in range(1 if series == "only one" else 300):
+            t += rng.choice([0, 10, 10, 10, 25, 60, 61, 500] if seed else [10, 10, 10, 20])
+            value = 0 if rng.random() < 0.02 else value + rng.randrange(9)
+            n += 1
+            rows.append((series, t, n, None if rng.random() < 0.1 else value))
+    want = {}
+    for series in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == series]
+        steps = sorted(y[1] - x[1] for x, y in zip(own, own[1:]))
+        med = steps[len(steps) // 2] if steps else 10
+        w, begin = max(120, 3 * med), 0
+        for i, (_, t, event, value) in enumerate(own):
+            if i and t - own[i - 1][1] > max(60, 4 * med):
+                begin = i
+            back = [k for k in range(begin, i) if t - own[k][1] >= w]
+            _, t0, _, v0 = own[back[-1] if back else begin]
+            known = value is not None and v0 is not None and t - t0 >= 0.8 * w
+            want[event] = max(0.0, (value - v0) / (t - t0)) if known else None
+    p = spark.createDataFrame(rows, "event_type string, t long, event_id long, counter long").repartition(3)
+    got = {r.event_id: r.rate for r in T.rates(p, 120).collect()}
+    assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or math.isclose(got[k], want[k], abs_tol=1e-12)) for k in want)
+    assert any(v == 0.0 for v in want.values())
+
+
+@pytest.mark.parametrize("n, at_once", [(0, 5), (7, 5), (333, 5), (333, 1), (999, 50), (1000, 5), (5000, 5)])
+def test_smallest_is_a_filter(spark, n, at_once):
+    rng = random.Random(n)
+    rows = [(rng.randrange(40), rng.choice([1, 2, 10**12]), i) for i in range(1000)]
+    got = O.smallest(spark.createDataFrame(rows, "last long, ih long, ip long"), n, "last", "ih", "ip", at_once=at_once)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)[:n]
+
+
+def test_smallest_of_equal_rows(spark):
+    rows = [(1, 1)] * 20 + [(0, 5)]
+    got = O.smallest(spark.createDataFrame(rows, "a long, b long"), 8, "a", "b", at_once=3)
+    assert sorted(map(tuple, got.collect())) == [(0, 5)] + [(1, 1)] * 7
+
+
+def test_persisted_observations(spark):
+    rows = [(1, 1, "d", -1), (1, 2, "d", 0), (1, 3, "c", -1), (1, 4, "d", -1), (1, 4, "a", -1)]
+    obs = spark.createDataFrame(rows, "ih long, ip long, src string, role int").withColumns({"port": F.lit(1), "client": F.lit(""), "ts": F.lit(5)})
+    assert sorted(r.ip for r in O.persisted(O.merge(obs)).collect()) == [2, 3, 4]
+    assert O.persisted(O.merge(obs), all_nodes=True).count() == 4
+
+
+def test_forced_checks_come_in_order(spark):
+    rows = [(9, 1), (3, 2), (9, 3), (1, 4), (2, 5)]
+    got = H.forced(spark.createDataFrame(rows, "ih long, seq long"), 77, 3).collect()
+    assert [tuple(r) for r in got] == [(9, 77), (3, 77), (1, 77)]
+
+
+def test_global_addresses_at_all_block_edges(spark):
+    import ipaddress
+
+    blocks = [*N.LOCAL_BLOCKS, *N.GLOBAL_WITHIN, "224.0.0.0/4", "192.0.0.170/31", "255.255.255.255/32", "192.88.99.0/24", "198.18.0.0/15"]
+    edges = sorted({e for b in blocks for k in N.block_range(b) for e in (k - 1, k, k + 1) if 0 <= e < 2**32})
+    got = spark.createDataFrame([(e,) for e in edges], "n long").select("n", N.is_global(F.col("n")).alias("g")).collect()
+    assert {r.n: r.g for r in got} == {e: ipaddress.IPv4Address(e).is_global for e in edges}
+
+
 def test_merged_postings_are_rows(spark):
     one = spark.createDataFrame([("n", "x", 2), ("n", "y", 2)], "field string, token string, doc_id long")
     two = spark.createDataFrame([("n", "x", 1), ("n", "x", 2)], one.schema)
