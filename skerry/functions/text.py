@@ -55,13 +55,19 @@ SEVERAL_LETTERS, SEVERAL_TEXTS = "".join(SEVERAL), "\n".join(SEVERAL.values())
 def norm(text: Column) -> Column:
     """Lower case, NFKD, without combining marks; stays in the JVM. Hangul syllables are left whole."""
     low = F.lower(text)
+    ascii_only = F.octet_length(low) == F.char_length(low)
 
     def spelled(c: Column) -> Column:
         """What a character is spelled as: the text at its place among those with several letters, or itself."""
         return F.coalesce(F.get(F.split(F.lit(SEVERAL_TEXTS), "\n"), F.position(c, F.lit(SEVERAL_LETTERS)) - 1), c)
 
     wide = F.array_join(F.transform(F.filter(F.split(low, ""), lambda c: c != ""), spelled), "")
-    return F.translate(F.when(low.rlike(_MAY_BE_SEVERAL), wide).otherwise(low), FOLDED, PLAIN)
+    return F.when(ascii_only, low).otherwise(F.translate(F.when(low.rlike(_MAY_BE_SEVERAL), wide).otherwise(low), FOLDED, PLAIN))
+
+
+def plain(text: str) -> str:
+    """norm() of a literal, outside Spark."""
+    return "".join(x for c in text.lower() for x in (c if "가" <= c <= "힣" else unicodedata.normalize("NFKD", c)) if not unicodedata.combining(x))
 
 
 def tokens(text: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.text import norm, padded, tokens
+from skerry.functions.text import tokens
+from skerry.operators.rulematch import hit_counts, rule_hits  # noqa: F401
 
 
 #: Most rules, longest term, longest note.
@@ -91,25 +91,6 @@ def merge_rules(here: DataFrame, there: DataFrame) -> DataFrame:
     return joined.select(F.when(clash, F.left(F.sha1(F.concat_ws("\0", *keys).cast("binary")), F.lit(10))).otherwise(F.col("id")).alias("id"), *keys)
 
 
-def hits(text: Column, term: str, mode: str) -> Column:
-    if mode == "word":
-        return F.contains(padded(text), padded(F.lit(term)))
-    if mode == "substring":
-        return F.contains(norm(text), F.btrim(norm(F.lit(term))))
-    return text.rlike(f"(?i){term}") | norm(text).rlike(f"(?i){term}")
-
-
-def rule_hits(docs: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """(doc_id, rule_id) for each document that a rule (id, term, scope, mode) hits.
-
-    Rules are few and given by a moderator: each is a column of one projection, so there is one scan and no
-    nested-loop join.
-    """
-    fields = {"name": ["name"], "files": ["body"], "all": ["name", "body"]}
-    flags = [F.when(reduce(lambda a, b: a | b, (hits(F.col(c), term, mode) for c in fields[scope])), F.lit(rule)) for rule, term, scope, mode in rules]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*flags))).alias("rule_id"))
-
-
 def policy(threshold: int, mask: int) -> Column:
     """Hidden by score: an override to hide, or done with a score and category of the policy; an override to allow wins."""
     by_score = F.col("done") & (F.col("score") >= threshold) & (F.col("cats").bitwiseAND(mask) != 0)
