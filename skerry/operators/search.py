@@ -94,6 +94,12 @@ def categories_of(asked: DataFrame, column: str = "value") -> DataFrame:
     return asked.select(F.col(column).alias("value"), resolve_category(F.col(column)).alias("category"))
 
 
+def marked_terms(words: Column, phrases: Column, prefix: Column) -> Column:
+    """terms_of() of searches that stand in columns: arrays of words and of phrases, and the start of a word or null."""
+    inside = F.flatten(F.transform(phrases, tokens))
+    return F.array_distinct(F.array_compact(F.concat(words, inside, F.array(prefix))))
+
+
 def terms_of(search: Search) -> list[str]:
     """The words to mark in results: all that must match, those of phrases too, each once, in the order asked."""
     found = []
@@ -217,11 +223,30 @@ def related(index: DataFrame, visible: DataFrame, doc_id: int, n_docs: int, n: i
     return scored.join(visible, "doc_id").orderBy(F.col("score").desc(), F.col("seeders").desc(), "doc_id").limit(n).select("doc_id", "score")
 
 
-def did_you_mean(index: DataFrame, visible: DataFrame, words: list[str]) -> DataFrame:
+#: Letters and digits, each a place of a term's signature.
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def term_dictionary(index: DataFrame) -> DataFrame:
+    """Terms of the index as a table of their own: (token, first, size, letters, df, df_name), sorted when written by first letter and length.
+
+    letters counts each letter and digit of the term; df is how many documents have it in any field, df_name in the name (0: none).
+    """
+    both = index.groupBy("token", "doc_id").agg(F.bool_or(F.col("field") == "n").alias("in_name")).groupBy("token")
+    rows = both.agg(F.count("*").alias("df"), F.count_if("in_name").alias("df_name"))
+    letters = F.array(*(F.char_length("token") - F.char_length(F.replace("token", F.lit(c), F.lit(""))) for c in ALPHABET))
+    return rows.select("token", F.left("token", F.lit(1)).alias("first"), F.char_length("token").alias("size"), letters.cast("array<tinyint>").alias("letters"), "df", "df_name")
+
+
+def did_you_mean(index: DataFrame, visible: DataFrame, words: list[str], dictionary: DataFrame | None = None) -> DataFrame:
     """(word, suggestion) for each word of four letters or more that starts no word of any document.
 
     Of the name words of like first letter and length the three closest are taken; of those that a visible
-    document has, the most frequent one is suggested.
+    document has, the most frequent one is suggested. dictionary: term_dictionary() of the index, if it is stored.
+
+    Terms come from the dictionary: of like first letter, at most two letters longer or shorter, and with so many letters in
+    common, whatever their order, as a ratio of 0.75 needs. Only for these is the ratio computed, and postings are read
+    only of the few closest.
     """
 
     @F.pandas_udf("double")
@@ -229,16 +254,19 @@ def did_you_mean(index: DataFrame, visible: DataFrame, words: list[str]) -> Data
         return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)])
 
     asked = [w for w in dict.fromkeys(words) if len(w) >= 4 and not w.isdigit()]
-    spark = index.sparkSession
-    wanted = spark.createDataFrame([(w, w[0], w[:4], len(w)) for w in asked], "word string, first string, four string, n int")
-    start = index.withColumn("four", F.left("token", F.lit(4))).join(F.broadcast(wanted), "four")  # the query's words
-    known = start.filter(F.col("token").startswith(F.col("word"))).select("word").distinct()
-    names = index.filter(F.col("field") == "n")
-    close = names.withColumn("first", F.left("token", F.lit(1))).join(F.broadcast(wanted), "first").filter(F.abs(F.char_length("token") - F.col("n")) <= 2)
-    close = close.join(known, "word", "left_anti").groupBy("word", "token").agg(F.count("*").alias("df"))
+    spark, terms = index.sparkSession, term_dictionary(index) if dictionary is None else dictionary
+    rows = [(w, w[0], len(w), [w.count(c) for c in ALPHABET]) for w in asked]
+    wanted = spark.createDataFrame(rows, "word string, initial string, n int, own array<int>")  # the query's words
+    started = reduce(lambda a, b: a | b, (F.col("token").startswith(w) for w in asked), F.lit(False))
+    known = terms.filter(started & F.col("first").isin([w[0] for w in asked])).select("token").join(F.broadcast(wanted), F.col("token").startswith(F.col("word"))).select("word").distinct()
+    like = terms.filter((F.col("df_name") > 0) & F.col("first").isin([w[0] for w in asked])).join(F.broadcast(wanted), F.col("first") == F.col("initial"))
+    shared = F.aggregate(F.zip_with("letters", "own", lambda a, b: F.least(a, b)), F.lit(0), lambda n, x: n + x)
+    like = like.filter((F.abs(F.col("size") - F.col("n")) <= 2) & (2 * shared >= 0.75 * (F.col("size") + F.col("n"))))
+    close = like.join(known, "word", "left_anti").select("word", "token", F.col("df_name").alias("df")).withColumn("r", ratio("word", "token")).filter("r >= 0.75")
     order = Window.partitionBy("word").orderBy(F.col("r").desc(), F.col("token").desc())
-    three = close.withColumn("r", ratio("word", "token")).filter("r >= 0.75").withColumn("k", F.row_number().over(order)).filter("k <= 3")
-    seen = names.join(F.broadcast(three.select("token").distinct()), "token", "left_semi").join(visible.select("doc_id"), "doc_id", "left_semi").select("token").distinct()
+    three = close.withColumn("k", F.row_number().over(order)).filter("k <= 3")
+    names = index.filter(F.col("field") == "n")
+    seen = names.join(F.broadcast(three.select("token").distinct()), "token", "left_semi").join(visible.select("doc_id"), "doc_id", "left_semi").select("token").distinct()  # three for each word
     return three.join(seen, "token", "left_semi").groupBy("word").agg(F.max_by("token", F.struct("df", "r", "token")).alias("suggestion"))
 
 

@@ -150,34 +150,35 @@ def link_targets(spark, sf_dir):
     return found.select("n_nationkey", "t.ih", F.array_join("t.trackers", ",").alias("trackers"))
 
 
-#: Answers of four layouts, with what they come to: alternatives, text and score.
-ANSWERS = [
-    ("chat", '{"choices":[{"message":{"content":"unsafe"},"logprobs":{"content":[{"token":"unsafe","logprob":-0.1,"top_logprobs":[{"token":"unsafe","logprob":-0.5},{"token":"safe","logprob":-1.5}]}]}}]}'),
-    ("older", '{"choices":[{"text":"safe","logprobs":{"top_logprobs":[{"safe":-0.2,"contr":-2.0}]}}]}'),
-    ("native", '{"response":"Safe","logprobs":[{"token":"Safe","logprob":-0.05}]}'),
-    ("probs", '{"content":"uns","completion_probabilities":[{"probs":[{"tok_str":"uns","prob":0.8},{"tok_str":"x","prob":0.2}]}]}'),
-    ("label only", '{"response":"controversial"}'),
-    ("little mass", '{"response":"unsafe","logprobs":[{"token":"zzz","logprob":-0.1,"top_logprobs":[{"token":"zzz","logprob":-0.1},{"token":"safe","logprob":-3.0}]}]}'),
-    ("broken", "{not json"),
-]
-EXPECTED = [
-    ("chat", "unsafe:-0.5,safe:-1.5", "unsafe", "exp(-0.5) / (exp(-0.5) + exp(-1.5))"),
-    ("older", "safe:-0.2,contr:-2.0", "safe", "0.5 * exp(-2.0) / (exp(-0.2) + exp(-2.0))"),
-    ("native", "Safe:-0.05", "safe", "0.0"),
-    ("probs", "uns:-0.2231,x:-1.6094", "unsafe", "1.0"),
-    ("label only", "", "controversial", "0.5"),
-    ("little mass", "zzz:-0.1,safe:-3.0", "unsafe", "1.0"),
-    ("broken", "", "-", "-1.0"),
+#: Layouts of a model's answer, with log probabilities A and B in the places of those letters.
+LAYOUTS = [
+    '{"choices":[{"message":{"content":"unsafe"},"logprobs":{"content":[{"token":"unsafe","logprob":-0.1,"top_logprobs":[{"token":"unsafe","logprob":A},{"token":"safe","logprob":B}]}]}}]}',
+    '{"choices":[{"text":"safe","logprobs":{"top_logprobs":[{"safe":A,"contr":B}]}}]}',
+    '{"response":"Safe","logprobs":[{"token":"Safe","logprob":A}]}',
+    '{"content":"uns","completion_probabilities":[{"probs":[{"tok_str":"uns","prob":0.8},{"tok_str":"x","prob":0.2}]}]}',
+    '{"response":"controversial"}',
+    '{"response":"unsafe","logprobs":[{"token":"zzz","logprob":-0.1,"top_logprobs":[{"token":"zzz","logprob":-0.1},{"token":"safe","logprob":-3.0}]}]}',
+    "{not json",
 ]
 
 
-@query("SELECT layout, alternatives, label, round(score, 6) AS score FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', CAST({d} AS DOUBLE))" for a, b, c, d in EXPECTED) + ") AS v(layout, alternatives, label, score)")
+@query(
+    """WITH k AS (SELECT doc_id, doc_id % 7 AS layout, -(1 + doc_id % 5) / 10.0 AS a, CAST(-(1 + doc_id % 3) AS DOUBLE) AS b FROM documents), v AS (SELECT *, CAST(CAST(a AS DOUBLE) AS VARCHAR) AS sa, CAST(b AS VARCHAR) AS sb FROM k)
+SELECT doc_id, CASE layout WHEN 0 THEN 'unsafe:' || sa || ',safe:' || sb WHEN 1 THEN 'safe:' || sa || ',contr:' || sb WHEN 2 THEN 'Safe:' || sa WHEN 3 THEN 'uns:-0.2231,x:-1.6094' WHEN 5 THEN 'zzz:-0.1,safe:-3.0' ELSE '' END AS alternatives,
+CASE layout WHEN 0 THEN 'unsafe' WHEN 1 THEN 'safe' WHEN 2 THEN 'safe' WHEN 3 THEN 'unsafe' WHEN 4 THEN 'controversial' WHEN 5 THEN 'unsafe' ELSE '-' END AS label,
+round(CASE layout WHEN 0 THEN exp(a) / (exp(a) + exp(b)) WHEN 1 THEN 0.5 * exp(b) / (exp(a) + exp(b)) WHEN 2 THEN 0.0 WHEN 4 THEN 0.5 WHEN 6 THEN -1.0 ELSE 1.0 END, 6) AS score FROM v"""
+)
 def model_answers(spark, sf_dir):
-    """First-token alternatives, label and score of model answers in each layout; the label decides where the alternatives carry too little mass."""
-    rows = spark.createDataFrame(ANSWERS, "layout string, answer string").withColumn("a", X.alternatives(F.col("answer"))).withColumn("label", X.verdict_of(F.split(F.btrim(X.answer_text(F.col("answer"))), r"\s+")[0]))
+    """First-token alternatives, label and score of a model's answer to each document, in every layout; the label decides where the alternatives carry too little mass."""
+    i = F.col("doc_id")
+    layout = F.get(F.array(*map(F.lit, LAYOUTS)), (i % len(LAYOUTS)).cast("int"))
+    number = lambda c: c.cast("double").cast("string")
+    answer = F.replace(F.replace(layout, F.lit(":A"), F.concat(F.lit(":"), number(-(1 + i % 5) / 10))), F.lit(":B"), F.concat(F.lit(":"), number(-(1 + i % 3))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"))
+    rows = rows.withColumn("a", X.alternatives(F.col("answer"))).withColumn("label", X.verdict_of(F.split(F.btrim(X.answer_text(F.col("answer"))), r"\s+")[0]))
     listed = F.array_join(F.transform("a", lambda x: F.concat_ws(":", x.token, F.round(x.logprob, 4))), ",")
     score = N.score_of_answers(F.coalesce("a", F.array().cast("array<struct<token:string,logprob:double>>")), F.col("label"))
-    return rows.select("layout", F.coalesce(listed, F.lit("")).alias("alternatives"), F.coalesce("label", F.lit("-")).alias("label"), F.round(F.coalesce(score, F.lit(-1.0)), 6).alias("score"))
+    return rows.select("doc_id", F.coalesce(listed, F.lit("")).alias("alternatives"), F.coalesce("label", F.lit("-")).alias("label"), F.round(F.coalesce(score, F.lit(-1.0)), 6).alias("score"))
 
 
 @query("SELECT p_partkey, lower('20010DB8' || lpad('', 16, '0') || lpad(to_hex(p_partkey), 8, '0')) AS packed, CASE WHEN p_partkey = 0 THEN '2001:db8::' WHEN p_partkey < 65536 THEN '2001:db8::' || lower(to_hex(p_partkey)) ELSE '2001:db8::' || lower(to_hex(p_partkey // 65536)) || ':' || lower(to_hex(p_partkey % 65536)) END AS short, lower('00000000000000000000FFFFC6120000'[1 : 28]) || lpad(lower(to_hex(p_partkey % 65536)), 4, '0') AS packed4 FROM part")

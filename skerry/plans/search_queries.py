@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.functions.text import bucket, ext_of, host_of, index_tokens, padded, tokens
+from skerry.functions.text import bucket, ext_of, host_of, index_tokens, padded, resolve_category, tokens
 from skerry.operators import records as R
 from skerry.operators import search as S
 from skerry.plans.register import Register
@@ -20,7 +20,14 @@ STATE_SQL = "CASE WHEN src = 'none' THEN 'unknown' WHEN seeders > 0 THEN 'alive'
 SIZE_SQL = "CASE WHEN size < 500 THEN '<500' WHEN size < 1000 THEN '<1000' WHEN size < 2000 THEN '<2000' WHEN size < 5000 THEN '<5000' WHEN size < 20000 THEN '<20000' ELSE 'more' END"
 
 
+#: Postings of both fields: tokens without single letters, and runs of three digits or more of mixed ones.
+POSTED = """every AS (SELECT DISTINCT doc_id, 'n' AS field, unnest(nt) AS token FROM toks UNION ALL SELECT DISTINCT doc_id, 'f', unnest(ft) FROM toks),
+posted AS (SELECT doc_id, field, token FROM every WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')
+  UNION SELECT doc_id, field, unnest(regexp_extract_all(token, '[0-9]{3,}')) FROM every WHERE regexp_matches(token, '[a-z]'))"""
+
+
 _indexes: dict[tuple[str, str], str] = {}
+_dictionaries: set[str] = set()
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +40,15 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_indexes[key])
 
 
+def stored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the stored index, written once beside it."""
+    path = f"{stored(spark, sf_dir).inputFiles()[0].rpartition('/')[0]}-terms"
+    if path not in _dictionaries:
+        S.term_dictionary(stored(spark, sf_dir)).sort("first", "size", "token").write.parquet(path)
+        _dictionaries.add(path)
+    return spark.read.parquet(path)
+
+
 def found(spark: SparkSession, sf_dir: str, search: S.Search) -> DataFrame:
     return S.run(docs(spark, sf_dir), stored(spark, sf_dir), search, NOW).select("doc_id")
 
@@ -151,11 +167,12 @@ def search_page_count(spark, sf_dir):
     return total.select("total", S.page_count(F.col("total")).alias("pages"))
 
 
-@query("SELECT * FROM (VALUES (0, 'blue'), (1, 'moon'), (2, 'over'), (3, 'the'), (4, 'ri')) AS v(place, term)")
+@query(f"WITH {DOCS}, t AS (SELECT doc_id, nt[1 : 2] || nt[4 : 6] || nt[3 : 3] AS w FROM toks) SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS terms FROM t")
 def search_terms(spark, sf_dir):
-    """The words that results mark, of all alternatives."""
-    terms = S.terms_of(S.Search([S.Group(words=["blue", "moon"], not_words=["red"], phrases=["over the moon"]), S.Group(words=["moon"], prefix="ri")]))
-    return spark.createDataFrame(list(enumerate(terms)), "place int, term string")
+    """The words that results mark, if each name is asked as two words, a phrase of three and the start of another."""
+    w = tokens(F.col("name"))
+    terms = S.marked_terms(F.slice(w, 1, 2), F.array(F.array_join(F.slice(w, 4, 3), "-")), F.get(w, 2))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(terms, " ").alias("terms"))
 
 
 @query(
@@ -171,10 +188,21 @@ def search_size_ranges(spark, sf_dir):
     return wide.unpivot([], list(S.SIZE_RANGES), "label", "n")
 
 
-@query("SELECT * FROM (VALUES ('Vídeo', 'Video'), ('pelicula', 'Video'), ('MUSIC', 'Audio'), (' docs ', 'Documents'), ('Comprimidos', 'Archives'), ('otros', 'Other'), ('nothing', '-'), ('Imágenes', 'Images'), ('iso', 'Software')) AS v(value, category)")
+#: Names that users ask for categories by, and the categories.
+ASKED = {"Vídeo": "Video", "pelicula": "Video", "MUSIC": "Audio", " docs ": "Documents", "Comprimidos": "Archives", "otros": "Other", "Imágenes": "Images", "iso": "Software"}
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, {list(ASKED)!r}[1 + page_id % 8] AS name, {list(ASKED.values())!r}[1 + page_id % 8] AS category FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN host WHEN page_id % 3 = 0 THEN upper(name) ELSE name END AS value, CASE WHEN page_id % 5 = 0 THEN '-' ELSE category END AS category FROM a"""
+)
 def category_names(spark, sf_dir):
-    asked = spark.createDataFrame([(x,) for x in ("Vídeo", "pelicula", "MUSIC", " docs ", "Comprimidos", "otros", "nothing", "Imágenes", "iso")], "value string")
-    return S.categories_of(asked).withColumn("category", F.coalesce("category", F.lit("-")))
+    """What pages are filed under, as users write it, as categories; a host is none."""
+    i = F.col("page_id")
+    name = F.get(F.array(*map(F.lit, ASKED)), (i % len(ASKED)).cast("int"))
+    value = F.when(i % 5 == 0, F.regexp_extract("url", "://([^/?#]*)", 1)).when(i % 3 == 0, F.upper(name)).otherwise(name)
+    asked = table(spark, sf_dir, "pages").select("page_id", value.alias("value"))
+    return asked.select("page_id", "value", F.coalesce(resolve_category(F.col("value")), F.lit("-")).alias("category"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, array_to_string(nt, ' ') AS sort_name FROM toks WHERE NOT deleted AND NOT hidden ORDER BY sort_name, doc_id LIMIT 20")
@@ -218,7 +246,14 @@ MISSPELT = ["wiht", "thatt", "therre", "fromm", "haave", "andd", "whithout", "th
 @query()
 def search_did_you_mean(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return S.did_you_mean(stored(spark, sf_dir), d.filter("not deleted and not hidden"), MISSPELT)
+    return S.did_you_mean(stored(spark, sf_dir), d.filter("not deleted and not hidden"), MISSPELT, stored_terms(spark, sf_dir))
+
+
+@query(f"WITH {DOCS}, {POSTED}, d AS (SELECT token, count(DISTINCT doc_id) AS df, count(*) FILTER (field = 'n') AS df_name FROM posted GROUP BY token) SELECT token, df, df_name, array_to_string(list_sort(string_split(token, '')), '') AS letters FROM d")
+def index_terms(spark, sf_dir):
+    """The dictionary of terms: in how many documents, in how many names, and the letters of each."""
+    letters = F.array_join(F.transform("letters", lambda n, i: F.repeat(F.substr(F.lit(S.ALPHABET), i + 1, F.lit(1)), n.cast("int"))), "")
+    return stored_terms(spark, sf_dir).select("token", "df", "df_name", letters.alias("letters"))
 
 
 @query(
@@ -235,12 +270,6 @@ def search_highlight(spark, sf_dir):
     return s.select("doc_id", F.array_join(marks, ",").alias("marks")).filter("marks <> ''")
 
 
-#: Postings of both fields: tokens without single letters, and runs of three digits or more of mixed ones.
-POSTED = """every AS (SELECT DISTINCT doc_id, 'n' AS field, unnest(nt) AS token FROM toks UNION ALL SELECT DISTINCT doc_id, 'f', unnest(ft) FROM toks),
-posted AS (SELECT doc_id, field, token FROM every WHERE length(token) > 1 OR regexp_matches(token, '[0-9]')
-  UNION SELECT doc_id, field, unnest(regexp_extract_all(token, '[0-9]{3,}')) FROM every WHERE regexp_matches(token, '[a-z]'))"""
-
-
 @query(f"WITH {DOCS}, {POSTED} SELECT field, token, count(*) AS df FROM posted GROUP BY field, token")
 def index_document_frequency(spark, sf_dir):
     return S.frequencies(stored(spark, sf_dir))

@@ -247,13 +247,22 @@ def rule_details(spark, sf_dir):
     return spans.select("doc_id", "path", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'first', 'all', 'word', true, ''), ('c', 'lo[sz]er', 'files', 'regex', false, 'off'), ('d', 'ein', 'name', 'substring', true, '')) AS v(id, term, scope, mode, enabled, note)")
+@query(
+    """WITH t AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS term, CASE WHEN p_partkey % 2 = 0 THEN 'name' ELSE 'all' END AS scope FROM part),
+first AS (SELECT term, scope, min(k) AS k FROM t GROUP BY term, scope), kept AS (SELECT * FROM first ORDER BY k LIMIT 500)
+SELECT 'r' || k AS id, term, scope, 'word' AS mode, k % 3 <> 0 AS enabled, CASE WHEN k % 3 = 0 THEN 'off' ELSE '' END AS note FROM kept WHERE k % 7 <> 0"""
+)
 def rule_book(spark, sf_dir):
-    """Rules after additions (of which two are refused), a change and a deletion."""
+    """Rules for the first words of part names, in the parts' order: repeated ones and those beyond the limit are refused; then every third is switched off and every seventh deleted."""
+    k = F.col("p_partkey")
+    first = table(spark, sf_dir, "part").groupBy(F.split("p_name", " ")[0].alias("term"), F.when(k % 2 == 0, "name").otherwise("all").alias("scope")).agg(F.min("p_partkey").alias("k"))
     rules: list[M.Rule] = []
-    for r in [M.Rule("a", " first "), M.Rule("b", "second", "name"), M.Rule("x", "first"), M.Rule("y", "(a+)+b", "all", "regex"), M.Rule("c", "lo[sz]er", "files", "regex"), M.Rule("d", "ein", "name", "substring")]:
-        rules, _ = M.add_rule(rules, r)
-    rules = M.delete_rule(M.update_rule(rules, "c", enabled=False, note="off"), "b")
+    for r in first.orderBy("k").limit(2 * M.MOST_RULES).collect():
+        for rule in (M.Rule(f"r{r.k}", f" {r.term} ", r.scope), M.Rule(f"again{r.k}", r.term, r.scope)):
+            rules, _ = M.add_rule(rules, rule)
+    for r in list(rules):
+        number = int(r.id[1:])
+        rules = M.delete_rule(rules, r.id) if number % 7 == 0 else M.update_rule(rules, r.id, enabled=False, note="off") if number % 3 == 0 else rules
     return spark.createDataFrame([(r.id, r.term, r.scope, r.mode, r.enabled, r.note) for r in rules], "id string, term string, scope string, mode string, enabled boolean, note string")
 
 

@@ -527,11 +527,21 @@ def number_functions(spark, sf_dir):
     return d.select("doc_id", N.score(-1.0 - F.col("doc_id") % 3, F.lit(-2.0), F.lit(-0.5)).alias("score"), N.pieces(F.col("size"), F.col("file_count")).alias("pieces"), N.clamp(F.col("size"), 100, 5000).alias("clamped"))
 
 
-@query("WITH v(text, size_value, age_value) AS (VALUES ('1gb', 1073741824, NULL), ('1,5 kb', 1536, NULL), ('24h', NULL, 86400), ('7d', NULL, 604800), ('12', 12, 12), ('x', NULL, NULL)) SELECT text, CAST(coalesce(size_value, -1) AS BIGINT) AS size_value, CAST(coalesce(age_value, -1) AS BIGINT) AS age_value FROM v")
+UNITS = ["gb", " KB", "h", "d", "", " parsecs", "m", "tb"]
+
+
+@query(
+    f"""WITH u AS (SELECT p_partkey, p_size, {UNITS!r}[1 + p_partkey % 8] AS unit, CASE WHEN p_partkey % 3 = 0 THEN ',5' WHEN p_partkey % 3 = 1 THEN '.25' ELSE '' END AS part FROM part),
+v AS (SELECT p_partkey, p_size || part || unit AS text, lower(trim(unit)) AS unit, CAST(p_size || replace(part, ',', '.') AS DOUBLE) AS x FROM u)
+SELECT p_partkey, text, CAST(coalesce(trunc(x * CASE unit WHEN 'gb' THEN 1073741824 WHEN 'kb' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'tb' THEN 1099511627776 WHEN '' THEN 1 END), -1) AS BIGINT) AS size_value,
+CAST(coalesce(trunc(x * CASE unit WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 WHEN 'm' THEN 60 WHEN '' THEN 1 END), -1) AS BIGINT) AS age_value FROM v"""
+)
 def unit_literals(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("1gb", "1,5 kb", "24h", "7d", "12", "x")], "text string")
+    """Sizes of parts as users write numbers with units: as sizes and as ages, -1 where the unit isn't one."""
+    k = F.col("p_partkey")
+    text = F.concat(F.col("p_size"), F.when(k % 3 == 0, ",5").when(k % 3 == 1, ".25").otherwise(""), F.get(F.array(*map(F.lit, UNITS)), (k % 8).cast("int")))
     value = lambda units, default: F.coalesce(N.literal(F.col("text"), units, default), F.lit(-1))
-    return rows.select("text", value(N.SIZE_UNITS, "b").alias("size_value"), value(N.AGE_UNITS, "s").alias("age_value"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).select("p_partkey", "text", value(N.SIZE_UNITS, "b").alias("size_value"), value(N.AGE_UNITS, "s").alias("age_value"))
 
 
 @query(f"WITH {OBSERVATIONS} SELECT DISTINCT ip, (ip // 16777216) || '.' || (ip // 65536 % 256) || '.' || (ip // 256 % 256) || '.' || (ip % 256) AS address, false AS is_global FROM obs")
