@@ -88,6 +88,8 @@ def rule_hits(docs: DataFrame, rules: list[tuple[str, str, str, str]], id_col: s
     A null field fits no rule. Folding is done by Spark; the automaton is built once in each worker.
     """
     fixed: Rules = tuple(tuple(r) for r in rules)
+    if not fixed:
+        return docs.sparkSession.createDataFrame([], HITS)
     asked = [(f, c) for f, c in (("name", name), ("files", files)) if any(f in SCOPES[r[2]] for r in fixed)]
     raw = any(r[3] == "regex" for r in fixed)
     columns = [F.col(id_col).cast("long").alias("doc_id")]

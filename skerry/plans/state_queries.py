@@ -8,12 +8,16 @@ from skerry.functions import numbers as N
 from skerry.functions.text import label_of, padded, tokens
 from skerry.operators import discovery as D
 from skerry.operators import health as H
+from skerry.operators import incremental as I
 from skerry.operators import moderation as M
 from skerry.operators import observations as O
 from skerry.operators import records as R
+from skerry.operators import search as S
 from skerry.operators import series as T
 from skerry.plans.register import Register
+from skerry.plans.search_queries import stored
 from skerry.plans.views import DOCS, FILE_ORDER, FILES, MEASUREMENTS, MEDIA, METRICS, NOW, OBSERVATIONS, RECORDS, docs, items, measurements, media_files, metrics, observations, records, table
+from skerry.sources.files import work_folder
 
 query = Register()
 
@@ -196,15 +200,34 @@ def scheduler_statistics(spark, sf_dir):
     return D.queue_success(picks, 400).select("queue", *(F.round(c, 9).alias(c) for c in ("ok", "n", "mean")))
 
 
-@query(f"WITH {DOCS}, c AS (SELECT doc_id FROM toks WHERE list_contains(ft, 'in') AND list_contains(ft, 'the')) SELECT doc_id, 'in the' AS term FROM toks WHERE doc_id IN (SELECT doc_id FROM c) AND contains(' ' || array_to_string(ft, ' ') || ' ', ' in the ') AND doc_id >= 100")
+@query(f"WITH {DOCS}, c AS (SELECT doc_id FROM toks WHERE list_contains(ft, 'in') AND list_contains(ft, 'the')) SELECT doc_id, 'in the' AS term FROM toks WHERE doc_id IN (SELECT doc_id FROM c) AND contains(' ' || array_to_string(ft, ' ') || ' ', ' in the ')")
 def rule_candidates_then_scan(spark, sf_dir):
-    """A word rule first asks the index, then the texts of its candidates; only documents after the watermark."""
-    from skerry.operators import search as S
+    """A word rule first asks the index, then the texts of its candidates."""
+    candidates = S.matching(docs(spark, sf_dir), stored(spark, sf_dir), S.Group(words=["in", "the"], scope="f"))
+    hit = M.rule_hits(docs(spark, sf_dir).join(candidates, "doc_id", "left_semi"), [("in the", "in the", "files", "word")])
+    return hit.select("doc_id", F.col("rule_id").alias("term"))
 
-    d = docs(spark, sf_dir).filter("doc_id >= 100")
-    index = S.postings(d).filter(F.col("token").isin("in", "the"))
-    hit = S.matching(d, index, S.Group(words=["in", "the"], phrases=["in the"], scope="f"))
-    return hit.select("doc_id", F.lit("in the").alias("term"))
+
+#: Rules of three runs: one goes, one comes, and one comes back under another id.
+RULE_RUNS = [
+    [("a", "in the", "files", "word"), ("b", "ein", "name", "substring"), ("c", "und", "all", "word")],
+    [("a", "in the", "files", "word"), ("c", "und", "all", "word")],
+    [("a", "in the", "files", "word"), ("b2", "ein", "name", "substring"), ("d", "que", "name", "word")],
+]
+
+
+@query(
+    f"""WITH {DOCS}, t AS (SELECT *, ' ' || array_to_string(nt, ' ') || ' ' AS nw, ' ' || array_to_string(ft, ' ') || ' ' AS fw FROM toks WHERE doc_id % 11 <> 3),
+r AS (SELECT doc_id, 'a' AS rule_id FROM t WHERE contains(fw, ' in the ') UNION ALL SELECT doc_id, 'b2' FROM t WHERE contains(lower(strip_accents(name)), 'ein') UNION ALL SELECT doc_id, 'd' FROM t WHERE contains(nw, ' que ')) SELECT * FROM r"""
+)
+def hidden_kept_up(spark, sf_dir):
+    """Hits of rules after three runs over a growing catalogue whose rules change and of which documents go; the second batch runs twice."""
+    d, path = docs(spark, sf_dir), work_folder(spark, "hidden")
+    top = d.agg(F.max("doc_id")).first()[0] or 0
+    for batch, share in ((0, 3), (1, 2), (1, 2), (2, 1)):
+        gone = d.filter(f"doc_id % 11 = 3 and doc_id % 3 = {batch}")
+        I.hide_more(d.filter(F.col("doc_id") <= top // share), RULE_RUNS[batch], path, batch, gone)
+    return I.hits_of_rules(spark, path, RULE_RUNS[-1])
 
 
 @query(f"WITH {FILES}, h AS (SELECT doc_id, pos FROM files WHERE contains(' ' || array_to_string(regexp_extract_all(lower(path), '[a-z0-9]+'), ' ') || ' ', ' small ring ')) SELECT doc_id, array_to_string(list_sort(list(pos))[1 : 8], ',') AS places FROM h GROUP BY doc_id")
