@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.plans.register import Register
+from skerry.plans.views import OBSERVATIONS, observed
 from skerry.sources.files import work_folder
-from skerry.streaming import rollup
+from skerry.streaming import peers, queues, rollup
 
 query = Register()
 
@@ -29,6 +30,42 @@ def stream_roll_up(spark, sf_dir):
     return rollup.latest_of(rollup.drained(rollup.roll_up(points, "1 hour", "30 days"), work_folder(spark, "roll-up")), "start")
 
 
+TENTHS = f"CAST(floor({MEAN10}) + CASE WHEN {MEAN10} - floor({MEAN10}) > 0.5 OR ({MEAN10} - floor({MEAN10}) = 0.5 AND floor({MEAN10}) % 2 <> 0) THEN 1 ELSE 0 END AS DOUBLE) / 10"
+
+
+@query(
+    "WITH closed AS (SELECT max(epoch(ts)) - 3600 AS until FROM events), b AS ("
+    + " UNION ALL ".join(f"SELECT '{tier}' AS tier, CAST(floor(epoch(ts) / {s}) * {s} AS BIGINT) AS start, {s} AS step, {TENTHS} AS gauge, arg_max(event_id, (ts, event_id)) AS counter, count(*) AS n FROM events GROUP BY 2" for tier, s in (("m5", 300), ("h1", 3600)))
+    + ") SELECT tier, start, gauge, counter, n FROM b, closed WHERE start + step <= until"
+)
+def stream_tiers(spark, sf_dir):
+    """Both tiers of one stream, as far as their buckets are closed when the stream has come to its end."""
+    points = events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("gauge"), F.col("event_id").alias("counter"))
+    return rollup.drained(rollup.tiers(points), work_folder(spark, "tiers"), "append").drop("batch")
+
+
+@query(
+    f"""WITH {OBSERVATIONS}, b AS (SELECT ih, ip, max(role) AS role, coalesce(arg_max(port, (ts, port)) FILTER (src = 'c' AND port > 0), arg_min(port, (ts, port))) AS port,
+coalesce(arg_max(client, (ts, client)) FILTER (client <> ''), '') AS client, bit_or(CASE src WHEN 'c' THEN 1 WHEN 'd' THEN 2 ELSE 4 END) AS src, min(ts) AS first, max(ts) AS last FROM obs GROUP BY ih, ip)
+SELECT ih, ip, role, port, client, src, first, last FROM b WHERE src <> 2 OR role <> -1"""
+)
+def stream_peers(spark, sf_dir):
+    """Merged addresses at the end of a stream of observations."""
+    lines = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema).parquet(f"{sf_dir}/lineite[m].parquet")
+    found = peers.peers(observed(lines), keep_s=100 * 365 * 86_400)
+    return peers.current(rollup.drained(found, work_folder(spark, "peers"))).select("ih", "ip", "role", "port", "client", "src", "first", "last")
+
+
+@query()
+def stream_queues(spark, sf_dir):
+    """What is taken from bounded queues, and what they forget, over the events of eight nodes."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    event = F.when(kind.isin("click", "purchase"), "take").when(kind == "error", "done").otherwise("put")
+    queue = F.get(F.array(*map(F.lit, queues.QUEUES)), (k % 4).cast("int"))
+    e = events(spark, sf_dir).select((F.col("user_id") % 8).alias("node"), k.alias("seq"), event.alias("event"), queue.alias("queue"), (k * 7919 % 400).alias("ih"))
+    return rollup.drained(queues.queues(e, 20), work_folder(spark, "queues")).drop("batch")
+
+
 @query()
 def stream_discovery(spark, sf_dir):
     """State of each key at the end of the stream."""

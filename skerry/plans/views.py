@@ -116,7 +116,11 @@ METRICS = "metrics AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN e
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peer observations, with addresses of the block for benchmarks."""
-    line = table(spark, sf_dir, "lineitem")
+    return observed(table(spark, sf_dir, "lineitem"))
+
+
+def observed(line: DataFrame) -> DataFrame:
+    """Lines of orders as observations; a table or a stream."""
     return line.select(
         F.col("l_orderkey").alias("ih"),
         (F.lit(3_323_068_416).cast("long") + F.col("l_suppkey")).alias("ip"),

@@ -27,6 +27,21 @@ def roll_up(points: DataFrame, width: str = "5 minutes", late: str = "1 hour") -
     return windows.agg(mean.alias("gauge"), last.alias("counter"), F.count("*").alias("n")).select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "gauge", "counter", "n")
 
 
+def tiers(points: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Closed buckets (tier, start, gauge, counter, n) of five minutes and of an hour, from one stream of (ts, event_id, gauge, counter).
+
+    Hours are summed from the sums of their five-minute buckets, not from points, and close by the same watermark; each
+    bucket comes once. Points later than the watermark are dropped, and counted by Spark in the progress of the query.
+    """
+    at = F.struct("ts", "event_id", "counter")
+    five = points.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes").alias("w")).agg(
+        F.sum("gauge").alias("sum"), F.count("*").alias("n"), F.max(F.when(F.col("counter").isNotNull(), at)).alias("last")
+    )
+    hour = five.groupBy(F.window(F.window_time("w"), "1 hour").alias("w")).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.max("last").alias("last"))
+    shown = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), to_tenths(F.col("sum") / F.col("n")).alias("gauge"), F.col("last.counter").alias("counter"), "n")
+    return shown(five, "m5").unionByName(shown(hour, "h1"))
+
+
 def step(state: dict | None, kind: str, ts: int, revive_after: int = 0) -> dict:
     """One event of a key: seen, announce (by somebody who has it), peer (with an address), probe, fail or ok.
 
@@ -110,10 +125,15 @@ def first_seen(events: DataFrame, late: str = "6 hours") -> DataFrame:
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
-    """Run a stream over all that is there, and return what its micro-batches put out, with the number of each as batch.
+    """Run a stream over all that is there, and return what its micro-batches have put out so far, with the number of each as batch.
 
-    Batches are written to a folder that executors and driver share; nothing passes through the driver.
+    Batches are written to a folder that executors and driver share; nothing passes through the driver. The same folder goes on from the same state.
     """
+    return drained_with_late(stream, folder, mode)[0]
+
+
+def drained_with_late(stream: DataFrame, folder: str, mode: str = "update") -> tuple[DataFrame, int]:
+    """drained(), and how many rows this run dropped because they were later than the watermark (of partial sums, where there are such)."""
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
 
     def write(rows: DataFrame, number: int) -> None:
@@ -121,7 +141,8 @@ def drained(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
 
     run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    late = sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows"), late
 
 
 def latest_of(rows: DataFrame, *keys: str) -> DataFrame:
