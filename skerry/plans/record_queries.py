@@ -150,6 +150,29 @@ def link_targets(spark, sf_dir):
     return found.select("n_nationkey", "t.ih", F.array_join("t.trackers", ",").alias("trackers"))
 
 
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE octet_length(encode(coalesce(text, ''))) END AS size, source FROM documents)
+SELECT doc_id, lang, CAST(size AS BIGINT) AS size, CASE WHEN size IS NULL THEN NULL ELSE 1 + doc_id % 3 END AS n_pieces,
+       CASE WHEN size IS NULL THEN CAST(octet_length(encode('d4:lang' || octet_length(encode(source)) || ':' || source)) AS BIGINT) END AS bad_at, size IS NOT NULL AS comes_back FROM d"""
+)
+def bencoded_documents(spark, sf_dir):
+    """Documents as bencoded dictionaries, every tenth one cut off: fields of each by path, the place of what is wrong, and whether it comes back byte by byte."""
+    from skerry.functions import bencode as B
+
+    text = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    i, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    cut = F.concat(F.lit("d4:lang"), text(F.col("source")))
+    pieces = F.concat(F.lit("l"), F.array_join(F.transform(F.sequence(F.lit(0), (i % 3).cast("int")), lambda k: F.concat(F.lit("i"), k, F.lit("e"))), ""), F.lit("e"))
+    whole = F.concat(F.lit("d4:lang"), text(F.col("lang")), F.lit("6:pieces"), pieces, F.lit("4:text"), text(body), F.lit("e"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 10 == 9, cut).otherwise(whole).cast("binary").alias("b"))
+    rows = rows.withColumn("d", B.decoded("b")).withColumn("v", B.variant_of(F.col("d.json")))
+    field = lambda path, kind: F.try_variant_get("v", path, kind)
+    return rows.select(
+        "doc_id", field("$.lang", "string").alias("lang"), F.octet_length(field("$.text", "string")).cast("long").alias("size"), F.size(field("$.pieces", "array<bigint>")).cast("long").alias("n_pieces"), "d.bad_at",
+        F.coalesce(B.encoded("d.json") == F.col("b"), F.lit(False)).alias("comes_back"),
+    )
+
+
 #: Layouts of a model's answer, with log probabilities A and B in the places of those letters.
 LAYOUTS = [
     '{"choices":[{"message":{"content":"unsafe"},"logprobs":{"content":[{"token":"unsafe","logprob":-0.1,"top_logprobs":[{"token":"unsafe","logprob":A},{"token":"safe","logprob":B}]}]}}]}',
