@@ -8,7 +8,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.text import tokens
 from skerry.operators.rulematch import hit_counts, rule_hits  # noqa: F401
 
 
@@ -151,9 +150,3 @@ def counts(scores: DataFrame, threshold: int, mask: int) -> DataFrame:
         F.count_if(done).alias("analysed"), F.count_if(live & ~F.col("done")).alias("pending"), F.count_if(hidden).alias("hidden"),
         F.count_if(live & F.col("override").eqNullSafe("allow")).alias("allowed"), F.count_if(live & F.col("override").eqNullSafe("hide")).alias("manual"), *bins, *cats,
     )
-
-
-def classify(text: Column) -> Column:
-    """Deterministic stand-in for an external classifier: the share of marked words, 0-100. Any column expression can take its place."""
-    words = tokens(text)
-    return F.when(F.size(words) == 0, 0).otherwise(F.floor(100 * F.size(F.filter(words, lambda w: F.char_length(w) >= 9)) / F.size(words))).cast("long")

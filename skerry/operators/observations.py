@@ -13,6 +13,7 @@ from skerry.sources.files import stored_once
 KEY_ROWS, REGISTRY_NODES, KEPT_NODES = 300, 50_000, 100_000
 SRC_BIT = {"c": 1, "d": 2, "a": 4}
 UNKNOWN_ROLE = -1
+LEAST_WAIT_S, MOST_WAIT_S = 60, 6 * 3600
 
 
 def merge(obs: DataFrame) -> DataFrame:
@@ -149,6 +150,18 @@ def registry(obs: DataFrame, own: int, most: int = REGISTRY_NODES, everywhere: b
     return obs.filter(F.col("port").between(1, 65_535) & (F.col("ip") != own) & there).select("ip", "port").distinct().orderBy("ip", "port").limit(most)
 
 
+def next_due(replies: DataFrame) -> DataFrame:
+    """(ip, port, due) of nodes from their replies (ip, port, ts, interval): when each may be asked again, by its last reply.
+
+    A node says how many seconds it wants to be left alone, from LEAST_WAIT_S to MOST_WAIT_S; up to three tenths more, by a hash of its address, keep nodes
+    that answered together from falling due together.
+    """
+    last = replies.groupBy("ip", "port").agg(F.max("ts").alias("ts"), F.max_by("interval", F.struct("ts", "interval")).alias("interval"))
+    more = F.pmod(F.xxhash64("ip", "port"), F.lit(1000)) / 1000 * 0.3
+    wait = F.least(F.lit(MOST_WAIT_S), F.greatest(F.lit(LEAST_WAIT_S), F.coalesce("interval", F.lit(LEAST_WAIT_S))))
+    return last.select("ip", "port", (F.col("ts") + F.floor(wait * (1 + more))).cast("long").alias("due"), "ts", wait.cast("long").alias("wait"))
+
+
 def node_union(here: DataFrame, there: DataFrame, most: int = KEPT_NODES) -> DataFrame:
     """The ids of both, each once, the first `most`."""
     return here.union(there).distinct().orderBy(*here.columns).limit(most)

@@ -128,3 +128,17 @@ def import_plan(changes: DataFrame, here: DataFrame, patterns: list[str]) -> Dat
     counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("new", "already_present", "blocked", "invalid")]
     renamed = F.count_if((F.col("kind") == "new") & F.col("category").isin(*LEGACY)).alias("categories_translated")
     return rows.agg(*counts, renamed).join(F.broadcast(after))  # one row each
+
+
+def undo_files(after: DataFrame, current: DataFrame, backup: DataFrame) -> DataFrame:
+    """(name, action, content) for each side file that an import changed, when the import is undone.
+
+    after: (name, sha1) as the import left them. A file that is still so is restored from the backup, or removed if that has none; one
+    that was changed or deleted since stays as it is: its action is kept. current, backup: (name, content).
+    """
+    now = current.select(F.col("name").alias("__now"), F.sha1("content").alias("__sha"))
+    old = backup.select(F.col("name").alias("__old"), F.col("content"))
+    rows = after.join(now, F.col("name") == F.col("__now"), "left").join(old, F.col("name") == F.col("__old"), "left")
+    same = F.col("__sha").eqNullSafe(F.col("sha1"))
+    action = F.when(~same, "kept").when(F.col("__old").isNull(), "removed").otherwise("restored")
+    return rows.select("name", action.alias("action"), F.when(action == "restored", F.col("content")).alias("content"))

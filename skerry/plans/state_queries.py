@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import numbers as N
 from skerry.functions.text import label_of, padded, tokens
+from skerry.operators import classifier as C
 from skerry.operators import discovery as D
 from skerry.operators import health as H
 from skerry.operators import incremental as I
@@ -299,9 +300,57 @@ def answer_labels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", label_of(F.col("role"), {"us": "unsafe", "as": "safe"}).alias("label"))
 
 
-@query(f"WITH {DOCS}, s AS (SELECT doc_id, CAST(CASE WHEN len(ft) = 0 THEN 0 ELSE floor(100 * len(list_filter(ft, lambda t: length(t) >= 9)) / len(ft)) END AS BIGINT) AS score FROM toks) SELECT * FROM s")
+def long_words(texts: list[str]) -> list[str]:
+    """A model in a service's layout: how sure it is depends on the share of long words. It can't read texts with a dollar sign."""
+    import json
+    import math
+    import re
+
+    if any("$" in t for t in texts):
+        raise ValueError("unreadable")
+    out = []
+    for t in texts:
+        words = re.findall("[^ \t\n]+", t)
+        p = min(0.99, max(0.01, sum(len(w) >= 9 for w in words) / max(1, len(words))))
+        out.append(json.dumps({"response": "unsafe" if p > 0.5 else "safe", "logprobs": [{"token": "safe", "logprob": -0.1, "top_logprobs": [{"token": "unsafe", "logprob": math.log(p)}, {"token": "safe", "logprob": math.log(1 - p)}]}]}))
+    return out
+
+
+@query(
+    """WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^ \t\n]+') AS w FROM documents),
+p AS (SELECT doc_id, contains(coalesce(text, ''), '$') AS bad, least(0.99, greatest(0.01, len(list_filter(w, lambda x: length(x) >= 9)) / greatest(1, len(w)))) AS p FROM w)
+SELECT doc_id, CASE WHEN bad THEN NULL WHEN p > 0.5 THEN 'unsafe' ELSE 'safe' END AS label, CASE WHEN NOT bad THEN round(p, 6) END AS score, bad AS failed FROM p"""
+)
 def classified(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", M.classify(F.col("body")).alias("score"))
+    """A model asked about every document in batches; what it can't read costs no other document its answer."""
+    found = C.scored(C.answers(table(spark, sf_dir, "documents"), long_words, text_col="text"))
+    return found.select("doc_id", "label", F.round("score", 6).alias("score"), "failed")
+
+
+@query(
+    """WITH r AS (SELECT l_suppkey AS ip, 1 + l_partkey % 3 AS port, CAST(floor(epoch(l_shipdate)) AS BIGINT) AS ts, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_quantity * 600 AS BIGINT) END AS wait FROM lineitem),
+l AS (SELECT ip, port, max(ts) AS ts FROM r GROUP BY ip, port), w AS (SELECT r.ip, r.port, r.ts, max(wait) AS wait FROM r JOIN l ON l.ip = r.ip AND l.port = r.port AND l.ts = r.ts GROUP BY r.ip, r.port, r.ts)
+SELECT ip, port, ts, least(21600, greatest(60, coalesce(wait, 60))) AS wait, true AS within FROM w"""
+)
+def nodes_due(spark, sf_dir):
+    """When nodes may be asked again: as long after their last reply as they said, and up to three tenths longer."""
+    wait = F.when(F.col("l_linenumber") % 4 != 0, (F.col("l_quantity") * 600).cast("long"))
+    replies = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ip"), (1 + F.col("l_partkey") % 3).alias("port"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ts"), wait.alias("interval"))
+    found = O.next_due(replies)
+    return found.select("ip", "port", "ts", "wait", (F.col("due") - F.col("ts")).between(F.col("wait"), F.floor(1.3 * F.col("wait"))).alias("within"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'kept' WHEN 1 THEN 'kept' WHEN 2 THEN 'removed' ELSE 'restored' END AS action, sha1(coalesce(text, '')) AS old FROM documents)
+SELECT 'file' || doc_id AS name, action, CASE WHEN action = 'restored' THEN old END AS sha1 FROM f"""
+)
+def import_undo_files(spark, sf_dir):
+    """Side files when an import is undone: documents stand for what they were before it; a fifth was changed since, a fifth is gone, a fifth is new."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("file"), i).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    after = d.select("name", F.sha1(F.concat(F.lit("after"), i.cast("string")).cast("binary")).alias("sha1"))
+    current = d.filter(i % 5 != 1).select("name", F.concat(F.when(i % 5 == 0, "changed").otherwise("after"), i.cast("string")).cast("binary").alias("content"))
+    return R.undo_files(after, current, d.filter(i % 5 != 2).select("name", "content")).select("name", "action", F.sha1("content").alias("sha1"))
 
 
 @query(f"WITH {MEASUREMENTS}, l AS (SELECT ih, min(event_id) AS seq FROM meas WHERE ih % 3 = 0 GROUP BY ih) SELECT ih, {NOW} AS checked_at FROM l ORDER BY seq LIMIT 1000")

@@ -80,3 +80,20 @@ def stream_first_seen(spark, sf_dir):
     """Every key once, however often it is seen again."""
     e = events(spark, sf_dir).select(F.col("user_id").alias("ih"), F.col("ts").cast("timestamp").alias("time"))
     return rollup.drained(rollup.first_seen(e, "40 days"), work_folder(spark, "first-seen"), "append").select("ih")
+
+
+@query(
+    """WITH s AS (SELECT 'h' || (event_id % 500) AS ih, CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'peer' ELSE 'announce' END WHEN 'error' THEN 'fail' ELSE 'seen' END AS kind FROM events)
+SELECT ih, kind, count(*) AS n FROM s GROUP BY ih, kind"""
+)
+def stream_sightings(spark, sf_dir):
+    """Sightings that arrive as files of JSON lines, by key and kind: an announcement with an address is one of a peer, and a kind that is given stays."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    folder = work_folder(spark, "sightings")
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.concat(F.lit("h"), k % 500).alias("ih"), F.when(kind == "click", "announce").otherwise("sample").alias("src"),
+        F.when(kind == "error", "fail").alias("kind"), F.when(k % 3 == 0, "198.18.0.1").alias("peer_ip"), F.lit(6881).alias("peer_port"), k.alias("seq"),
+    )
+    lines.repartition(8).write.json(f"{folder}/in")
+    seen = rollup.drained(rollup.sightings(spark, f"{folder}/in", 3), f"{folder}/out", "append")
+    return seen.groupBy("ih", "kind").agg(F.count("*").alias("n"))

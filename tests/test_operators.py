@@ -359,6 +359,25 @@ def test_phrases_span_no_two_files(spark):
     assert [list(r["at"]) for r in index.filter("doc_id = 4 and field = 'f' and token = 'small'").collect()] == [[0, 2]]
 
 
+def test_one_bad_text_costs_no_other_its_answer(spark):
+    from skerry.operators import classifier as C
+
+    asked = []
+
+    def model(texts):
+        asked.append(len(texts))
+        if "bad" in texts:
+            raise RuntimeError("no answer")
+        return ['{"response":"unsafe"}' if t else "{" for t in texts]
+
+    assert [e is None for _, e in C.ask(model, ["a"] * 5 + ["bad"] + ["b"] * 2, 1)] == [True] * 5 + [False] + [True] * 2
+    assert asked == [8, 4, 4, 2, 1, 1, 2]
+    assert [e for _, e in C.ask(lambda t: [], ["x"], 2)] == ["ValueError: 0 answers to 1 texts"]
+    docs = spark.createDataFrame([(1, "x"), (2, None), (2, "bad"), (None, "y")], "doc_id long, body string")
+    got = sorted(((r.doc_id, r.label, r.score, r.done, r.failed) for r in C.scored(C.answers(docs, model, batch_rows=3)).collect()), key=str)
+    assert got == sorted([(1, "unsafe", 1.0, True, False), (2, None, None, False, True), (2, None, None, False, True), (None, "unsafe", 1.0, True, False)], key=str)
+
+
 def test_merged_postings_are_rows(spark):
     one = spark.createDataFrame([("n", "x", 2), ("n", "y", 2)], "field string, token string, doc_id long")
     two = spark.createDataFrame([("n", "x", 1), ("n", "x", 2)], one.schema)
