@@ -112,7 +112,8 @@ def with_phrase(index: DataFrame, phrase: str, scope: str | None = None) -> Data
         return index.filter(F.lit(False)).select("doc_id")
     found = of_token(index, words[0], scope).select("doc_id", "field", F.col("at").alias("last"))
     for word in words[1:]:
-        following = of_token(index, word, scope).select("doc_id", "field", "at")
-        both = found.join(following, ["doc_id", "field"])
-        found = both.select("doc_id", "field", F.array_intersect(F.transform("last", lambda x: x + 1), "at").alias("last")).filter(F.size("last") > 0)
+        following = of_token(index, word, scope).select(F.col("doc_id").alias("__doc"), F.col("field").alias("__field"), "at")
+        # the document alone is the key, so that postings that are dealt by document needn't travel; a field is its own range
+        same = (F.col("doc_id") == F.col("__doc")) & (F.col("field") >= F.col("__field")) & (F.col("field") <= F.col("__field"))
+        found = found.join(following, same).select("doc_id", "field", F.array_intersect(F.transform("last", lambda x: x + 1), "at").alias("last")).filter(F.size("last") > 0)
     return found.filter(F.size("last") > 0).select("doc_id")
