@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.text import bucket, ext_of, host_of, index_tokens, padded, resolve_category, tokens
 from skerry.operators import incremental as I
+from skerry.operators import ranking
 from skerry.operators import records as R
 from skerry.operators import search as S
 from skerry.plans.register import Register
@@ -29,6 +30,7 @@ posted AS (SELECT doc_id, field, token FROM every WHERE length(token) > 1 OR reg
 
 _indexes: dict[tuple[str, str], str] = {}
 _dictionaries: set[str] = set()
+_ranked: dict[tuple[str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +52,16 @@ def stored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_ranked(spark: SparkSession, sf_dir: str) -> ranking.Ranked:
+    """Documents and postings by impact class, written once for each session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ranked:
+        path = work_folder(spark, "ranked")
+        ranking.write_ranked(docs(spark, sf_dir).drop("body"), stored(spark, sf_dir), path, spark.sparkContext.defaultParallelism)
+        _ranked[key] = path
+    return ranking.read_ranked(spark, _ranked[key])
+
+
 def found(spark: SparkSession, sf_dir: str, search: S.Search) -> DataFrame:
     return S.run(docs(spark, sf_dir), stored(spark, sf_dir), search, NOW).select("doc_id")
 
@@ -130,8 +142,7 @@ def key_lookup(spark, sf_dir):
     return docs(spark, sf_dir).filter(F.col("ih") == "356a192b7913b04c54574d18c28d46e6395428ab").select("doc_id", "ih", "name")
 
 
-@query(
-    f"""WITH {DOCS}, n AS (SELECT count(*) AS n FROM live), p AS (SELECT DISTINCT doc_id, 'n' AS field, unnest(nt) AS token FROM toks UNION ALL SELECT DISTINCT doc_id, 'f', unnest(ft) FROM toks),
+RANKED_SQL = f"""WITH {DOCS}, n AS (SELECT count(*) AS n FROM live), p AS (SELECT DISTINCT doc_id, 'n' AS field, unnest(nt) AS token FROM toks UNION ALL SELECT DISTINCT doc_id, 'f', unnest(ft) FROM toks),
 df AS (SELECT token, max(c) AS df FROM (SELECT field, token, count(*) AS c FROM p WHERE token IN ('and', 'with') GROUP BY field, token) GROUP BY token),
 idf AS (SELECT max(CASE WHEN token = 'and' THEN ln(1 + n / (1 + df)) END) AS a, max(CASE WHEN token = 'with' THEN ln(1 + n / (1 + df)) END) AS w FROM df, n),
 scored AS (SELECT doc_id, seeders, indexed_at,
@@ -141,7 +152,9 @@ scored AS (SELECT doc_id, seeders, indexed_at,
   + CASE WHEN array_to_string(nt, ' ') = 'and with' THEN 6 ELSE 0 END + CASE WHEN src = 'scrape' THEN 0.6 * log10(1 + seeders) ELSE 0 END AS score
   FROM toks, idf WHERE NOT deleted AND NOT hidden AND (list_contains(nt, 'and') OR list_contains(ft, 'and')) AND (list_contains(nt, 'with') OR list_contains(ft, 'with')))
 SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, seeders DESC, indexed_at DESC, doc_id LIMIT 20"""
-)
+
+
+@query(RANKED_SQL)
 def search_ranked(spark, sf_dir):
     """Flagship: two words, ranked by relevance; the page is cut by top-k."""
     d = docs(spark, sf_dir)
@@ -152,6 +165,23 @@ def search_ranked(spark, sf_dir):
     return hit.orderBy(F.col("score").desc(), F.col("seeders").desc(), F.col("indexed_at").desc(), "doc_id").limit(20).select("doc_id", "score")
 
 
+@query(RANKED_SQL)
+def search_ranked_by_blocks(spark, sf_dir):
+    """The same page; blocks of postings whose greatest possible score doesn't reach it aren't read."""
+    tables, words = stored_ranked(spark, sf_dir), ["and", "with"]
+    idf = S.idf_of(tables.index, words, tables.docs.filter("not deleted and not hidden").count())
+    return ranking.top(tables, one(words=words), words, idf, NOW).select("doc_id", "score")
+
+
+@query(
+    f"""WITH {DOCS}, {POSTED}, c AS (SELECT doc_id, CAST(CASE WHEN src = 'scrape' THEN least(31, floor(0.6 * log10(1 + seeders) * 8)) ELSE 0 END AS INT) * 8 + least(7, CAST(floor(log2(greatest(1, len(nt)) + 0.5)) AS INT)) AS class FROM toks)
+SELECT field, token, class, count(*) AS n FROM posted JOIN c ON c.doc_id = posted.doc_id GROUP BY field, token, class"""
+)
+def index_impact_blocks(spark, sf_dir):
+    """Blocks of the ranked index: postings by field, token and impact class."""
+    return stored_ranked(spark, sf_dir).blocks
+
+
 @query(f"WITH {DOCS} SELECT doc_id, seeders, peers, name FROM live ORDER BY seeders DESC, peers DESC, doc_id LIMIT 20 OFFSET 20")
 def search_sorted_page(spark, sf_dir):
     return S.page(S.run(docs(spark, sf_dir), None, S.Search(), NOW), "seeders", page=2).select("doc_id", "seeders", "peers", "name")
