@@ -51,8 +51,9 @@ SELECT ih, ip, role, port, client, src, first, last FROM b WHERE src <> 2 OR rol
 )
 def stream_peers(spark, sf_dir):
     """Merged addresses at the end of a stream of observations."""
-    lines = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema).parquet(f"{sf_dir}/lineite[m].parquet")
-    found = peers.peers(observed(lines), keep_s=100 * 365 * 86_400)
+    stored = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/lineite[m].parquet")
+    found = peers.peers(observed(lines), keep_s=100 * 365 * 86_400, shards=1 + stored.count() // peers.SHARD_ROWS)
     return peers.current(rollup.drained(found, work_folder(spark, "peers"))).select("ih", "ip", "role", "port", "client", "src", "first", "last")
 
 

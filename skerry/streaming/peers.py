@@ -1,15 +1,14 @@
-"""Merged peer observations as a stream with state: a map of addresses for each key."""
+"""Merged peer observations as a stream with state: the addresses of the keys of a shard, as columns of one row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skerry.operators.observations import KEY_ROWS, SRC_BIT, UNKNOWN_ROLE
 from skerry.streaming.state import with_state_store
@@ -17,69 +16,70 @@ from skerry.streaming.state import with_state_store
 #: How often at most a later sight alone is put out, and after how long an address goes, in seconds.
 FLUSH_S, KEEP_S = 3600, 30 * 86_400
 ADDRESS = "role int, port int, port_ts long, connected boolean, client string, client_ts long, src int, first long, last long, written long, waits boolean"
-AFTER_ROWS = 1 << 40  # timers of a micro-batch come after its rows
+AFTER_ROWS = 1 << 40  # what falls due in a micro-batch comes after its rows
 FIELDS = [f.split()[0] for f in ADDRESS.split(", ")]
+STATE = ", ".join(f"{name} array<{kind}>" for name, kind in (f.split() for f in f"ih long, ip long, {ADDRESS}".split(", ")))
 OUT = "ih long, ip long, role int, port int, client string, src int, first long, last long, gone boolean, change long"
+#: Keys are dealt to so many shards, each with a state and a timer of its own; a checkpoint goes on with the number that it began with.
+SHARDS, SHARD_ROWS = 4096, 1000
 
+Keys = dict[int, dict[int, dict]]  # what is known of each address of each key
 
-class Peers(StatefulProcessor):
-    """Puts out an address of a key when it is new or changes, a later sight alone at most once in FLUSH_S seconds, and when it goes.
 
-    A key that has `most` addresses loses the one seen least lately for a new one; an address goes when it wasn't seen for KEEP_S.
+def folder(most: int, flush_s: int, keep_s: int) -> Callable[[tuple[Any, ...], Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Puts out an address of a key when it is new or changes, a later sight alone at most once in flush_s seconds, and when it goes.
+
+    A key that has `most` addresses loses the one seen least lately for a new one; an address goes when it wasn't seen for keep_s.
     Of addresses that only the node network told, and of unknown role, nothing is put out.
     """
 
-    def __init__(self, most: int = KEY_ROWS, flush_s: int = FLUSH_S, keep_s: int = KEEP_S):
-        self.most, self.flush_s, self.keep_s = most, flush_s, keep_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.addresses = handle.getMapState("addresses", "ip long", ADDRESS)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = {ip: dict(zip(FIELDS, v)) for (ip,), v in self.addresses.iterator()}
-        out, touched = [], set()
-        events = pd.concat(list(rows)).sort_values(["ts", "port", "ip"])
-        for ip, ts, port, role, client, src in zip(*(events[c].tolist() for c in ("ip", "ts", "port", "role", "client", "src"))):
-            if ip not in known and len(known) >= self.most:
+    def fold(shard: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys: Keys = {}
+        for ih, ip, *values in zip(*state.get) if state.exists else ():
+            keys.setdefault(ih, {})[ip] = dict(zip(FIELDS, values))
+        events = [] if state.hasTimedOut else [e for f in frames for e in zip(*(f[c].tolist() for c in ("ts", "port", "ip", "ih", "role", "client", "src")))]
+        out = []
+        for ts, port, ip, ih, role, client, src in sorted(events, key=lambda e: e[:3]):
+            known = keys.setdefault(ih, {})
+            if ip not in known and len(known) >= most:
                 oldest = min(known, key=lambda i: (known[i]["last"], i))
-                out.append((key[0], oldest, known.pop(oldest), True))
-                self.addresses.removeKey((oldest,))
-                touched.discard(oldest)
-            known[ip], changed = noted(known.get(ip), ts, port, role, client or "", src, self.flush_s)
-            touched.add(ip)
+                out.append((ih, oldest, known.pop(oldest), True))
+            known[ip], changed = noted(known.get(ip), ts, port, role, client or "", src, flush_s)
             if changed:
                 known[ip]["written"] = known[ip]["last"]
-                out.append((key[0], ip, dict(known[ip]), False))
-        for ip in touched:
-            self.addresses.updateValue((ip,), tuple(known[ip][f] for f in FIELDS))
-        self.wake(known)
-        yield frame(out, 0)
-
-    def wake(self, known: dict[int, dict]) -> None:
-        """One timer for the key: when the next address is to be put out, or to go."""
-        for at in self.handle.listTimers():
-            self.handle.deleteTimer(at)
-        if known:
-            self.handle.registerTimer(1000 * min(a["written"] + self.flush_s if a["waits"] else a["last"] + self.keep_s for a in known.values()))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        known = {ip: dict(zip(FIELDS, v)) for (ip,), v in self.addresses.iterator()}
-        out = []
+                out.append((ih, ip, dict(known[ip]), False))
+        now = state.getCurrentWatermarkMs()
+        due = fallen_due(keys, now // 1000, flush_s, keep_s)
+        keep(state, keys, now, flush_s, keep_s)
+        for rows, start in ((out, 0), (due, AFTER_ROWS)):
+            if len(put_out := frame(rows, start)):
+                yield put_out
+
+    return fold
+
+
+def fallen_due(keys: Keys, now: int, flush_s: int, keep_s: int) -> list[tuple[int, int, dict, bool]]:
+    """Addresses that are to be put out by now, or go."""
+    out = []
+    for ih, known in keys.items():
         for ip, a in list(known.items()):
-            if a["last"] + self.keep_s <= now:
-                out.append((key[0], ip, known.pop(ip), True))
-                self.addresses.removeKey((ip,))
-            elif a["waits"] and a["written"] + self.flush_s <= now:
+            if a["last"] + keep_s <= now:
+                out.append((ih, ip, known.pop(ip), True))
+            elif a["waits"] and a["written"] + flush_s <= now:
                 a |= {"written": a["last"], "waits": False}
-                out.append((key[0], ip, a, False))
-                self.addresses.updateValue((ip,), tuple(a[f] for f in FIELDS))
-        self.wake(known)
-        yield frame(out, AFTER_ROWS)
+                out.append((ih, ip, dict(a), False))
+    return out
+
 
-    def close(self) -> None:
-        pass
+def keep(state: GroupState, keys: Keys, now: int, flush_s: int, keep_s: int) -> None:
+    """Store the addresses, with one timer for all: when the next one is to be put out, or to go."""
+    rows = [(ih, ip, *(a[f] for f in FIELDS)) for ih, known in keys.items() for ip, a in known.items()]
+    if not rows:
+        state.remove()
+        return
+    state.update(tuple(map(list, zip(*rows))))
+    next_due = min(a["written"] + flush_s if a["waits"] else a["last"] + keep_s for known in keys.values() for a in known.values())
+    state.setTimeoutTimestamp(max(1000 * next_due, now + 1))
 
 
 def noted(a: dict | None, ts: int, port: int, role: int, client: str, src: str, flush_s: int) -> tuple[dict, bool]:
@@ -108,14 +108,16 @@ def frame(rows: list[tuple[int, int, dict, bool]], start: int) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=[f.split()[0] for f in OUT.split(", ")])
 
 
-def peers(observed: DataFrame, most: int = KEY_ROWS, late: str = "1 hour", flush_s: int = FLUSH_S, keep_s: int = KEEP_S) -> DataFrame:
+def peers(observed: DataFrame, most: int = KEY_ROWS, late: str = "1 hour", flush_s: int = FLUSH_S, keep_s: int = KEEP_S, shards: int = SHARDS) -> DataFrame:
     """Changes of the merged addresses of a stream of observations (ih, ip, ts, port, role, client, src), ts in seconds.
 
     A key's observations are folded in the order of their time within a micro-batch; sights of one address may come in any order.
+    A state is read and written once for each shard that a micro-batch has rows of: about SHARD_ROWS addresses to a shard are a good measure.
     """
     with_state_store(observed.sparkSession)
     timed = observed.withColumn("time", F.timestamp_seconds("ts")).withWatermark("time", late)
-    return timed.groupBy("ih").transformWithStateInPandas(Peers(most, flush_s, keep_s), T._parse_datatype_string(OUT), "Update", "EventTime")
+    dealt = timed.withColumn("shard", F.pmod(F.xxhash64("ih"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandasWithState(folder(most, flush_s, keep_s), OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def current(changes: DataFrame) -> DataFrame:

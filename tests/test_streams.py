@@ -147,3 +147,12 @@ def test_late_points_are_dropped_and_counted(spark, tmp_path):
         dropped += late
     assert {(r.tier, r.start, r.gauge, r.n) for r in found.filter("start < 7300000 - 3600").collect()} == {("m5", 7_200_000, 1.0, 1), ("h1", 7_200_000, 1.0, 1)}
     assert dropped >= 1
+
+
+def test_a_shard_of_many_keys_is_read_once(spark, tmp_path):
+    """Keys share shards and their timers, whatever the number of shards; a call for each key would take the query beyond its time."""
+    rows = sights(3, 500, keys=40, step=9_000)
+    want = addresses(O.persisted(O.merge(spark.createDataFrame(rows, OBSERVED))))
+    for shards in (1, 7):
+        found = run_in_parts(spark, tmp_path / str(shards), OBSERVED, rows, 2, lambda s: peers.peers(s, flush_s=-1, shards=shards))
+        assert addresses(peers.current(found)) == want
