@@ -72,12 +72,13 @@ def segments(points: DataFrame, gap: int, by: str = "event_type") -> DataFrame:
     return started.withColumn("rn", F.col("number") - F.col("start") + 1).drop("broken", "prev_t", "number", "start", "__one")
 
 
-def down_sample(points: DataFrame, most: int, step: int, by: str = "event_type") -> DataFrame:
-    """At most about `most` points for each series, none across a gap: last time, mean of gauges that are there, to one place, last counter that is there."""
+def down_sample(points: DataFrame, most: int, step: int, by: str = "event_type", rounded: bool = True) -> DataFrame:
+    """At most about `most` points for each series, none across a gap: last time, mean of gauges that are there, to one place if rounded, last counter that is there."""
+    mean = F.avg(F.col("gauge").cast("decimal(30,12)"))
     sizes = points.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).alias("g"))
     grouped = segments(points, max(4 * step, 60), by).join(sizes, by).withColumn("grp", F.floor((F.col("rn") - 1) / F.col("g")))
     last = F.max_by("counter", F.when(F.col("counter").isNotNull(), F.struct("t", "event_id")))
-    return grouped.groupBy(by, "seg", "grp").agg(F.max("t").alias("t"), to_tenths(F.avg(F.col("gauge").cast("decimal(30,12)"))).alias("gauge"), last.alias("counter")).drop("grp")
+    return grouped.groupBy(by, "seg", "grp").agg(F.max("t").alias("t"), (to_tenths(mean) if rounded else mean.cast("double")).alias("gauge"), last.alias("counter")).drop("grp")
 
 
 def typical_step(steps: DataFrame, by: str = "event_type") -> DataFrame:
@@ -183,11 +184,11 @@ def tier_for(seconds: int) -> str:
     return "raw" if seconds <= DAY else "m5" if seconds <= 30 * DAY else "h1"
 
 
-def history_range(tiers: dict[str, DataFrame], seconds: int, now: int, most: int = MOST_POINTS) -> DataFrame:
+def history_range(tiers: dict[str, DataFrame], seconds: int, now: int, most: int = MOST_POINTS, rounded: bool = True) -> DataFrame:
     """Points (t, gauge, counter, tier) of the last seconds up to now.
 
     tiers: raw, m5 and h1 as (t, event_id, gauge, counter). The tier that suits the range comes first, finer ones
-    complete it after its last point; then points are grouped down to about `most`, none across a gap. The last
+    complete it after its last point; then points are grouped down to about `most`, none across a gap, with means to one place if rounded. The last
     time of each tier is one number, read before the next scan, which it prunes.
     """
     seconds = max(LEAST_RANGE_S, min(int(seconds), MOST_RANGE_S))
@@ -205,7 +206,7 @@ def history_range(tiers: dict[str, DataFrame], seconds: int, now: int, most: int
     sizes = found.count()
     if sizes <= most:
         return found.select("t", "gauge", "counter", "tier")
-    return down_sample(found.withColumn("series", F.lit("all")), most, TIERS[own][1], "series").select("t", "gauge", "counter", F.lit(own).alias("tier"))
+    return down_sample(found.withColumn("series", F.lit("all")), most, TIERS[own][1], "series", rounded).select("t", "gauge", "counter", F.lit(own).alias("tier"))
 
 
 def stitch(coarse: DataFrame, fine: DataFrame, coarse_step: int) -> DataFrame:

@@ -93,3 +93,16 @@ def test_the_rest_works_without_the_corpus_package(tmp_path):
         code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
         run = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
         assert run.returncode == 0 and int(run.stdout) == len(QUERIES), run.stderr
+
+
+def test_a_range_of_many_points_is_its_sql(spark, tmp_path):
+    """More points than an answer has: means of several, as the SQL rounds them."""
+    import duckdb
+
+    points = spark.range(3000).selectExpr("id event_id", "id % 7 user_id", "'view' event_type", "timestamp_seconds(1700000000 + id * 50) ts", "id * 37 % 1000 / 7D value")
+    points.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT t, gauge, counter FROM ({SQL['metrics_range']})").fetchall()
+    got = [tuple(r) for r in QUERIES["metrics_range"](spark, str(tmp_path)).select("t", "gauge", "counter").collect()]
+    assert sorted(got) == sorted(want) and any(round(g, 1) != g for _, g, _ in want)
