@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators.postings import POSTINGS, postings
 from skerry.operators.rulematch import HITS, rule_hits
-from skerry.sources.files import versions
+from skerry.sources.files import versions, write_postings
 
 RUN = "batch long, watermark long, rules array<string>"
 
@@ -67,8 +67,7 @@ def index_more(docs: DataFrame, path: str, batch: int) -> Run:
     spark, before = docs.sparkSession, last_run(docs.sparkSession, path, batch)
     mark = before.watermark if before else None
     fresh = beyond(docs, mark)
-    segment = postings(fresh).repartitionByRange("field", "token", "doc_id").sortWithinPartitions("field", "token", "doc_id")
-    segment.write.mode("overwrite").parquet(f"{path}/segments/batch={batch}")
+    write_postings(postings(fresh), f"{path}/segments/batch={batch}")
     run = Run(batch, until(fresh, mark), ())
     finish(spark, path, run)
     return run

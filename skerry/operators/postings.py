@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import ext_of, tokens
 
 POSTINGS = "field string, token string, doc_id long, at array<int>"
+TOKENS_AT_ONCE = 500_000  # of documents whose postings are made together, unless one has more
 _DIGITS, _LETTER = re.compile("[0-9]{3,}"), re.compile("[a-z]")
 
 
@@ -31,15 +32,15 @@ def located(doc_ids: pa.Array, lists: pa.ListArray, field: str) -> pa.RecordBatc
     code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
     known = {w: i for i, w in enumerate(words)}
     kept = np.array([len(w) > 1 or w.isdigit() for w in words], dtype=bool)
-    cut = [(i, run) for i, w in enumerate(words) if _LETTER.search(w) for run in _DIGITS.findall(w)]
-    for _, run in cut:
-        if run not in known:
-            known[run] = len(words)
-            words.append(run)
+    cut = [[known.setdefault(run, len(known)) for run in _DIGITS.findall(w)] if _LETTER.search(w) else [] for w in words]
+    words = list(known)
     parts = [(document[kept[code]], code[kept[code]], place[kept[code]])] if len(code) else []
-    for i, run in cut:  # without a place; they come before the places of the same token
-        inside = np.unique(document[code == i])
-        parts.insert(0, (inside, np.full(len(inside), known[run]), np.full(len(inside), -1)))
+    if any(cut):  # without a place; they come before the places of the same token
+        runs, each = np.concatenate([np.array(c, dtype=np.int64) for c in cut]), np.array([len(c) for c in cut])
+        mixed = each[code] > 0
+        inside, some = code[mixed], each[code[mixed]]
+        at = np.repeat((np.cumsum(each) - each)[inside] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+        parts.insert(0, (np.repeat(document[mixed], some), runs[at], np.full(len(at), -1)))
     document, code, place = (np.concatenate(p) for p in zip(*parts)) if parts else [np.empty(0, dtype=np.int64)] * 3
     key = document * max(1, len(words)) + code
     order = np.argsort(key, kind="stable")
@@ -56,6 +57,15 @@ def located(doc_ids: pa.Array, lists: pa.ListArray, field: str) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in POSTINGS.split(", ")])
 
 
+def in_pieces(lists: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, count) of stretches of lists with at most so many tokens together, or one list of more."""
+    upto, start = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), 0
+    while start < len(lists):
+        end = max(start + 1, int(np.searchsorted(upto, most + (upto[start - 1] if start else 0), "right")))
+        yield start, end - start
+        start = end
+
+
 def _postings(lists: DataFrame) -> DataFrame:
     """Postings of token lists (doc_id, then a list for each field, named like it). A document's postings are made where it is read."""
     fields = lists.columns[1:]
@@ -63,7 +73,8 @@ def _postings(lists: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, field in enumerate(fields):
-                yield located(batch.column(0), batch.column(k + 1), field)
+                for piece in in_pieces(batch.column(k + 1), TOKENS_AT_ONCE):
+                    yield located(batch.column(0).slice(*piece), batch.column(k + 1).slice(*piece), field)
 
     return lists.mapInArrow(run, POSTINGS)
 

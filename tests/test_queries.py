@@ -106,3 +106,34 @@ def test_a_range_of_many_points_is_its_sql(spark, tmp_path):
     want = con.execute(f"SELECT t, gauge, counter FROM ({SQL['metrics_range']})").fetchall()
     got = [tuple(r) for r in QUERIES["metrics_range"](spark, str(tmp_path)).select("t", "gauge", "counter").collect()]
     assert sorted(got) == sorted(want) and any(round(g, 1) != g for _, g, _ in want)
+
+
+def test_searches_without_words_make_no_index(spark, small, monkeypatch):
+    from skerry.plans import search_queries
+
+    def made(*_):
+        raise AssertionError("an index was made")
+
+    monkeypatch.setattr(search_queries, "stored", made)
+    for name in ("search_category_not_in", "search_category_in", "search_numeric_ranges", "search_age_range", "search_health_state", "search_key_prefix"):
+        QUERIES[name](spark, small)
+
+
+def test_postings_of_many_mixed_tokens_take_time_in_proportion(spark):
+    """Runs of digits are cut out of all tokens at once, not in a pass over the batch for each token."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    from skerry.operators import postings as P
+
+    rng = random.Random(1)
+    lists = pa.array([["".join(rng.choices("abc123456", k=8)) for _ in range(20)] + ["the", "of"] * 150 for _ in range(2000)], pa.list_(pa.string()))
+    ids, started = pa.array(range(2000), pa.int64()), time.monotonic()
+    whole = P.located(ids, lists, "f")
+    assert time.monotonic() - started < 5
+    pieces = list(P.in_pieces(lists, 50_000))
+    assert len(pieces) > 10 and sum(n for _, n in pieces) == 2000
+    rows = sorted((r["doc_id"], r["token"], r["at"]) for p in pieces for r in P.located(ids.slice(*p), lists.slice(*p), "f").to_pylist())
+    assert rows == sorted((r["doc_id"], r["token"], r["at"]) for r in whole.to_pylist())
