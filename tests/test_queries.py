@@ -137,3 +137,21 @@ def test_postings_of_many_mixed_tokens_take_time_in_proportion(spark):
     assert len(pieces) > 10 and sum(n for _, n in pieces) == 2000
     rows = sorted((r["doc_id"], r["token"], r["at"]) for p in pieces for r in P.located(ids.slice(*p), lists.slice(*p), "f").to_pylist())
     assert rows == sorted((r["doc_id"], r["token"], r["at"]) for r in whole.to_pylist())
+
+
+def test_postings_of_a_few_file_words_are_those_of_the_index(spark):
+    from skerry.operators import search as S
+
+    files = "doc_id long, files array<struct<path:string,size:long>>"
+    items = spark.createDataFrame([(1, [("a/small.ring", 1), ("ring.small", 2)]), (2, [("Small/x12345", 1)]), (3, []), (4, [("s", 1)])], files)
+    rows = lambda f: sorted((r.doc_id, r.token, list(r.at)) for r in f.select("doc_id", "token", "at").collect())
+    asked = ["small", "ring", "s", "small"]
+    got = rows(S.file_postings_of(items, asked))
+    assert got and got == rows(S.file_postings(items).filter((F.col("field") == "f") & F.col("token").isin(asked)))
+    assert rows(S.file_postings_of(items, ["s"])) == []
+
+
+def test_file_queries_run_no_python(spark, small):
+    for name in ("search_phrase_in_files", "search_extension_not_in"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan
