@@ -156,3 +156,37 @@ def test_a_shard_of_many_keys_is_read_once(spark, tmp_path):
     for shards in (1, 7):
         found = run_in_parts(spark, tmp_path / str(shards), OBSERVED, rows, 2, lambda s: peers.peers(s, flush_s=-1, shards=shards))
         assert addresses(peers.current(found)) == want
+
+
+def test_an_entry_goes_to_the_state_once_for_each_batch():
+    """However often it is read or changed; one that comes and goes within a batch doesn't at all."""
+
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+    state = State({("old",): (5,), ("gone",): (6,)})
+    held = queues.Held(state)
+    for n in range(100):
+        held.put((held.get("old") or 0) + 1, "old")
+        held.put_new(n, "short", n)
+        held.drop("short", n)
+    assert set(held.now) == {("old",)}
+    held.put(None, "gone")
+    held.put_new(False, "new")
+    held.flush()
+    assert state == {("old",): (105,), ("new",): (False,)} and state.calls == 5
