@@ -34,14 +34,27 @@ def roll_up(points: DataFrame, step: int) -> DataFrame:
     return points.groupBy(start.alias("start")).agg(mean.alias("gauge"), last.alias("counter"), F.count("*").alias("n")).select((F.col("start") + step // 2).alias("t"), "gauge", "counter", "n")
 
 
+STRETCH = 50_000  # rows of a stretch on a series' fullest day
+
+
+def stretch_width(points: DataFrame, by: str, at: str = "t", most: int = STRETCH) -> int:
+    """Seconds of a stretch: a day, or as much of it as has about `most` rows on the fullest day of any series; a second at least.
+
+    Counted eagerly, one number; callers that cut the same points several times take it once.
+    """
+    fullest = points.groupBy(by, F.floor(F.col(at) / DAY)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, DAY * most // max(most, fullest))
+
+
 def bucketed(points: DataFrame, at: str = "t", width: int = DAY) -> DataFrame:
     """points with __b, the stretch of the order that a row lies in. A series' windows run within it, and what they
     need of earlier stretches is carried over from one row for each, so that no task holds a series."""
     return points.withColumn("__b", F.floor(F.col(at) / width))
 
 
-def previous(points: DataFrame, by: str, *columns: str, width: int = DAY) -> DataFrame:
-    """points with prev_<column>, the values of the series' point before, in the order of (t, event_id)."""
+def previous(points: DataFrame, by: str, *columns: str, width: int | None = None) -> DataFrame:
+    """points with prev_<column>, the values of the series' point before, in the order of (t, event_id). width: of stretches; else by stretch_width()."""
+    width = width or stretch_width(points, by)
     p, row = bucketed(points, width=width), F.struct(*columns)
     edges = p.groupBy(by, "__b").agg(F.max_by(row, F.struct("t", "event_id")).alias("__e"))
     edges = edges.withColumn("__e", F.lag("__e").over(Window.partitionBy(by).orderBy("__b")))
@@ -49,8 +62,9 @@ def previous(points: DataFrame, by: str, *columns: str, width: int = DAY) -> Dat
     return p.withColumns({f"prev_{c}": F.coalesce(F.col("__p"), F.col("__e"))[c] for c in columns}).drop("__b", "__p", "__e")
 
 
-def running(points: DataFrame, by: str, order: tuple[str, ...] = ("t", "event_id"), width: int = DAY, **values: tuple[str, Column]) -> DataFrame:
-    """points with a running sum or max of each value (name=("sum" or "max", column)) in the series' order, whose first column stretches go by."""
+def running(points: DataFrame, by: str, order: tuple[str, ...] = ("t", "event_id"), width: int | None = None, **values: tuple[str, Column]) -> DataFrame:
+    """points with a running sum or max of each value (name=("sum" or "max", column)) in the series' order, whose first column stretches go by. width: as in previous()."""
+    width = width or stretch_width(points, by, order[0])
     agg = {"sum": F.sum, "max": F.max}
     p = bucketed(points, order[0], width).withColumns({f"__v_{k}": v for k, (_, v) in values.items()})
     totals = p.groupBy(by, "__b").agg(*(agg[how](f"__v_{k}").alias(f"__t_{k}") for k, (how, _) in values.items()))
@@ -65,10 +79,11 @@ def running(points: DataFrame, by: str, order: tuple[str, ...] = ("t", "event_id
 
 def segments(points: DataFrame, gap: int, by: str = "event_type") -> DataFrame:
     """points with seg, which grows where more than gap seconds are missing, and rn within it. by: the series."""
-    steps = previous(points.withColumn("__one", F.lit(1)), by, "t")
+    width = stretch_width(points, by)
+    steps = previous(points.withColumn("__one", F.lit(1)), by, "t", width=width)
     steps = steps.withColumn("broken", F.when(F.col("t") - F.col("prev_t") > gap, 1).otherwise(0))
-    counted = running(steps, by, seg=("sum", F.col("broken")), number=("sum", F.col("__one")))
-    started = running(counted, by, start=("max", F.when((F.col("broken") == 1) | F.col("prev_t").isNull(), F.col("number"))))
+    counted = running(steps, by, width=width, seg=("sum", F.col("broken")), number=("sum", F.col("__one")))
+    started = running(counted, by, width=width, start=("max", F.when((F.col("broken") == 1) | F.col("prev_t").isNull(), F.col("number"))))
     return started.withColumn("rn", F.col("number") - F.col("start") + 1).drop("broken", "prev_t", "number", "start", "__one")
 
 
@@ -88,24 +103,26 @@ def typical_step(steps: DataFrame, by: str = "event_type") -> DataFrame:
     return counts.select(by, "dt", upto.alias("upto"), total.alias("total")).filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(by).agg(F.min("dt").alias("med"))
 
 
-def rates(points: DataFrame, window: int, by: str = "event_type", *counters: str) -> DataFrame:
+def rates(points: DataFrame, window: int, by: str = "event_type", *counters: str, width: int | None = None) -> DataFrame:
     """(by, t, event_id, rate, ...): growth per second of the counter since the point's anchor, not below zero, so 0 after a reset.
 
     The anchor is the newest point at least a window back, or, where there is none, the first one since the last gap; the
     window is as long as three of the series' median steps at least. There is no rate where the anchor is less than 0.8 windows
     back, or where it or the point has no counter. A gap is more than four median steps and more than a minute.
-    counters: several columns, whose rates are named rate_<column>, instead of the one named counter.
+    counters: several columns, whose rates are named rate_<column>, instead of the one named counter. width: as in previous().
 
     The steps are taken once and stored. An anchor is less than a window and a gap back, so that points meet it in
     stretches of a window's or a gap's length, to the one and the next of which it is dealt.
     """
     values = counters or ("counter",)
-    steps = stored_once(previous(points.select(by, "t", "event_id", *values), by, "t").withColumn("dt", F.col("t") - F.col("prev_t")).drop("prev_t"), "steps")
-    known = steps.join(typical_step(steps, by), by, "left")
+    width = width or stretch_width(points, by)
+    steps = stored_once(previous(points.select(by, "t", "event_id", *values), by, "t", width=width).withColumn("dt", F.col("t") - F.col("prev_t")).drop("prev_t"), "steps")
+    typical = stored_once(typical_step(steps, by), "typical")  # a table of its own size: few series are broadcast, and points aren't dealt by series
+    known = steps.join(typical, by, "left")
     w, gap = F.greatest(F.lit(window), 3 * F.col("med")), F.greatest(F.lit(60), 4 * F.col("med"))
     row = F.struct("t", "event_id", *values)
     marked = known.withColumns({"w": w, "far": F.greatest(w, gap), "begins": F.when(F.col("dt").isNull() | (F.col("dt") > gap), row)})
-    marked = running(marked, by, start=("max", F.col("begins")))
+    marked = running(marked, by, width=width, start=("max", F.col("begins")))
     part = lambda at, more: (F.floor(at / F.col("far")) + more).alias("part")
     later = F.col("t") + F.col("w")
     roles = [F.struct(part(F.col("t"), 0), F.col("t").alias("at"), F.lit(1).alias("asks"))] + [F.struct(part(later, k), later.alias("at"), F.lit(0).alias("asks")) for k in (0, 1)]
@@ -118,9 +135,9 @@ def rates(points: DataFrame, window: int, by: str = "event_type", *counters: str
     return found.select(by, "t", "event_id", *(growth(c).alias(f"rate_{c}" if counters else "rate") for c in values))
 
 
-def share_of_rates(points: DataFrame, window: int, good: str, bad: str, by: str = "event_type") -> DataFrame:
+def share_of_rates(points: DataFrame, window: int, good: str, bad: str, by: str = "event_type", width: int | None = None) -> DataFrame:
     """(by, t, event_id, share): the rate of one counter in percent of the rates of both; null where either is, or both are 0."""
-    r = rates(points, window, by, good, bad)
+    r = rates(points, window, by, good, bad, width=width)
     both = F.col(f"rate_{good}") + F.col(f"rate_{bad}")
     return r.select(by, "t", "event_id", F.when(both > 0, 100 * F.col(f"rate_{good}") / both).alias("share"))
 

@@ -159,8 +159,9 @@ def metrics_rates(spark, sf_dir):
 def success_rate(spark, sf_dir):
     """Purchases in percent of purchases and errors, as the ratio of the rates of two counters."""
     kinds = metrics(spark, sf_dir).select(F.lit("all").alias("event_type"), "t", "event_id", *((F.col("event_type") == kind).cast("long").alias(name) for name, kind in (("ok", "purchase"), ("fail", "error"))))
-    counted = T.running(kinds, "event_type", ok=("sum", F.col("ok")), fail=("sum", F.col("fail")))
-    return T.share_of_rates(counted, 120, "ok", "fail").select("t", "event_id", F.round("share", 6).alias("success"))
+    width = T.stretch_width(kinds, "event_type")
+    counted = T.running(kinds, "event_type", width=width, ok=("sum", F.col("ok")), fail=("sum", F.col("fail")))
+    return T.share_of_rates(counted, 120, "ok", "fail", width=width).select("t", "event_id", F.round("share", 6).alias("success"))
 
 
 @query(f"WITH {METRICS}, m AS (SELECT event_id, max(t) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS t FROM metrics) SELECT CAST(floor(t / 3600) AS BIGINT) AS hour, count(*) AS n FROM m GROUP BY hour")

@@ -431,6 +431,23 @@ def test_series_are_carried_over_days(spark):
     assert key(got) == key(want)
 
 
+def test_full_days_are_cut_into_shorter_stretches(spark):
+    p = spark.range(400_000).selectExpr("'a' event_type", "id div 4 t", "id event_id", "id counter")
+    assert T.stretch_width(p, "event_type") == T.DAY * T.STRETCH // (4 * T.DAY)
+    assert T.stretch_width(p.limit(10), "event_type") == T.stretch_width(p.limit(0), "event_type") == T.DAY
+    assert T.stretch_width(spark.range(200_000).selectExpr("'a' event_type", "0L t"), "event_type", most=1) == 1
+
+
+def test_rates_deal_no_series_to_one_task(spark):
+    """Points of one series aren't shuffled by the series alone; typical steps come from a table, which is broadcast."""
+    p = spark.range(5_000).selectExpr("'all' event_type", "id t", "id event_id", "id counter")
+    r = T.rates(p, 120)
+    assert r.filter("rate is not null and rate <> 1").count() == 0 and r.count() == 5_000
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(event_type#\d+L?, \d+\), ENSURE_REQUIREMENTS[^\n]*\n[^\n]*FileScan", plan)
+    assert "BroadcastHashJoin [event_type" in plan
+
+
 def test_history_range_takes_the_tier_and_completes_it(spark):
     day = T.DAY
     raw = spark.range(0, 2 * day, 60).selectExpr("id t", "id event_id", "1.0D gauge", "id counter")
