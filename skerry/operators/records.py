@@ -35,6 +35,17 @@ def top_exts(files: DataFrame, *order: str, most: int = TOP_EXTS) -> DataFrame:
     return ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "ext"))), lambda x: x.ext).alias("exts"))
 
 
+def file_summary(files: DataFrame, *order: str) -> DataFrame:
+    """(doc_id, category, exts, file_count, size): what dominant_category() and top_exts() give, and the files' number and bytes, in one pass over the files."""
+    sums = files.groupBy("doc_id", ext_of(F.col("path")).alias("ext")).agg(F.sum(weight()).alias("w"), F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    entry = F.struct((-F.col("w")).alias("w"), "first", "ext", category_of_ext(F.col("ext")).alias("category"))
+    rows = sums.groupBy("doc_id").agg(F.collect_list(entry).alias("e"), F.sum("n").alias("file_count"), F.sum("size").alias("size"))
+    of = lambda c: F.filter("e", lambda x: x.category == c)
+    cats = F.transform(F.array_distinct(F.transform("e", lambda x: x.category)), lambda c: F.struct(F.aggregate(of(c), F.lit(0).cast("long"), lambda t, x: t + x.w).alias("w"), F.array_min(F.transform(of(c), lambda x: x["first"])).alias("first"), c.alias("category")))
+    exts = F.slice(F.transform(F.array_sort(F.filter("e", lambda x: x.ext != "")), lambda x: x.ext), 1, TOP_EXTS)
+    return rows.select("doc_id", F.array_min(cats)["category"].alias("category"), F.when(F.size(exts) > 0, exts).alias("exts"), "file_count", "size")
+
+
 def composition(files: DataFrame, most: int = TOP_EXTS) -> DataFrame:
     """(doc_id, ext, n, bytes): files and bytes of each extension of a document, of the `most` with most bytes."""
     sums = files.groupBy("doc_id", ext_of(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

@@ -570,3 +570,16 @@ def test_discovery_waits_and_promotes():
         for n, (kind, ts) in enumerate(events):  # a micro-batch for each event
             out = list(rollup.discover((7,), iter([pd.DataFrame([{"kind": kind, "ts": ts, "seq": n}])]), held))[0].iloc[0]
         assert (out.status, out.attempts, out.priority) == want, events
+
+
+def test_file_summary_is_what_its_parts_give(spark):
+    """Category, extensions, number and bytes of files in one pass, with ties, files without size or extension."""
+    from skerry.operators import records as R
+
+    rng = random.Random(5)
+    names = ["a.mkv", "b.mp4", "c.MP3", "d.tar.gz", "noext", "e.zip", "f.jpg", "g.pdf", "h.csv", "i.exe", "j.srt", "k.nfo"]
+    rows = [(rng.randrange(40), n, rng.choice(names), rng.choice([None, 0, 1, 5, 5])) for n in range(300)] + [(99, 1, "noext", 3)]
+    files = spark.createDataFrame(rows, "doc_id long, n long, path string, size long")
+    want = R.dominant_category(files, "n").join(R.top_exts(files, "n"), "doc_id", "left").join(files.groupBy("doc_id").agg(F.count("*").alias("file_count"), F.sum("size").alias("size")), "doc_id")
+    got = R.file_summary(files, "n").select(want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.filter("doc_id = 99 and exts is null and category = 'Other'").count() == 1
