@@ -15,11 +15,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from skerry.functions.arrow import pieces
 from skerry.functions.text import answered_trackers, brief, magnet, padded, resolve_category, tokens
 from skerry.operators.health import health_state
 from skerry.operators.postings import file_postings, file_postings_of, merged_postings, postings, with_phrase, with_token  # noqa: F401
@@ -280,8 +282,11 @@ STRETCHES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.S
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
 
-@F.pandas_udf(STRETCHES)
-def highlight(texts: pd.Series, words: pd.Series) -> pd.Series:
+_STRETCHES = pa.list_(pa.struct([("text", pa.string()), ("hit", pa.bool_())]))
+
+
+@F.arrow_udf(STRETCHES)
+def highlight(texts: pa.Array, words: pa.Array) -> pa.Array:
     """Each text in stretches, those that match a word marked. Words of three letters or more mark the whole word they start."""
     patterns: dict[str, re.Pattern] = {}
 
@@ -305,7 +310,9 @@ def highlight(texts: pd.Series, words: pd.Series) -> pd.Series:
             at = b
         return out + [{"text": text[at:], "hit": False}] * (at < len(text))
 
-    return pd.Series([stretches(t, list(w)) for t, w in zip(texts, words)])
+    both = pa.RecordBatch.from_arrays([texts, words], names=["text", "words"])
+    found = ([stretches(t, w) for t, w in zip(*(c.to_pylist() for c in p.columns))] for p in pieces(both))
+    return pa.concat_arrays([pa.array([], _STRETCHES), *(pa.array(f, _STRETCHES) for f in found)])
 
 
 def spans_of(text: Column, term: str, mode: str, most: int = 20) -> Column:
