@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.functions.arrow import pieces
 from skerry.functions.text import norm, plain
 
 SCOPES = {"name": ("name",), "files": ("files",), "all": ("name", "files")}
@@ -98,7 +99,7 @@ def rule_hits(docs: DataFrame, rules: list[tuple[str, str, str, str]], id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher.of(fixed)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             ids, hit = [], []
             for i, *texts in zip(*(c.to_pylist() for c in batch.columns)):
                 fields = {f: (texts[2 * k], texts[2 * k + 1]) for k, (f, _) in enumerate(asked) if texts[2 * k + 1] is not None}
