@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import ext_of, tokens
 
 POSTINGS = "field string, token string, doc_id long, at array<int>"
-TOKENS_AT_ONCE = 500_000  # of documents whose postings are made together, unless one has more
+TOKENS_AT_ONCE = 100_000  # of documents whose postings are made together, unless one has more
 _DIGITS, _LETTER = re.compile("[0-9]{3,}"), re.compile("[a-z]")
 
 
