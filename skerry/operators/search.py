@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from skerry.functions.arrow import pieces
 from skerry.functions.text import answered_trackers, brief, magnet, padded, resolve_category, tokens
 from skerry.operators.health import health_state
-from skerry.operators.postings import file_postings, file_postings_of, merged_postings, postings, with_phrase, with_token  # noqa: F401
+from skerry.operators.postings import file_postings, file_postings_of, merged_postings, postings, with_phrase, with_token, word_postings_of  # noqa: F401
 
 
 @dataclass

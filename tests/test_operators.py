@@ -350,6 +350,28 @@ def test_phrases_are_found_by_places(spark):
             assert {r.doc_id for r in S.with_phrase(index, phrase, scope).collect()} == want, (phrase, scope)
 
 
+def test_postings_of_a_few_words_are_those_of_the_index(spark):
+    rng = random.Random(13)
+    text = lambda: rng.choice([" ", "-", "é"]).join(rng.choices(["in", "The", "THÉ", "a", "7", "x264y", "264", "2645", "ﬁn", "then", "264in", "\n"], k=rng.randint(0, 9)))
+    rows = [(i, rng.choice([text(), None]), rng.choice([text(), None, ""])) for i in range(200)] + [(None, "in the", "the"), (7, "the", "in")]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, body string")
+    asked = ["in", "the", "a", "7", "264", "fin", "x264y", "the", "", "no.word", "absent"]
+    whole = lambda frame: sorted((tuple(r) for r in frame.select("field", "token", "doc_id").collect()), key=str)
+    want = S.postings(docs).filter(F.col("token").isin(asked))
+    assert len({r.token for r in want.collect()}) == 6
+    assert whole(S.word_postings_of(docs, asked)) == whole(want)
+    assert whole(S.word_postings_of(docs, asked, name=None)) == whole(want.filter("field = 'f'"))
+    assert S.word_postings_of(docs, ["a"]).count() == 0
+
+
+def test_rule_candidates_make_no_whole_index(spark, small, monkeypatch):
+    from skerry.plans import search_queries, state_queries
+
+    monkeypatch.setattr(search_queries, "_indexes", {})
+    assert state_queries.rule_candidates_then_scan(spark, small).count() > 0
+    assert not search_queries._indexes
+
+
 def test_phrases_span_no_two_files(spark):
     rows = [(1, [("a/small.ring", 1)]), (2, [("x/small", 1), ("ring/y", 2)]), (3, []), (4, [("small ring small.ring.mkv", 1)])]
     items = spark.createDataFrame(rows, "doc_id long, files array<struct<path:string,size:long>>")
