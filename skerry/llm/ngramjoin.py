@@ -36,13 +36,15 @@ from skerry.llm.common import materialise, n_parts
 from skerry.llm.components import components
 
 BLOCK_CHARS = 4_000_000
-MEMO_WORDS = 300_000
+TEXT_BYTES, LONG_WORD = 500_000, 64
 TILE, TILE_FRAGMENTS, HOT_RUN, PART = 512, 4, 32, 8192
 PREFIX_FRAGMENTS, FRAGMENT_KEYS = 16, 4_000_000  # least number, and keys in each, of the second stage
 COMMON_PERCENT = 5  # of a set: n-grams that prefixes of the first stage must have in common
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
-_memo: dict[bytes, int] = {}
+#: A-Z in lower case, and every separator a space.
+PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -51,32 +53,62 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes, n: int) -> np.ndarray:
-    return shingled(text, n)[0]
-
-
-def shingled(text: bytes, n: int) -> tuple[np.ndarray, int]:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a UTF-8 text, A-Z lower-cased, and its words; fewer words are one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64), 0
-    try:
-        w = np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        if len(_memo) > MEMO_WORDS:
-            _memo.clear()
-        for x in set(words):
-            if x not in _memo:
-                _memo[x] = xxhash.xxh3_64_intdigest(x)
-        w = np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(n, len(w))
-    h = np.full(len(w) - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        h = mixed(h * ODD[0] + w[k : len(w) - size + 1 + k])
-    return np.unique(h), len(words)
-
-
-def digest_of(packed: bytes) -> bytes:
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of data starts, and its 64-bit hash. data: one that PLAIN made, with a space before and 16 behind."""
+    solid = np.frombuffer(data, dtype=np.uint8) != 32
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))  # the eight bytes from each place on
+    h = mixed(size.astype(np.uint64) * ODD[0] + (eight[starts] & FIRST_BYTES[np.minimum(size, 8)]))
+    more, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        h[more] = mixed(h[more] * ODD[0] + (eight[starts[more] + k] & FIRST_BYTES[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]])
+    return starts, h
+
+
+def shingled(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 texts: sorted distinct 64-bit hashes of the n-word shingles, text after text, how many each has, and its words.
+
+    A-Z is lower-cased; fewer words than n are one shingle.
+    """
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    starts, w = hashed_words(b" ".join([b"", *texts, b" " * 16]).translate(PLAIN))
+    last = np.searchsorted(starts, np.cumsum(lengths + 1))  # words up to the end of each text
+    words = np.diff(last, prepend=0)
+    first = last - words
+    h = np.full(max(0, len(w) - n + 1), n, dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ (h >> np.uint64(32))) * ODD[0] + w[k : len(h) + k]
+    h = mixed(h)
+    made = np.where(words >= n, words - n + 1, np.minimum(words, 1))
+    ends = np.cumsum(made)
+    begins = ends - made
+    out = np.empty(int(made.sum()), dtype=np.uint64)
+    for a, b, x, m in zip(begins.tolist(), ends.tolist(), first.tolist(), words.tolist()):
+        if m >= n:
+            out[a:b] = h[x : x + b - a]
+            out[a:b].sort()
+        elif m:
+            out[a] = np.uint64(xxhash.xxh3_64_intdigest(w[x : x + m].tobytes(), seed=m))
+    fresh = np.append(True, out[1:] != out[:-1]) if len(out) else np.empty(0, dtype=bool)
+    fresh[begins[made > 0]] = True
+    upto = np.append(0, np.cumsum(fresh))
+    return out[fresh], upto[ends] - upto[begins], words
+
+
+def sets_in(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """shingled() of an array of texts, a few at a time, and the digest of each text's set."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    keys, counts, words = (np.concatenate(x) for x in zip(*(shingled(texts.slice(a, b - a).to_pylist(), n) for a, b in blocks(sizes, TEXT_BYTES))))
+    data, ends = memoryview(keys), np.cumsum(counts)
+    return keys, counts, words, [digest_of(data[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+
+
+def digest_of(packed: memoryview) -> bytes:
     return hashlib.blake2b(packed, digest_size=16).digest()
 
 
@@ -125,9 +157,7 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fr
         for batch in batches:
             texts = batch.column(1)
             for a, b in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK_CHARS):
-                found, words = zip(*(shingled(t, n) for t in texts.slice(a, b - a).to_pylist()))
-                digests = [digest_of(s.tobytes()) for s in found]
-                sizes = np.array([len(s) for s in found], dtype=np.int64)
+                found, sizes, words, digests = sets_in(texts.slice(a, b - a), n)
                 sets = np.frombuffer(b"".join(digests), dtype=np.int64)[::2]
                 ids = batch.column(0).slice(a, b - a)
                 valid = np.array(pc.is_valid(ids), dtype=np.int64)
@@ -138,16 +168,18 @@ def spread(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fr
                 firsts = firsts[sizes[firsts] > 0]
                 if len(firsts):
                     firm = prefix_length(sizes[firsts], percent)
-                    keys = mixed(np.concatenate([found[i][:k] for i, k in zip(firsts.tolist(), firm.tolist())]) ^ ODD[0])
+                    begins = (np.cumsum(sizes) - sizes)[firsts] - (np.cumsum(firm) - firm)
+                    keys = mixed(found[np.repeat(begins, firm) + np.arange(firm.sum())] ^ ODD[0])
                     owners = np.repeat(np.arange(len(firsts), dtype=np.uint32), firm)
-                    order = np.argsort(keys)
-                    keys, owners = keys[order], owners[order]
-                    top = (keys >> np.uint64(32)).astype(np.int64) * fragments >> 32
+                    top = ((keys >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.uint16 if fragments < 65_536 else np.uint32)
+                    order = np.argsort(top, kind="stable")  # owners stay in order within a fragment
+                    top, owners, small = top[order], owners[order], keys[order].astype(np.uint32)
                     cuts = np.searchsorted(top, np.arange(fragments + 1))
-                    small = keys.astype(np.uint32)
+                    fresh = np.append(True, (owners[1:] != owners[:-1]) | (top[1:] != top[:-1]))
+                    nth = np.cumsum(fresh) - 1
                     for f, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                         if y > x:
-                            there, at = np.unique(owners[x:y], return_inverse=True)
+                            there, at = owners[x:y][fresh[x:y]], nth[x:y] - nth[x]
                             at = at.astype(np.uint16 if len(there) < 65_536 else np.uint32)
                             rows.append((f, small[x:y].tobytes(), at.tobytes(), sets[firsts[there]].tobytes(), b"", b"", b"", None))
                 block += 1
@@ -214,8 +246,10 @@ def sets_of(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in blocks(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), BLOCK_CHARS):
-                found = [shingles(t, n).tobytes() for t in batch.column(0).slice(a, b - a).to_pylist()]
-                columns = [pa.array([digest_of(s) for s in found], type=pa.binary()), pa.array([len(s) // 8 for s in found], type=pa.int64()), pa.array(found, type=pa.binary())]
+                keys, sizes, _, digests = sets_in(batch.column(0).slice(a, b - a), n)
+                offsets = pa.array(np.append(0, 8 * np.cumsum(sizes)), pa.int32())
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, offsets.buffers()[1], pa.py_buffer(keys)])
+                columns = [pa.array(digests, type=pa.binary()), pa.array(sizes), packed]
                 yield pa.RecordBatch.from_arrays(columns, names=names(SETS))
 
     return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SETS)

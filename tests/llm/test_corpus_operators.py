@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,25 @@ def test_prefixes_lose_no_link():
                         assert len(np.intersect1d(x, y)) >= max(1, -(-int(m) * percent // 100) * ngramjoin.COMMON_PERCENT // 100)
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_shingles_of_blocks_are_those_of_each_text(monkeypatch, n):
+    """Hashes name the same word sequences in whatever block a text stands; words of all lengths, bytes of zero, odd separators."""
+    rng = random.Random(n)
+    some = [b"a", b"B", b"b", b"\0", b"a\0", "é".encode(), b"12345678", b"123456789", b"x" * 16, b"x" * 17, b"x" * 64, b"x" * 65, b"X" * 65, b"y" * 300]
+    texts = [b"".join(rng.choice(some) + rng.choice([b" ", b"\n", b"\t ", b"\x0b", b"\x1f"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += [b"", b" ", b"a", b" a", b"a B\0", b"a b \0", b"a\xc2\xa0b"]
+    plain = [[tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))] if (w := t.lower().split()) else [] for t in texts]
+    known = {}
+    for limit in (1, 200, 10**6):
+        monkeypatch.setattr(ngramjoin, "TEXT_BYTES", limit)
+        keys, sizes, words, digests = ngramjoin.sets_in(pa.array(texts, pa.binary()), n)
+        assert words.tolist() == [len(t.split()) for t in texts] and sizes.tolist() == [len(set(p)) for p in plain]
+        for p, d, k in zip(plain, digests, np.split(keys, np.cumsum(sizes)[:-1])):
+            assert known.setdefault(frozenset(p), (d, k.tolist())) == (d, k.tolist()) and k.tolist() == sorted(set(k.tolist()))
+    assert len({d for d, _ in known.values()}) == len(known)
+    assert len({x for _, k in known.values() for x in k}) == len({x for p in plain for x in p})
+
+
 def test_overlaps_of_frequent_and_rare_keys():
     rng = np.random.default_rng(5)
     sets = [np.unique(np.concatenate([np.arange(40), rng.integers(100, 400, 30)])).astype(np.uint64) for _ in range(50)]
