@@ -16,10 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.functions.arrow import pieces
 from skerry.functions.text import ext_of, norm, tokens
 
 POSTINGS = "field string, token string, doc_id long, at array<int>"
 TOKENS_AT_ONCE = 100_000  # of documents whose postings are made together, unless one has more
+#: Bytes of letters and digits as they are, all others as spaces.
+TOKEN_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 _DIGITS, _LETTER = re.compile("[0-9]{3,}"), re.compile("[a-z]")
 
 
@@ -29,20 +32,27 @@ def located(doc_ids: pa.Array, lists: pa.ListArray, field: str) -> pa.RecordBatc
     document = np.repeat(np.arange(len(lists)), sizes)
     place = np.arange(len(document)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     coded = lists.flatten().dictionary_encode()
-    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    known = {w: i for i, w in enumerate(words)}
-    kept = np.array([len(w) > 1 or w.isdigit() for w in words], dtype=bool)
-    cut = [[known.setdefault(run, len(known)) for run in _DIGITS.findall(w)] if _LETTER.search(w) else [] for w in words]
-    words = list(known)
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    kept = pc.or_(pc.greater(pc.binary_length(words), 1), pc.match_substring_regex(words, "^[0-9]$")).to_numpy(zero_copy_only=False)
+    with_run = np.flatnonzero(pc.match_substring_regex(words, "[0-9]{3}").to_numpy(zero_copy_only=False))  # the few that may be mixed
+    cut = {int(i): _DIGITS.findall(w) for i, w in zip(with_run, words.take(pa.array(with_run)).to_pylist()) if _LETTER.search(w)}
     parts = [(document[kept[code]], code[kept[code]], place[kept[code]])] if len(code) else []
-    if any(cut):  # without a place; they come before the places of the same token
-        runs, each = np.concatenate([np.array(c, dtype=np.int64) for c in cut]), np.array([len(c) for c in cut])
+    if cut:  # without a place; they come before the places of the same token
+        runs = pa.array([run for found in cut.values() for run in found], pa.string()).dictionary_encode()
+        place_of = pc.index_in(runs.dictionary, words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place_of < 0)
+        place_of[new] = len(words) + np.arange(len(new))
+        words, runs = pa.concat_arrays([words, runs.dictionary.take(pa.array(new))]), place_of[runs.indices.to_numpy()]
+        each = np.zeros(len(kept), dtype=np.int64)
+        each[list(cut)] = [len(found) for found in cut.values()]
         mixed = each[code] > 0
         inside, some = code[mixed], each[code[mixed]]
         at = np.repeat((np.cumsum(each) - each)[inside] - (np.cumsum(some) - some), some) + np.arange(some.sum())
         parts.insert(0, (np.repeat(document[mixed], some), runs[at], np.full(len(at), -1)))
     document, code, place = (np.concatenate(p) for p in zip(*parts)) if parts else [np.empty(0, dtype=np.int64)] * 3
-    key = document * max(1, len(words)) + code
+    by_word = np.empty(len(words), dtype=np.int64)  # tokens come in order, so that sorting them later finds long runs
+    by_word[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+    key = by_word[code] * max(1, len(lists)) + document
     order = np.argsort(key, kind="stable")
     key, place = key[order], place[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
@@ -50,13 +60,26 @@ def located(doc_ids: pa.Array, lists: pa.ListArray, field: str) -> pa.RecordBatc
     ends = np.append(np.cumsum(real)[first - 1] * (first > 0), real.sum()) if len(first) else np.zeros(1, dtype=np.int64)
     columns = [
         pa.array([field]).take(pa.array(np.zeros(len(first), dtype=np.int64))),
-        pa.array(words, pa.string()).take(pa.array(code[order][first])),
+        words.take(pa.array(code[order][first])),
         doc_ids.take(pa.array(document[order][first])),
         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[real], pa.int32())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in POSTINGS.split(", ")])
 
 
+def token_lists(folded: pa.Array) -> pa.ListArray:
+    """The tokens of folded texts, as tokens() has them; null ones have none."""
+    texts = [t or b"" for t in folded.cast(pa.binary()).to_pylist()]
+    data = b" ".join([b"", *texts, b""]).translate(TOKEN_BYTES)
+    solid = np.frombuffer(data, dtype=np.uint8) != 32
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1)
+    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data.replace(b" ", b"")))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), words)
+
+
 def in_pieces(lists: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
     """(first, count) of stretches of lists with at most so many tokens together, or one list of more."""
     upto, start = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), 0
@@ -66,22 +89,23 @@ def in_pieces(lists: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def _postings(lists: DataFrame) -> DataFrame:
-    """Postings of token lists (doc_id, then a list for each field, named like it). A document's postings are made where it is read."""
-    fields = lists.columns[1:]
+def _postings(rows: DataFrame) -> DataFrame:
+    """Postings of (doc_id, then a column for each field, named like it: folded texts, or lists of tokens). A document's postings are made where it is read."""
+    fields = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, field in enumerate(fields):
-                for piece in in_pieces(batch.column(k + 1), TOKENS_AT_ONCE):
-                    yield located(batch.column(0).slice(*piece), batch.column(k + 1).slice(*piece), field)
+        for batch in (piece for whole in batches for piece in pieces(whole)):
+            for column, field in zip(batch.columns[1:], fields):
+                lists = column if pa.types.is_list(column.type) else token_lists(column)
+                for piece in in_pieces(lists, TOKENS_AT_ONCE):
+                    yield located(batch.column(0).slice(*piece), lists.slice(*piece), field)
 
-    return lists.mapInArrow(run, POSTINGS)
+    return rows.mapInArrow(run, POSTINGS)
 
 
 def postings(docs: DataFrame, name: str = "name", files: str = "body") -> DataFrame:
     """Postings of names (n) and bodies (f); null ones have none."""
-    return _postings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col(name)).alias("n"), tokens(F.col(files)).alias("f")))
+    return _postings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm(F.col(name)).alias("n"), norm(F.col(files)).alias("f")))
 
 
 def _posted(word: str) -> str:

@@ -350,6 +350,24 @@ def test_phrases_are_found_by_places(spark):
             assert {r.doc_id for r in S.with_phrase(index, phrase, scope).collect()} == want, (phrase, scope)
 
 
+def test_postings_come_from_texts_in_order_of_tokens(spark):
+    """What Python cuts into tokens is what the patterns find, and postings are sorted by token where they are made."""
+    import pyarrow as pa
+
+    from skerry.operators import postings as P
+
+    rng = random.Random(21)
+    texts = ["".join(rng.choices(["in", "the", " ", "  ", "-", "é", "\0", "H", "7", "x264y1080", "1080", "\n", "日"], k=rng.randint(0, 12))) for _ in range(300)] + ["", " ", "a", None]
+    for some in (texts, texts[150:], [None], [""], [" a"], []):
+        lists = P.token_lists(pa.array(some, pa.string()))
+        assert lists.to_pylist() == [re.findall("[a-z0-9]+", t or "") for t in some]
+        found = P.located(pa.array(range(len(some)), pa.int64()), lists, "f").to_pylist()
+        assert [(r["token"], r["doc_id"]) for r in found] == sorted((r["token"], r["doc_id"]) for r in found)
+    assert P.token_lists(pa.array(texts, pa.string()).slice(7, 20)).to_pylist() == [re.findall("[a-z0-9]+", t) for t in texts[7:27]]
+    docs = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, name string, body string")
+    assert "regexp_extract_all" not in plan(S.postings(docs))
+
+
 def test_postings_of_a_few_words_are_those_of_the_index(spark):
     rng = random.Random(13)
     text = lambda: rng.choice([" ", "-", "é"]).join(rng.choices(["in", "The", "THÉ", "a", "7", "x264y", "264", "2645", "ﬁn", "then", "264in", "\n"], k=rng.randint(0, 9)))
