@@ -38,13 +38,15 @@ from skerry.llm.common import new_path
 MAGIC = b"SKT2"
 BLOCK_IDS = 1_000_000
 LANES, LEAST_STEPS = 4096, 128
-MEMO_WORDS = 400_000
+BLOCK_BYTES, MEMO_PIECES = 4_000_000, 600_000
 WORD, LOW_BITS = 31, 1 << 31
 MASK = LOW_BITS - 1
 SOURCE_BITS, ZERO_BITS, HASH_BITS = 10, 19, 18
 ALL_BITS = SOURCE_BITS + ZERO_BITS
 NO_ID = -(2**63)  # in a document table: a document without an id
 FILE = "part int, block int, first_doc long, n_docs int, n_ids long, ids_before long, data string"
+MARK, DIGIT, SPACE, SIGN, LETTER = range(5)  # kinds of bytes; a mark and a digit are pieces by themselves
+KINDS = np.array([LETTER if b >= 128 or chr(b).islower() else MARK if b == 1 else DIGIT if chr(b).isdigit() else SPACE if b == 32 or 9 <= b <= 13 else SIGN for b in range(256)], dtype=np.uint8)
 READ = "part int, doc_id long, start_in_part long, n_tokens long, packed binary"
 
 
@@ -214,18 +216,23 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, decode_ids(n, vocabulary, lanes, sizes, words) if n else np.empty(0, dtype=np.int64)
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of ranges, end to end."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Words:
-    """Ids of words between ASCII white space, by the parts of the tokenizers library, with bounded memos of two generations.
+    """Ids of texts, by the parts of the tokenizers library, with a bounded memo of pieces.
 
-    White space never joins words there, so words are encoded once each: the library normalises and splits a word
-    and encodes its pieces. For words of ASCII and Latin letters, normalising is lower case, the split is a pattern
-    and the bytes of a piece are spelled out by a table.
+    White space never joins words there, and pieces of words are encoded once each. In words of ASCII and Latin letters,
+    normalising is lower case, and the kinds of bytes tell where pieces start: all texts of a call are cut at once. The
+    bytes of a piece are spelled out by a table. Any other word is replaced by a mark, and the library normalises and splits it.
     """
 
     loaded: dict[str, "Words"] = {}
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
-    ALL_LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
-    LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+    LETTERS = "!-~\u00c0-\u012f\u0131-\u017f"
+    ALL_LATIN = re.compile(rf"[\t-\r {LETTERS}]*")
+    OTHER = re.compile(rf"(?<![^\t-\r ])(?:[{LETTERS}]*+[^\t-\r {LETTERS}]|[^\t-\r ]*?<\|)[^\t-\r ]*")
     SPELLED = str.maketrans({b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))})
 
     def __init__(self, path: str):
@@ -233,10 +240,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.memo, self.older, self.pieces, self.older_pieces = {}, {}, {}, {}
         self.model, self.normal, self.split = self.coder.model, self.coder.normalizer, self.coder.pre_tokenizer
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.vocabulary = 1 + max(self.coder.get_vocab(with_added_tokens=True).values())
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> "Words":
@@ -244,46 +251,79 @@ class Words:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None and (found := self.older_pieces.get(piece)) is not None:
-            self.pieces[piece] = found
-        if found is None:
-            found = self.pieces[piece] = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        return found
-
-    def word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters only
-            return self.piece(word.lower().decode())
-        text = word.decode("utf-8", "replace")
-        if "<|" in text and any(t in text for t in self.special):
-            return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
-        if text.isascii() and text.isprintable():
-            return b"".join(map(self.piece, self.ASCII.findall(text.lower())))
-        if self.ALL_LATIN.fullmatch(text):
-            return b"".join([self.piece(p.encode().decode("latin-1").translate(self.SPELLED)) for p in self.LATIN.findall(text.lower())])
-        return b"".join(self.piece(p) for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text)))
-
-    def learn(self, words: set[bytes]) -> None:
-        """Words of the older memo move on to the new one; others are encoded."""
-        if len(self.pieces) > MEMO_WORDS:
-            self.older_pieces, self.pieces = self.pieces, {}
-        for w in words:
-            found = self.older.get(w)
-            self.memo[w] = self.word(w) if found is None else found
+    def forget(self) -> None:
+        self.number: dict[bytes | str, int] = {}  # pieces are bytes, other words are str
+        self.ids, self.start, self.size = np.empty(0, dtype="<i4"), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def ids_of(self, piece: bytes | str) -> list[int]:
+        if isinstance(piece, bytes):
+            text = piece.decode("latin-1")
+            return [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.SPELLED))]
+        if any(t in piece for t in self.special):
+            return self.coder.encode(piece, add_special_tokens=False).ids
+        return [t.id for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(piece)) for t in self.model.tokenize(p)]
+
+    def numbers(self, pieces: list[bytes | str]) -> np.ndarray:
+        """Places of pieces in start and size; unknown ones are encoded. One call for each encode()."""
+        fresh = set(pieces).difference(self.number)
+        if fresh and (len(self.number) + len(fresh) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES):
+            self.forget()
+            fresh = set(pieces)
+        if fresh:
+            ids = array("i")
+            ends = []
+            for p in fresh:
+                ids.extend(self.ids_of(p))
+                ends.append(len(ids))
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+            size = np.diff(ends, prepend=0)
+            self.start, self.size = np.append(self.start, len(self.ids) + np.array(ends) - size), np.append(self.size, size)
+            self.ids = np.append(self.ids, np.array(ids, dtype="<i4"))
+        return np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def cut(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces and white space start in lower-case Latin text that ends in two line ends, and which of them are pieces."""
+        kind = KINDS[byte]
+        at = np.flatnonzero((byte[:-1] == 0xC3) & ((byte[1:] | 0x20) == 0xB7))  # the signs of multiplication and division
+        kind[at] = kind[at + 1] = SIGN
+        first = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] <= DIGIT))
+        at = np.flatnonzero(byte[:-2] == ord("'"))
+        at = at[first[at] & (kind[at + 1] == LETTER)]  # may be 's, 't, 'm, 'd, 're, 've or 'll
+        pair = byte[at + 1].astype(np.int32) << 8 | byte[at + 2]
+        for known, size in ((np.isin(byte[at + 1], list(b"stmd")), 2), (np.isin(pair, [a << 8 | b for a, b in (b"re", b"ve", b"ll")]), 3)):
+            first[at[known] + 1] = False
+            first[at[known] + size] = True
+        start = np.flatnonzero(first)
+        return start, kind[start] != SPACE
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Packed little-endian int32 ids of each text, with the end id."""
-        tail, out = struct.pack("<i", end), []
-        for text in texts:  # one by one: what a text has just looked up is still near
-            words = text.split()
-            if unknown := set(words).difference(self.memo):
-                if len(self.memo) > MEMO_WORDS:
-                    self.older, self.memo = self.memo, {}
-                    unknown = set(words)
-                self.learn(unknown)
-            out.append(b"".join(map(self.memo.__getitem__, words)) + tail)
-        return out
+        others, lines = [], []
+
+        def mark(m: re.Match) -> str:
+            others.append(m[0])
+            return "\x01"
+
+        for text in texts:
+            text = text.decode("utf-8", "replace")
+            if "<|" in text or not self.ALL_LATIN.fullmatch(text):
+                text = self.OTHER.sub(mark, text)
+            lines.append(text.lower().encode())
+        joined = b"\n".join([*lines, b"", b""])
+        byte = np.frombuffer(joined, dtype=np.uint8)
+        start, word = self.cut(byte)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(byte))), pa.py_buffer(joined)])
+        found, start = pieces.filter(pa.array(word)).dictionary_encode(), start[word]
+        known = found.dictionary.to_pylist()
+        numbers = self.numbers(known + others)
+        number = numbers[found.indices.to_numpy()]
+        number[byte[start] == 1] = numbers[len(known) :]
+        size = self.size[number]
+        packed = self.ids[ranges(self.start[number], size)].tobytes()
+        borders = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in lines)]))
+        ends = (4 * np.append(0, np.cumsum(size))[borders]).tolist()
+        tail = struct.pack("<i", end)
+        return [packed[a:b] + tail for a, b in zip(ends, ends[1:])]
 
 
 def write_ids(docs: DataFrame, vocabulary: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, path: str | None = None) -> DataFrame:
@@ -306,7 +346,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int = 1, id_col: str = "doc
 
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_pylist()
-            for a, b in blocks(sizes, 2_000_000):
+            for a, b in blocks(sizes, BLOCK_BYTES):
                 found = coder.encode([t or b"" for t in batch.column(1).slice(a, b - a).to_pylist()], end)
                 for i, p in zip(batch.column(0).slice(a, b - a).to_pylist(), found):
                     ids.append(i)

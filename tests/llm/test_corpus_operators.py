@@ -5,6 +5,7 @@ import itertools
 import json
 import os
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -286,6 +287,32 @@ def test_words_are_the_library():
         assert np.frombuffer(coder.encode([text.encode()], 1)[0], "<i4").tolist() == coder.coder.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_new_words_of_known_pieces_take_no_call_each():
+    coder, calls = idfile.Words(registry.WORD_BPE), []
+    names = [a + b for a in "bcdfgklm" for b in ("ar", "en", "is", "ou", "\u00e9t")]
+    coder.encode([" ".join([*names, "-"]).encode()], 1)
+    text = " ".join(f"{a}-{b}" for a in names for b in names)
+    sys.setprofile(lambda frame, event, arg: calls.append(frame) if event == "call" else None)
+    try:
+        packed = coder.encode([text.encode()], 1)[0]
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(names) ** 2 / 4
+    assert np.frombuffer(packed, "<i4").tolist() == coder.coder.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_cut_pieces_are_the_library(monkeypatch):
+    monkeypatch.setattr(idfile, "MEMO_PIECES", 100)  # forgotten again and again
+    coder, rng = idfile.Words(registry.WORD_BPE), random.Random(5)
+    atoms = [*"ab1! \n\x01\x1c'", "'S", "'re", "'ll", "''", "\u00e9", "\u00c9", "\u00d7", "\u00f7", "\u0178", "\u0130", "\u4e2d", "e\u0301", "\u2019s", "\xa0", "<|", "<|endoftext|>"]
+    for _ in range(40):
+        texts = ["".join(rng.choices(atoms, k=rng.randrange(12))) for _ in range(30)]
+        for text, packed in zip(texts, coder.encode([t.encode() for t in texts], 1)):
+            assert np.frombuffer(packed, "<i4").tolist() == coder.coder.encode(text, add_special_tokens=False).ids + [1]
+    odd = [b"\xff\xfe a\xc3", b"\xc3 b\x97", b"\xe4\xb8", b"", b" \n"]
+    assert [np.frombuffer(p, "<i4").tolist()[:-1] for p in coder.encode(odd, 1)] == [coder.coder.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in odd]
+
+
 def test_mixture_has_all_the_mass():
     """Intervals of all ids follow each other without gaps and fill the whole, and values find their ids."""
     model, rng = idfile.Model(50), np.random.default_rng(4)
