@@ -17,6 +17,7 @@ all before it.
 from __future__ import annotations
 
 import base64
+import itertools
 import os
 import re
 import struct
@@ -45,8 +46,12 @@ SOURCE_BITS, ZERO_BITS, HASH_BITS = 10, 19, 18
 ALL_BITS = SOURCE_BITS + ZERO_BITS
 NO_ID = -(2**63)  # in a document table: a document without an id
 FILE = "part int, block int, first_doc long, n_docs int, n_ids long, ids_before long, data string"
+MARK_BYTE = 1
 MARK, DIGIT, SPACE, SIGN, LETTER = range(5)  # kinds of bytes; a mark and a digit are pieces by themselves
-KINDS = np.array([LETTER if b >= 128 or chr(b).islower() else MARK if b == 1 else DIGIT if chr(b).isdigit() else SPACE if b == 32 or 9 <= b <= 13 else SIGN for b in range(256)], dtype=np.uint8)
+KINDS = np.array([LETTER if b >= 128 or chr(b).islower() else MARK if b == MARK_BYTE else DIGIT if chr(b).isdigit() else SPACE if b == 32 or 9 <= b <= 13 else SIGN for b in range(256)], dtype=np.uint8)
+SPELLED = np.arange(256, dtype="<u4")  # code points that stand for bytes in the vocabulary; line ends stay
+SPELLED[[b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]] = np.arange(256, 256 + 68)
+SPELLED[10] = 10
 READ = "part int, doc_id long, start_in_part long, n_tokens long, packed binary"
 
 
@@ -233,7 +238,6 @@ class Words:
     LETTERS = "!-~\u00c0-\u012f\u0131-\u017f"
     ALL_LATIN = re.compile(rf"[\t-\r {LETTERS}]*")
     OTHER = re.compile(rf"(?<![^\t-\r ])(?:[{LETTERS}]*+[^\t-\r {LETTERS}]|[^\t-\r ]*?<\|)[^\t-\r ]*")
-    SPELLED = str.maketrans({b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))})
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -255,31 +259,41 @@ class Words:
         self.number: dict[bytes | str, int] = {}  # pieces are bytes, other words are str
         self.ids, self.start, self.size = np.empty(0, dtype="<i4"), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
-    def ids_of(self, piece: bytes | str) -> list[int]:
-        if isinstance(piece, bytes):
-            text = piece.decode("latin-1")
-            return [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.SPELLED))]
-        if any(t in piece for t in self.special):
-            return self.coder.encode(piece, add_special_tokens=False).ids
-        return [t.id for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(piece)) for t in self.model.tokenize(p)]
-
-    def numbers(self, pieces: list[bytes | str]) -> np.ndarray:
-        """Places of pieces in start and size; unknown ones are encoded. One call for each encode()."""
-        fresh = set(pieces).difference(self.number)
-        if fresh and (len(self.number) + len(fresh) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES):
+    def spelled(self, pieces: list[bytes]) -> list[str]:
+        """Pieces as the vocabulary writes them."""
+        return SPELLED[np.frombuffer(b"\n".join(pieces), dtype=np.uint8)].tobytes().decode("utf-32-le").split("\n") if pieces else []
+
+    def other(self, word: str) -> list[int]:
+        """Ids of a word with other letters, control characters or a special token."""
+        if any(t in word for t in self.special):
+            return self.coder.encode(word, add_special_tokens=False).ids
+        return [t.id for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(word)) for t in self.model.tokenize(p)]
+
+    def numbers(self, pieces: list[bytes], others: list[str]) -> np.ndarray:
+        """Places in start and size of distinct pieces and of distinct other words; unknown ones are encoded."""
+        keys = [*pieces, *others]
+        found = np.fromiter(map(self.number.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh) and (len(self.number) + len(fresh) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES):
             self.forget()
-            fresh = set(pieces)
-        if fresh:
-            ids = array("i")
-            ends = []
-            for p in fresh:
-                ids.extend(self.ids_of(p))
-                ends.append(len(ids))
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
-            size = np.diff(ends, prepend=0)
-            self.start, self.size = np.append(self.start, len(self.ids) + np.array(ends) - size), np.append(self.size, size)
+            fresh = np.arange(len(keys))
+        if len(fresh):
+            found[fresh] = np.arange(len(self.number), len(self.number) + len(fresh))
+            own = [keys[k] for k in fresh.tolist()]
+            self.number.update(zip(own, found[fresh].tolist()))
+            cut, ids, size = int(np.searchsorted(fresh, len(pieces))), array("i"), []
+            for piece in self.spelled(own[:cut]):
+                tokens = self.model.tokenize(piece)
+                ids.extend([t.id for t in tokens])
+                size.append(len(tokens))
+            for word in own[cut:]:
+                more = self.other(word)
+                ids.extend(more)
+                size.append(len(more))
+            size = np.array(size, dtype=np.int64)
+            self.start, self.size = np.append(self.start, len(self.ids) + np.cumsum(size) - size), np.append(self.size, size)
             self.ids = np.append(self.ids, np.array(ids, dtype="<i4"))
-        return np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        return found
 
     def cut(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces and white space start in lower-case Latin text that ends in two line ends, and which of them are pieces."""
@@ -302,7 +316,7 @@ class Words:
 
         def mark(m: re.Match) -> str:
             others.append(m[0])
-            return "\x01"
+            return chr(MARK_BYTE)
 
         for text in texts:
             text = text.decode("utf-8", "replace")
@@ -314,10 +328,12 @@ class Words:
         start, word = self.cut(byte)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(byte))), pa.py_buffer(joined)])
         found, start = pieces.filter(pa.array(word)).dictionary_encode(), start[word]
-        known = found.dictionary.to_pylist()
-        numbers = self.numbers(known + others)
+        known = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = {w: len(known) + k for k, w in enumerate(dict.fromkeys(others))}
+        numbers = self.numbers(known, list(place))
         number = numbers[found.indices.to_numpy()]
-        number[byte[start] == 1] = numbers[len(known) :]
+        if others:
+            number[byte[start] == MARK_BYTE] = numbers[[place[w] for w in others]]
         size = self.size[number]
         packed = self.ids[ranges(self.start[number], size)].tobytes()
         borders = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in lines)]))
