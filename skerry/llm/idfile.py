@@ -17,6 +17,7 @@ all before it.
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import os
 import re
@@ -237,7 +238,7 @@ class Words:
     loaded: dict[str, "Words"] = {}
     LETTERS = "!-~\u00c0-\u012f\u0131-\u017f"
     ALL_LATIN = re.compile(rf"[\t-\r {LETTERS}]*")
-    OTHER = re.compile(rf"(?<![^\t-\r ])(?:[{LETTERS}]*+[^\t-\r {LETTERS}]|[^\t-\r ]*?<\|)[^\t-\r ]*")
+    OTHER = re.compile(rf"(?<![^\t-\r ])((?:[{LETTERS}]*+[^\t-\r {LETTERS}]|[^\t-\r ]*?<\|)[^\t-\r ]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -247,6 +248,7 @@ class Words:
         self.model, self.normal, self.split = self.coder.model, self.coder.normalizer, self.coder.pre_tokenizer
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.vocabulary = 1 + max(self.coder.get_vocab(with_added_tokens=True).values())
+        self.piece = functools.lru_cache(MEMO_PIECES // 6)(lambda piece: [t.id for t in self.model.tokenize(piece)])
         self.forget()
 
     @classmethod
@@ -265,9 +267,9 @@ class Words:
 
     def other(self, word: str) -> list[int]:
         """Ids of a word with other letters, control characters or a special token."""
-        if any(t in word for t in self.special):
+        if "<|" in word and any(t in word for t in self.special):
             return self.coder.encode(word, add_special_tokens=False).ids
-        return [t.id for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(word)) for t in self.model.tokenize(p)]
+        return [i for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(word)) for i in self.piece(p)]
 
     def numbers(self, pieces: list[bytes], others: list[str]) -> np.ndarray:
         """Places in start and size of distinct pieces and of distinct other words; unknown ones are encoded."""
@@ -313,15 +315,12 @@ class Words:
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Packed little-endian int32 ids of each text, with the end id."""
         others, lines = [], []
-
-        def mark(m: re.Match) -> str:
-            others.append(m[0])
-            return chr(MARK_BYTE)
-
         for text in texts:
             text = text.decode("utf-8", "replace")
             if "<|" in text or not self.ALL_LATIN.fullmatch(text):
-                text = self.OTHER.sub(mark, text)
+                parts = self.OTHER.split(text)
+                others += parts[1::2]
+                text = chr(MARK_BYTE).join(parts[::2])
             lines.append(text.lower().encode())
         joined = b"\n".join([*lines, b"", b""])
         byte = np.frombuffer(joined, dtype=np.uint8)
